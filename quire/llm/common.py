@@ -185,13 +185,61 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", *more, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+#: Edges that one task turns into components by itself; 16 bytes each.
+LOCAL_EDGES = 1 << 20
+
+
+def smallest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of these edges and the smallest node of each one's component."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while len(x):
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, label[x], low)
+        np.minimum.at(new, label[y], low)
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    return nodes, nodes[label] if len(nodes) else nodes
+
+
 def components(spark: SparkSession, scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     """(node, label): the smallest node of each component of the edges (a, b), for nodes that have edges.
 
-    Rounds of the smallest neighbour's label and a jump to that label's label; the number of rounds grows
-    with the logarithm of a chain's length. Each round is written to the shared folder. Hot nodes are
-    pre-aggregated before each shuffle (min is combined map-side)."""
-    e = edges.where("a <> b")
+    Each task first replaces its edges by a star for each component among them. Up to LOCAL_EDGES of these
+    are finished in one task. More take rounds of the smallest neighbour's label and a jump to that label's
+    label, whose number grows with the logarithm of a chain's length; each round is written to the shared
+    folder, and hot nodes are combined map-side, as min is."""
+
+    def star(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
+            size += len(held[-1][0])
+            if size >= LOCAL_EDGES:
+                yield done(held)
+                held, size = [], 0
+        yield done(held)
+
+    def done(held):
+        a, b = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.int64),) * 2
+        nodes, label = smallest(a, b)
+        keep = nodes != label
+        return pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(label[keep])], ["a", "b"])
+
+    e = scratch.keep(edges.select("a", "b").mapInArrow(star, "a long, b long"), f"{name}-stars")
+    if e.count() <= LOCAL_EDGES:
+
+        def whole(batches):
+            held = [(x.column("a").to_numpy(), x.column("b").to_numpy()) for x in batches]
+            nodes, label = smallest(*(np.concatenate(x) for x in zip(*held))) if held else (np.zeros(0, np.int64),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(label)], ["node", "label"])
+
+        return scratch.keep(e.coalesce(1).mapInArrow(whole, "node long, label long"), f"{name}-all")
     e = scratch.keep(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
     lab = scratch.keep(e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), f"{name}-0")
     r = 0

@@ -34,6 +34,8 @@ from quire.llm.shingles import set_hash, shingle_sets
 COUNTED = 2.4
 #: Shingles in one prefix tree's block.
 BLOCK_TOKENS = 1 << 20
+#: Sets looked up between two layouts of a tree; children from which a node is laid out.
+BATCH, WIDE = 64, 16
 #: Records a mapper gathers before it sends them.
 FLUSH = 1 << 20
 
@@ -196,7 +198,7 @@ class Trie:
 
     def __init__(self, size: int):
         self.parent = list(range(size))
-        self.root = [np.zeros(0, np.int32), {}, None, 0, -1]  # ranks of the edge, children, set that ends here, longest rest below, one set below or -2
+        self.root = [np.zeros(0, np.int32), {}, None, 0, -1, None]  # ranks of the edge, children, set that ends here, longest rest below, one set below or -2, children side by side
 
     def find(self, x: int) -> int:
         while self.parent[x] != x:
@@ -224,43 +226,59 @@ class Trie:
                 return
             child = node[1].get(int(ranks[at]))
             if child is None:
-                node[1][int(ranks[at])] = [ranks[at:], {}, (i,), 0, i]
+                node[1][int(ranks[at])] = [ranks[at:], {}, (i,), 0, i, None]
                 return
             edge = child[0]
             m = min(len(edge), len(ranks) - at)
             diff = np.flatnonzero(edge[:m] != ranks[at : at + m])
             same = int(diff[0]) if len(diff) else m
             if same < len(edge):  # the edge is cut in two
-                lower = [edge[same:], child[1], child[2], child[3], child[4]]
+                lower = [edge[same:], child[1], child[2], child[3], child[4], None]
                 child[0], child[1], child[2], child[3] = edge[:same], {int(edge[same]): lower}, None, child[3] + len(edge) - same
             node, at = child, at + same
 
+    def freeze(self) -> None:
+        """Lays the children of wide nodes side by side, so that a walk measures them at once."""
+        stack = [self.root]
+        while stack:
+            node = stack.pop()
+            kids = list(node[1].values())
+            stack += kids
+            if len(kids) > WIDE:
+                size = np.array([len(k[0]) for k in kids])
+                node[5] = (kids, np.concatenate([k[0] for k in kids]), np.cumsum(size) - size, size, np.array([k[0][-1] for k in kids]), np.array([k[3] for k in kids]))
+            else:
+                node[5] = None
+
     def link(self, ranks: np.ndarray, i: int, mask: np.ndarray, sizes: list[int], num: int, den: int, links: list) -> None:
         """Unites i with every set of the tree that is similar enough and not yet in its component."""
-        n = len(ranks)
+        n, find = len(ranks), self.find
         mask[ranks] = True
         # after a path of d members of which o are in the set, the pair has at least d + n - o members and
         # at most o + min(rest below, those of the set beyond the path) in common
-        below = np.cumsum(mask) if len(mask) < 64 * n else None
         stack = [(self.root, 0, 0)]
         while stack:
             node, d, o = stack.pop()
-            if node[4] >= 0 and self.find(node[4]) == self.find(i):
+            if node[4] >= 0 and find(node[4]) == find(i):
                 continue
-            edge = node[0]
-            if len(edge):
-                d, o = d + len(edge), o + int(mask[edge].sum())
-                used = int(below[edge[-1]]) if below is not None else int(np.searchsorted(ranks, edge[-1], "right"))
-                most = o + min(node[3], n - used)
-                if den * most < num * (d + n - o):
-                    continue
             if node[2]:
                 for j in node[2]:
-                    if self.find(j) != self.find(i) and den * o >= num * (n + sizes[j] - o):
+                    if find(j) != find(i) and den * o >= num * (n + sizes[j] - o):
                         self.union(i, j)
                         links.append((i, j))
+            if node[5]:
+                kids, edges, at, size, last, rest = node[5]
+                both = o + np.add.reduceat(mask[edges], at, dtype=np.int64)
+                most = both + np.minimum(rest, n - np.searchsorted(ranks, last, "right"))
+                go = np.flatnonzero(den * most >= num * (d + size + n - both))
+                stack += [(kids[k], d + int(size[k]), int(both[k])) for k in go.tolist()]
+                continue
             for child in node[1].values():
-                stack.append((child, d, o))
+                edge = child[0]
+                both = o + int(np.count_nonzero(mask[edge]))
+                most = both + min(child[3], n - int(ranks.searchsorted(edge[-1], "right")))
+                if den * most >= num * (d + len(edge) + n - both):
+                    stack.append((child, d + len(edge), both))
         mask[ranks] = False
 
 
@@ -278,10 +296,22 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     for k in sizes:
         parts.append(np.sort(ranked[at : at + k]))
         at += k
-    trie, mask, links = Trie(len(sets)), np.zeros(len(members), bool), []
-    for i in sorted(range(len(sets)), key=lambda i: (sizes[i], parts[i].tobytes())):
-        trie.link(parts[i], i, mask, sizes, num, den, links)
-        trie.insert(parts[i], i)
+    order = sorted(range(len(sets)), key=lambda i: (sizes[i], parts[i].tobytes()))
+    whole, mask, links = Trie(len(sets)), np.zeros(len(members), bool), []
+    for a in range(0, len(order), BATCH):
+        # a batch meets the tree of those before it, then its own
+        some = order[a : a + BATCH]
+        for i in some if a else ():
+            whole.link(parts[i], i, mask, sizes, num, den, links)
+        own = Trie(0)
+        own.parent = whole.parent
+        for i in some:
+            own.link(parts[i], i, mask, sizes, num, den, links)
+            own.insert(parts[i], i)
+        if a + BATCH < len(order):
+            for i in some:
+                whole.insert(parts[i], i)
+            whole.freeze()
     return links
 
 
