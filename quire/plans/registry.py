@@ -1,11 +1,235 @@
-"""All queries of the document operators, with their SQL."""
+"""Queries of the document operators over blocks that are derived from the test tables by integer arithmetic,
+with the same in SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from quire.functions import patterns as P
+from quire.functions import text as T
+from quire.operators import blocks as B
+
+
+def _lines(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+
+
+def blocks(spark, sf_dir):
+    """Lines as blocks: a third get a telling beginning, and size, style, font and box follow from numbers."""
+    x = _lines(spark, sf_dir)
+    p, line, k = F.col("pos"), F.col("line"), F.col("doc_id") * 7 + F.col("pos") * 3
+    starts = ["1. ", "2.3. ", "Tabla 3. ", "1998 ", None, None, None, "Figura 2. ", None, "Cómo citar: ", None]
+    whole = {4: "Abstract", 5: "Referencias", 6: "Palabras clave: uno; dos, Uno", 10: "Manuscrito recibido: Diciembre 5, 2020"}
+    m = (p + F.col("doc_id")) % 31
+    t = F.when(m == 8, F.concat(F.lit("autor@correo.org "), F.substring(line, 1, 20)))
+    for i, s in enumerate(starts):
+        if s:
+            t = t.when(m == i, F.concat(F.lit(s), line))
+    for i, s in whole.items():
+        t = t.when(m == i, F.lit(s))
+    block = p % 6
+    return x.select(
+        "doc_id", p.alias("seq"), t.otherwise(line).alias("contenido"), F.floor(p / 6).cast("int").alias("pnum"), block.alias("block_no"),
+        F.element_at(F.array(*[F.lit(float(v)) for v in (9, 10, 12, 13, 8.5)]), (k % 5 + 1).cast("int")).alias("size"),
+        ((F.col("doc_id") + p) % 2 == 0).alias("bold"), ((F.col("doc_id") + p * 5) % 3 == 0).alias("italic"),
+        F.when(k % 3 == 0, "Times-Roman").when(k % 3 == 1, "Arial").otherwise("Calibri").alias("font"),
+        F.lit(600).alias("page_w"), F.lit(800).alias("page_h"), (40 + 300 * ((F.col("doc_id") + p) % 2)).alias("x0"),
+        (280 + 300 * ((F.col("doc_id") + p) % 2)).alias("x1"), (20 + 125 * block).alias("y0"), (120 + 125 * block).alias("y1"),
+    )
+
+
+_BLOCKS = """
+l as (select doc_id, unnest(generate_series(0, len(a) - 1)) as pos, unnest(a) as line from (select doc_id, string_split(text, chr(10)) as a from documents)),
+b as (select doc_id, cast(pos as integer) as seq,
+  case (pos + doc_id) % 31 when 8 then 'autor@correo.org ' || substring(line, 1, 20) when 0 then '1. ' || line when 1 then '2.3. ' || line
+    when 2 then 'Tabla 3. ' || line when 3 then '1998 ' || line when 7 then 'Figura 2. ' || line when 9 then 'Cómo citar: ' || line
+    when 4 then 'Abstract' when 5 then 'Referencias' when 6 then 'Palabras clave: uno; dos, Uno' when 10 then 'Manuscrito recibido: Diciembre 5, 2020' else line end as contenido,
+  cast(pos // 6 as integer) as pnum, cast(pos % 6 as integer) as block_no,
+  ([9.0, 10.0, 12.0, 13.0, 8.5])[cast((doc_id * 7 + pos * 3) % 5 + 1 as integer)]::double as size,
+  (doc_id + pos) % 2 = 0 as bold, (doc_id + pos * 5) % 3 = 0 as italic,
+  case (doc_id * 7 + pos * 3) % 3 when 0 then 'Times-Roman' when 1 then 'Arial' else 'Calibri' end as font,
+  600 as page_w, 800 as page_h, 40 + 300 * ((doc_id + pos) % 2) as x0, 280 + 300 * ((doc_id + pos) % 2) as x1, 20 + 125 * (pos % 6) as y0, 120 + 125 * (pos % 6) as y1
+  from l),
+"""
+
+
+def _i(pattern, col="t"):
+    return f"regexp_matches({col}, '{pattern}', 'i')"
+
+
+def _c(pattern, col="t"):
+    return f"regexp_matches({col}, '{pattern}')"
+
+
+_IN = ", ".join(f"'{s}'" for s in P.SECTIONS)
+_CITE = f"(starts_with(lower(t), 'cómo citar') or starts_with(lower(t), 'how to cite') or (length(t) < 400 and {_i(P.CITE_NUMBERS)} and not {_i('https?://')}))"
+_NOTE = _i(P.MANUSCRIPT)
+_SENTENCE = _c(r"\.\s+[A-ZÁÉÍÓÚÑ][a-záéíóúñ]")
+_DOILINE = f"({_i('https?://doi[.]org/')} and length(t) <= 200 and not ({_SENTENCE} and not {_NOTE}))"
+_INST = _i("universidad|university|instituto|institute|museo|museum|facultad|departamento|department|centro|laboratorio")
+_LABELS = _BLOCKS + f"""
+z as (select *, regexp_replace(contenido, '^\\s+|\\s+$', '', 'g') as t, round_even(size, 0) as s from b),
+st as (select *, min(case when {_i(P.LEVEL1)} and not {_i(P.LEVEL2)} and s <= 12 then seq end) over (partition by doc_id) as z0 from z),
+en as (select *, min(case when lower(t) in ('referencias', 'references') and seq >= z0 then seq end) over (partition by doc_id) as z1 from st),
+au as (select *, case when lower(t) in ({_IN}) then '{P.SECCION}' when {_CITE} then '{P.CITAR}' when {_NOTE} or {_DOILINE} then '{P.FECHA}'
+  when {_i(P.KEYWORDS)} then '{P.CLAVE}' when {_i(P.TABLE_TITLE)} then '{P.TABLA}' when {_i(P.HAS_EMAIL)} and length(t) < 120 then '{P.EMAIL}'
+  when {_i(r'^\d+\.\s+\S')} and not {_i(r'^\d+\.\d')} and s <= 12 then '{P.SUB}' when {_i(P.LEVEL2)} and s <= 12 then '{P.SUB2}'
+  when s >= 13 and bold and not italic then '{P.TITULO}' when s >= 13 and bold and italic then '{P.TITULO2}' when s = 13 and not bold and not italic then '{P.AUTORES}'
+  when s = 12 and italic then '{P.EMAIL}' when s = 12 and not bold then '{P.NORMAL}' when s = 10 and bold then '{P.SECCION}' when s = 10 and not bold then '{P.SUB}'
+  when s = 9 and not {_c('times|roman', 'lower(font)')} and {_c(r'^(\d+|[a-zA-Z])\s+[A-Z]')} and {_INST} then '{P.FILIACION}'
+  when s = 9 and ({_c('times|roman', 'lower(font)')} or length(t) > 100) then '{P.RESUMEN}' when s = 9 and length(t) < 80 then '{P.FILIACION}' when s = 9 then '{P.RESUMEN}'
+  when length(t) < 4 then '{P.IGNORAR}' else '{P.NORMAL}' end as auto,
+  case when {_i(P.LEVEL1)} and not {_i(P.LEVEL2)} then '{P.SUB}' when {_i(P.LEVEL2)} then '{P.SUB2}' when {_CITE} then '{P.CITAR}' when {_NOTE} or {_DOILINE} then '{P.FECHA}'
+  when lower(t) in ({_IN}) then '{P.SECCION}' when {_i(r'\b(tabla|table)\s+\d+[.:\s]')} then '{P.TABLA}' when {_i(P.FIGURE_TITLE)} then '{P.FIGURA}' else '{P.CUERPO}' end as body,
+  case when z0 is not null and seq >= z0 and (z1 is null or seq < z1) then 'B' when z1 is not null and seq >= z1 then 'C' else 'A' end as zone from en),
+lab as (select doc_id, seq, contenido, pnum, zone, case when z1 = seq then '{P.SECCION}' when zone = 'B' then body
+  when auto in ('{P.NORMAL}', '{P.AUTORES}', '{P.RESUMEN}') then '{P.CUERPO}' when auto = '{P.IMAGEN}' then '{P.IGNORAR}' else auto end as clasificacion, auto from au),
+"""
+
+
+def _in(labels):
+    return ", ".join(f"'{x}'" for x in labels)
+
+
+_TABLE_MODE = f"""
+ev as (select *, contenido as t, clasificacion = '{P.CUERPO}' and {_c(P.YEAR_ROW, 'contenido')} and not {_c(P.TAXON_LIST, 'contenido')} as rowish,
+  clasificacion in ({_in(P.TABLE_ENDS)}) or (clasificacion = '{P.CUERPO}' and length(contenido) > 200 and {_c('[.?!]$', 'contenido')}) as ending from lab),
+e2 as (select *, case when clasificacion = '{P.TABLA}' then 'ON' when rowish and ending then 'TG' when rowish then 'ON' when ending then 'OFF' else 'NOP' end as ev from ev),
+e3 as (select *, coalesce(sum(case when ev in ('ON', 'OFF') then 1 else 0 end) over w, 0) as rid,
+  last_value(case ev when 'ON' then true when 'OFF' then false end ignore nulls) over w as base from e2
+  window w as (partition by doc_id order by seq rows between unbounded preceding and 1 preceding)),
+e4 as (select *, coalesce(sum(case when ev = 'TG' then 1 else 0 end) over (partition by doc_id, rid order by seq rows between unbounded preceding and 1 preceding), 0) as tg from e3),
+kept as (select doc_id, seq, contenido, pnum, clasificacion from e4 where case when clasificacion = '{P.TABLA}' then true when ev = 'ON' then false when ev = 'OFF' then true
+  when ev = 'TG' then coalesce(base, false) <> (tg % 2 = 1) else not (coalesce(base, false) <> (tg % 2 = 1)) end),
+"""
+_FUSE = f"""
+k as (select *, case when clasificacion in ({_in(P.ALONE)}) then 0 when clasificacion in ({_in(P.PASSING)}) then 1 else 2 end as kind from kept),
+g as (select *, count(case when kind = 0 then 1 end) over (partition by doc_id order by seq) as grp from k),
+m0 as (select * replace (regexp_replace(contenido, '^\\s+|\\s+$', '', 'g') as contenido), clasificacion = '{P.SUB2}' as sub from g where kind = 2),
+m1 as (select *, lag(contenido) over w as prev, coalesce(lag(sub) over w, false) as psub, lag(pnum) over w as ppnum from m0 window w as (partition by doc_id, grp order by seq)),
+m2 as (select *, prev is null or prev = '' or {_c('[.?!:]$', 'prev')} or psub or sub or abs(pnum - ppnum) > 5 as new from m1),
+m3 as (select *, sum(case when new then 1 else 0 end) over w as par, not coalesce(lead(new) over w, true) as nxt from m2 window w as (partition by doc_id, grp order by seq)),
+m4 as (select *, (case when sub then '§SUB§' else '' end) || case when nxt and contenido like '%-' then left(contenido, length(contenido) - 1) when nxt then contenido || ' ' else contenido end as piece from m3),
+p1 as (select doc_id, grp, par, string_agg(piece, '' order by seq) as text, min(seq) as first from m4 group by all),
+fused as (select doc_id, grp, kind, seq, clasificacion, contenido from g where kind < 2 union all
+  select doc_id, grp, 2 as kind, min(first) as seq, '{P.CUERPO}' as clasificacion, string_agg(text, chr(10) || chr(10) order by par) as contenido from p1 group by doc_id, grp)
+"""
+
+
+def _fused(spark, sf_dir):
+    return B.fuse(B.drop_table_rows(B.label(blocks(spark, sf_dir))))
+
+
+def _items(spark, sf_dir):
+    """A box on each page, between its blocks."""
+    b = blocks(spark, sf_dir)
+    return b.groupBy("doc_id", "pnum").agg(F.lit(1).alias("item")).select("doc_id", "pnum", "item", F.lit(60).alias("ix0"), (100 + 125 * (F.col("doc_id") % 3)).alias("iy0"), F.lit(260).alias("ix1"), (160 + 125 * (F.col("doc_id") % 3)).alias("iy1"))
+
+
+_ITEMS = "i as (select distinct doc_id, pnum, 1 as item, 60 as ix0, 100 + 125 * (doc_id % 3) as iy0, 260 as ix1, 160 + 125 * (doc_id % 3) as iy1 from b),"
+_WIDE = "greatest(0, least(x1, ix1) - greatest(x0, ix0)) / greatest(1, least(x1 - x0, ix1 - ix0))::double >= 0.15"
+
+
+def _refs(spark, sf_dir):
+    """References put together from orders and customers."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    k = F.col("o_orderkey")
+    y = (1950 + k % 70).cast("string")
+    raw = F.concat(k.cast("string"), F.lit(". Autor, A. B. ("), y, F.lit("). Titulo "), F.col("o_custkey").cast("string"), F.when(k % 5 == 0, F.lit(". Revista, 12(3), 45–67. https://doi.org/10.1234/abc")).when(k % 5 == 1, F.lit(". In Libro (eds.) 10-20.")).when(k % 5 == 2, F.lit(". Informe anual.pdf")).when(k % 5 == 3, F.lit(". http://ejemplo.org/x")).otherwise(F.lit(". Editorial")))
+    return o.select(k.alias("ref_no"), raw.alias("raw"), F.concat(F.lit("Diciembre "), (k % 28 + 1).cast("string"), F.lit(", "), y).alias("d1"), F.concat((k % 28 + 1).cast("string"), F.lit(" de marzo de "), y).alias("d2"), F.concat((k % 28 + 1).cast("string"), F.lit("/"), (k % 12 + 1).cast("string"), F.lit("/"), y).alias("d3"))
+
+
+_REFS = """r as (select o_orderkey as ref_no, cast(o_orderkey as varchar) || '. Autor, A. B. (' || cast(1950 + o_orderkey % 70 as varchar) || '). Titulo ' || cast(o_custkey as varchar) ||
+  case o_orderkey % 5 when 0 then '. Revista, 12(3), 45–67. https://doi.org/10.1234/abc' when 1 then '. In Libro (eds.) 10-20.' when 2 then '. Informe anual.pdf' when 3 then '. http://ejemplo.org/x' else '. Editorial' end as raw,
+  o_orderkey as k, cast(1950 + o_orderkey % 70 as varchar) as y from orders)"""
+
+
+def _affiliations(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_nationkey")
+    place = F.element_at(F.array(*map(F.lit, ("México", "España", "Chile", "Perú", "Nowhere"))), (F.col("c_custkey") % 5 + 1).cast("int"))
+    return c.select("c_custkey", F.concat(F.lit("1 Universidad "), F.col("c_name"), F.lit(", "), place).alias("text"))
+
 
 def queries() -> dict:
-    return {}
+    pick = lambda f, *cols: lambda s, d: f(s, d).select(*cols)
+    lab = lambda s, d: B.label(blocks(s, d))
+    refs = lambda s, d: _refs(s, d)
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return {
+        "block_lines": pick(blocks, "doc_id", "seq", "contenido", "pnum", "size", "bold", "italic", "font"),
+        "label_ladder": lambda s, d: blocks(s, d).select("doc_id", "seq", B.auto_label().alias("clasificacion")),
+        "zone_ladder": pick(lab, "doc_id", "seq", "zone", "clasificacion"),
+        "table_mode": lambda s, d: B.drop_table_rows(lab(s, d)).select("doc_id", "seq", "clasificacion"),
+        "fuse_paragraphs": lambda s, d: _fused(s, d).select("doc_id", long("grp"), "kind", "seq", "clasificacion", "contenido"),
+        "label_histogram": lambda s, d: B.histogram(_fused(s, d)),
+        "reading_order": lambda s, d: B.reading_order(blocks(s, d)).select("doc_id", "seq", "two_columns", long("ord")),
+        "header_filter": lambda s, d: B.without_headers(blocks(s, d)).select("doc_id", "seq"),
+        "table_overlap_anti": lambda s, d: B.outside_tables(blocks(s, d), _items(s, d).select("doc_id", "pnum", F.col("ix0").alias("rx0"), F.col("iy0").alias("ry0"), F.col("ix1").alias("rx1"), F.col("iy1").alias("ry1"))).select("doc_id", "seq"),
+        "caption_nearest": lambda s, d: B.captions(_items(s, d), blocks(s, d)).select("doc_id", "pnum", "caption"),
+        "title_nearest": lambda s, d: B.table_titles(_items(s, d), blocks(s, d)).select("doc_id", "pnum", "title"),
+        "body_font_mode": lambda s, d: B.body_size(blocks(s, d)),
+        "block_search": lambda s, d: blocks(s, d).where(F.contains(T.norm(F.col("contenido")), F.lit("tion"))).select("doc_id", "seq"),
+        "section_number": lambda s, d: B.sections(lab(s, d)).select("doc_id", "seq", long("sec_no"), "has_heading"),
+        "author_zone": lambda s, d: B.without_author_zone(lab(s, d)).select("doc_id", "seq"),
+        "note_dedup": lambda s, d: B.distinct_notes(lab(s, d).where(F.col("clasificacion").isin(P.FECHA, P.CITAR))).select("doc_id", "seq"),
+        "emails": lambda s, d: blocks(s, d).select("doc_id", "seq", F.explode(F.regexp_extract_all("contenido", F.lit(P.EMAIL_ANY), F.lit(0))).alias("email")),
+        "html_escape": lambda s, d: blocks(s, d).select("doc_id", "seq", T.escape(F.col("contenido")).alias("html")),
+        "keywords": lambda s, d: lab(s, d).where(F.col("clasificacion") == P.CLAVE).select("doc_id", "seq", F.explode(F.array_distinct(F.transform(F.split(F.regexp_replace("contenido", r"^(?i)(palabras\s+clave|keywords)\s*[:.]\s*", ""), "[;,]"), lambda x: F.lower(F.trim(x))))).alias("kw")),
+        "ref_prefix": lambda s, d: refs(s, d).select("ref_no", T.reference_text(F.col("raw")).alias("ref")),
+        "pub_type": lambda s, d: refs(s, d).select("ref_no", T.publication_type(F.col("raw")).alias("pub_type")),
+        "ref_year_pages_doi": lambda s, d: refs(s, d).select("ref_no", F.regexp_extract("raw", r"\((\d{4})\)", 1).alias("year"), F.regexp_extract("raw", P.PAGES, 1).alias("fpage"), F.regexp_extract("raw", P.PAGES, 2).alias("lpage"), F.regexp_extract("raw", P.DOI_URL, 1).alias("doi")),
+        "date_parse": lambda s, d: refs(s, d).select("ref_no", F.explode(F.array(*[F.struct(F.lit(c).alias("form"), T.date_parts(F.col(c)).alias("p")) for c in ("d1", "d2", "d3")])).alias("x")).select("ref_no", "x.form", "x.p.day", "x.p.month", "x.p.year"),
+        "affil_country": lambda s, d: _affiliations(s, d).select("c_custkey", T.country(F.col("text")).alias("code")),
+        "person_name": lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", T.person(F.concat(F.lit("Ana de "), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.col("c_name"), F.lit(", Luz"))).otherwise(F.col("c_name")))).alias("p")).select("c_custkey", "p.surname", "p.given"),
+        "css_extract": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", F.regexp_extract("html", r"(?s)<style>(.*?)</style>", 1).alias("css")),
+        "xhtml_fix": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", F.md5(F.regexp_replace("html", r"<(br|hr)\s*>", "<$1/>").cast("binary")).alias("fixed_md5")),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    w = "with " + _BLOCKS.strip().rstrip(",")
+    base = lambda body: f"{w} {body}"
+    chain = lambda ctes, body: "with " + ctes.strip().rstrip(",") + " " + body
+    lab = lambda body: chain(_LABELS, body)
+    fold = "translate(lower(contenido), 'áéíóúüñàèìòùâêîôûäëïöç', 'aeiouunaeiouaeiouaeioc')"
+    month = "case lower(m) " + " ".join(f"when '{k}' then '{v}'" for k, v in P.MONTHS.items()) + " else '' end"
+    return {
+        "block_lines": base("select doc_id, seq, contenido, pnum, size, bold, italic, font from b"),
+        "label_ladder": lab("select doc_id, seq, auto as clasificacion from lab"),
+        "zone_ladder": lab("select doc_id, seq, zone, clasificacion from lab"),
+        "table_mode": chain(_LABELS + _TABLE_MODE, "select doc_id, seq, clasificacion from kept"),
+        "fuse_paragraphs": chain(_LABELS + _TABLE_MODE + _FUSE, "select doc_id, grp, cast(kind as integer) as kind, seq, clasificacion, contenido from fused"),
+        "label_histogram": chain(_LABELS + _TABLE_MODE + _FUSE, "select clasificacion, count(*) as n from fused group by clasificacion"),
+        "reading_order": base("""select doc_id, seq, two_columns, row_number() over (partition by doc_id order by pnum, case when two_columns and not lft then 1 else 0 end, y0, block_no) as ord from (
+            select *, sum(case when lft then 1 else 0 end) over p >= 2 and sum(case when lft then 0 else 1 end) over p >= 2 as two_columns
+            from (select *, (x0 + x1) / 2.0 < 0.55 * page_w as lft from b) window p as (partition by doc_id, pnum))"""),
+        "header_filter": base(f"""select doc_id, seq from (select *, regexp_replace(contenido, '^\\s+|\\s+$', '', 'g') as t from b) where not (pnum > 0 and (y1 < 0.05 * page_h or y0 > 0.95 * page_h))
+            and not (pnum > 0 and y1 < 0.12 * page_h and {_i(P.HEADER_TEXT, 'substring(t, 1, 100)')}) and length(t) >= 3"""),
+        "table_overlap_anti": chain(_BLOCKS + _ITEMS, """select doc_id, seq from b where not exists (select 1 from i where i.doc_id = b.doc_id and i.pnum = b.pnum
+            and greatest(0, least(x1, ix1) - greatest(x0, ix0)) * greatest(0, least(y1, iy1) - greatest(y0, iy0)) / greatest(1, (x1 - x0) * (y1 - y0))::double >= 0.4)"""),
+        "caption_nearest": chain(_BLOCKS + _ITEMS, f"""select i.doc_id, i.pnum, coalesce(arg_min(contenido, abs(y0 - iy1) * 1000 + block_no), '') as caption from i left join b on i.doc_id = b.doc_id and i.pnum = b.pnum
+            and {_WIDE} and y0 - iy1 between -8 and 180 and {_i(P.FIGURE_TITLE, 'contenido')} group by i.doc_id, i.pnum"""),
+        "title_nearest": chain(_BLOCKS + _ITEMS, f"""select i.doc_id, i.pnum, coalesce(arg_min(contenido, (case when iy0 - y1 between 0 and 140 then iy0 - y1 else y0 - iy1 + 200 end) * 1000 + block_no), '') as title
+            from i left join b on i.doc_id = b.doc_id and i.pnum = b.pnum and {_WIDE} and (iy0 - y1 between 0 and 140 or y0 - iy1 between 0 and 80) and {_i(P.TABLE_TITLE, 'contenido')} group by i.doc_id, i.pnum"""),
+        "body_font_mode": base("""select doc_id, s as body_size from (select doc_id, round_even(size, 0) as s, row_number() over (partition by doc_id order by count(*) desc, min(seq)) as r from b group by doc_id, round_even(size, 0)) where r = 1"""),
+        "block_search": base(f"select doc_id, seq from b where contains({fold}, 'tion')"),
+        "section_number": lab(f"select doc_id, seq, cast(sum(case when h then 1 else 0 end) over (partition by doc_id order by seq) as bigint) as sec_no, max(h) over (partition by doc_id) as has_heading from (select *, clasificacion in ({_in([P.SECCION, P.SUB, P.SUB2])}) as h from lab)"),
+        "author_zone": lab(f"""select doc_id, seq from (select *, min(case when {_i('^(resumen|abstract)[ ]*[:.]?$', 'trim(contenido)')} and seq > t0 then seq end) over (partition by doc_id) as a0 from (
+            select *, coalesce(min(case when clasificacion = '{P.TITULO2}' then seq end) over (partition by doc_id), min(case when clasificacion = '{P.TITULO}' then seq end) over (partition by doc_id)) as t0 from lab))
+            where not coalesce(seq > t0 and seq < a0, false)"""),
+        "note_dedup": lab(f"select doc_id, seq from (select *, row_number() over (partition by doc_id, substring(regexp_replace(contenido, '^\\s+|\\s+$', '', 'g'), 1, 80) order by seq) as n from lab where clasificacion in ('{P.FECHA}', '{P.CITAR}')) where n = 1"),
+        "emails": base(f"select doc_id, seq, unnest(regexp_extract_all(contenido, '{P.EMAIL_ANY}')) as email from b"),
+        "html_escape": base("select doc_id, seq, replace(replace(replace(contenido, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as html from b"),
+        "keywords": lab(f"select doc_id, seq, unnest(list_distinct(list_transform(regexp_split_to_array(regexp_replace(contenido, '^(palabras\\s+clave|keywords)\\s*[:.]\\s*', '', 'i'), '[;,]'), lambda x: lower(trim(x))))) as kw from lab where clasificacion = '{P.CLAVE}'"),
+        "ref_prefix": f"with {_REFS} select ref_no, regexp_replace(raw, '{P.REF_PREFIX}', '') as ref from r",
+        "pub_type": f"""with {_REFS} select ref_no, case when contains(lower(raw), 'doi.org') then 'journal' when {_i(',[ ]*[0-9]+[ ]*[(,]', 'raw')} then 'journal' when {_i('[(]eds?[.][)]| in |pp[.] ', 'raw')} then 'book'
+            when {_i('[.]pdf|fundación|fundacion|informe|report', 'raw')} then 'report' when contains(lower(raw), 'http') then 'webpage' else 'journal' end as pub_type from r""",
+        "ref_year_pages_doi": f"with {_REFS} select ref_no, regexp_extract(raw, '\\((\\d{{4}})\\)', 1) as year, regexp_extract(raw, '{P.PAGES}', 1) as fpage, regexp_extract(raw, '{P.PAGES}', 2) as lpage, regexp_extract(raw, '{P.DOI_URL}', 1) as doi from r",
+        "date_parse": f"""with {_REFS}, f as (select ref_no, unnest(['d1', 'd2', 'd3']) as form, k, y from r)
+            select ref_no, form, cast(k % 28 + 1 as varchar) as day, case form when 'd1' then '12' when 'd2' then '03' else cast(k % 12 + 1 as varchar) end as month, y as year from f""",
+        "affil_country": "select c_custkey, ['MX', 'ES', 'CL', 'PE', ''][cast(c_custkey % 5 + 1 as integer)] as code from customer",
+        "person_name": "select c_custkey, case when c_custkey % 2 = 0 then 'Ana de ' || c_name else c_name end as surname, case when c_custkey % 2 = 0 then 'Luz' else 'Ana de' end as given from customer",
+        "css_extract": "select page_id, regexp_extract(html, '<style>(.*?)</style>', 1, 's') as css from pages",
+        "xhtml_fix": r"select page_id, md5(regexp_replace(html, '<(br|hr)\s*>', '<\1/>', 'g')) as fixed_md5 from pages",
+    }
