@@ -10,6 +10,7 @@ shuffled once, to meet their places.
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -21,56 +22,84 @@ from quire.llm.common import Scratch, mix, texts
 
 DIMS, BITS = 4, 10
 #: Hashed features of a token, and pieces of text whose ids a worker remembers.
-FEATURES, REMEMBERED = 1 << 14, 200_000
+FEATURES, REMEMBERED = 1 << 14, 800_000
 END = 0
 
 _PROJECTION = ((mix(np.arange(FEATURES * DIMS, dtype=np.uint64)) >> np.uint64(40)).astype(np.float32) / (1 << 23) - 1).reshape(FEATURES, DIMS)
 
 
+#: The pieces that byte-level BPE cuts a text into before merging.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_PROBE = "It's 12 naïve café-goers;  they'll\n\n pay £3.50 … 日本 <|endoftext|> \tok "
+
+
 class Encoder:
-    """Ids of whole texts. A text is cut before each space that a non-space follows, where this tokeniser's
-    own pieces begin as well, and the ids of a cut are remembered."""
+    """Ids of whole texts. A text is cut before each space or newline, where this tokeniser's own pieces begin as
+    well in texts whose white space is single spaces and newlines between words; a word is also parted from the punctuation that ends it. Ids
+    of words are remembered. If the file is a byte-level BPE whose ids rank its merges, words are merged by these
+    ranks, which takes a tenth of the time; else by the tokenizers library, as are texts that can't be cut so."""
 
     def __init__(self, path: str):
-        import re
-
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
-        self.odd = re.compile(r" (?:\s|\Z)")
-
-    def _learn(self, cuts: list[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        cuts = list(set(cuts))
-        for c, e in zip(cuts, self.tokenizer.encode_batch_fast(cuts, add_special_tokens=False)):
-            self.known[c] = np.array(e.ids, "<u2").tobytes()
+        self.tails: dict[str, bytes] = {}
+        self.ranked = self._ranked(path)
+
+    def _ranked(self, path: str):
+        import json
+
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        if model.get("type", "BPE") != "BPE":
+            return None
+        # fixed rule of byte-level vocabularies: printable Latin-1 stands for itself, other bytes from U+0100 on
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        byte = {chr(c): c for c in plain} | {chr(0x100 + i): c for i, c in enumerate(c for c in range(256) if c not in plain)}
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        try:
+            ranks = {bytes(byte[c] for c in k): v for k, v in model["vocab"].items() if k not in special}
+            enc = tiktoken.Encoding("ranked", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+            same = enc.encode_ordinary(_PROBE) == self.tokenizer.encode(_PROBE, add_special_tokens=False).ids
+        except (KeyError, ValueError):
+            return None
+        return enc.encode_ordinary if same else None
+
+    def _ids(self, text: str) -> bytes:
+        return array("H", self.ranked(text) if self.ranked else self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, words) -> None:
+        """Ids of what follows a space, or of a newline and what follows it."""
+        known, tails, ids = self.known, self.tails, self._ids
+        for word in words:
+            core = word.rstrip(",.;:!?")
+            if len(core) < len(word) and core and core[-1].isalnum():
+                got = known.get(core)
+                if got is None:
+                    got = known[core] = ids(core if core[0] == "\n" else " " + core)
+                tail = word[len(core) :]
+                known[word] = got + (tails.get(tail) or tails.setdefault(tail, ids(tail)))
+            else:
+                known[word] = ids(word if word[:1] == "\n" else " " + word)
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Little-endian 16-bit ids of each text; the vocabulary is below 65536."""
         out = []
-        for at in range(0, len(batch), 64):
-            some, cut = batch[at : at + 64], []
-            for t in some:
-                if self.odd.search(t):
-                    cut.append(None)
-                    continue
-                parts = t.split(" ")
-                cut.append([parts[0], *[" " + p for p in parts[1:]]] if len(parts) > 1 else [t])
-            new = [p for c in cut if c for p in c if p not in self.known]
-            if new:
-                self._learn(new)
-                # clearing may have dropped what these texts need
-                new = [p for c in cut if c for p in c if p not in self.known]
-                if new:
-                    self._learn(new)
-            for t, c in zip(some, cut):
-                if c is None:
-                    out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes())
-                else:
-                    out.append(b"".join(map(self.known.__getitem__, c)))
+        for t in batch:
+            flat = t.replace("\n", " ")
+            if flat != " ".join(t.split()):
+                out.append(array("H", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes())
+                continue
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+                self.tails.clear()
+            first, *words = t.replace("\n", " \n").split(" ")
+            self._learn(set(words).difference(self.known))
+            out.append((self._ids(first) if first else b"") + b"".join(map(self.known.__getitem__, words)))
         return out
 
 
