@@ -64,7 +64,7 @@ def _read(docs: DataFrame, n: int, num: int, den: int, bits: int) -> DataFrame:
     """One scan of the texts. Rows of documents: doc_id, size, cls. Rows of n-grams: bucket, flush, data with
     a _SEEN record for each counted n-gram of each class of a flush. Rows of classes: flush, data with a
     _CLASS record for each and in more the uncounted n-grams its prefix may reach."""
-    top = _U(int(min(1.0, COUNTED * (den - num) / den) * (2**64 - 1)))
+    top = _U(min(int(COUNTED * (den - num) / den * 2**64), 2**64 - 1))
 
     def scan(batches):
         part = TaskContext.get().partitionId()
