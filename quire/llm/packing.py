@@ -37,7 +37,7 @@ class Encoder:
     """Ids of whole texts. A text is cut before each space or newline, where this tokeniser's own pieces begin as
     well in texts whose white space is single spaces and newlines between words; a word is also parted from the punctuation that ends it. Ids
     of words are remembered. If the file is a byte-level BPE whose ids rank its merges, words are merged by these
-    ranks, which takes a tenth of the time; else by the tokenizers library, as are texts that can't be cut so."""
+    ranks, which is faster; else by the tokenizers library, as are texts that can't be cut so."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
