@@ -7,10 +7,31 @@ CLAVE, CITAR, FECHA = "Palabras clave", "Cómo citar", "Fecha manuscrito"
 TABLA, FIGURA, FILIACION, EMAIL = "Título tabla", "Pie de figura", "Filiación", "Email / Metadatos"
 IGNORAR, AUTORES, NORMAL, RESUMEN, REFERENCIA, IMAGEN = "Ignorar", "Autores", "Normal", "Resumen / Abstract", "Referencia", "Imagen"
 
-# fixed values: section names (lower case)
+# fixed values: section names of front and back matter (lower case)
 SECTIONS = [
-    "resumen", "abstract", "resumen no técnico", "non-technical abstract", "introducción", "introduction", "métodos", "methods",
-    "resultados", "results", "discusión", "discussion", "conclusiones", "conclusions", "agradecimientos", "referencias", "references",
+    "resumen", "abstract", "resumen no técnico", "non-technical abstract", "palabras clave", "keywords", "introducción", "introduction",
+    "conclusiones", "conclusions", "referencias", "references", "agradecimientos", "acknowledgements", "discusión", "discussion",
+    "metodología", "methods", "resultados", "results", "contribuciones de los autores", "contribucción de autores",
+    "authors' contribution", "conflicto de intereses", "conflict of interest", "conflicts of interest", "competing interests",
+    "paleontología sistemática", "systematic palaeontology",
+]
+# fixed values: section names of the body zone (lower case)
+BODY_SECTIONS = [
+    "resumen", "abstract", "resumen no técnico", "non-technical abstract", "palabras clave", "keywords", "referencias", "references",
+    "conclusiones", "conclusions", "agradecimientos", "acknowledgements", "acknowledgments", "discusión", "resultados", "introducción",
+    "metodología", "contribuciones de los autores", "contribucción de autores", "contribución de autores", "authors' contribution",
+    "conflicto de intereses", "conflict of interest", "conflicts of interest", "competing interests", "declaración de conflictos",
+]
+# fixed values: headings that may run on in a block, in the order they are looked for
+EMBEDDED = [
+    "Non-technical Abstract", "Non-Technical Abstract", "Resumen no técnico", "Resumen no Técnico", "Acknowledgments", "Acknowledgements",
+    "Agradecimientos", "Conflicts of interest", "Conflict of interest", "Competing interests", "Conflicto de intereses",
+    "Authors' Contribution", "Contribuciones de los autores", "Contribucción de autores", "Contribucción de Autores", "Contribución de Autores",
+]
+# fixed values: accent-free headings of a body section
+BODY_HEADINGS = [
+    "introduccion", "material y metodos", "materiales y metodos", "resultados", "resultados y discusion", "discusion", "conclusiones",
+    "agradecimientos", "conflicto de intereses", "contribuciones de los autores",
 ]
 # fixed values: labels that stand alone, and labels that pass a paragraph by
 ALONE = [TITULO, TITULO2, AUTORES, FILIACION, EMAIL, CITAR, FECHA, SECCION, SUB, CLAVE, REFERENCIA]
@@ -36,11 +57,44 @@ PAGES = r"(\d+)\s*[–-]\s*(\d+)"
 FIGURE_PREFIX = r"^(figura|fig\.?|figure)\s*\d+[a-z]?(\s*-\s*[a-z])?[.):]?\s*"
 HEADER_TEXT = r"^(https?://doi\.org/|doi\.org/|\d{1,3}$|paleontolog[íi]a mexicana\s+vol\.)"
 
+LETTERED = r"^[a-zA-Z]{1,3}\s+[A-ZÁÉÍÓÚÑÜ][a-zA-ZÁÉÍÓÚÑÜáéíóúñü]"
+NUMBERED = r"^(\d+|[a-zA-Z])\s+[A-ZÁÉÍÓÚÑÜ]"
+INSTITUTION = r",|\b(university|instituto|department|lab|center|centre|museum|college|faculty|school|national|natural)\b"
+TABLE_INSIDE = r"((tabla|table)\s+\d+[.:\s][^\n]{0,200})"
+TABLE_PREFIX = r"^(tabla|table)\s*\d+[a-z]?(\s*-\s*[a-z])?[.):]?\s*"
+CITED_YEAR = r"\((\d{4}(?:[,\s]+[^)]+)?|in press|en prensa)\)\.\s*"
+CITED_DOI, CITED_URL = r"https?://doi\.org/(\S+?)[.\s]*$", r"(https?://\S+?)[.\s]*$"
+VOLUME_ISSUE_PAGES, VOLUME_PAGES = r",\s*(\d+)\s*\((\d+)\)\s*,\s*(.+)$", r",\s*(\d+)\s*,\s*(.+)$"
+YEAR = r"\b(19|20)\d{2}\b"
+PAGE_RANGE = r"(?i)\bp\.\s*(\d+)\s*[–\-]\s*(\d+)\b"
+VOLUME_NUMBER = r"[Vv]olumen?\s*(\d+)[,\s]+n[úu]m\.?\s*(\d+)|[Vv]ol\.?\s*(\d+)[,\s]+n[úu]m\.?\s*(\d+)|[Vv]ol\.?\s*(\d+)[,\s(]+[Nn]o\.?\s*(\d+)|\bv\.?\s*(\d+)[,\s(]+(\d+)\)"
+VOLUME_ONLY = r"[Vv]olumen?\s*(\d+)|[Vv]ol\.?\s*(\d+)"
+NUMBER_ONLY = r"n[úu]m\.?\s*(\d+)|[Nn]o\.?\s*(\d+)|[Nn]°\.?\s*(\d+)"
+# fixed values: editorial tags, each with its full stop
+EDITORIAL = (
+    r"Sinonimia\.|Material(?: examinado)?\.|Referred material\.|Descripción\.|Description\.|Etología\.|Especie tipo\.|Type species\.|"
+    r"Medidas\.|Dimensions\.|Distribución\.|Occurrence\.|Otras localidades\.|Other occurrences\.|Discusión\.|Remarks\.|Comentarios\.|"
+    r"Comments\.|Repositorio\.|Repository\.|Localidad\.|Locality\.|Nuevo registro\.|Horizonte\.|Horizonte y localidad\.|Horizon and locality\."
+)
+# fixed values: labels of manuscript dates
+DATE_TYPES = {"recibido": "received", "received": "received", "corregido": "rev-recd", "revised": "rev-recd", "aceptado": "accepted", "accepted": "accepted"}
+# fixed values: media types of figures by extension
+MIME = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp", "tiff": "image/tiff"}
+
 # fixed values: month names
 MONTHS = {
     "enero": "01", "febrero": "02", "marzo": "03", "abril": "04", "mayo": "05", "junio": "06", "julio": "07", "agosto": "08",
     "septiembre": "09", "octubre": "10", "noviembre": "11", "diciembre": "12", "january": "01", "february": "02", "march": "03",
     "april": "04", "may": "05", "june": "06", "july": "07", "august": "08", "september": "09", "october": "10", "november": "11", "december": "12",
 }
-# fixed values: some countries by their accent-free name
-COUNTRIES = {"mexico": "MX", "espana": "ES", "spain": "ES", "chile": "CL", "argentina": "AR", "brasil": "BR", "brazil": "BR", "colombia": "CO", "peru": "PE", "france": "FR", "alemania": "DE", "germany": "DE"}
+# fixed values: country names, accent-free, looked for in an affiliation
+COUNTRIES = {
+    "espana": "ES", "spain": "ES", "chile": "CL", "mexico": "MX", "colombia": "CO", "argentina": "AR", "venezuela": "VE", "peru": "PE",
+    "ecuador": "EC", "uruguay": "UY", "bolivia": "BO", "costa rica": "CR", "panama": "PA", "paraguay": "PY", "el salvador": "SV",
+    "nicaragua": "NI", "cuba": "CU", "united states": "US", "estados unidos": "US", "usa": "US", "united kingdom": "GB", "reino unido": "GB",
+    "francia": "FR", "france": "FR", "australia": "AU", "dinamarca": "DK", "denmark": "DK", "china": "CN", "polonia": "PL", "poland": "PL",
+    "iran": "IR", "canada": "CA", "alemania": "DE", "germany": "DE", "brasil": "BR", "brazil": "BR", "italia": "IT", "italy": "IT",
+    "portugal": "PT", "islandia": "IS", "iceland": "IS",
+}
+# fixed values: further countries, known only as the last part of an affiliation
+LAST_PART_COUNTRIES = {"guatemala": "GT", "honduras": "HN", "republica dominicana": "DO"}

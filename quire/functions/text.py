@@ -96,8 +96,101 @@ def date_parts(col):
 
 
 def country(col):
-    """Code of the longest country name in an affiliation, '' if none."""
-    low, out = norm(col), F.lit("")
+    """Code of the longest country name in an affiliation, else of the country that its last part names, '' if none."""
+    low = norm(col)
+    out = F.coalesce(F.create_map(*[F.lit(x) for kv in P.LAST_PART_COUNTRIES.items() for x in kv])[norm(F.regexp_replace(F.substring_index(col, ",", -1), r"[\s.]+$", ""))], F.lit(""))
     for name in sorted(P.COUNTRIES, key=lambda n: (len(n), n)):
         out = F.when(low.rlike(rf"\b{name}\b"), F.lit(P.COUNTRIES[name])).otherwise(out)
     return out
+
+
+def editorial(col):
+    """Escaped text with editorial tags in bold, on a line of their own unless they begin it."""
+    tag = rf"(?iu)\b({P.EDITORIAL})\s*"
+    t = F.regexp_replace(escape(col), "^" + tag, "<strong>$1</strong> ")
+    t = F.regexp_replace(t, r"(?iu)(?<!^)(?<!<strong>)" + tag[5:], "<br><strong>$1</strong> ")
+    return strip(F.replace(t, F.lit("<strong>Sinonimia.</strong> "), F.lit("<strong>Sinonimia.</strong><br>")))
+
+
+def affiliations(col):
+    """array<struct(label, body)> of a line: one after its mark, or several after marks that follow .;:) or begin it."""
+    t, mark = squeeze(F.coalesce(col, F.lit(""))), r"([0-9]+|[A-Za-z]{1,3})"
+    whole = rf"^{mark}\s*[).:\-*]?\s+([A-ZÁÉÍÓÚÑÜ].*)$"
+    body = lambda x, chars: F.regexp_replace(x, rf"^[ \-{chars}\t]+|[ \-{chars}\t]+$", "")
+    pair = lambda label, text: F.struct(label.alias("label"), text.alias("body"))
+    one = body(F.regexp_extract(t, whole, 2), ":")
+    several = F.split(F.regexp_replace(t, rf"(^|[.;:)])\s*(?={mark}\s+[A-Za-zÁÉÍÓÚÑÜáéíóúñü])", "$1\u0001"), "\u0001")
+    cut = F.transform(F.slice(several, F.lit(2), F.size(several)), lambda x: pair(F.regexp_extract(x, "^" + mark, 1), body(F.regexp_replace(x, "^" + mark, ""), ".:;")))
+    single = t.rlike(whole) & ~one.rlike(rf"[.;:)]\s+{mark}\s+[A-ZÁÉÍÓÚÑÜ]")
+    return F.filter(F.when(single, F.array(pair(F.regexp_extract(t, whole, 1), one))).otherwise(cut), lambda x: x["body"] != "")
+
+
+def references(col):
+    """array<string>: the texts between marks at line beginnings; lines, if that leaves nothing."""
+    kept = lambda x: F.filter(F.transform(x, strip), lambda y: y != "")
+    marked = kept(F.split(col, r"(?m)^\s*(?:\[?\d+[.)\]]\s*)"))
+    return F.when(F.size(marked) > 0, marked).otherwise(kept(F.split(col, "\n")))
+
+
+def figure_caption(col):
+    return F.regexp_replace(F.regexp_replace(strip(col), "(?iu)" + P.FIGURE_PREFIX, ""), r"^[ \-:\t]+|[ \-:\t]+$", "")
+
+
+def table_title(col):
+    return F.regexp_replace(F.regexp_replace(strip(col), "(?iu)" + P.TABLE_PREFIX, ""), r"^[ \-:\t]+|[ \-:\t]+$", "")
+
+
+def paragraphs(col):
+    """array<string> of a fused block, without the marks of sub-headings."""
+    return F.filter(F.transform(F.split(col, r"\n{2,}"), lambda x: strip(F.replace(x, F.lit("§SUB§"), F.lit("")))), lambda x: x != "")
+
+
+def doi(col):
+    """The DOI of an address, else one by its form, without closing punctuation."""
+    by_form = F.regexp_extract(col, r"(10\.\d{4,9}/\S+)", 1)
+    by_url = F.regexp_extract(col, "(?i)" + P.DOI_URL, 1)
+    return F.regexp_replace(F.when(by_url != "", by_url).otherwise(by_form), r"[.),;]+$", "")
+
+
+def issn(col):
+    return F.upper(F.regexp_extract(col, P.ISSN, 0))
+
+
+def autolink(col):
+    """E-mail addresses of an escaped text as links."""
+    return F.regexp_replace(col, r"([\w.\-]+@[\w.\-]+\.\w{2,})", '<a href="mailto:$1">$1</a>')
+
+
+def is_meta_heading(col):
+    months = "|".join(P.MONTHS)
+    return norm(col).rlike(rf"issn|volumen\s+\d|vol\.\s*\d|num\.\s*\d|p\.\s*\d+|{months}|\(\d{{4}}\)")
+
+
+def is_body_heading(col):
+    return strip(col).rlike(r"^\d+(\.\d+)*[\s.\-]+") | norm(col).isin(P.BODY_HEADINGS)
+
+
+def data_uri(path, content):
+    """A figure's bytes as a data address; an unknown extension counts as JPEG."""
+    kinds = F.create_map(*[F.lit(x) for kv in P.MIME.items() for x in kv])
+    return F.concat(F.lit("data:"), F.coalesce(kinds[F.lower(F.substring_index(path, ".", -1))], F.lit("image/jpeg")), F.lit(";base64,"), F.replace(F.base64(content), F.lit("\r\n"), F.lit("")))
+
+
+def html_table(grid):
+    """An array<array<string>> as an HTML table: the first row is the head, rows of nulls only are left out."""
+    cells = lambda row, tag: F.array_join(F.transform(row, lambda c: F.concat(F.lit(f"<{tag}>"), escape(F.coalesce(c, F.lit(""))), F.lit(f"</{tag}>"))), "\n")
+    rest = F.filter(F.slice(grid, F.lit(2), F.size(grid)), lambda r: F.exists(r, lambda c: c.isNotNull()))
+    line = lambda row, tag: F.concat_ws("\n", F.when(F.size(row) > 0, cells(row, tag)))
+    rows = F.transform(rest, lambda r: F.concat_ws("\n", F.lit("<tr>"), line(r, "td"), F.lit("</tr>")))
+    head = F.concat_ws("\n", F.lit("<thead><tr>"), line(F.get(grid, F.lit(0)), "th"), F.lit("</tr></thead><tbody>"))
+    return F.when(F.coalesce(F.size(grid), F.lit(0)) <= 0, "<p><em>[Tabla vacía]</em></p>").otherwise(F.concat_ws("\n", F.lit('<table class="pm-tabla">'), head, F.when(F.size(rows) > 0, F.array_join(rows, "\n")), F.lit("</tbody></table>")))
+
+
+def jats_table(grid):
+    """The same as a JATS table; all rows are padded to the longest, and rows of blanks only are left out first."""
+    full = F.filter(F.transform(grid, lambda r: F.transform(r, lambda c: F.coalesce(c, F.lit("")))), lambda r: F.exists(r, lambda c: F.trim(c) != ""))
+    width = F.array_max(F.transform(full, lambda r: F.size(r)))
+    even = F.transform(full, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
+    line = lambda row, tag: F.concat(F.lit("<tr>"), F.array_join(F.transform(row, lambda c: F.concat(F.lit(f"<{tag}>"), escape(c), F.lit(f"</{tag}>"))), ""), F.lit("</tr>"))
+    body = F.array_join(F.transform(F.slice(even, F.lit(2), F.size(even)), lambda r: line(r, "td")), "")
+    return F.when(F.size(full) > 0, F.concat(F.lit("<table><thead>"), line(F.get(even, F.lit(0)), "th"), F.lit("</thead><tbody>"), body, F.lit("</tbody></table>"))).otherwise("<p>[No se pudo leer tabla: tabla vacia]</p>")

@@ -18,14 +18,16 @@ def auto_label(text="contenido", size="size", bold="bold", italic="italic", font
     """The label ladder of front and back matter; the first rule that holds."""
     t, s = strip(F.col(text)), F.bround(F.col(size))
     b, i, tnr = F.col(bold), F.col(italic), F.lower(F.col(font)).rlike("times|roman")
-    institution = has(t, "universidad|university|instituto|institute|museo|museum|facultad|departamento|department|centro|laboratorio")
+    lettered = has(t, P.LETTERED, fold=False) & ~has(F.substring(t, 1, 30), r"\.\s+[A-Z]", fold=False)
+    institution = has(t, P.INSTITUTION)
     return (
         F.when(F.lower(t).isin(P.SECTIONS), P.SECCION).when(is_cite(t), P.CITAR).when(is_date_note(t) | is_doi_line(t), P.FECHA)
         .when(has(t, P.KEYWORDS), P.CLAVE).when(has(t, P.TABLE_TITLE), P.TABLA).when(has(t, P.HAS_EMAIL) & (F.length(t) < 120), P.EMAIL)
         .when(has(t, r"^\d+\.\s+\S") & ~has(t, r"^\d+\.\d") & (s <= 12), P.SUB).when(has(t, P.LEVEL2) & (s <= 12), P.SUB2)
         .when((s >= 13) & b & ~i, P.TITULO).when((s >= 13) & b & i, P.TITULO2).when((s == 13) & ~b & ~i, P.AUTORES)
         .when((s == 12) & i, P.EMAIL).when((s == 12) & ~b, P.NORMAL).when((s == 10) & b, P.SECCION).when((s == 10) & ~b, P.SUB)
-        .when((s == 9) & ~tnr & has(t, r"^(\d+|[a-zA-Z])\s+[A-Z]", fold=False) & institution, P.FILIACION)
+        .when(lettered & institution, P.FILIACION)
+        .when((s == 9) & ~tnr & has(t, P.NUMBERED, fold=False) & institution, P.FILIACION)
         .when((s == 9) & (tnr | (F.length(t) > 100)), P.RESUMEN).when((s == 9) & (F.length(t) < 80), P.FILIACION).when(s == 9, P.RESUMEN)
         .when(F.length(t) < 4, P.IGNORAR).otherwise(P.NORMAL)
     )
@@ -41,7 +43,7 @@ def body_label(text="contenido"):
     t = strip(F.col(text))
     return (
         F.when(has(t, P.LEVEL1) & ~has(t, P.LEVEL2), P.SUB).when(has(t, P.LEVEL2), P.SUB2).when(is_cite(t), P.CITAR).when(is_date_note(t) | is_doi_line(t), P.FECHA)
-        .when(F.lower(t).isin(P.SECTIONS), P.SECCION).when(has(t, r"\b(tabla|table)\s+\d+[.:\s]"), P.TABLA).when(has(t, P.FIGURE_TITLE), P.FIGURA).otherwise(P.CUERPO)
+        .when(F.lower(t).isin(P.BODY_SECTIONS), P.SECCION).when(has(t, r"\b(tabla|table)\s+\d+[.:\s]"), P.TABLA).when(has(t, P.FIGURE_TITLE), P.FIGURA).otherwise(P.CUERPO)
     )
 
 

@@ -62,12 +62,17 @@ def _c(pattern, col="t"):
     return f"regexp_matches({col}, '{pattern}')"
 
 
-_IN = ", ".join(f"'{s}'" for s in P.SECTIONS)
+def _in(labels):
+    return ", ".join("'" + x.replace("'", "''") + "'" for x in labels)
+
+
+_IN, _BODY_IN = _in(P.SECTIONS), _in(P.BODY_SECTIONS)
 _CITE = f"(starts_with(lower(t), 'cómo citar') or starts_with(lower(t), 'how to cite') or (length(t) < 400 and {_i(P.CITE_NUMBERS)} and not {_i('https?://')}))"
 _NOTE = _i(P.MANUSCRIPT)
 _SENTENCE = _c(r"\.\s+[A-ZÁÉÍÓÚÑ][a-záéíóúñ]")
 _DOILINE = f"({_i('https?://doi[.]org/')} and length(t) <= 200 and not ({_SENTENCE} and not {_NOTE}))"
-_INST = _i("universidad|university|instituto|institute|museo|museum|facultad|departamento|department|centro|laboratorio")
+_INST = _i(P.INSTITUTION)
+_LETTERED = f"{_c(P.LETTERED)} and not {_c(r'[.][[:space:]]+[A-Z]', 'substring(t, 1, 30)')} and {_INST}"
 _LABELS = _BLOCKS + f"""
 z as (select *, regexp_replace(contenido, '^\\s+|\\s+$', '', 'g') as t, round_even(size, 0) as s from b),
 st as (select *, min(case when {_i(P.LEVEL1)} and not {_i(P.LEVEL2)} and s <= 12 then seq end) over (partition by doc_id) as z0 from z),
@@ -77,21 +82,18 @@ au as (select *, case when lower(t) in ({_IN}) then '{P.SECCION}' when {_CITE} t
   when {_i(r'^\d+\.\s+\S')} and not {_i(r'^\d+\.\d')} and s <= 12 then '{P.SUB}' when {_i(P.LEVEL2)} and s <= 12 then '{P.SUB2}'
   when s >= 13 and bold and not italic then '{P.TITULO}' when s >= 13 and bold and italic then '{P.TITULO2}' when s = 13 and not bold and not italic then '{P.AUTORES}'
   when s = 12 and italic then '{P.EMAIL}' when s = 12 and not bold then '{P.NORMAL}' when s = 10 and bold then '{P.SECCION}' when s = 10 and not bold then '{P.SUB}'
-  when s = 9 and not {_c('times|roman', 'lower(font)')} and {_c(r'^(\d+|[a-zA-Z])\s+[A-Z]')} and {_INST} then '{P.FILIACION}'
+  when {_LETTERED} then '{P.FILIACION}'
+  when s = 9 and not {_c('times|roman', 'lower(font)')} and {_c(P.NUMBERED)} and {_INST} then '{P.FILIACION}'
   when s = 9 and ({_c('times|roman', 'lower(font)')} or length(t) > 100) then '{P.RESUMEN}' when s = 9 and length(t) < 80 then '{P.FILIACION}' when s = 9 then '{P.RESUMEN}'
   when length(t) < 4 then '{P.IGNORAR}' else '{P.NORMAL}' end as auto,
   case when {_i(P.LEVEL1)} and not {_i(P.LEVEL2)} then '{P.SUB}' when {_i(P.LEVEL2)} then '{P.SUB2}' when {_CITE} then '{P.CITAR}' when {_NOTE} or {_DOILINE} then '{P.FECHA}'
-  when lower(t) in ({_IN}) then '{P.SECCION}' when {_i(r'\b(tabla|table)\s+\d+[.:\s]')} then '{P.TABLA}' when {_i(P.FIGURE_TITLE)} then '{P.FIGURA}' else '{P.CUERPO}' end as body,
+  when lower(t) in ({_BODY_IN}) then '{P.SECCION}' when {_i(r'\b(tabla|table)\s+\d+[.:\s]')} then '{P.TABLA}' when {_i(P.FIGURE_TITLE)} then '{P.FIGURA}' else '{P.CUERPO}' end as body,
   case when z0 is not null and seq >= z0 and (z1 is null or seq < z1) then 'B' when z1 is not null and seq >= z1 then 'C' else 'A' end as zone from en),
 lab as (select doc_id, seq, contenido, pnum, zone, case when z1 = seq then '{P.SECCION}' when zone = 'B' then body
   when auto in ('{P.NORMAL}', '{P.AUTORES}', '{P.RESUMEN}') then '{P.CUERPO}' when auto = '{P.IMAGEN}' then '{P.IGNORAR}' else auto end as clasificacion, auto from au),
 """
 
 
-def _in(labels):
-    return ", ".join(f"'{x}'" for x in labels)
-
-
 _TABLE_MODE = f"""
 ev as (select *, contenido as t, clasificacion = '{P.CUERPO}' and {_c(P.YEAR_ROW, 'contenido')} and not {_c(P.TAXON_LIST, 'contenido')} as rowish,
   clasificacion in ({_in(P.TABLE_ENDS)}) or (clasificacion = '{P.CUERPO}' and length(contenido) > 200 and {_c('[.?!]$', 'contenido')}) as ending from lab),
