@@ -5,9 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire.functions import citation as C
 from quire.functions import patterns as P
 from quire.functions import text as T
 from quire.operators import blocks as B
+from quire.operators import render, spans, splits
 
 
 def _lines(spark, sf_dir):
@@ -153,6 +155,30 @@ def _affiliations(spark, sf_dir):
     return c.select("c_custkey", F.concat(F.lit("1 Universidad "), F.col("c_name"), F.lit(", "), place).alias("text"))
 
 
+def _notes(spark, sf_dir):
+    """Lines of two affiliations, date notes and tagged text, a customer each."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", F.col("c_nationkey").cast("string").alias("n"))
+    k = F.col("c_custkey")
+    return c.select(
+        "c_custkey", F.when(k % 3 == 0, F.concat(F.lit("1 Instituto "), "c_name")).otherwise(F.concat(F.lit("a Museo "), "c_name", F.lit(", Chile. b Centro "), "n", F.lit(", Cuba."))).alias("line"),
+        F.concat(F.lit("Manuscrito recibido: Marzo "), (k % 28 + 1).cast("string"), F.lit(", 2020. Manuscript accepted: 4 de "), F.when(k % 2 == 0, "mayo").otherwise("brumario"), F.lit(" de 2021. Manuscrito raro: 1/1/2000")).alias("dates"),
+        F.concat(F.lit("Material. "), "c_name", F.lit(" <b> Remarks. Sinonimia. z")).alias("tagged"),
+        F.concat(F.lit("Hay: • "), "c_name", F.lit(" • dos. Otros son: • "), "n").alias("listed"),
+        F.array(F.struct(F.array(F.struct(F.concat("c_name", F.lit("ab-")).alias("text"), F.lit(9.0).alias("size"), F.lit(16).alias("flags"), F.lit("Arial").alias("font"))).alias("spans")), F.struct(F.array(F.struct(F.lit("cd  ").alias("text"), F.lit(10.0).alias("size"), F.lit(0).alias("flags"), F.lit("Times").alias("font")), F.struct(F.col("n").alias("text"), F.lit(11.0).alias("size"), F.lit(0).alias("flags"), F.lit("Times").alias("font"))).alias("spans"))).alias("lines"),
+    )
+
+
+def _grid(spark, sf_dir):
+    """The nations of each region as a table."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_regionkey", "n_nationkey", F.array("n_name", F.col("n_nationkey").cast("string")).alias("row"))
+    g = n.groupBy("n_regionkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "row"))), lambda x: x["row"]).alias("rows"))
+    return g.select("n_regionkey", F.concat(F.array(F.array(F.lit("a&b"), F.lit("key"))), "rows").alias("grid"))
+
+
+def _edits(spark, sf_dir):
+    return blocks(spark, sf_dir).where("seq % 7 = 0").select("doc_id", "seq", F.when(F.col("seq") % 2 == 0, "nuevo").alias("contenido"), F.when(F.col("seq") % 3 == 0, P.TITULO).alias("clasificacion"))
+
+
 def queries() -> dict:
     pick = lambda f, *cols: lambda s, d: f(s, d).select(*cols)
     lab = lambda s, d: B.label(blocks(s, d))
@@ -184,6 +210,17 @@ def queries() -> dict:
         "date_parse": lambda s, d: refs(s, d).select("ref_no", F.explode(F.array(*[F.struct(F.lit(c).alias("form"), T.date_parts(F.col(c)).alias("p")) for c in ("d1", "d2", "d3")])).alias("x")).select("ref_no", "x.form", "x.p.day", "x.p.month", "x.p.year"),
         "affil_country": lambda s, d: _affiliations(s, d).select("c_custkey", T.country(F.col("text")).alias("code")),
         "person_name": lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", T.person(F.concat(F.lit("Ana de "), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.col("c_name"), F.lit(", Luz"))).otherwise(F.col("c_name")))).alias("p")).select("c_custkey", "p.surname", "p.given"),
+        "citation_parse": lambda s, d: C.citations(refs(s, d)).select("ref_no", "pub_type", "doi", "url", "year", F.concat_ws("|", F.transform("authors", lambda a: F.concat(a["surname"], F.lit("/"), a["given"]))).alias("authors"), "article_title", "source", "volume", "issue", "fpage", "lpage", "elocation"),
+        "affil_split": lambda s, d: _notes(s, d).select("c_custkey", F.posexplode(T.affiliations(F.col("line"))).alias("part", "a")).select("c_custkey", "part", "a.label", "a.body"),
+        "manuscript_dates": lambda s, d: _notes(s, d).select("c_custkey", F.explode(C.manuscript_dates(F.col("dates"))).alias("x")).select("c_custkey", "x.*"),
+        "editorial_tags": lambda s, d: _notes(s, d).select("c_custkey", T.editorial(F.col("tagged")).alias("html")),
+        "bullet_lists": lambda s, d: _notes(s, d).select("c_custkey", render.paragraph_or_list(F.col("listed")).alias("html")),
+        "span_blocks": lambda s, d: _notes(s, d).select("c_custkey", spans.block_text().alias("contenido"), spans.font_info().alias("f")).select("c_custkey", "contenido", "f.size", "f.bold", "f.italic", "f.font"),
+        "grid_tables": lambda s, d: _grid(s, d).select("n_regionkey", T.html_table(F.col("grid")).alias("html"), T.jats_table(F.col("grid")).alias("jats")),
+        "block_override": lambda s, d: splits.override(lab(s, d), _edits(s, d)).select("doc_id", "seq", "contenido", "clasificacion"),
+        "block_deletion": lambda s, d: splits.without(blocks(s, d), _edits(s, d), "doc_id", "seq").select("doc_id", "seq"),
+        "jats_route": lambda s, d: splits.route(lab(s, d)).select("doc_id", "seq", "part"),
+        "reference_split": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.posexplode(T.references(F.col("text"))).alias("ref_no", "raw")),
         "css_extract": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", F.regexp_extract("html", r"(?s)<style>(.*?)</style>", 1).alias("css")),
         "xhtml_fix": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", F.md5(F.regexp_replace("html", r"<(br|hr)\s*>", "<$1/>").cast("binary")).alias("fixed_md5")),
     }
@@ -232,6 +269,32 @@ def oracle_sql() -> dict[str, str]:
             select ref_no, form, cast(k % 28 + 1 as varchar) as day, case form when 'd1' then '12' when 'd2' then '03' else cast(k % 12 + 1 as varchar) end as month, y as year from f""",
         "affil_country": "select c_custkey, ['MX', 'ES', 'CL', 'PE', ''][cast(c_custkey % 5 + 1 as integer)] as code from customer",
         "person_name": "select c_custkey, case when c_custkey % 2 = 0 then 'Ana de ' || c_name else c_name end as surname, case when c_custkey % 2 = 0 then 'Luz' else 'Ana de' end as given from customer",
+        "citation_parse": f"""with {_REFS} select ref_no, ['journal', 'book', 'report', 'webpage', 'journal'][cast(k % 5 + 1 as integer)] as pub_type, case when k % 5 = 0 then '10.1234/abc' else '' end as doi,
+            case when k % 5 = 3 then 'http://ejemplo.org/x' else '' end as url, y as year, cast(ref_no as varchar) || '. Autor/A. B' as authors, regexp_extract(raw, 'Titulo [0-9]+', 0) as article_title,
+            ['Revista', 'In Libro (eds.) 10-20', 'Informe anual.pdf', '', 'Editorial'][cast(k % 5 + 1 as integer)] as source, case when k % 5 = 0 then '12' else '' end as volume, case when k % 5 = 0 then '3' else '' end as issue,
+            case when k % 5 = 0 then '45' else '' end as fpage, case when k % 5 = 0 then '67' else '' end as lpage, '' as elocation from r""",
+        "affil_split": """select c_custkey, 0 as part, case when c_custkey % 3 = 0 then '1' else 'a' end as label, case when c_custkey % 3 = 0 then 'Instituto ' || c_name else 'Museo ' || c_name || ', Chile' end as body from customer
+            union all select c_custkey, 1, 'b', 'Centro ' || c_nationkey || ', Cuba' from customer where c_custkey % 3 <> 0""",
+        "manuscript_dates": """select c_custkey, 'received' as date_type, cast(c_custkey % 28 + 1 as varchar) as day, '03' as month, '2020' as year from customer
+            union all select c_custkey, 'accepted', '4', case when c_custkey % 2 = 0 then '05' else '' end, '2021' from customer""",
+        "editorial_tags": "select c_custkey, '<strong>Material.</strong> ' || c_name || ' &lt;b&gt; <br><strong>Remarks.</strong> <br><strong>Sinonimia.</strong><br>z' as html from customer",
+        "bullet_lists": """select c_custkey, concat_ws(chr(10), '<p class="cuerpo">Hay:</p>', '<ul class="lista-bullets cuerpo-list">', '  <li>' || c_name || '</li>', '  <li>dos.</li>', '</ul>', '<p class="cuerpo">Otros son:</p>',
+            '<ul class="lista-bullets cuerpo-list">', '  <li>' || c_nationkey || '</li>', '</ul>') as html from customer""",
+        "span_blocks": "select c_custkey, c_name || 'abcd ' || c_nationkey as contenido, 10.0::double as size, true as bold, false as italic, 'times' as font from customer",
+        "grid_tables": """select n_regionkey, concat_ws(chr(10), '<table class="pm-tabla">', '<thead><tr>', '<th>a&amp;b</th>', '<th>key</th>', '</tr></thead><tbody>', string_agg(concat_ws(chr(10), '<tr>', '<td>' || n_name || '</td>', '<td>' || n_nationkey || '</td>', '</tr>'), chr(10) order by n_nationkey), '</tbody></table>') as html,
+            '<table><thead><tr><th>a&amp;b</th><th>key</th></tr></thead><tbody>' || string_agg('<tr><td>' || n_name || '</td><td>' || n_nationkey || '</td></tr>', '' order by n_nationkey) || '</tbody></table>' as jats from nation group by n_regionkey""",
+        "block_override": lab(f"select doc_id, seq, case when seq % 14 = 0 then 'nuevo' else contenido end as contenido, case when seq % 21 = 0 then '{P.TITULO}' else clasificacion end as clasificacion from lab"),
+        "block_deletion": base("select doc_id, seq from b where seq % 7 <> 0"),
+        "jats_route": lab(f"""select doc_id, seq, case when meta then 'front_note' when head and not refs and title is null and ({_c('^[0-9]+([.][0-9]+)*[ .-]+', 'text')} or t in ({_in(P.BODY_HEADINGS)})) then 'heading' when head then null
+            when coalesce(last_value(case when refs then true when head and not meta then false end ignore nulls) over (w rows between unbounded preceding and current row), false) then case when c in ({_in([P.REFERENCIA, P.CUERPO, P.NORMAL])}) then 'ref' end
+            when c = '{P.CITAR}' then 'cite_note' when c = '{P.FECHA}' then 'date_note' when c = '{P.CLAVE}' then case when mode like '%es' then 'keywords_es' when mode like '%en' then 'keywords_en' else 'keywords' end
+            when c = '{P.RESUMEN}' and mode <> '' then 'abstract_' || mode when c in ('{P.SUB}', '{P.SUB2}') then 'heading' when c in ({_in([P.CUERPO, P.NORMAL, P.RESUMEN])}) then 'paragraph' end as part from (
+            select *, last_value(case when head and not refs and not meta then coalesce(title, '') when refs or c in ({_in([P.SUB, P.SUB2, P.CUERPO, P.NORMAL])}) then '' end ignore nulls) over (partition by doc_id order by seq rows between unbounded preceding and 1 preceding) as mode from (
+            select *, head and not refs and {_i('issn|volumen[ ]+[0-9]|vol[.][ ]*[0-9]|num[.][ ]*[0-9]|p[.][ ]*[0-9]+|' + '|'.join(P.MONTHS) + '|[(][0-9]{4}[)]')} as meta from (
+            select *, head and t in ('referencias', 'references') as refs, case t when 'resumen' then 'es' when 'abstract' then 'en' when 'resumen no tecnico' then 'plain_es' when 'non-technical abstract' then 'plain_en' end as title from (
+            select doc_id, seq, clasificacion as c, clasificacion = '{P.SECCION}' as head, text, translate(lower(text), 'áéíóúüñàèìòùâêîôûäëïöç', 'aeiouunaeiouaeiouaeioc') as t from (
+            select *, trim(regexp_replace(contenido, '\s+', ' ', 'g')) as text from lab) where text <> '')))) window w as (partition by doc_id order by seq)"""),
+        "reference_split": r"""select doc_id, cast(unnest(range(len(a))) as integer) as ref_no, unnest(a) as raw from (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '(?m)^\s*(?:\[?\d+[.)\]]\s*)'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as a from documents)""",
         "css_extract": "select page_id, regexp_extract(html, '<style>(.*?)</style>', 1, 's') as css from pages",
         "xhtml_fix": r"select page_id, md5(regexp_replace(html, '<(br|hr)\s*>', '<\1/>', 'g')) as fixed_md5 from pages",
     }
