@@ -220,7 +220,7 @@ def queries() -> dict:
         "block_override": lambda s, d: splits.override(lab(s, d), _edits(s, d)).select("doc_id", "seq", "contenido", "clasificacion"),
         "block_deletion": lambda s, d: splits.without(blocks(s, d), _edits(s, d), "doc_id", "seq").select("doc_id", "seq"),
         "jats_route": lambda s, d: splits.route(lab(s, d)).select("doc_id", "seq", "part"),
-        "reference_split": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.posexplode(T.references(F.col("text"))).alias("ref_no", "raw")),
+        "reference_split": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.posexplode(T.references(F.replace(F.col("text"), F.lit("\n"), F.lit("\n7. ")))).alias("ref_no", "raw")),
         "css_extract": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", F.regexp_extract("html", r"(?s)<style>(.*?)</style>", 1).alias("css")),
         "xhtml_fix": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", F.md5(F.regexp_replace("html", r"<(br|hr)\s*>", "<$1/>").cast("binary")).alias("fixed_md5")),
     }
@@ -294,7 +294,7 @@ def oracle_sql() -> dict[str, str]:
             select *, head and t in ('referencias', 'references') as refs, case t when 'resumen' then 'es' when 'abstract' then 'en' when 'resumen no tecnico' then 'plain_es' when 'non-technical abstract' then 'plain_en' end as title from (
             select doc_id, seq, clasificacion as c, clasificacion = '{P.SECCION}' as head, text, translate(lower(text), 'áéíóúüñàèìòùâêîôûäëïöç', 'aeiouunaeiouaeiouaeioc') as t from (
             select *, trim(regexp_replace(contenido, '\s+', ' ', 'g')) as text from lab) where text <> '')))) window w as (partition by doc_id order by seq)"""),
-        "reference_split": r"""select doc_id, cast(unnest(range(len(a))) as integer) as ref_no, unnest(a) as raw from (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '(?m)^\s*(?:\[?\d+[.)\]]\s*)'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as a from documents)""",
+        "reference_split": r"""select doc_id, cast(unnest(range(len(a))) as integer) as ref_no, unnest(a) as raw from (select doc_id, list_filter(list_transform(regexp_split_to_array(replace(text, chr(10), chr(10) || '7. '), '(?m)^\s*(?:\[?\d+[.)\]]\s*)'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as a from documents)""",
         "css_extract": "select page_id, regexp_extract(html, '<style>(.*?)</style>', 1, 's') as css from pages",
         "xhtml_fix": r"select page_id, md5(regexp_replace(html, '<(br|hr)\s*>', '<\1/>', 'g')) as fixed_md5 from pages",
     }
