@@ -293,7 +293,7 @@ def oracle_sql() -> dict[str, str]:
             select *, head and not refs and {_i('issn|volumen[ ]+[0-9]|vol[.][ ]*[0-9]|num[.][ ]*[0-9]|p[.][ ]*[0-9]+|' + '|'.join(P.MONTHS) + '|[(][0-9]{4}[)]')} as meta from (
             select *, head and t in ('referencias', 'references') as refs, case t when 'resumen' then 'es' when 'abstract' then 'en' when 'resumen no tecnico' then 'plain_es' when 'non-technical abstract' then 'plain_en' end as title from (
             select doc_id, seq, clasificacion as c, clasificacion = '{P.SECCION}' as head, text, translate(lower(text), 'áéíóúüñàèìòùâêîôûäëïöç', 'aeiouunaeiouaeiouaeioc') as t from (
-            select *, trim(regexp_replace(contenido, '\s+', ' ', 'g')) as text from lab) where text <> '')))) window w as (partition by doc_id order by seq)"""),
+            select *, trim(regexp_replace(contenido, '\\s+', ' ', 'g')) as text from lab) where text <> '')))) window w as (partition by doc_id order by seq)"""),
         "reference_split": r"""select doc_id, cast(unnest(range(len(a))) as integer) as ref_no, unnest(a) as raw from (select doc_id, list_filter(list_transform(regexp_split_to_array(replace(text, chr(10), chr(10) || '7. '), '(?m)^\s*(?:\[?\d+[.)\]]\s*)'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as a from documents)""",
         "css_extract": "select page_id, regexp_extract(html, '<style>(.*?)</style>', 1, 's') as css from pages",
         "xhtml_fix": r"select page_id, md5(regexp_replace(html, '<(br|hr)\s*>', '<\1/>', 'g')) as fixed_md5 from pages",
