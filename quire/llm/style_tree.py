@@ -4,7 +4,8 @@ The DOMs of a host's pages are merged: elements with equal paths of tags and cla
 importance is one less the mean entropy of its contents over the pages that have it (contents that every page
 repeats have entropy 1), an inner node's that of its presentations, the sequences of its children, and its
 leaves' weighed by pages: (1 - DECAY ** l) of its own, l the number of presentations, the rest theirs. Branches
-below LEAST are removed from each page of the host.
+below LEAST are removed from each page of the host, unless nothing would be left of it. Pages of equal blocks are
+copies and count as one page.
 
 Tags and names that mean a role are decided beforehand: navigation, adverts, forms and the like go, and the
 flow text of an article stays whatever other pages repeat, so mirrored articles are kept; a page with an
@@ -13,7 +14,7 @@ article or main element has its text there. Entropy decides on all other nodes,
 
 from __future__ import annotations
 
-import math
+import hashlib
 import re
 from collections import defaultdict
 from html import unescape
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire import ship
+from quire.llm.common import Scratch
 
 DECAY, LEAST, PAGES = 0.9, 0.4, 8
 
@@ -157,13 +159,17 @@ def host(url):
     return F.coalesce(F.regexp_replace(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"\.$", ""), F.lit(""))
 
 
+_SEEN = "host string, page string, seen array<struct<path:string,leaf:boolean,content:string,v:bigint>>"
+
+
 def _observe(batches):
-    """(host, path, leaf, content, c, l): how often pages have a content of a leaf or a presentation of an inner
-    node, c their sum and l the sum of c ln c; an empty content counts the node's pages."""
+    """(host, page, seen): a hash of the page's blocks, and how often it has each content of a leaf and each
+    presentation of an inner node; an empty content stands for the node itself."""
     for b in batches:
-        sums = defaultdict(lambda: [0, 0.0])
-        for h, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
+        pages, rows = [], []
+        for html in b.column("html").to_pylist():
             blocks, children, _ = parse(html)
+            pages.append(hashlib.md5("\n".join(f"{path}\t{text}" for path, text, noise, _, _ in blocks if not noise).encode("utf-8", "surrogatepass")).hexdigest())
             seen = defaultdict(int)
             for path, text, noise, _, _ in blocks:
                 if not noise:
@@ -172,12 +178,9 @@ def _observe(batches):
             for path, kids in children.items():
                 seen[path, False, str(hash_text("|".join(kids)))] += 1
                 seen[path, False, ""] = 1
-            for k, v in seen.items():
-                x = sums[(h, *k)]
-                x[0] += v
-                x[1] += v * math.log(v)
-        rows = list(sums.items())
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array([k[2] for k, _ in rows], pa.bool_()), pa.array([k[3] for k, _ in rows], pa.string()), pa.array([v[0] for _, v in rows], pa.int64()), pa.array([v[1] for _, v in rows], pa.float64())], ["host", "path", "leaf", "content", "c", "l"])
+            rows.append([{"path": p, "leaf": leaf, "content": c, "v": v} for (p, leaf, c), v in seen.items()])
+        kind = pa.list_(pa.struct([("path", pa.string()), ("leaf", pa.bool_()), ("content", pa.string()), ("v", pa.int64())]))
+        yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(pages, pa.string()), pa.array(rows, kind)], ["host", "page", "seen"])
 
 
 def hash_text(t: str) -> int:
@@ -187,10 +190,16 @@ def hash_text(t: str) -> int:
     return zlib.crc32(raw) << 32 | zlib.adler32(raw)
 
 
-def importance(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of the nodes of each host's style tree. pages: host, html."""
-    seen = pages.mapInArrow(_observe, "host string, path string, leaf boolean, content string, c long, l double")
-    seen = seen.groupBy("host", "path", "leaf", "content").agg(F.sum("c").alias("c"), F.sum("l").alias("l"))
+def observed(pages: DataFrame) -> DataFrame:
+    """(host, path, leaf, content, c, l) over the distinct pages of each host: c the sum of the counts of a
+    content, l that of c ln c. Pages of equal blocks are copies and count once. pages: host, html."""
+    once = pages.mapInArrow(_observe, _SEEN).dropDuplicates(["host", "page"])
+    flat = once.select("host", F.explode("seen").alias("x")).select("host", "x.*")
+    return flat.groupBy("host", "path", "leaf", "content").agg(F.sum("v").alias("c"), F.sum(F.col("v") * F.log("v")).alias("l"))
+
+
+def importance(seen: DataFrame) -> DataFrame:
+    """(host, path, pages, importance) of the nodes of each host's style tree. seen: see observed()."""
     # entropy of a leaf's content over pages to the base of their number: (ln c - l / c) / ln m
     node = seen.groupBy("host", "path", "leaf").agg(
         F.max(F.when(F.col("content") == "", F.col("c"))).alias("m"),
@@ -214,12 +223,15 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     Null html is empty; a null url, or one without a host, is of the host ''. A page without main text has the
     empty one. Repeated rows are kept. Rows of a large host spread over tasks: its statistics are sums, combined
-    before the shuffle, and its removed paths are joined to pages. Further columns are ignored."""
+    before the shuffle, copies of a page too, and its removed paths are joined to pages. Further columns are ignored."""
     spark = pages.sparkSession
     ship(spark)
+    scratch = Scratch(spark)
     p = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"), host(F.col("url")).alias("host"))
-    low = importance(p.select("host", "html")).where((F.col("pages") >= PAGES) & (F.col("importance") < LEAST))
-    low = low.groupBy(F.col("host").alias("h")).agg(F.collect_set("path").alias("low"))
+    seen = scratch.keep(observed(p.select("host", "html")), "seen")
+    low = importance(seen).where((F.col("pages") >= PAGES) & (F.col("importance") < LEAST))
+    low = scratch.keep(low.groupBy(F.col("host").alias("h")).agg(F.collect_set("path").alias("low")), "low")
+    scratch.drop("seen")
     kind = dict(pages.dtypes)["page_id"]
 
     def extract(batches):
@@ -228,10 +240,11 @@ def main_text(pages: DataFrame) -> DataFrame:
             for html, low in zip(b.column("html").to_pylist(), b.column("low").to_pylist()):
                 blocks, _, has_main = parse(html)
                 gone = set(low or ())
-                kept = []
+                kept, every = [], []
                 for path, text, noise, inside, protected in blocks:
                     if noise or has_main and not inside:
                         continue
+                    every.append(text)
                     if gone and not protected:
                         # branches below the nearest article or main, or below body
                         names = path.split("/")
@@ -239,7 +252,7 @@ def main_text(pages: DataFrame) -> DataFrame:
                         if any("/".join(names[: i + 1]) in gone for i in range(start + 1, len(names))):
                             continue
                     kept.append(text)
-                out.append("\n".join(kept))
+                out.append("\n".join(kept or every))  # no page consists of boilerplate alone
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     joined = p.join(low, F.col("host") == F.col("h"), "left").select("page_id", "url", "html", "low")

@@ -263,6 +263,18 @@ def test_mirrored_articles_stay(spark):
     assert {x["text"] for x in got} == {"Der Artikel"}
 
 
+def test_copies_of_a_page_keep_their_text(spark):
+    same = "<body><div><p>Erster Absatz</p><p>Zweiter</p></div></body>"
+    pages = [(i, u, same) for i, u in enumerate(["http://copy.example/a", None] * 10)]
+    near = [(100 + i, f"http://near.example/{i}", f"<body><div><p>Immer</p></div><nav>{i}</nav><i class=x>{'y' * (i % 2)}</i></body>") for i in range(20)]
+    got = style_tree.main_text(spark.createDataFrame(pages + near, "page_id long, url string, html string")).collect()
+    assert {x["text"] for x in got if x["page_id"] < 100} == {"Erster Absatz\nZweiter"}
+    assert all(x["text"].startswith("Immer") for x in got if x["page_id"] >= 100)
+    few = [(i, f"http://h.example/{i}", f"<body><div>gleich</div><p>{'' if i % 4 else f'Text {i}'}</p></body>") for i in range(40)]
+    got = style_tree.main_text(spark.createDataFrame(few, "page_id long, url string, html string")).collect()
+    assert {x["page_id"]: x["text"] for x in got} == {i: "gleich" if i % 4 else f"Text {i}" for i in range(40)}
+
+
 def brute_chat(roles):
     """Least cost by a search over all labels, merges and bridges."""
     cost = {chat.START: 0}
