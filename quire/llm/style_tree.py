@@ -7,7 +7,7 @@ leaves' weighed by pages: (1 - DECAY ** l) of its own, l the number of presentat
 below LEAST are removed from each page of the host, unless nothing would be left of it. Pages of equal blocks are
 copies and count as one page.
 
-Tags and names that mean a role are decided beforehand: navigation, adverts, forms and the like go, and the
+Tags and whole names that mean a role are decided beforehand: navigation, adverts, forms and the like go, and the
 flow text of an article stays whatever other pages repeat, so mirrored articles are kept; a page with an
 article or main element has its text there. Entropy decides on all other nodes, from PAGES pages of a host on.
 """
@@ -29,10 +29,12 @@ from quire.llm.common import Scratch
 DECAY, LEAST, PAGES = 0.9, 0.4, 8
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_HOLDS = re.compile(r"<(?:article|main)[\s>]", re.I)
 _NAMES = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-RAW = {"script", "style", "template", "noscript", "textarea", "title", "svg", "iframe", "select", "math", "object", "canvas", "audio", "video"}
+RAW = {"script", "style", "template", "noscript", "textarea", "title", "svg", "iframe", "select", "annotation", "annotation-xml", "object", "canvas", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE |= set("math semantics mrow mi mo mn ms mtext mspace msub msup msubsup munder mover munderover mmultiscripts mprescripts mfrac msqrt mroot mstyle mpadded mphantom menclose merror mtable mtr mtd maction".split())
 NOISE_TAGS = {"head", "nav", "header", "footer", "aside", "form", "dialog", "menu", "button", "fieldset", "optgroup", "option"} | RAW
 NOISE_NAMES = set(
     "nav navbar navigation menu header footer sidebar aside ad ads advert advertisement adsense sponsor sponsored promo banner "
@@ -40,40 +42,43 @@ NOISE_NAMES = set(
     "related recommended breadcrumb breadcrumbs comment comments reply replies respond disqus form login signup search "
     "pagination pager toolbar widget complementary contentinfo".split()
 )
+HOLDERS = {"html", "body", "article", "main"}
 FLOW = set("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote table thead tbody tfoot tr td th caption figure figcaption div section hgroup details summary address hr".split())
 _CLOSES_P = FLOW | {"article", "main", "nav", "aside", "header", "footer", "form", "fieldset"}
 _SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
 
-def _noise(tag: str, attrs: str) -> tuple[bool, str]:
-    """Whether an element's tag or names make it no content, and its name in paths."""
-    bad, label = tag in NOISE_TAGS, tag
+def _noise(tag: str, attrs: str) -> tuple[bool, bool, str]:
+    """Whether an element's tag or state makes it no content, whether a name of it does, and its name in paths.
+    Only whole names count, and none of those that hold the page or its text."""
+    bad, named, label = tag in NOISE_TAGS, False, tag
     if attrs and not attrs.isspace():
         for name, value in _NAMES.findall(attrs):
             name, value = name.lower(), value.strip("\"' ").lower()
             if name in ("class", "id", "role"):
-                bad = bad or any(w in NOISE_NAMES for v in value.split() for w in (v, *re.split(r"[-_]+|\d+", v)))
+                named = named or tag not in HOLDERS and any(v in NOISE_NAMES for v in value.split())
                 if name == "class":
                     label = f"{tag}.{'.'.join(sorted(value.split()))}"
-            elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+            elif tag not in ("html", "body") and (name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value)):
                 bad = True
-    return bad, label
+    return bad, named, label
 
 
 def parse(html: str) -> tuple[list[tuple], dict[str, list[str]], bool]:
     """Blocks (path, text, noise, in an article or main, protected) in page order; children of each path; whether
-    there is an article or main. Inline tags belong to their block, which ends where a block's tag begins or ends;
+    there is an article or main outside noise. Where all of them are in branches of a telling name, the names of those
+    branches do not count. Inline tags belong to their block, which ends where a block's tag begins or ends;
     unclosed elements end with their parent."""
     blocks, children, stack, buf, at, n = [], defaultdict(list), [], [], 0, len(html)
     has_main = False
-    root = ("", "", False, False, False)  # tag, path, noise, inside main, protected
-    top = root
+    root = ("", "", False, False, False, ())  # tag, path, noise, inside main, protected, branches of a telling name
+    top, names, held = root, 0, set()
 
     def flush():
         text = " ".join(unescape("".join(buf)).split())
         buf.clear()
         if text:
-            blocks.append((top[1], text, top[2], top[3], top[4]))
+            blocks.append((top[1], text, top[2], top[3], top[4], top[5]))
 
     while at < n:
         m = _TOKEN.search(html, at)
@@ -98,9 +103,12 @@ def parse(html: str) -> tuple[list[tuple], dict[str, list[str]], bool]:
                     break
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = end.end() if end else n
-            if tag not in ("svg", "math"):
+            end = None if tag == "svg" and attrs.endswith("/") else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+            if end:
+                at = end.end()
+            elif tag in ("script", "style") and not attrs.endswith("/"):  # what follows is code
+                at = n
+            if tag != "svg":
                 buf.append(" ")
             continue
         if tag in ("br", "hr", "img", "wbr"):
@@ -111,12 +119,13 @@ def parse(html: str) -> tuple[list[tuple], dict[str, list[str]], bool]:
             continue
         if tag in VOID:
             continue
-        bad, label = _noise(tag, attrs)
-        if tag in INLINE and not bad:
+        bad, named, label = _noise(tag, attrs)
+        if tag in INLINE and not (bad or named):
             continue
         if tag in INLINE:  # an inline element of a telling name, as a span of class advert, is a branch of its own
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = end.end() if end else at
+            if end and not _HOLDS.search(html, at, end.start()):
+                at = end.end()
             continue
         flush()
         if tag in _CLOSES_P:
@@ -140,18 +149,25 @@ def parse(html: str) -> tuple[list[tuple], dict[str, list[str]], bool]:
         kids = children[up[1]]
         if not kids or kids[-1] != label:
             kids.append(label)
-        bad = bad or up[2]
+        bad, within = bad or up[2], up[5]
+        if named:
+            names += 1
+            within = (*within, names)
         main = tag in ("article", "main") and not bad
-        has_main = has_main or main
+        has_main = has_main or main and not within
+        if main:
+            held.update(within)
         inside = up[3] or main
         keep = main or up[4] and label in FLOW and tag in FLOW and tag not in ("div", "section")
-        top = (tag, f"{up[1]}/{label}", bad, inside, keep)
+        top = (tag, f"{up[1]}/{label}", bad, inside, keep, within)
         stack.append(top)
         if attrs.endswith("/") and tag not in FLOW:
             stack.pop()
             top = stack[-1] if stack else root
     flush()
-    return blocks, children, has_main
+    if has_main:
+        held.clear()
+    return [(b[0], b[1], b[2] or not held.issuperset(b[5]), b[3], b[4]) for b in blocks], children, has_main
 
 
 def host(url):

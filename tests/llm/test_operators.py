@@ -275,6 +275,29 @@ def test_copies_of_a_page_keep_their_text(spark):
     assert {x["page_id"]: x["text"] for x in got} == {i: "gleich" if i % 4 else f"Text {i}" for i in range(40)}
 
 
+@pytest.mark.parametrize("html,want", [
+    ("<body class='single has-sidebar'><p>A</p></body>", "A"),
+    ("<body class='sidebar' hidden><p>A</p></body>", "A"),
+    ("<div class='content-with-sidebar'><p>A</p></div>", "A"),
+    ("<article class='post has-comments'><p>A</p></article>", "A"),
+    ("<article class='comments'><p>A</p></article>", "A"),
+    ("<main id='search-results'><p>A</p></main>", "A"),
+    ("<div class='share-price'>A</div>", "A"),
+    ("<div class='widget'><div class='sidebar'>weg</div><article>A</article></div>", "A"),
+    ("<span class='search'><main>A</main></span>", "A"),
+    ("<article>A</article><div class='comments'><article>weg</article></div>", "A"),
+    ("<div class='comments'>weg</div><p>A", "A"),
+    ("<article><p>Sei <math><msup><mi>x</mi><mn>2</mn></msup><annotation>x^2</annotation></math> gut</p></article>", "Sei x2 gut"),
+    ("<article><p>A<svg class='i'/>B</p><p>C</p></article>", "AB\nC"),
+    ("<article><p>A<svg class='i'>B</p><p>C</p></article>", "AB\nC"),
+    ("<article><p>A<svg><path/></svg>B</p><script/><p>C</p><iframe src=x><p>D</p></article>", "AB\nC\nD"),
+    ("<article><p>A</p><script>var b;", "A"),
+])
+def test_names_and_raw_elements_cut_no_text(html, want):
+    blocks, _, has_main = style_tree.parse(html)
+    assert "\n".join(text for _, text, noise, inside, _ in blocks if not noise and (inside or not has_main)) == want
+
+
 def brute_chat(roles):
     """Least cost by a search over all labels, merges and bridges."""
     cost = {chat.START: 0}
