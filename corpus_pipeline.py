@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import langid, mixing, ngram_join, packing, suffix_dedup
-from quire.llm.common import Scratch
+from quire.llm.common import Scratch, own_keys, with_given
 
 #: Documents whose language is predicted with less probability than this are rejected.
 LEAST_SCORE = 0.3
@@ -22,7 +22,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest doc_id of each group connected by a Jaccard similarity of 0.8 or more
-    of five-word shingles."""
+    of five-word shingles. Rows that repeat a doc_id, or have none, are documents of their own; of a group's rows
+    with the smallest doc_id one is kept, and one without a doc_id only if none has one."""
+    rows, given = own_keys(docs)
+    if given:
+        groups = ngram_join.jaccard_components(rows, 5, 80, 100).select("doc_id", "component_id")
+        order = F.struct(F.col(given).isNull().alias("none"), F.col(given).alias("given"), F.col("doc_id").alias("key"))
+        best = rows.select("doc_id", given).join(groups, "doc_id").groupBy("component_id").agg(F.min(order)["key"].alias("doc_id"))
+        return with_given(rows.join(best.select("doc_id"), "doc_id", "left_semi"), given, docs.columns)
     groups = ngram_join.jaccard_components(docs, 5, 80, 100)
     gone = groups.where("component_id <> doc_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
@@ -42,7 +49,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs documents, each copy for itself, into sequences of 1024 tokens."""
     import public_tokenizers
 
-    return packing.digests(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    return packing.digests(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), nulls=True))
 
 
 STAGES = [("language ID", language), ("n-gram Jaccard join", near_duplicates), ("suffix-array dedup", repeated_strings), ("mixing", mix), ("packing", pack)]

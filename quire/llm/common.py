@@ -185,6 +185,24 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", *more, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def own_keys(docs: DataFrame) -> tuple[DataFrame, str | None]:
+    """The rows with unique doc_ids, and the column that has the given ones: docs itself and None if those are
+    unique, else a written copy whose doc_id is a key of each row."""
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    if not ids.limit(1).count():
+        return docs, None
+    given = "_given"
+    while given in docs.columns:
+        given += "_"
+    rows = docs.withColumnRenamed("doc_id", given).withColumn("doc_id", F.monotonically_increasing_id())
+    return Scratch(docs.sparkSession).keep(rows, "rows"), given
+
+
+def with_given(rows: DataFrame, given: str | None, columns: list[str]) -> DataFrame:
+    """The columns of rows of own_keys(), with the given doc_ids."""
+    return rows.select(*[F.col(given).alias(c) if given and c == "doc_id" else c for c in columns])
+
+
 #: Edges that one task turns into components by itself; 16 bytes each.
 LOCAL_EDGES = 1 << 20
 

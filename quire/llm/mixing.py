@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import Scratch
+from quire.llm.common import Scratch, own_keys, with_given
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -121,6 +121,10 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The documents, each as often as mix() takes it, with all columns. Expects unique doc_ids."""
+    """The documents, each as often as mix() takes it, with all columns. Rows that repeat a doc_id, or
+    have none, are documents of their own."""
+    names = docs.columns
+    docs, given = own_keys(docs)
     take = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_d"), "copies")
-    return docs.join(take, F.col("doc_id") == F.col("_d")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    every = docs.join(take, F.col("doc_id") == F.col("_d")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return with_given(every, given, names)

@@ -153,16 +153,16 @@ def _tokens(path: str):
     return scan
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = 1024) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = 1024, nulls: bool = False) -> DataFrame:
     """(doc_id, start, pieces of ids, doc_tokens, sequence_id, offset): `ids` binary of little-endian 16-bit ids.
 
     tokenizer: path of a tokenizers file, present on each machine, with ids below 65536. A document's ids are
-    those of its text (null: empty) and END. Rows with a null doc_id are left out; rows that repeat a doc_id are
+    those of its text (null: empty) and END. Rows with a null doc_id are left out unless nulls is true; rows that repeat a doc_id are
     documents of their own. Equal keys are ordered by doc_id, so equal texts lie next to each other. Further columns are ignored. An empty
     table gives an empty result."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    base = texts(docs.where("doc_id is not null"))
+    base = texts(docs if nulls else docs.where("doc_id is not null"))
     tok = scratch.keep(base.mapInArrow(_tokens(tokenizer), "doc_id long, row long, n long, ids binary, vec array<double>"), "tokens")
     stat = tok.select(*[f(F.col("vec")[i]).alias(f"{a}{i}") for i in range(DIMS) for f, a in ((F.avg, "m"), (F.stddev_pop, "s"))]).first()
     mean = np.array([stat[f"m{i}"] or 0.0 for i in range(DIMS)])

@@ -40,7 +40,7 @@ def shingle_sets(off: np.ndarray, data: np.ndarray, n: int):
     h = np.zeros(max(0, len(w) - n + 1), _U)
     for j in range(n):
         h *= _U(0x9E3779B97F4A7C15)
-        h += w[j : len(w) - n + 1 + j]
+        h += w[j : j + len(h)]
     h = mix(h)
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
         if b - a >= n:

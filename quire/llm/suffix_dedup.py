@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Bits, Scratch, SpanHash, bucket_bits, buffers, chunks, high_bits, mix, pack, texts
+from quire.llm.common import Bits, Scratch, SpanHash, bucket_bits, buffers, chunks, high_bits, mix, own_keys, pack, texts, with_given
 
 SEED = 40
 #: Records that a mapper ranks together before it sends them.
@@ -311,7 +311,16 @@ def _chosen(docs: DataFrame, spans: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def digests(docs: DataFrame, length: int = 200) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each document; see repeated_spans()."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each document; see repeated_spans().
+    Rows that repeat a doc_id are documents of their own."""
+    rows, given = own_keys(docs.where("doc_id is not null"))
+    if given:
+        d = _digests(rows, length)
+        return d.join(rows.select("doc_id", given), "doc_id").select(F.col(given).cast("long").alias("doc_id"), *d.columns[1:])
+    return _digests(docs, length)
+
+
+def _digests(docs: DataFrame, length: int) -> DataFrame:
     own, spans = repeated_spans(docs, length)
     docs = texts(docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text"))
 
@@ -337,7 +346,9 @@ def digests(docs: DataFrame, length: int = 200) -> DataFrame:
 def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """The documents, with all columns, less the bytes of repeated strings; where that cuts a character, its
     other bytes go too. n_chars, if there is such a column, is counted anew. Documents that nothing is left of
-    are dropped."""
+    are dropped. Rows that repeat a doc_id, or have none, are documents of their own."""
+    names = docs.columns
+    docs, given = own_keys(docs)
     _, spans = repeated_spans(docs, length)
     flat = texts(docs, *[c for c in docs.columns if c not in ("doc_id", "text")])
 
@@ -357,4 +368,4 @@ def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     changed = _chosen(flat, spans, flat.columns).withColumn("text", cut("text", "starts", "ends")).drop("starts", "ends").where("text <> ''")
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return docs.join(spans.select("doc_id"), "doc_id", "left_anti").select(*docs.columns).unionByName(changed.select(*docs.columns))
+    return with_given(docs.join(spans.select("doc_id"), "doc_id", "left_anti").select(*docs.columns).unionByName(changed.select(*docs.columns)), given, names)

@@ -58,6 +58,11 @@ def test_ngram_join(table, plain, n, num, den):
     assert got == brute_components(plain, n, num, den)
 
 
+def test_ngram_join_of_few_words(spark):
+    got = ngram_join.jaccard_components(spark.createDataFrame([(1, "a"), (2, " A"), (3, "c")], "doc_id long, text string").coalesce(1), 5, 80, 100)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_trie_links_as_all_pairs():
     r = np.random.default_rng(0)
     for _ in range(20):
@@ -361,3 +366,56 @@ def test_stages_on_odd_rows(spark, table, plain, tmp_path):
             kept = {r["doc_id"]: r["text"] for r in before.collect()}
             assert {r["doc_id"] for r in docs.collect()} == {i for i, (_, c) in brute_components(kept, 5, 80, 100).items() if c == i}
     assert docs.count() > 0
+
+
+@pytest.fixture(scope="module")
+def repeated(spark):
+    """Rows that repeat a doc_id, with the same text or another, and rows without a doc_id."""
+    r = random.Random(9)
+    say = lambda k: " ".join("".join(r.choices("abcdefghijklmnop", k=r.randint(2, 7))) for _ in range(k))
+    long, other, passage, word = say(90), say(80), say(50), "".join(r.choices("abcdefgh", k=300))
+    rows = [(1, long)] * 3 + [(2, "a b")] * 2 + [(3, other + " " + passage), (3, passage + " " + say(60)), (None, say(70)), (None, long), (None, "c d"), (None, "c d"), (4, word), (4, word), (0, say(40)), (5, None), (5, None)]
+    return spark.createDataFrame([(i, t, "s", len(t or "")) for i, t in rows], "doc_id long, text string, source string, n_chars long").repartition(3)
+
+
+def plain_rows(df):
+    return Counter((r["doc_id"], r["text"]) for r in df.collect())
+
+
+def brute_cut(texts):
+    count = Counter(b[s : s + 200] for b in texts for s in range(len(b) - 199))
+    for b in texts:
+        gone = {x for s in range(len(b) - 199) if count[b[s : s + 200]] > 1 for x in range(s, s + 200)}
+        yield bytes(c for x, c in enumerate(b) if x not in gone)
+
+
+def test_repeated_rows_stay_through_the_stages(spark, repeated, tmp_path):
+    import corpus_pipeline as cp
+
+    rows = plain_rows(repeated)
+    once = cp.near_duplicates(spark, repeated, "")
+    long = next(t for (i, t), k in rows.items() if k == 3)
+    want = Counter({k: n if k[1] is None else 1 for k, n in rows.items()})  # texts without words have no group
+    del want[None, long]
+    assert once.columns == repeated.columns and plain_rows(once) == want
+    once.write.parquet(str(tmp_path / "once"))
+    once = spark.read.parquet(str(tmp_path / "once"))
+    cut = cp.repeated_strings(spark, once, "")
+    pairs = list(want.elements())
+    left = Counter((i, t if k == len((t or "").encode()) else b.decode()) for (i, t), b in zip(pairs, brute_cut([(t or "").encode() for _, t in pairs])) for k in [len(b)])
+    assert plain_rows(cut) == left and (1, long) in left
+    cut.write.parquet(str(tmp_path / "cut"))
+    pieces = cp.pack(spark, cp.mix(spark, spark.read.parquet(str(tmp_path / "cut")), ""), "").toPandas()
+    assert Counter(pieces[pieces.start == 0].doc_id.isna()) == Counter(i is None for i, _ in left.elements())
+
+
+def test_operators_on_repeated_rows(repeated):
+    rows = plain_rows(repeated)
+    texts = [(t or "").encode() for (i, t), k in rows.items() for _ in range(k)]
+    ids = [i for (i, _), k in rows.items() for _ in range(k)]
+    want = Counter((i, t.decode()) for i, a, t in zip(ids, texts, brute_cut(texts)) if t or not a)
+    assert Counter((i, t or "") for (i, t), k in plain_rows(suffix_dedup.without_repeats(repeated)).items() for _ in range(k)) == want
+    assert plain_rows(mixing.mixed(repeated)) == rows  # one source: each row once
+    have = [(i, t) for i, t in zip(ids, texts) if i is not None]
+    got = Counter((r["doc_id"], r["n_bytes"], r["kept_sha256"]) for r in suffix_dedup.digests(repeated).collect())
+    assert got == Counter((i, len(t), hashlib.sha256(k).hexdigest()) for (i, t), k in zip(have, brute_cut([t for _, t in have])))
