@@ -8,8 +8,10 @@ below LEAST are removed from each page of the host, unless nothing would be left
 copies and count as one page.
 
 Tags and whole names that mean a role are decided beforehand: navigation, adverts, forms and the like go, and the
-flow text of an article stays whatever other pages repeat, so mirrored articles are kept; a page with an
-article or main element has its text there. Entropy decides on all other nodes, from PAGES pages of a host on.
+flow text of an article is no node that can go whole; a page with an article or main element has its text there.
+In there entropy decides on each content of a leaf: one that so many of the host's distinct pages have that its
+importance, one less its entropy over these, is below INSIDE goes, headings and cells of tables and definition lists
+excepted. Entropy decides on all other nodes. Both do so from PAGES distinct pages of a host on.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from quire import ship
 from quire.llm.common import Scratch
 
-DECAY, LEAST, PAGES = 0.9, 0.4, 8
+DECAY, LEAST, INSIDE, PAGES = 0.9, 0.4, 0.1, 8
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _HOLDS = re.compile(r"<(?:article|main)[\s>]", re.I)
@@ -44,6 +46,8 @@ NOISE_NAMES = set(
 )
 HOLDERS = {"html", "body", "article", "main"}
 FLOW = set("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote table thead tbody tfoot tr td th caption figure figcaption div section hgroup details summary address hr".split())
+KEPT = {"h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "dt", "dd", "caption", "figcaption", "pre"}
+_WITHIN = r"/(?:article|main)(?:[./]|$)"
 _CLOSES_P = FLOW | {"article", "main", "nav", "aside", "header", "footer", "form", "fieldset"}
 _SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
@@ -234,6 +238,15 @@ def importance(seen: DataFrame) -> DataFrame:
     return both.select("host", F.col("p").alias("path"), F.coalesce("pm", "m").alias("pages"), value.alias("importance"))
 
 
+def repeated(seen: DataFrame) -> DataFrame:
+    """(host, path, content) of leaves in an article or main that most of a host's distinct pages have."""
+    own = seen.where(F.col("leaf") & (F.col("content") != "") & (F.col("c") >= PAGES // 2) & F.col("path").rlike(_WITHIN))
+    own = own.where(~F.regexp_extract("path", r"([^./]+)[^/]*$", 1).isin(*KEPT))
+    pages = seen.where("not leaf and path = '' and content = ''").select(F.col("host").alias("h"), F.col("c").alias("m")).where(F.col("m") >= PAGES)
+    entropy = (F.log("c") - F.col("l") / F.col("c")) / F.log("m")
+    return own.join(pages, F.col("host") == F.col("h")).where(1 - entropy < INSIDE).select("host", "path", "content")
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each page.
 
@@ -246,6 +259,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     p = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"), host(F.col("url")).alias("host"))
     seen = scratch.keep(observed(p.select("host", "html")), "seen")
     low = importance(seen).where((F.col("pages") >= PAGES) & (F.col("importance") < LEAST))
+    low = low.select("host", "path").union(repeated(seen).select("host", F.concat_ws("\n", "path", "content")))
     low = scratch.keep(low.groupBy(F.col("host").alias("h")).agg(F.collect_set("path").alias("low")), "low")
     scratch.drop("seen")
     kind = dict(pages.dtypes)["page_id"]
@@ -261,6 +275,8 @@ def main_text(pages: DataFrame) -> DataFrame:
                     if noise or has_main and not inside:
                         continue
                     every.append(text)
+                    if gone and f"{path}\n{hash_text(text)}" in gone:
+                        continue
                     if gone and not protected:
                         # branches below the nearest article or main, or below body
                         names = path.split("/")

@@ -280,6 +280,17 @@ def test_copies_of_a_page_keep_their_text(spark):
     assert {x["page_id"]: x["text"] for x in got} == {i: "gleich" if i % 4 else f"Text {i}" for i in range(40)}
 
 
+def test_entropy_decides_in_articles(spark):
+    notice = "<p>Alle Rechte vorbehalten</p><ul><li>Folgen Sie uns</ul>"
+    pages = [(i, f"http://h.example/{i}", f"<body><article><h2>Fazit</h2><p>Text {i}</p>{notice}{'<p>Wie im Teil davor</p>' if i % 3 == 0 else ''}</article></body>") for i in range(30)]
+    pages += [(100 + i, f"http://few.example/{i}", f"<body><article><p>Text {i}</p>{notice}</article></body>") for i in range(7)]
+    pages += [(200 + i, f"http://mirror.example/{i}", f"<body><div>Nr. {i}</div><article><p>Der Artikel</p></article></body>") for i in range(20)]
+    got = {x["page_id"]: x["text"] for x in style_tree.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    want = {i: f"Fazit\nText {i}" + ("\nWie im Teil davor" if i % 3 == 0 else "") for i in range(30)}
+    want |= {100 + i: f"Text {i}\nAlle Rechte vorbehalten\nFolgen Sie uns" for i in range(7)} | {200 + i: "Der Artikel" for i in range(20)}
+    assert got == want
+
+
 @pytest.mark.parametrize("html,want", [
     ("<body class='single has-sidebar'><p>A</p></body>", "A"),
     ("<body class='sidebar' hidden><p>A</p></body>", "A"),
