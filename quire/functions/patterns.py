@@ -98,3 +98,6 @@ COUNTRIES = {
 }
 # fixed values: further countries, known only as the last part of an affiliation
 LAST_PART_COUNTRIES = {"guatemala": "GT", "honduras": "HN", "republica dominicana": "DO"}
+
+#: A month and a year at most 30 characters later: the period of a publication.
+PERIOD = r"(?iu)(enero|febrero|marzo|abril|mayo|junio|julio|agosto|septiembre|octubre|noviembre|diciembre|january|february|march|april|may|june|july|august|september|october|november|december).{1,30}(\d{4})"

@@ -31,6 +31,12 @@ def norm(col):
     return squeeze(F.translate(F.lower(col), ACCENTED, PLAIN))
 
 
+def keywords(col):
+    """The keywords of a line, without its label, blanks, dots and semicolons around them, and empty ones."""
+    t = F.regexp_replace(clean(col), r"(?iu)^(palabras\s+clave|keywords)\s*[:.]?\s*", "")
+    return F.filter(F.transform(F.split(t, "[;,]"), lambda x: F.regexp_replace(x, r"^[ .;]+|[ .;]+$", "")), lambda x: x != "")
+
+
 def escape(col):
     return F.replace(F.replace(F.replace(col, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import patterns as P
-from quire.functions.text import autolink, clean, doi, editorial, escape, issn, strip
+from quire.functions.citation import citations, element_citation, issue_numbers, manuscript_dates
+from quire.functions.text import autolink, clean, doi, editorial, escape, issn, keywords, strip
 
 
 def ordered(col, sep: str, *keys: str):
@@ -80,7 +81,8 @@ def insert_media(pages: DataFrame, media: DataFrame) -> DataFrame:
 
 
 def jats_documents(routed: DataFrame) -> DataFrame:
-    """(doc_id, jats): front matter, abstracts, keywords, body sections and references of route()'s parts."""
+    """(doc_id, jats): front matter, publication date and numbers, history, abstracts, keywords, notes, body sections and
+    references, whole and structured, of route()'s parts. Absent values have no element."""
     t, part = F.col("text"), F.col("part")
     tag = lambda name, body, attr="": F.concat(F.lit(f"<{name}{attr}>"), body, F.lit(f"</{name}>"))
     of = lambda name, wrap, sep="": F.array_join(F.transform(F.array_sort(F.collect_list(F.when(part == name, F.struct("seq", wrap.alias("v"))))), lambda x: x["v"]), sep)
@@ -91,14 +93,36 @@ def jats_documents(routed: DataFrame) -> DataFrame:
     g = routed.groupBy("doc_id").agg(
         F.coalesce(first(title), F.lit("Articulo")).alias("title"), F.coalesce(first(doi(t)), F.lit("")).alias("doi"), F.coalesce(first(issn(t)), F.lit("0000-0000")).alias("issn"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(body.isNotNull(), F.struct("seq", body.alias("v"))))), lambda x: x["v"]), "").alias("body"),
-        F.transform(F.array_sort(F.collect_list(F.when(part == "ref", F.struct("seq", t.alias("v"))))), lambda x: x["v"]).alias("refs"),
+        *[F.transform(F.array_sort(F.collect_list(F.when(part == n, F.struct("seq", t.alias("v"))))), lambda x: x["v"]).alias(n) for n in ("front_note", "cite_note", "date_note", "keywords_es", "keywords_en", "keywords")],
         *[of(n, tag("p", escape(t))).alias(n) for n, _ in abstracts],
     )
-    refs = F.array_join(F.transform("refs", lambda r, i: F.concat(F.lit('<ref id="R'), (i + 1).cast("string"), F.lit('"><mixed-citation>'), escape(r), F.lit("</mixed-citation></ref>"))), "")
+    cited = citations(routed.where(part == "ref").select("doc_id", "seq", t.alias("raw"))).withColumn("_x", element_citation())
+    cited = cited.groupBy(F.col("doc_id").alias("_d")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "_x"))), lambda x: x["_x"]).alias("refs"))
+    g = g.join(cited, F.col("doc_id").eqNullSafe(F.col("_d")), "left").withColumn("_n", issue_numbers(F.col("front_note"), F.col("doi")))
+    refs = F.array_join(F.transform("refs", lambda r, i: F.concat(F.lit('<ref id="R'), (i + 1).cast("string"), F.lit('">'), r, F.lit("</ref>"))), "")
+    some = lambda name, value, attr="": F.when(value != "", tag(name, escape(value), attr))
+    n = F.col("_n")
+    numbers = [F.when(n["year"] != "", tag("pub-date", tag("year", n["year"]), ' pub-type="epub"')), *[some(k, n[k]) for k in ("volume", "issue", "fpage", "lpage")],
+               F.when(n["fpage"] == "", some("elocation-id", F.substring_index("doi", ".", -1)))]
+    day = lambda d: F.concat_ws("", F.concat(F.lit('<date date-type="'), d["date_type"], F.lit('">')), some("day", d["day"]), some("month", d["month"]), tag("year", d["year"]), F.lit("</date>"))
+    dates = F.array_join(F.transform(manuscript_dates(F.array_join("date_note", " ")), day), "")
+
+    def group(name, lang, title):
+        words = F.flatten(F.transform(name, keywords))
+        lower = F.transform(words, F.lower)
+        own = F.filter(words, lambda x, i: F.array_position(lower, F.lower(x)) == i + 1)
+        inner = F.concat(tag("title", F.lit(title)), F.array_join(F.transform(own, lambda x: tag("kwd", escape(x))), ""))
+        return F.when(F.size(own) > 0, tag("kwd-group", inner, f' kwd-group-type="author-generated" xml:lang="{lang}"'))
+
+    meta = lambda name: lambda x: tag("custom-meta", F.concat(tag("meta-name", F.lit(name)), tag("meta-value", escape(x))))
+    period = F.slice(F.filter("front_note", lambda x: x.rlike(P.PERIOD)), 1, 1)
+    other = F.filter("front_note", lambda x: ~F.array_contains(period, x))
+    notes = F.array_join(F.concat(F.transform(period, meta("publication-period")), F.transform(other, meta("front-note")), F.transform("cite_note", meta("how-to-cite"))), "")
+    more = [group("keywords_es", "es", "Palabras clave"), group("keywords_en", "en", "Keywords"), group("keywords", "es", "Palabras clave"), F.when(notes != "", tag("custom-meta-group", notes))]
     # the body opens one section too few and closes one too many at its first heading
     text = F.regexp_replace(F.concat(F.col("body"), F.when(F.contains(F.col("body"), F.lit("<sec>")), F.lit("</sec>")).otherwise("")), r"^(.*?)</sec><sec>", "$1<sec>")
     lead = F.regexp_replace(text, r"^((?:<p>[^<]*</p>)+)(?=<sec>)", "<sec>$1</sec>")
-    head = F.concat_ws("", F.lit("<front><journal-meta>"), tag("issn", F.col("issn")), F.lit("</journal-meta><article-meta>"), F.when(F.col("doi") != "", tag("article-id", escape(F.col("doi")), ' pub-id-type="doi"')), F.lit("<title-group>"), tag("article-title", escape(F.col("title"))), F.lit("</title-group>"), *[F.when(F.col(n) != "", tag("abstract" if "xml:lang=\"es\"" in a else "trans-abstract", F.col(n), a)) for n, a in abstracts], F.lit("</article-meta></front>"))
+    head = F.concat_ws("", F.lit("<front><journal-meta>"), tag("issn", F.col("issn")), F.lit("</journal-meta><article-meta>"), F.when(F.col("doi") != "", tag("article-id", escape(F.col("doi")), ' pub-id-type="doi"')), F.lit("<title-group>"), tag("article-title", escape(F.col("title"))), F.lit("</title-group>"), *numbers, F.when(dates != "", tag("history", dates)), *[F.when(F.col(k) != "", tag("abstract" if "xml:lang=\"es\"" in a else "trans-abstract", F.col(k), a)) for k, a in abstracts], *more, F.lit("</article-meta></front>"))
     back = F.when(F.size("refs") > 0, F.concat(F.lit("<back><ref-list>"), refs, F.lit("</ref-list></back>"))).otherwise("")
     return g.select("doc_id", F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<article xmlns:xlink="http://www.w3.org/1999/xlink" article-type="research-article" xml:lang="es">'), head, tag("body", lead), back, F.lit("</article>")).alias("jats"))
 

@@ -203,7 +203,7 @@ def queries() -> dict:
         "note_dedup": lambda s, d: B.distinct_notes(lab(s, d).where(F.col("clasificacion").isin(P.FECHA, P.CITAR))).select("doc_id", "seq"),
         "emails": lambda s, d: blocks(s, d).select("doc_id", "seq", F.explode(F.regexp_extract_all("contenido", F.lit(P.EMAIL_ANY), F.lit(0))).alias("email")),
         "html_escape": lambda s, d: blocks(s, d).select("doc_id", "seq", T.escape(F.col("contenido")).alias("html")),
-        "keywords": lambda s, d: lab(s, d).where(F.col("clasificacion") == P.CLAVE).select("doc_id", "seq", F.explode(F.array_distinct(F.transform(F.split(F.regexp_replace("contenido", r"^(?i)(palabras\s+clave|keywords)\s*[:.]\s*", ""), "[;,]"), lambda x: F.lower(F.trim(x))))).alias("kw")),
+        "keywords": lambda s, d: lab(s, d).where(F.col("clasificacion") == P.CLAVE).select("doc_id", "seq", F.explode(F.array_distinct(F.transform(T.keywords(F.col("contenido")), F.lower))).alias("kw")),
         "ref_prefix": lambda s, d: refs(s, d).select("ref_no", T.reference_text(F.col("raw")).alias("ref")),
         "pub_type": lambda s, d: refs(s, d).select("ref_no", T.publication_type(F.col("raw")).alias("pub_type")),
         "ref_year_pages_doi": lambda s, d: refs(s, d).select("ref_no", F.regexp_extract("raw", r"\((\d{4})\)", 1).alias("year"), F.regexp_extract("raw", P.PAGES, 1).alias("fpage"), F.regexp_extract("raw", P.PAGES, 2).alias("lpage"), F.regexp_extract("raw", P.DOI_URL, 1).alias("doi")),

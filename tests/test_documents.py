@@ -125,6 +125,25 @@ def test_jats(article):
     assert [x.get("id") for x in root.findall(".//ref")] == ["R1", "R2"] and root.findtext(".//abstract/p") == "corto"
 
 
+def test_keywords(spark):
+    assert one(spark, T.keywords, "Palabras clave: Uno., dos ;; .", "KEYWORDS a, b.c", "", None) == [["Uno", "dos"], ["a", "b.c"], [], None]
+
+
+def test_jats_has_all_parts(spark):
+    x = blocks(
+        spark, ("T", P.TITULO), ("Volumen 13, núm. 2, enero - abril 2024, p. 45–67", P.SECCION), ("ISSN 2007-5189", P.SECCION), ("Cite así & ya", P.CITAR), ("Manuscrito recibido: Diciembre 5, 2020.", P.FECHA),
+        ("Resumen", P.SECCION), ("c", P.RESUMEN), ("Palabras clave: uno., Uno; <dos>", P.CLAVE), ("Abstract", P.SECCION), ("d", P.RESUMEN), ("Keywords: one", P.CLAVE), ("Cosas", P.SECCION), ("p", P.CUERPO), ("Keywords: all", P.CLAVE),
+        ("Referencias", P.SECCION), ("García, A. B. (2001). Un título. Revista, 12(3), 45–67.", P.REFERENCIA), ("Sin año", P.REFERENCIA))
+    m = ElementTree.fromstring(render.jats_documents(splits.route(x)).collect()[0].jats.encode())
+    meta = m.find("./front/article-meta")
+    assert [meta.findtext(p) for p in ("pub-date/year", "volume", "issue", "fpage", "lpage")] == ["2024", "13", "2", "45", "67"]
+    assert [[k.text for k in g.findall("kwd")] for g in meta.findall("kwd-group")] == [["uno", "<dos>"], ["one"], ["all"]]
+    assert [(d.get("date-type"), d.findtext("day"), d.findtext("month"), d.findtext("year")) for d in meta.findall("history/date")] == [("received", "5", "12", "2020")]
+    assert [(c.findtext("meta-name"), c.findtext("meta-value")) for c in meta.iter("custom-meta")] == [("publication-period", "Volumen 13, núm. 2, enero - abril 2024, p. 45–67"), ("front-note", "ISSN 2007-5189"), ("how-to-cite", "Cite así & ya")]
+    assert [(r.get("id"), r.findtext("element-citation/person-group/name/surname"), r.findtext("element-citation/year")) for r in m.iter("ref")] == [("R1", "García", "2001"), ("R2", None, None)]
+    assert [r.findtext("mixed-citation") for r in m.iter("ref")][1] == "Sin año"
+
+
 def test_html_media_and_epub(spark, article, tmp_path):
     page = render.html_documents(article, "p{}")
     html = page.collect()[0].html
