@@ -14,9 +14,13 @@ LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter, or of no language with probability LEAST_SCORE."""
+    """Rejects documents without a letter, or of no language with probability LEAST_SCORE; none at all where no
+    text has a label to learn from."""
     names = docs.columns
-    p = langid.predict(docs, langid.learn(docs), *[c for c in names if c not in ("doc_id", "text")], "text")
+    model = langid.learn(docs)
+    if model is None:
+        return docs
+    p = langid.predict(docs, model, *[c for c in names if c not in ("doc_id", "text")], "text")
     return p.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*names)
 
 

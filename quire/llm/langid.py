@@ -17,7 +17,8 @@ from quire.llm.common import buffers, chunks, texts
 
 WINDOW = 256
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 16, 8
-#: Bounds of the training sample: texts of each language, windows of each text, languages.
+#: Bounds of the training sample: texts of each language, windows of each text. Languages that one round of STEPS
+#: is enough for.
 TEXTS, WINDOWS, LANGUAGES = 400, 4, 200
 STEPS, BATCH = 500, 64
 UNKNOWN = "und"
@@ -112,32 +113,36 @@ def logits(tables: dict, x: np.ndarray) -> np.ndarray:
     return np.concatenate(pooled, 1) @ tables["out"] + tables["bias"]
 
 
-def sample(docs: DataFrame, texts_each: int = TEXTS) -> list[tuple[str, str]]:
-    """(lang, text) of about texts_each rows of each language, chosen by a hash of doc_id. docs: the rows that
-    may be learnt from. Counts are taken over all of them; LANGUAGES are learnt at most."""
-    counts = {r["lang"]: r["k"] for r in docs.groupBy("lang").agg(F.count("*").alias("k")).orderBy(F.desc("k"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
-        return []
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, texts_each / n))])
-    rows = docs.where(F.col("lang").isin(*counts)).where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-    size = WINDOW * 4 * WINDOWS
-    return sorted((r["lang"], r["text"]) for r in rows.select("lang", F.substring("text", 1, size).alias("text")).collect())
+def sample(docs: DataFrame, texts_each: int = TEXTS) -> list[tuple[str, bytes]]:
+    """(lang, bytes) of about texts_each rows of each language, chosen by a hash of doc_id: a text of up to WINDOWS
+    windows whole, of a longer one WINDOWS + 1 windows at hashed places anywhere in it. docs: the rows that may be
+    learnt from. Counts are taken over all of them; every language is learnt."""
+    share = docs.groupBy(F.col("lang").alias("_lang")).agg(F.least(F.lit(1.0), F.lit(float(texts_each)) / F.count("*")).alias("_share"))
+    rows = docs.join(F.broadcast(share), F.col("lang") == F.col("_lang")).where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < F.col("_share") * (1 << 20))
+    raw, n = F.encode("text", "UTF-8"), F.octet_length("text")
+    at = [F.pmod(F.xxhash64("doc_id", F.lit(4 + i)), n - WINDOW + 1).cast("int") + 1 for i in range(WINDOWS + 1)]
+    parts = F.when(n <= WINDOW * WINDOWS, F.array(raw)).otherwise(F.array(*[raw.substr(x, F.lit(WINDOW)) for x in at]))
+    return sorted((r["lang"], bytes(r["part"])) for r in rows.select("lang", F.explode(parts).alias("part")).collect())
 
 
-def train(rows: list[tuple[str, str]], steps: int = STEPS) -> ByteCNN | None:
+def train(rows: list[tuple[str, str | bytes]], steps: int = STEPS) -> ByteCNN | None:
+    """A model of texts: all windows of one that has up to WINDOWS and one that begins anywhere, WINDOWS + 1 of those
+    of a longer one. Steps grow with the languages beyond LANGUAGES."""
     labels = sorted({a for a, _ in rows})
     if not labels:
         return None
+    place = {k: i for i, k in enumerate(labels)}
     x, y, r = [], [], np.random.default_rng(5)
     for lang, text in rows:
-        raw = text.encode()
-        for w in windows(raw)[:WINDOWS]:
-            x.append(w)
-            y.append(labels.index(lang))
-        if len(raw) > WINDOW:  # windows begin anywhere in a word
-            at = int(r.integers(1, len(raw) - WINDOW + 1))
-            x.append(np.frombuffer(raw[at : at + WINDOW], np.uint8))
-            y.append(labels.index(lang))
+        raw = text if isinstance(text, bytes) else text.encode()
+        whole = len(raw) <= WINDOW * WINDOWS
+        own = list(windows(raw)) if whole else []
+        for _ in range((len(raw) > WINDOW) if whole else WINDOWS + 1):  # windows begin anywhere in a word
+            at = int(r.integers(0, len(raw) - WINDOW + 1))
+            own.append(np.frombuffer(raw[at : at + WINDOW], np.uint8))
+        x += own
+        y += [place[lang]] * len(own)
+    steps *= -(-len(labels) // LANGUAGES)
     return ByteCNN(labels).fit(np.array(x), np.array(y), steps)
 
 

@@ -222,6 +222,27 @@ def test_language_id_learns(spark):
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (1000, 1001, 1002))
 
 
+def test_language_id_learns_whole_texts(spark):
+    r = random.Random(8)
+    words = {"xx": ["".join(r.choices("abcde", k=4)) for _ in range(50)], "yy": ["".join(r.choices("uvwxy", k=4)) for _ in range(50)]}
+    head = "HEADER 0123 " * 360  # 4,320 bytes that all texts begin with
+    rows = [(i, head + " ".join(r.choices(words[k], k=1500)), k) for i, k in enumerate(["xx", "yy"] * 20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.sample(d)
+    assert got == langid.sample(d.repartition(3)) and len(got) == 5 * len(rows) and all(len(b) == langid.WINDOW for _, b in got)
+    m = langid.train(got, 60)
+    assert sum(x["lang_pred"] == x["lang"] for x in langid.predict(d, m, "lang").collect()) >= 0.97 * len(rows)
+    many = spark.createDataFrame([(i, f"text {i}", f"l{i}") for i in range(230)], "doc_id long, text string, lang string")
+    assert {k for k, _ in langid.sample(many)} == {f"l{i}" for i in range(230)}
+
+
+def test_nothing_learnt_rejects_nothing(spark):
+    import corpus_pipeline as cp
+
+    d = spark.createDataFrame([(1, "ein Text", None), (2, "12", None)], "doc_id long, text string, lang string")
+    assert cp.language(spark, d, "").collect() == d.collect()
+
+
 def test_language_tables_are_the_network():
     m = langid.ByteCNN(["a", "b"])
     x = np.random.default_rng(0).integers(0, 256, (5, langid.WINDOW), dtype=np.uint8)
