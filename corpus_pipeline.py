@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import langid, mixing, ngram_join, packing, suffix_dedup
-from quire.llm.common import Scratch, own_keys, with_given
+from quire.llm.common import Scratch, own_keys, scratches, with_given
 
 #: Documents whose language is predicted with less probability than this are rejected.
 LEAST_SCORE = 0.3
@@ -56,9 +56,30 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), nulls=True))
 
 
-STAGES = [("language ID", language), ("n-gram Jaccard join", near_duplicates), ("suffix-array dedup", repeated_strings), ("mixing", mix), ("packing", pack)]
+#: Tables that stages have written for themselves; those of a stage go when the next one begins.
+_left: list[Scratch] = []
 
-#: Networks, hashes and tokens have no SQL; tests hold each stage against brute force.
+
+def _clean(stage):
+    """The stage, which first removes what stages before it have left. Its documents are the written result of the one
+    before; tables that they still read stay."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles() if _left else []
+        for s in [s for s in _left if not any(s.root.rsplit("/", 1)[-1] in f for f in read)]:
+            s.clear()
+            _left.remove(s)
+        with scratches() as opened:
+            out = stage(spark, docs, sf_dir)
+        _left.extend(opened)
+        return out
+
+    return run
+
+
+STAGES = [(name, _clean(f)) for name, f in (("language ID", language), ("n-gram Jaccard join", near_duplicates), ("suffix-array dedup", repeated_strings), ("mixing", mix), ("packing", pack))]
+
+#: Networks, hashes and tokens have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
@@ -68,4 +89,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = scratch.keep(docs, f"stage-{i}")
+            if i:
+                scratch.drop(f"stage-{i - 1}")
     return docs

@@ -5,7 +5,8 @@ the last one an assistant's. A turn may keep its role or take another (RELABEL),
 the same role (MERGE), and empty turns may be put before it or at the end (INSERT each). The cheapest repair is
 a shortest path over the automaton's states. A path's costs over a run of turns are a matrix in (min, +), so
 conversations are cut into chunks of CHUNK turn numbers: chunks become matrices, a conversation's matrices
-choose the states at the cuts, and chunks are repaired between their states. No task holds a whole conversation.
+choose the states at the cuts, and chunks are repaired between their states. No task holds the texts of a whole
+conversation.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire import ship
+from quire.llm.common import in_order, session
 
 START, SYSTEM, USER, ASSISTANT = range(4)
 ROLES = ["", "system", "user", "assistant"]
@@ -105,6 +106,17 @@ def repair(roles: list[int], entry: int, exit_: int) -> list[tuple[int, int, int
     return out[::-1]
 
 
+#: Rows that a scan holds before it passes them on, and the columns of these.
+ROWS = 2000
+MEASURED = {"conv_id": pa.int64(), "chunk": pa.int64(), "m": pa.list_(pa.int64())}
+CHOSEN = {"c": pa.int64(), "k": pa.int64(), "entry": pa.int32(), "exit": pa.int32(), "last": pa.bool_()}
+REPAIRED = {k: pa.int64() if k in ("conv_id", "turn", "cost") else pa.string() for k in ("conv_id", "turn", "role", "new_role", "action", "inserted", "finish", "cost", "piece")}
+
+
+def _record(rows: list[tuple], kinds: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())], list(kinds))
+
+
 def _groups(batches, key, row):
     """Runs of rows of one key in sorted batches."""
     now, rows = None, []
@@ -126,40 +138,41 @@ def repaired(turns: DataFrame) -> DataFrame:
     pieces in order of turn make it whole.
 
     Roles are compared without case and outer space; others and null are unknown and must be relabelled. A null
-    text is empty, a null turn the first. Equal turn numbers are ordered by role, then text; rows with a null
-    conv_id are left out. Further columns are ignored. An empty table gives an empty result."""
-    spark = turns.sparkSession
-    ship(spark)
+    text is empty, a null turn the first. Equal turn numbers are ordered by role, then a hash of the text, and lie in one
+    chunk, which a task holds; rows with a null conv_id are left out. Further columns are ignored. An empty table gives an empty result."""
+    session(turns.sparkSession)
     t = turns.where("conv_id is not null").select(F.col("conv_id").cast("long"), F.coalesce(F.col("turn"), F.lit(-1)).cast("long").alias("turn"), "role", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    t = t.withColumn("chunk", F.floor(F.col("turn") / CHUNK).cast("long"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    t = t.withColumn("chunk", F.floor(F.col("turn") / CHUNK).cast("long")).withColumn("tie", F.xxhash64("text"))
 
     def measure(batches):
-        rows = [(*k, [c for line in matrix([role_number(r) for r, in g]) for c in line]) for k, g in _groups(batches, ("conv_id", "chunk"), ("role",))]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["conv_id", "chunk", "m"])
+        out = []
+        for k, g in _groups(batches, ("conv_id", "chunk"), ("role",)):
+            out.append((*k, [c for line in matrix([role_number(r) for r, in g]) for c in line]))
+            if len(out) >= ROWS:
+                yield _record(out, MEASURED)
+                out = []
+        yield _record(out, MEASURED)
 
-    light = t.repartition(parts, "conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", "turn", "role", "text")
-    sizes = light.select("conv_id", "chunk", "role").mapInArrow(measure, "conv_id long, chunk long, m array<long>")
+    # only roles and a hash of the text, for ties, are dealt out here
+    order = ["conv_id", "chunk", "turn", "role", "tie"]
+    sizes = in_order(t.select(*order), ["conv_id", "chunk"], order, measure, "conv_id long, chunk long, m array<long>")
 
     def choose(batches):
         out = []
         for (conv,), g in _groups(batches, ("conv_id",), ("chunk", "m")):
             states, _ = cuts([[m[4 * a : 4 * a + 4] for a in range(4)] for _, m in g])
-            out += [(conv, c, states[i], states[i + 1], i + 1 == len(g)) for i, (c, _) in enumerate(g)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()))], ["c", "k", "entry", "exit", "last"])
+            for i, (c, _) in enumerate(g):
+                out.append((conv, c, states[i], states[i + 1], i + 1 == len(g)))
+            if len(out) >= ROWS:
+                yield _record(out, CHOSEN)
+                out = []
+        yield _record(out, CHOSEN)
 
-    states = sizes.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "chunk").mapInArrow(choose, "c long, k long, entry int, exit int, last boolean")
+    states = in_order(sizes, ["conv_id"], ["conv_id", "chunk"], choose, "c long, k long, entry int, exit int, last boolean")
     both = t.join(states, (F.col("conv_id") == F.col("c")) & (F.col("chunk") == F.col("k")))
-    both = both.repartition(parts, "conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", "turn", "role", "text")
-    both = both.select("conv_id", "chunk", "entry", "exit", "last", "turn", "role", "text")
+    both = both.select("conv_id", "chunk", "entry", "exit", "last", "turn", "role", "text", "tie")
 
     def apply(batches):
-        names = ["conv_id", "turn", "role", "new_role", "action", "inserted", "finish", "cost", "piece"]
-
-        def batch(out):
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string())
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
-
         out = []
         for (conv, _, entry, exit_, last), g in _groups(batches, ("conv_id", "chunk", "entry", "exit", "last"), ("turn", "role", "text")):
             path = repair([role_number(r) for _, r, _ in g], entry, exit_)
@@ -172,9 +185,10 @@ def repaired(turns: DataFrame) -> DataFrame:
                 relabel = role_number(role) != to
                 action = ("relabel+merge" if relabel else "merge") if merged else ("relabel" if relabel else "keep")
                 out.append((conv, turn, role, ROLES[to], action, ",".join(ROLES[x] for x in put), ",".join(ROLES[x] for x in end), c + INSERT * len(end), piece))
-            if len(out) >= 2000:
-                yield batch(out)
-                out = []
-        yield batch(out)
+                if len(out) >= ROWS:
+                    yield _record(out, REPAIRED)
+                    out = []
+        yield _record(out, REPAIRED)
 
-    return both.mapInArrow(apply, "conv_id long, turn long, role string, new_role string, action string, inserted string, finish string, cost long, piece string")
+    order = ["conv_id", "chunk", "turn", "role", "tie"]
+    return in_order(both, ["conv_id", "chunk"], order, apply, "conv_id long, turn long, role string, new_role string, action string, inserted string, finish string, cost long, piece string")

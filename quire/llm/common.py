@@ -1,10 +1,14 @@
 """Helpers shared by the training-data operators: Arrow buffers as numpy arrays,
-position-independent hashes of byte spans, packed shuffles, bitsets of a fixed size
-and intermediate tables in the folder the cluster shares."""
+position-independent hashes of byte spans, packed shuffles, bitsets of a checked size,
+Python scans that give their memory back, and intermediate tables in the folder the cluster shares."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -18,7 +22,58 @@ from quire import ship
 #: a single longer text is one pass of its own.
 CHUNK_BYTES = 1 << 17
 
+#: Bytes of an Arrow batch that Spark hands to Python, for wide texts; a session's own smaller value stays.
+BATCH_BYTES = 8 << 20
+
 _U = np.uint64
+pa.set_memory_pool(pa.system_memory_pool())  # the one pool whose free pages release() can return
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Returns free memory to the machine. Python workers outlive their tasks and serve later operators."""
+    if _trim:
+        _trim(0)
+
+
+def session(spark: SparkSession) -> None:
+    """Makes the session ready for scans in Python: the package on the workers, Arrow batches of BATCH_BYTES at most."""
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key)).lower().rstrip("b")
+    if int(now) > BATCH_BYTES if now.isdigit() else True:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def mapped(df: DataFrame, scan, schema) -> DataFrame:
+    """mapInArrow whose worker gives its memory back at the end of each task."""
+
+    def run(batches):
+        try:
+            yield from scan(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
+
+
+def grouped(df: DataFrame, key: str, work, schema) -> DataFrame:
+    """groupBy(key).applyInArrow whose worker gives its memory back after each group."""
+
+    def run(k, table):
+        try:
+            return work(k, table)
+        finally:
+            release()
+
+    return df.groupBy(key).applyInArrow(run, schema)
+
+
+def in_order(df: DataFrame, by: list[str], order: list[str], scan, schema) -> DataFrame:
+    """Rows dealt out by `by`, sorted by `order` (which begins with `by`) and scanned in that order. Spark sorts and
+    spills; the scan holds a batch and what it carries over."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return mapped(df.repartition(parts, *by).sortWithinPartitions(*order), scan, schema)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -113,37 +168,44 @@ def high_bits(h: np.ndarray, bits: int) -> np.ndarray:
 def bucket_bits(spark: SparkSession, each: int = 4) -> int:
     """Buckets of a packed shuffle, as a power of two: each times the shuffle partitions, which
     an operator of the cluster raises with the input."""
-    return min(16, max(2, (each * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
+    return max(2, (each * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
 
 
-class Bits:
-    """A set of 64-bit hashes in 2**24 bits (2 MB): may hold more than was put in, never less."""
+#: The largest bitset that is sent to all executors has 2 ** MOST_BITS bits (32 MB); sets with less than 6 bits an
+#: element in it go by a join instead.
+MOST_BITS = 28
 
-    BITS = 24
 
-    def __init__(self, data: bytes | None = None):
-        self.data = np.frombuffer(data, np.uint8) if data else np.zeros(1 << (self.BITS - 3), np.uint8)
+class Bits:
+    """A set of 64-bit hashes in a power of two of bits: may hold more than was put in, never less."""
 
-    def has(self, pos: np.ndarray) -> np.ndarray:
-        return (self.data[pos >> 3] >> (pos & 7).astype(np.uint8)) & 1 == 1
+    def __init__(self, data: bytes):
+        self.data, self.mask = np.frombuffer(data, np.uint8), _U(8 * len(data) - 1)
 
-    @staticmethod
-    def slice_of(pos: np.ndarray, bucket: int, bits: int) -> bytes:
-        """The bytes of one bucket's part of the set; pos: positions that begin with the bucket's bits."""
-        size = 1 << (Bits.BITS - bits)
-        out = np.zeros(max(8, size), np.uint8)
-        out[pos - bucket * size] = 1
-        return np.packbits(out, bitorder="little").tobytes()
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        pos = (hashes.view(_U) & self.mask).astype(np.int64)
+        return (self.data[pos >> 3] >> (pos & 7).astype(np.uint8)) & 1 == 1
 
     @staticmethod
-    def gather(rows: DataFrame) -> bytes:
-        """Joins the slices (bucket, data) of all buckets. 2 MB at most, whatever the input."""
-        out = np.zeros(1 << (Bits.BITS - 3), np.uint8)
-        for bucket, bits, data in rows.select("bucket", "bits", "data").toLocalIterator():
-            at = bucket << (Bits.BITS - bits - 3)
-            part = np.frombuffer(data, np.uint8)
-            out[at : at + len(part)] |= part
-        return out.tobytes()
+    def of(hashes: DataFrame, count: int) -> bytes | None:
+        """The set of a column `h` of longs, of which there are count; None if it is larger than all executors should
+        get. Slices are made by tasks; the driver joins them."""
+        if 6 * count > 1 << MOST_BITS:
+            return None
+        bits = min(MOST_BITS, max(16, (8 * count).bit_length()))
+        low = bits - 8
+        pos = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
+        rows = hashes.select(F.shiftright(pos, low).cast("int").alias("slice"), pos.bitwiseAND(F.lit((1 << low) - 1)).alias("pos")).distinct()
+
+        def mark(key, t):
+            out = np.zeros(1 << low, np.uint8)
+            out[t.column("pos").to_numpy()] = 1
+            return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())})
+
+        out = bytearray(1 << (bits - 3))
+        for i, data in grouped(rows, "slice", mark, "slice int, data binary").toLocalIterator():
+            out[i << (low - 3) : (i + 1) << (low - 3)] = data
+        return bytes(out)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -160,28 +222,58 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
+_open = threading.local()
+
+
+def _scratches() -> list["Scratch"]:
+    if not hasattr(_open, "all"):
+        _open.all = []
+    return _open.all
+
+
 class Scratch:
-    """Written tables that cut lineage; drop() removes those no longer read."""
+    """Written tables that cut lineage. drop() removes one that is no longer read, clear() all; what is left goes
+    when the driver ends."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}", []
+        self.spark, self.root = spark, f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}"
+        _scratches().append(self)
+        atexit.register(self.clear)
 
-    def keep(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        w = df.write.option("compression", "zstd")
-        (w.partitionBy(by) if by else w).parquet(path)
-        self.paths.append(path)
+        df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+    def _delete(self, path: str) -> None:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._delete(f"{self.root}/{name}")
+
+    def clear(self) -> None:
+        atexit.unregister(self.clear)
+        with contextlib.suppress(Exception):  # a driver that ends may have no JVM any more
+            self._delete(self.root)
+
+
+@contextlib.contextmanager
+def scratches():
+    """The scratch folders that are opened inside, as a list."""
+    before, mine = _scratches(), []
+    _open.all = mine
+    try:
+        yield mine
+    finally:
+        _open.all = before
+        before += mine
+
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, the text with null as empty, and further columns."""
-    ship(docs.sparkSession)
+    session(docs.sparkSession)
     return docs.select("doc_id", *more, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
@@ -249,7 +341,7 @@ def components(spark: SparkSession, scratch: Scratch, edges: DataFrame, name: st
         keep = nodes != label
         return pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(label[keep])], ["a", "b"])
 
-    e = scratch.keep(edges.select("a", "b").mapInArrow(star, "a long, b long"), f"{name}-stars")
+    e = scratch.keep(mapped(edges.select("a", "b"), star, "a long, b long"), f"{name}-stars")
     if e.count() <= LOCAL_EDGES:
 
         def whole(batches):
@@ -257,7 +349,7 @@ def components(spark: SparkSession, scratch: Scratch, edges: DataFrame, name: st
             nodes, label = smallest(*(np.concatenate(x) for x in zip(*held))) if held else (np.zeros(0, np.int64),) * 2
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(label)], ["node", "label"])
 
-        return scratch.keep(e.coalesce(1).mapInArrow(whole, "node long, label long"), f"{name}-all")
+        return scratch.keep(mapped(e.coalesce(1), whole, "node long, label long"), f"{name}-all")
     e = scratch.keep(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
     lab = scratch.keep(e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), f"{name}-0")
     r = 0

@@ -13,13 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import buffers, chunks, texts
+from quire.llm.common import buffers, chunks, mapped, texts
 
 WINDOW = 256
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 16, 8
-#: Bounds of the training sample: texts of each language, windows of each text. Languages that one round of STEPS
-#: is enough for.
-TEXTS, WINDOWS, LANGUAGES = 400, 4, 200
+#: Bounds of the training sample: texts of each language, and of all; windows of each text. Languages that one round of
+#: STEPS is enough for.
+TEXTS, ALL_TEXTS, WINDOWS, LANGUAGES = 400, 80_000, 4, 200
 STEPS, BATCH = 500, 64
 UNKNOWN = "und"
 
@@ -113,12 +113,17 @@ def logits(tables: dict, x: np.ndarray) -> np.ndarray:
     return np.concatenate(pooled, 1) @ tables["out"] + tables["bias"]
 
 
-def sample(docs: DataFrame, texts_each: int = TEXTS) -> list[tuple[str, bytes]]:
-    """(lang, bytes) of about texts_each rows of each language, chosen by a hash of doc_id: a text of up to WINDOWS
-    windows whole, of a longer one WINDOWS + 1 windows at hashed places anywhere in it. docs: the rows that may be
-    learnt from. Counts are taken over all of them; every language is learnt."""
-    share = docs.groupBy(F.col("lang").alias("_lang")).agg(F.least(F.lit(1.0), F.lit(float(texts_each)) / F.count("*")).alias("_share"))
-    rows = docs.join(F.broadcast(share), F.col("lang") == F.col("_lang")).where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < F.col("_share") * (1 << 20))
+def sample(docs: DataFrame, texts_each: int = TEXTS, texts_all: int = ALL_TEXTS) -> list[tuple[str, bytes]]:
+    """(lang, bytes) of about texts_each rows of each language, chosen by a hash of doc_id, and fewer of each where that
+    gives more than texts_all (100 MB at most on the driver): a text of up to WINDOWS windows whole, of a longer one
+    WINDOWS + 1 windows at hashed places anywhere in it. docs: the rows that may be learnt from. Counts are taken over
+    all of them; every language with that many rows is learnt."""
+    counts = docs.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_n"))
+    names = counts.count()
+    each = min(texts_each, max(1, texts_all // max(1, names)))
+    share = counts.select("_lang", F.least(F.lit(1.0), F.lit(float(each)) / F.col("_n")).alias("_share"))
+    share = F.broadcast(share) if names <= 1 << 17 else share
+    rows = docs.join(share, F.col("lang") == F.col("_lang")).where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < F.col("_share") * (1 << 20))
     raw, n = F.encode("text", "UTF-8"), F.octet_length("text")
     at = [F.pmod(F.xxhash64("doc_id", F.lit(4 + i)), n - WINDOW + 1).cast("int") + 1 for i in range(WINDOWS + 1)]
     parts = F.when(n <= WINDOW * WINDOWS, F.array(raw)).otherwise(F.array(*[raw.substr(x, F.lit(WINDOW)) for x in at]))
@@ -186,7 +191,7 @@ def predict(docs: DataFrame, model: ByteCNN | None, *more: str) -> DataFrame:
                     pred[i], score[i] = labels[k], min(1.0, q)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(pred), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def held_out(doc_id):

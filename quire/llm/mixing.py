@@ -11,44 +11,51 @@ so far nearer to the words due, so a part misses its target by about half its sh
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Scratch, own_keys, with_given
+from quire.llm.common import Scratch, own_keys, session, with_given
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
 #: Documents of one source that are rounded together.
 PART = 256
 #: Relative distance from the target at which a source is done, and the most Newton steps.
-CLOSE, STEPS = 1e-7, 40
+CLOSE, STEPS = 1e-7, 80
 
 
 def words(text):
     """Number of [^\\x20\\x09-\\x0D]+ in the text; null has none."""
-    squeezed = F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\f\r", "     "), " +", " "))
-    return F.when(squeezed == "", F.lit(0)).otherwise(F.length(squeezed) - F.length(F.translate(squeezed, " ", "")) + 1).cast("long")
-
-
-def targets(sources: DataFrame) -> DataFrame:
-    """sources (source, source_size): adds weight and target. A target is the same multiple of each weight,
-    but CAP times the source's size at most; the multiple is such that targets sum to the sizes. The windows
-    run over one row a source."""
-    order = Window.orderBy(F.col("source").isNull().cast("int"), F.encode(F.col("source"), "UTF-8"))
-    w = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("_n") % len(WEIGHTS) + 1).cast("int"))
-    s = sources.withColumn("_n", F.row_number().over(order) - 1).withColumn("weight", w.cast("double")).drop("_n")
-    s = s.withColumn("_limit", F.lit(CAP) * F.col("source_size") / F.col("weight"))
-    run = Window.orderBy("_limit").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy()
-    capped = F.lit(CAP) * F.sum("source_size").over(run)
-    free = F.sum("weight").over(every) - F.sum("weight").over(run)
-    total = F.sum("source_size").over(every).cast("double")
-    # the multiple if all up to this limit were capped; the largest cap that holds is the last below it
-    s = s.withColumn("_next", F.when(free > 0, (total - capped) / free))
-    s = s.withColumn("_holds", (F.col("_next") > F.col("_limit")) | (free <= 0) & (capped <= total))
-    level = F.coalesce(F.max(F.when(F.col("_holds"), F.struct("_limit", F.coalesce("_next", "_limit").alias("level")))).over(every)["level"], total / F.sum("weight").over(every))
-    s = s.withColumn("_level", level)
-    return s.withColumn("target", F.least(F.col("weight") * F.col("_level"), F.lit(float(CAP)) * F.col("source_size"))).drop("_limit", "_next", "_holds", "_level")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+
+
+def targets(sources: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """sources (source, source_size, ...), one row a source: adds weight and target. Weights repeat over the sources in
+    order of code points, null last. A target is the same multiple of each weight, but CAP times the source's size at
+    most; the multiple is such that targets sum to the sizes. It is found by sums over all sources: those that a multiple
+    would take past their cap stop there, and the rest is shared anew until none is."""
+    scratch = scratch or Scratch(sources.sparkSession)
+    order = [F.col("source").isNull(), F.encode(F.col("source"), "UTF-8")]
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = sources.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    s = scratch.keep(s.withColumn("_p", F.shiftright("_id", 33).cast("int")), "ordered")
+    before, base = 0, [F.lit(0).cast("long")]
+    for p, n in sorted(map(tuple, s.groupBy("_p").agg(F.count("*")).collect())):  # a count a partition
+        base += [F.lit(p), F.lit(before).cast("long")]
+        before += n
+    at = F.create_map(*base[1:])[F.col("_p")] if before else base[0]
+    w = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((at + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))) % len(WEIGHTS) + 1).cast("int"))
+    s = s.withColumn("weight", w.cast("double")).drop("_id", "_p")
+    cap = F.lit(float(CAP)) * F.col("source_size")
+    total, share = s.agg(F.sum("source_size"), F.sum("weight")).first()
+    level, done = (total or 0) / (share or 1), None
+    while True:
+        over = F.col("weight") * level > cap
+        stopped, held, free = s.agg(F.count(F.when(over, 1)), F.sum(F.when(over, cap)), F.sum(F.when(~over, F.col("weight")))).first()
+        if stopped == done or not free:
+            break
+        done, level = stopped, max(level, (total - (held or 0.0)) / free)
+    return s.withColumn("target", F.least(F.col("weight") * level, cap))
 
 
 def _rate(t, x):
@@ -64,12 +71,13 @@ def mix(docs: DataFrame) -> DataFrame:
     gives an empty result; so does a source without words nothing but documents of size 0. Further columns are
     ignored."""
     spark = docs.sparkSession
+    session(spark)
     scratch = Scratch(spark)
     sized = docs.select(F.col("doc_id"), F.col("source"), words(F.col("text")).alias("size"))
     sized = scratch.keep(sized, "sizes")
     counts = sized.groupBy("source", "size").agg(F.count("*").alias("k"))
     counts = scratch.keep(counts, "counts")
-    total = targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("k")).alias("source_size"), F.sum("k").alias("docs")))
+    total = targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("k")).alias("source_size"), F.sum("k").alias("docs")), scratch)
     total = scratch.keep(total.withColumn("_s", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull())), "targets")
     # sources at the cap need no tilt: each rate is the cap
     state = total.select("source", "_s", "target", (F.col("source_size") / F.col("docs")).alias("unit"), F.lit(0.0).alias("t"), F.lit(-1e3).alias("lo"), F.lit(1e3).alias("hi"),
@@ -97,6 +105,9 @@ def mix(docs: DataFrame) -> DataFrame:
         state = step
         if not left:
             break
+    else:
+        raise RuntimeError(f"the tilts of some sources are not found after {STEPS} steps")
+    scratch.drop("data")
     tilt = state.select(F.col("_s").alias("_c"), "t", "unit")
     per = total.join(tilt, F.col("_s") == F.col("_c")).select("_s", "source_size", "docs", "target", "t", "unit")
     d = sized.withColumn("_s0", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull())).join(per, F.col("_s0") == F.col("_s"))

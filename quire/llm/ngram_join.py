@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import Bits, Scratch, bucket_bits, buffers, chunks, components, high_bits, mix, pack, texts
+from quire.llm.common import Bits, Scratch, bucket_bits, buffers, chunks, components, grouped, high_bits, mapped, mix, pack, release, texts
 from quire.llm.shingles import set_hash, shingle_sets
 
 #: n-grams are counted in this many times the part of the hash range that a prefix takes of a set.
@@ -37,7 +37,7 @@ BLOCK_TOKENS = 1 << 20
 #: Sets looked up between two layouts of a tree; children from which a node is laid out.
 BATCH, WIDE = 64, 16
 #: Records a mapper gathers before it sends them.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 
 _U = np.uint64
 _PAIR = np.dtype([("token", "<u8"), ("cls", "<i8")])
@@ -47,11 +47,12 @@ _COUNTED = np.dtype([("token", "<u8"), ("local", "<u4"), ("df", "<u4")])
 _CLASS = np.dtype([("cls", "<i8"), ("size", "<u4"), ("counted", "<u4"), ("prefix", "<u4")])
 
 
-def _sets(batch, n: int):
+def _sets(batch, sets):
+    """sets: of offsets and bytes, each text's sorted distinct members as 64-bit hashes."""
     off, data = buffers(batch.column("text"))
     ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
     for lo, hi in chunks(off):
-        yield ids[lo:hi], list(shingle_sets(off[lo : hi + 1], data, n))
+        yield ids[lo:hi], list(sets(off[lo : hi + 1], data))
 
 
 def prefix_length(size: int, num: int, den: int) -> int:
@@ -60,7 +61,7 @@ def prefix_length(size: int, num: int, den: int) -> int:
     return size - -(-size * num // den) + 1
 
 
-def _read(docs: DataFrame, n: int, num: int, den: int, bits: int) -> DataFrame:
+def _read(docs: DataFrame, sets, num: int, den: int, bits: int) -> DataFrame:
     """One scan of the texts. Rows of documents: doc_id, size, cls. Rows of n-grams: bucket, flush, data with
     a _SEEN record for each counted n-gram of each class of a flush. Rows of classes: flush, data with a
     _CLASS record for each and in more the uncounted n-grams its prefix may reach."""
@@ -90,8 +91,8 @@ def _read(docs: DataFrame, n: int, num: int, den: int, bits: int) -> DataFrame:
             return pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
         for b in batches:
-            for own_ids, sets in _sets(b, n):
-                for doc, x in zip(own_ids.tolist(), sets):
+            for own_ids, got in _sets(b, sets):
+                for doc, x in zip(own_ids.tolist(), got):
                     c = set_hash(x)
                     ids.append(doc)
                     sizes.append(len(x))
@@ -113,7 +114,7 @@ def _read(docs: DataFrame, n: int, num: int, den: int, bits: int) -> DataFrame:
         if ids:
             yield flush()
 
-    return texts(docs).mapInArrow(scan, "bucket int, flush long, data binary, more binary, doc_id long, n_shingles long, cls long")
+    return mapped(texts(docs), scan, "bucket int, flush long, data binary, more binary, doc_id long, n_shingles long, cls long")
 
 
 def _shared(bits: int):
@@ -315,30 +316,23 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     return links
 
 
-def _verified(spark, scratch: Scratch, docs: DataFrame, groups: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) of classes, found in prefix trees. groups: (node, label)."""
-
-    def mark(key, t):
-        bucket, bits = key[0].as_py(), Bits.BITS - 8
-        pos = np.unique(t.column("pos").to_numpy())
-        size = 1 << (Bits.BITS - 8)
-        return pa.table({"bucket": pa.array([bucket], pa.int32()), "bits": pa.array([8], pa.int32()), "data": pa.array([Bits.slice_of(pos + bucket * size, bucket, 8)], pa.binary())})
-
-    slot = F.pmod(F.col("node"), F.lit(1 << Bits.BITS))
-    low = 1 << (Bits.BITS - 8)
-    chosen = Bits.gather(groups.select(F.floor(slot / low).cast("int").alias("bucket"), (slot % low).alias("pos")).distinct().groupBy("bucket").applyInArrow(mark, "bucket int, bits int, data binary"))
-    held_chosen = spark.sparkContext.broadcast(chosen)  # 2 MB
+def _verified(spark, scratch: Scratch, docs: DataFrame, groups: DataFrame, sets, linked, num: int, den: int) -> DataFrame:
+    """Links (a, b) of classes, found by linked() in blocks. groups: (node, label). A bitset of the classes wanted
+    keeps other sets out of the shuffle, as long as one is small enough."""
+    chosen = Bits.of(groups.select(F.col("node").alias("h")), groups.count())
+    sent = spark.sparkContext.broadcast(chosen) if chosen is not None else None
 
     def pick(batches):
-        want = Bits(held_chosen.value)
+        want = Bits(sent.value) if sent else None
         for b in batches:
-            for _, sets in _sets(b, n):
-                cls = np.array([set_hash(x) for x in sets], np.int64)
+            for _, got in _sets(b, sets):
+                cls = np.array([set_hash(x) for x in got], np.int64)
                 seen: set[int] = set()
-                rows = [k for k in np.flatnonzero(want.has(cls & ((1 << Bits.BITS) - 1))).tolist() if len(sets[k]) and not (int(cls[k]) in seen or seen.add(int(cls[k])))]
-                yield pa.RecordBatch.from_arrays([pa.array(cls[rows], pa.int64()), pa.array([len(sets[k]) for k in rows], pa.int32()), pa.array([sets[k].tobytes() for k in rows], pa.binary())], ["cls", "size", "members"])
+                rows = np.flatnonzero(want.has(cls)) if want else np.arange(len(cls))
+                rows = [k for k in rows.tolist() if len(got[k]) and not (int(cls[k]) in seen or seen.add(int(cls[k])))]
+                yield pa.RecordBatch.from_arrays([pa.array(cls[rows], pa.int64()), pa.array([len(got[k]) for k in rows], pa.int32()), pa.array([got[k].tobytes() for k in rows], pa.binary())], ["cls", "size", "members"])
 
-    found = texts(docs).mapInArrow(pick, "cls long, size int, members binary")
+    found = mapped(texts(docs), pick, "cls long, size int, members binary")
     sets = found.join(groups, found.cls == groups.node).groupBy("cls").agg(F.min("label").alias("label"), F.min("size").alias("size"), F.first("members").alias("members"))
     sets = scratch.keep(sets, "sets")
     # a group's sets in order of size, cut into blocks of BLOCK_TOKENS by a running sum over its sizes
@@ -360,6 +354,8 @@ def _verified(spark, scratch: Scratch, docs: DataFrame, groups: DataFrame, n: in
         cls = t.column("cls").to_numpy()
         got = [np.frombuffer(m, _U) for m in t.column("members").to_pylist()]
         found = linked(got, num, den)
+        del got
+        release()
         return pa.table({"a": pa.array([int(cls[i]) for i, _ in found], pa.int64()), "b": pa.array([int(cls[j]) for _, j in found], pa.int64())})
 
     return rows.groupBy("l", "i", "j").applyInArrow(walk, "a long, b long")
@@ -371,22 +367,29 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     docs: doc_id (unique integers) and text; further columns are ignored. Null and empty texts and texts
     without words have the empty set, no link and themselves as component. Rows with a null doc_id are left
     out. Repeated rows of a doc_id count once. An empty table gives an empty result."""
+    return components_of(docs, lambda off, data: shingle_sets(off, data, n), linked, num, den)
+
+
+def components_of(docs: DataFrame, sets, linked, num: int, den: int) -> DataFrame:
+    """jaccard_components() of any sets of texts. sets: see _sets(); linked(sets, num, den): positions (i, j) of links
+    that connect all similar sets of a block."""
     spark = docs.sparkSession
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     scratch = Scratch(spark)
 
     bits = bucket_bits(spark)
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    read = scratch.keep(_read(docs, n, num, den, bits), "read")
+    read = scratch.keep(_read(docs, sets, num, den, bits), "read")
     own = read.where("doc_id is not null").select("doc_id", "n_shingles", "cls")
-    shared = read.where("bucket >= 0").select("bucket", "flush", "data").groupBy("bucket").applyInArrow(_shared(bits), "flush long, data binary")
+    shared = grouped(read.where("bucket >= 0").select("bucket", "flush", "data"), "bucket", _shared(bits), "flush long, data binary")
     chunk = read.where("bucket = -1").select("flush", "data", "more")
     spread = chunk.groupBy("flush").cogroup(shared.groupBy("flush")).applyInArrow(_prefixes(bits), "bucket int, data binary, a long, b long")
     spread = scratch.keep(spread, "prefixes")
-    near = spread.where("bucket = -1").select("a", "b").union(spread.where("bucket >= 0").groupBy("bucket").applyInArrow(_meet, "a long, b long"))
+    near = spread.where("bucket = -1").select("a", "b").union(grouped(spread.where("bucket >= 0"), "bucket", _meet, "a long, b long"))
     groups = components(spark, scratch, near, "candidates")
     scratch.drop("prefixes")
-    links = scratch.keep(_verified(spark, scratch, docs, groups, n, num, den), "links")
+    links = scratch.keep(_verified(spark, scratch, docs, groups, sets, linked, num, den), "links")
+    scratch.drop("sets")
     comp = components(spark, scratch, links, "linked")
     # the smallest doc_id of each class, then of each component of classes
     classes = own.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
@@ -394,4 +397,6 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     roots = classes.groupBy("label").agg(F.min("least").alias("root"))
     roots = classes.join(roots, "label").select("cls", "root")
     out = own.join(roots, "cls", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.dropDuplicates(["doc_id"])
+    own = scratch.keep(out.dropDuplicates(["doc_id"]), "components")
+    scratch.drop("read", "links")
+    return own

@@ -18,11 +18,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Scratch, mix, texts
+from quire.llm.common import Scratch, buffers, mapped, mix, texts
 
 DIMS, BITS = 4, 10
-#: Hashed features of a token, and pieces of text whose ids a worker remembers.
-FEATURES, REMEMBERED = 1 << 14, 800_000
+#: Hashed features of a token; pieces of text whose ids a task remembers at most (about 200 bytes each).
+FEATURES, REMEMBERED = 1 << 14, 250_000
+#: Texts encoded together, and texts of a task that both encoders must give the same ids for.
+TEXTS, COMPARED = 512, 8
 END = 0
 
 _PROJECTION = ((mix(np.arange(FEATURES * DIMS, dtype=np.uint64)) >> np.uint64(40)).astype(np.float32) / (1 << 23) - 1).reshape(FEATURES, DIMS)
@@ -30,22 +32,26 @@ _PROJECTION = ((mix(np.arange(FEATURES * DIMS, dtype=np.uint64)) >> np.uint64(40
 
 #: The pieces that byte-level BPE cuts a text into before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_PROBE = "It's 12 naïve café-goers;  they'll\n\n pay £3.50 … 日本 <|endoftext|> \tok "
+_PROBE = "It's 12 naïve café-goers;  they'll\n\n pay £3.50 … 日本 \tok "
 
 
 class Encoder:
-    """Ids of whole texts. A text is cut before each space or newline, where this tokeniser's own pieces begin as
-    well in texts whose white space is single spaces and newlines between words; a word is also parted from the punctuation that ends it. Ids
-    of words are remembered. If the file is a byte-level BPE whose ids rank its merges, words are merged by these
-    ranks, which is faster; else by the tokenizers library, as are texts that can't be cut so."""
+    """Ids of whole texts, those of the tokenizers library.
+
+    A text whose white space is single spaces and newlines between words is cut before each of them, where this
+    tokeniser's own pieces begin as well; a word is also parted from the punctuation that ends it. Ids of words are
+    remembered, new ones are encoded many at once: a token that begins with white space begins a word. If the file is a
+    byte-level BPE whose ids rank its merges, words are merged by these ranks, which is faster, as long as that gives
+    the library's ids for a probe and for the first texts of a task. Texts that hold one of the file's added tokens, and
+    those with other white space, go to the library whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        self.compared = 0
         self.ranked = self._ranked(path)
 
     def _ranked(self, path: str):
@@ -60,52 +66,82 @@ class Encoder:
         # fixed rule of byte-level vocabularies: printable Latin-1 stands for itself, other bytes from U+0100 on
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         byte = {chr(c): c for c in plain} | {chr(0x100 + i): c for i, c in enumerate(c for c in range(256) if c not in plain)}
-        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         try:
-            ranks = {bytes(byte[c] for c in k): v for k, v in model["vocab"].items() if k not in special}
+            ranks = {bytes(byte[c] for c in k): v for k, v in model["vocab"].items() if k not in self.added}
             enc = tiktoken.Encoding("ranked", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
-            same = enc.encode_ordinary(_PROBE) == self.tokenizer.encode(_PROBE, add_special_tokens=False).ids
+            same = enc.encode_ordinary(_PROBE) == self._library(_PROBE)
         except (KeyError, ValueError):
             return None
-        return enc.encode_ordinary if same else None
+        self.starts = np.zeros(1 << 16, bool)
+        for k, v in ranks.items():
+            self.starts[v] = k[:1] in (b" ", b"\n")
+        return enc if same else None
+
+    def _library(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _ids(self, text: str) -> bytes:
-        return array("H", self.ranked(text) if self.ranked else self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _learn(self, words) -> None:
-        """Ids of what follows a space, or of a newline and what follows it."""
-        known, tails, ids = self.known, self.tails, self._ids
-        for word in words:
-            core = word.rstrip(",.;:!?")
-            if len(core) < len(word) and core and core[-1].isalnum():
-                got = known.get(core)
-                if got is None:
-                    got = known[core] = ids(core if core[0] == "\n" else " " + core)
-                tail = word[len(core) :]
-                known[word] = got + (tails.get(tail) or tails.setdefault(tail, ids(tail)))
+        return array("H", self.ranked.encode_ordinary(text)).tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of words that begin with a space or a newline. All of one kind are encoded as one text, whose words begin
+        where tokens begin with that white space; should their numbers differ, each is encoded by itself."""
+        for kind in (" ", "\n"):
+            some = [w for w in words if w[0] == kind]
+            if not some:
+                continue
+            ids = self.ranked.encode_to_numpy("".join(some)).astype("<u2")
+            cut = np.flatnonzero(self.starts[ids])
+            if len(cut) == len(some) and cut[0] == 0:
+                raw, at = ids.tobytes(), (2 * np.append(cut, len(ids))).tolist()
+                self.known.update(zip(some, [raw[a:b] for a, b in zip(at, at[1:])]))
+            else:
+                self.known.update((w, self._ids(w)) for w in some)
+
+    def _fast(self, batch: list[str]) -> list[bytes]:
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        cut = [t.replace("\n", " \n").split(" ") for t in batch]
+        # all but a text's first word follow a space, or begin with the newline that they follow
+        words = [[w if w[:1] == "\n" else " " + w for w in c[1:]] for c in cut]
+        new = set().union(*words).difference(known)
+        tails, plain = {}, set()
+        for w in new:
+            core = w.rstrip(",.;:!?")
+            if len(core) < len(w) and core[-1:].isalnum():
+                tails[w] = core
+                plain.add(core)
             else:
-                known[word] = ids(word if word[:1] == "\n" else " " + word)
+                plain.add(w)
+        self._learn([w for w in plain if w not in known])
+        for w, core in tails.items():
+            tail = w[len(core) :]
+            ids = known.get(tail)
+            if ids is None:
+                ids = known[tail] = self._ids(tail)
+            known[w] = known[core] + ids
+        return [(self._ids(c[0]) if c[0] else b"") + b"".join(map(known.__getitem__, w)) for c, w in zip(cut, words)]
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Little-endian 16-bit ids of each text; the vocabulary is below 65536."""
-        out = []
-        for t in batch:
-            flat = t.replace("\n", " ")
-            if flat != " ".join(t.split()):
-                out.append(array("H", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes())
-                continue
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-                self.tails.clear()
-            first, *words = t.replace("\n", " \n").split(" ")
-            self._learn(set(words).difference(self.known))
-            out.append((self._ids(first) if first else b"") + b"".join(map(self.known.__getitem__, words)))
+        slow = lambda t: array("H", self._library(t)).tobytes()
+        if not self.ranked:
+            return [slow(t) for t in batch]
+        easy = [t.replace("\n", " ") == " ".join(t.split()) and not any(x in t for x in self.added) for t in batch]
+        fast = iter(self._fast([t for t, e in zip(batch, easy) if e]))
+        out = [next(fast) if e else slow(t) for t, e in zip(batch, easy)]
+        for t, e, ids in zip(batch, easy, out):
+            if self.compared >= COMPARED:
+                break
+            if e:
+                self.compared += 1
+                if ids != slow(t):
+                    self.ranked = None
+                    return [slow(t) for t in batch]
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
     """Hilbert index of rows of integer coordinates below 2**bits (Skilling's transform)."""
     x = x.astype(np.int64).T.copy()
@@ -136,19 +172,20 @@ def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
 
 def _tokens(path: str):
     def scan(batches):
-        enc = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
+        enc = Encoder(path)
         feature = (mix(np.arange(1 << 16, dtype=np.uint64)) % np.uint64(FEATURES)).astype(np.int32)
         end, count = np.array([END], "<u2").tobytes(), 0
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for at in range(0, b.num_rows, TEXTS):
+                part = b.slice(at, TEXTS)
                 ids = [x + end for x in enc.encode(part.column("text").to_pylist())]
                 rows = np.arange(count, count + len(ids)) + (TaskContext.get().partitionId() << 40)
                 count += len(ids)
                 n = np.array([len(x) // 2 for x in ids], np.int64)
                 first = np.cumsum(n) - n
                 vec = np.add.reduceat(_PROJECTION[feature[np.frombuffer(b"".join(ids), "<u2")]], first, axis=0) / n[:, None]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(rows), pa.array(n), pa.array(ids, pa.binary()), pa.array(list(vec.astype(np.float64)), pa.list_(pa.float64()))], ["doc_id", "row", "n", "ids", "vec"])
+                vec = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * DIMS), pa.array(vec.astype(np.float64).reshape(-1)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(rows), pa.array(n), pa.array(ids, pa.binary()), vec], ["doc_id", "row", "n", "ids", "vec"])
 
     return scan
 
@@ -163,7 +200,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, nulls: bool = Fals
     spark = docs.sparkSession
     scratch = Scratch(spark)
     base = texts(docs if nulls else docs.where("doc_id is not null"))
-    tok = scratch.keep(base.mapInArrow(_tokens(tokenizer), "doc_id long, row long, n long, ids binary, vec array<double>"), "tokens")
+    tok = scratch.keep(mapped(base, _tokens(tokenizer), "doc_id long, row long, n long, ids binary, vec array<double>"), "tokens")
     stat = tok.select(*[f(F.col("vec")[i]).alias(f"{a}{i}") for i in range(DIMS) for f, a in ((F.avg, "m"), (F.stddev_pop, "s"))]).first()
     mean = np.array([stat[f"m{i}"] or 0.0 for i in range(DIMS)])
     dev = np.array([stat[f"s{i}"] or 1.0 for i in range(DIMS)])
@@ -176,7 +213,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, nulls: bool = Fals
             cell = np.clip((1 / (1 + np.exp(-1.7 * np.clip(v, -30, 30)))) * (1 << BITS), 0, (1 << BITS) - 1)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), b.column("n"), pa.array(hilbert(cell, BITS), pa.int64())], ["doc_id", "row", "n", "key"])
 
-    keys = scratch.keep(tok.select("doc_id", "row", "n", "vec").mapInArrow(place, "doc_id long, row long, n long, key long"), "keys")
+    keys = scratch.keep(mapped(tok.select("doc_id", "row", "n", "vec"), place, "doc_id long, row long, n long, key long"), "keys")
 
     def run(batches):
         part, total = TaskContext.get().partitionId(), 0
@@ -187,7 +224,9 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, nulls: bool = Fals
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(np.full(len(n), part), pa.int32()), pa.array(before), b.column("n")], ["d", "part", "before", "k"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = scratch.keep(keys.repartitionByRange(parts, "key", "doc_id", "row").sortWithinPartitions("key", "doc_id", "row").mapInArrow(run, "d long, part int, before long, k long"), "places")
+    curve = keys.repartitionByRange(parts, "key", "doc_id", "row").sortWithinPartitions("key", "doc_id", "row")
+    placed = scratch.keep(mapped(curve, run, "d long, part int, before long, k long"), "places")
+    scratch.drop("keys")
     # a total for each of `parts` partitions
     sums, offset = {}, 0
     for part, k in sorted(map(tuple, placed.groupBy("part").agg(F.sum("k")).collect())):
@@ -197,18 +236,20 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, nulls: bool = Fals
 
     def cut(batches):
         for b in batches:
-            cols = [[] for _ in range(6)]
-            for doc, ids, at in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), b.column("at").to_pylist()):
-                n, start = len(ids) // 2, 0
-                while start < n:
-                    seq, off = divmod(at + start, length)
-                    k = min(n - start, length - off)
-                    for c, v in zip(cols, (doc, start, ids[2 * start : 2 * (start + k)], n, seq, off)):
-                        c.append(v)
-                    start += k
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), *[pa.array(c, pa.int64()) for c in cols[3:]]], ["doc_id", "start", "ids", "doc_tokens", "sequence_id", "offset"])
-
-    return tok.select("doc_id", "row", "ids").join(placed, F.col("row") == F.col("d")).select("doc_id", "ids", "at").mapInArrow(cut, "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long")
+            off, data = buffers(b.column("ids"))
+            off, at = off // 2, b.column("at").to_numpy()
+            n = np.diff(off)
+            count = (at + n - 1) // length - at // length + 1  # sequences that a document's ids are in
+            i = np.repeat(np.arange(len(n)), count)
+            seq = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + (at // length)[i]
+            start = np.maximum(at[i], seq * length) - at[i]
+            stop = np.minimum(at[i] + n[i], (seq + 1) * length) - at[i]
+            ends = np.append(off[i] + start, off[i[-1]] + stop[-1]) if len(i) else np.zeros(1, np.int64)
+            ids = pa.Array.from_buffers(pa.binary(), len(i), [None, pa.py_buffer((2 * ends).astype(np.int32).tobytes()), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(i)), pa.array(start), ids, pa.array(n[i]), pa.array(seq), pa.array(at[i] + start - seq * length)], ["doc_id", "start", "ids", "doc_tokens", "sequence_id", "offset"])
+
+    pieces = tok.select("doc_id", "row", "ids").join(placed, F.col("row") == F.col("d")).select("doc_id", "ids", "at")
+    return mapped(pieces, cut, "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def digests(pieces: DataFrame) -> DataFrame:
@@ -216,8 +257,10 @@ def digests(pieces: DataFrame) -> DataFrame:
 
     def crc(batches):
         for b in batches:
-            ids = b.column("ids").to_pylist()
-            more = [pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array([zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in ids], pa.int64())]
+            off, data = buffers(b.column("ids"))
+            cut = (2 * off).tolist()
+            wide = memoryview(np.frombuffer(data.tobytes() if len(data) % 2 else data, "<u2", count=len(data) // 2).astype("<u4").tobytes())
+            more = [pa.array(np.diff(off) // 2), pa.array([zlib.crc32(wide[a:z]) for a, z in zip(cut, cut[1:])], pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), *more, b.column("doc_tokens"), b.column("sequence_id"), b.column("offset")], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return pieces.mapInArrow(crc, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return mapped(pieces, crc, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

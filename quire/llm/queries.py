@@ -4,13 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire import ship
-
 SHARDS = 24
 
 
 def _table(spark, sf_dir: str, name: str):
-    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +32,12 @@ def op3_fingerprints(spark, sf_dir):
     return spotsigs.beside_next(_table(spark, sf_dir, "documents"))
 
 
+def fingerprint_classes(spark, sf_dir):
+    from quire.llm import spotsigs
+
+    return spotsigs.classes(_table(spark, sf_dir, "documents"))
+
+
 def op4_html_text(spark, sf_dir):
     from quire.llm import style_tree
 
@@ -86,7 +89,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries() -> dict:
-    own = [op1_packing, op2_language_id, op3_fingerprints, op4_html_text, op5_top_k, op6_mixing, op7_sharding, op8_role_repair, op9_suffix_dedup, op10_ngram_join, pipeline]
+    own = [op1_packing, op2_language_id, op3_fingerprints, op4_html_text, op5_top_k, op6_mixing, op7_sharding, op8_role_repair, op9_suffix_dedup, op10_ngram_join, pipeline, fingerprint_classes]
     return {f.__name__: f for f in own}
 
 

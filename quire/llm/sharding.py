@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Hashed parts of a shard; the rows of one are numbered by one sorted window. Raise it with the input.
-PARTS = 64
+from quire.llm.common import Scratch, session
+
+#: Rows of a hashed part of a shard, about; the rows of one part are numbered by one sorted window.
+PART = 100_000
 
 
 def score(key, shard, weight: float):
@@ -19,24 +21,32 @@ def score(key, shard, weight: float):
     return F.lit(-float(weight)) / F.log(u)
 
 
-def rendezvous(key, weights: list[float]):
-    """The shard of the highest score; ties, which 52 bits leave improbable, go to the lowest shard."""
+def best(key, weights: list[float]):
+    """struct(x, s): the highest score, and minus its shard; ties, which 52 bits leave improbable, go to the lowest
+    shard."""
     scores = [F.struct(score(key, s, w).alias("x"), F.lit(-s).alias("s")) for s, w in enumerate(weights) if w > 0]
-    return (-F.greatest(*scores)["s"] if len(scores) > 1 else F.lit(0)).cast("int")
+    return F.greatest(*scores) if len(scores) > 1 else scores[0]
 
 
-def shard(docs: DataFrame, weights: list[float], parts: int = PARTS) -> DataFrame:
+def shard(docs: DataFrame, weights: list[float], part: int = PART) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot and grown_shard of each row.
 
     size: UTF-8 bytes of the text and 8; null texts have no bytes. The key is the doc_id, so rows that repeat
     it share a shard; a null doc_id is the key "null". slot numbers a shard's rows gaplessly from 0, in order
-    of a hashed part, then doc_id, then text_crc32. grown_shard is the shard with one more of the last
-    weight. Further columns are ignored. An empty table gives an empty result."""
+    of a hashed part, then doc_id, then text_crc32; parts have about `part` rows. grown_shard is the shard with one
+    more of the last weight: the new one where its score is higher. Further columns are ignored. An empty table gives an
+    empty result."""
+    spark = docs.sparkSession
+    session(spark)
+    scratch = Scratch(spark)
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     d = docs.select("doc_id", key.alias("_key"), (F.length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    d = d.withColumn("shard", rendezvous(F.col("_key"), weights))
-    d = d.withColumn("grown_shard", rendezvous(F.col("_key"), [*weights, weights[-1]]))
+    d = d.withColumn("_best", best(F.col("_key"), weights)).withColumn("shard", (-F.col("_best.s")).cast("int"))
+    grown = score(F.col("_key"), len(weights), weights[-1]) > F.col("_best.x")
+    d = d.withColumn("grown_shard", F.when(grown, F.lit(len(weights))).otherwise(F.col("shard"))).drop("_best")
+    d = scratch.keep(d, "placed")  # texts are read once
+    parts = max(1, d.count() // (part * len(weights)) + 1)
     d = d.withColumn("_part", F.pmod(F.crc32(F.col("_key").cast("binary")), F.lit(parts)).cast("int"))
     # numbered in hashed parts, each offset by the rows of the parts before it: no task holds a whole shard
     counts = d.groupBy("shard", "_part").agg(F.count("*").alias("_n"))

@@ -2,9 +2,10 @@
 
 A text is lower-cased and split into words of ASCII letters and digits and of non-ASCII characters. At each
 anchor (a common word) the next CHAIN words that are no anchors make a signature with it. The fingerprint is the
-set of signatures, as sorted hashes. Likeness is Jaccard's. similar() finds all pairs: sets are partitioned by
-length, so that partners are in the same or the next partition, and meet where they share one of the signatures
-that a set can't all miss; a pair is given up as soon as its lengths rule it out.
+set of signatures, as sorted hashes. Likeness is Jaccard's. classes() connects all texts of similar fingerprints:
+equal sets are one; sets that share a signature none of them can miss, rarest first, form candidate groups; a group is
+partitioned by set length, partitions of incompatible lengths never meet, and linked() compares the others by inverted
+lists, giving a pair up as soon as its lengths, or what is left of it, rule it out.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import SpanHash, mix, texts
+from quire.llm.common import SpanHash, in_order, mapped, mix, texts
+from quire.llm.ngram_join import components_of
 
 #: Fixed list: common words of English, German, French and Spanish.
 ANCHORS = (
@@ -100,25 +102,79 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in t], pa.int64()), pa.array([encode(x) for x in signatures(t)])], ["doc_id", "n_chars", "fingerprint"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return texts(docs).mapInArrow(run, f"doc_id {kind}, n_chars long, fingerprint string")
-
-
-def similar(prints: DataFrame, least: float = 0.8) -> DataFrame:
-    """(a, b, likeness) with a < b: all pairs of different fingerprints of at least that likeness, as
-    representatives (smallest doc_id) of equal fingerprints."""
-    one = prints.where("fingerprint <> ''").groupBy("fingerprint").agg(F.min("doc_id").alias("a"))
-    sig = F.expr("transform(sequence(0, length(fingerprint) div 8 - 1), i -> substring(fingerprint, i * 8 + 1, 8))")
-    one = one.select("a", sig.alias("sigs")).withColumn("n", F.size("sigs"))
-    part = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(least))).cast("int")
-    kept = F.expr(f"slice(sigs, 1, n - cast(ceil(n * {least} - 1e-9) as int) + 1)")
-    probe = one.withColumn("part", part).select("a", "n", "part", F.explode(kept).alias("sig"))
-    x = probe
-    y = probe.select(F.col("a").alias("b"), F.col("n").alias("m"), F.explode(F.array("part", F.col("part") + 1)).alias("part"), "sig")
-    pairs = x.join(y, ["part", "sig"]).where((F.col("a") != F.col("b")) & (F.least("n", "m") >= least * F.greatest("n", "m")))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left, right = one.select("a", F.col("sigs").alias("s")), one.select(F.col("a").alias("b"), F.col("sigs").alias("t"))
-    both = F.size(F.array_intersect("s", "t"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", (both / (F.size("s") + F.size("t") - both)).alias("likeness")).where(F.col("likeness") >= least)
+    return mapped(texts(docs), run, f"doc_id {kind}, n_chars long, fingerprint string")
+
+
+def _members(off: np.ndarray, data: np.ndarray):
+    """Signature sets of texts as sorted 64-bit hashes, for components_of()."""
+    raw = data[off[0] : off[-1]].tobytes()
+    rel = (off - off[0]).tolist()
+    for x in signatures([raw[a:b].decode() for a, b in zip(rel, rel[1:])]):
+        yield np.sort(mix(x.astype(_U) + _U(1)))
+
+
+def linked(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Links (i, j) of positions that connect all sets of a Jaccard similarity of num / den or more.
+
+    In order of length each set is looked up in inverted lists of the signatures that those before it can't all miss,
+    rarest first. A list keeps its sets by component, so that members of one component are not compared with each
+    other; it is read from the longest set down and left at the first one too short."""
+    if len(sets) < 2:
+        return []
+    members, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(members), np.int64)
+    rank[np.lexsort((members, count))] = np.arange(len(members))
+    sizes = [len(s) for s in sets]
+    ends = np.cumsum(sizes)
+    ranked = [np.sort(rank[inverse[e - n : e]]) for e, n in zip(ends, sizes)]
+    up, lists, links = list(range(len(sets))), {}, []
+
+    def root(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for i in sorted(range(len(sets)), key=lambda i: (sizes[i], i)):
+        n, own = sizes[i], ranked[i]
+        if not n:
+            continue
+        prefix = own[: n - -(-n * num // den) + 1].tolist()
+        seen = set()
+        for at, r in enumerate(prefix):
+            held = lists.get(r)
+            for k in list(held or ()):
+                now = root(k)
+                if now != k:
+                    held[now] = sorted(held.get(now, []) + held.pop(k), key=lambda j: j[0])
+            for k in list(held or ()):
+                if root(k) == root(i):
+                    continue
+                for m, j, place in reversed(held[k]):
+                    if m * den < n * num:
+                        break  # the partition of shorter sets
+                    if j in seen:
+                        continue
+                    seen.add(j)
+                    need = -(-num * (n + m) // (num + den))
+                    if 1 + min(n - at - 1, m - place - 1) < need:
+                        continue  # at the first shared signature: what is left can't reach it
+                    if len(np.intersect1d(own, ranked[j], assume_unique=True)) >= need:
+                        links.append((i, j))
+                        up[root(j)] = root(i)
+                        break
+        for place, r in enumerate(prefix):
+            lists.setdefault(r, {}).setdefault(root(i), []).append((n, i, place))
+    return links
+
+
+def classes(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, n_signatures, class_id): documents connected by fingerprints of a likeness of num / den or more, with
+    the smallest doc_id of each class.
+
+    Null and empty texts have no signature and are classes of their own. Rows with a null doc_id are left out, rows
+    that repeat one count once; further columns are ignored. An empty table gives an empty result."""
+    return components_of(docs, _members, linked, num, den).select("doc_id", F.col("n_shingles").alias("n_signatures"), F.col("component_id").alias("class_id"))
 
 
 def beside_next(docs: DataFrame) -> DataFrame:
@@ -153,7 +209,6 @@ def beside_next(docs: DataFrame) -> DataFrame:
     to = to.otherwise(F.array(F.struct(F.col("range").cast("int").alias("range"), F.lit(False).alias("copy"))))
     dealt = docs.select("doc_id", "text", F.explode(to).alias("x")).select("doc_id", "text", "x.range", "x.copy")
     # of rows with a head's doc_id only the first in order is the next document
-    dealt = dealt.repartition(parts, "range").sortWithinPartitions("range", "copy", F.desc("doc_id"), "text")
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches):
@@ -186,4 +241,5 @@ def beside_next(docs: DataFrame) -> DataFrame:
                     held.append(row)
                     size += len(row[1])
 
-    return dealt.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    order = ["range", "copy", F.desc("doc_id"), "text"]
+    return in_order(dealt, ["range"], order, run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -7,11 +7,14 @@ leaves' weighed by pages: (1 - DECAY ** l) of its own, l the number of presentat
 below LEAST are removed from each page of the host, unless nothing would be left of it. Pages of equal blocks are
 copies and count as one page.
 
+Few pages are little evidence: a node seen on m distinct pages of a host counts as if PRIOR more, on which it was of full
+importance, stood beside them ((m - 1) against PRIOR).
+
 Tags and whole names that mean a role are decided beforehand: navigation, adverts, forms and the like go, and the
 flow text of an article is no node that can go whole; a page with an article or main element has its text there.
 In there entropy decides on each content of a leaf: one that so many of the host's distinct pages have that its
 importance, one less its entropy over these, is below INSIDE goes, headings and cells of tables and definition lists
-excepted. Entropy decides on all other nodes. Both do so from PAGES distinct pages of a host on.
+excepted; INSIDE_PRIOR pages stand against that. Entropy decides on all other nodes.
 """
 
 from __future__ import annotations
@@ -25,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire import ship
-from quire.llm.common import Scratch
+from quire.llm.common import Scratch, mapped, session
 
-DECAY, LEAST, INSIDE, PAGES = 0.9, 0.4, 0.1, 8
+DECAY, LEAST, INSIDE = 0.9, 0.4, 0.1
+PRIOR, INSIDE_PRIOR = 3.0, 2.0
+#: Removed paths of all hosts that are sent to every task, in bytes; more are joined by host.
+SENT_BYTES = 32 << 20
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _HOLDS = re.compile(r"<(?:article|main)[\s>]", re.I)
@@ -68,6 +73,19 @@ def _noise(tag: str, attrs: str) -> tuple[bool, bool, str]:
     return bad, named, label
 
 
+def _end(html: str, tag: str, at: int) -> int:
+    """Where the element that was opened before at ends, inner ones of its tag counted; -1 if it doesn't."""
+    depth = 1
+    for m in re.compile(rf"<(/?){re.escape(tag)}(?:\s[^>]*)?(/?)>", re.I).finditer(html, at):
+        if m[1]:
+            depth -= 1
+            if not depth:
+                return m.end()
+        elif not m[2]:
+            depth += 1
+    return -1
+
+
 def parse(html: str) -> tuple[list[tuple], dict[str, list[str]], bool]:
     """Blocks (path, text, noise, in an article or main, protected) in page order; children of each path; whether
     there is an article or main outside noise. Where all of them are in branches of a telling name, the names of those
@@ -127,9 +145,9 @@ def parse(html: str) -> tuple[list[tuple], dict[str, list[str]], bool]:
         if tag in INLINE and not (bad or named):
             continue
         if tag in INLINE:  # an inline element of a telling name, as a span of class advert, is a branch of its own
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            if end and not _HOLDS.search(html, at, end.start()):
-                at = end.end()
+            end = _end(html, tag, at)
+            if end >= 0 and not _HOLDS.search(html, at, end):
+                at = end
             continue
         flush()
         if tag in _CLOSES_P:
@@ -213,7 +231,7 @@ def hash_text(t: str) -> int:
 def observed(pages: DataFrame) -> DataFrame:
     """(host, path, leaf, content, c, l) over the distinct pages of each host: c the sum of the counts of a
     content, l that of c ln c. Pages of equal blocks are copies and count once. pages: host, html."""
-    once = pages.mapInArrow(_observe, _SEEN).dropDuplicates(["host", "page"])
+    once = mapped(pages, _observe, _SEEN).dropDuplicates(["host", "page"])
     flat = once.select("host", F.explode("seen").alias("x")).select("host", "x.*")
     return flat.groupBy("host", "path", "leaf", "content").agg(F.sum("v").alias("c"), F.sum(F.col("v") * F.log("v")).alias("l"))
 
@@ -235,16 +253,21 @@ def importance(seen: DataFrame) -> DataFrame:
     below = leaf.withColumn("p", F.explode(up)).groupBy("host", "p").agg((F.sum(F.col("own") * F.col("m")) / F.sum("m")).alias("below"), F.max("m").alias("m"))
     both = below.join(style.withColumnRenamed("p", "q"), (F.col("host") == F.col("h")) & (F.col("p") == F.col("q")), "left")
     value = F.when(F.col("shape").isNull(), F.col("below")).otherwise(F.col("part") * F.greatest("shape", "below") + (1 - F.col("part")) * F.col("below"))
-    return both.select("host", F.col("p").alias("path"), F.coalesce("pm", "m").alias("pages"), value.alias("importance"))
+    pages = F.coalesce("pm", "m")
+    return both.select("host", F.col("p").alias("path"), pages.alias("pages"), (1 - _evidence(pages, PRIOR) * (1 - value)).alias("importance"))
+
+
+def _evidence(pages, prior: float):
+    return (pages - 1) / (pages - 1 + prior)
 
 
 def repeated(seen: DataFrame) -> DataFrame:
     """(host, path, content) of leaves in an article or main that most of a host's distinct pages have."""
-    own = seen.where(F.col("leaf") & (F.col("content") != "") & (F.col("c") >= PAGES // 2) & F.col("path").rlike(_WITHIN))
+    own = seen.where(F.col("leaf") & (F.col("content") != "") & (F.col("c") > 1) & F.col("path").rlike(_WITHIN))
     own = own.where(~F.regexp_extract("path", r"([^./]+)[^/]*$", 1).isin(*KEPT))
-    pages = seen.where("not leaf and path = '' and content = ''").select(F.col("host").alias("h"), F.col("c").alias("m")).where(F.col("m") >= PAGES)
+    pages = seen.where("not leaf and path = '' and content = ''").select(F.col("host").alias("h"), F.col("c").alias("m")).where("m > 1")
     entropy = (F.log("c") - F.col("l") / F.col("c")) / F.log("m")
-    return own.join(pages, F.col("host") == F.col("h")).where(1 - entropy < INSIDE).select("host", "path", "content")
+    return own.join(pages, F.col("host") == F.col("h")).where(1 - _evidence(F.col("m"), INSIDE_PRIOR) * entropy < INSIDE).select("host", "path", "content")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -252,16 +275,19 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     Null html is empty; a null url, or one without a host, is of the host ''. A page without main text has the
     empty one. Repeated rows are kept. Rows of a large host spread over tasks: its statistics are sums, combined
-    before the shuffle, copies of a page too, and its removed paths are joined to pages. Further columns are ignored."""
+    before the shuffle, copies of a page too, and its removed paths are sent to all tasks up to SENT_BYTES, beyond that
+    joined to pages by host, where Spark splits the skewed side. Further columns are ignored."""
     spark = pages.sparkSession
-    ship(spark)
+    session(spark)
     scratch = Scratch(spark)
     p = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"), host(F.col("url")).alias("host"))
     seen = scratch.keep(observed(p.select("host", "html")), "seen")
-    low = importance(seen).where((F.col("pages") >= PAGES) & (F.col("importance") < LEAST))
+    low = importance(seen).where(F.col("importance") < LEAST)
     low = low.select("host", "path").union(repeated(seen).select("host", F.concat_ws("\n", "path", "content")))
     low = scratch.keep(low.groupBy(F.col("host").alias("h")).agg(F.collect_set("path").alias("low")), "low")
     scratch.drop("seen")
+    sent = low.agg(F.sum(F.expr("aggregate(low, 0L, (a, x) -> a + length(x) + 16)"))).first()[0] or 0
+    low = F.broadcast(low) if sent <= SENT_BYTES else low
     kind = dict(pages.dtypes)["page_id"]
 
     def extract(batches):
@@ -288,4 +314,4 @@ def main_text(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     joined = p.join(low, F.col("host") == F.col("h"), "left").select("page_id", "url", "html", "low")
-    return joined.mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars long")
+    return mapped(joined, extract, f"page_id {kind}, url string, text string, n_chars long")

@@ -1,21 +1,23 @@
-"""Removal of byte strings that start at more than one place, by prefix doubling over positions.
-
-The rank of a position at length k is equal for positions whose next k bytes are equal. Doubling sorts rank
-pairs at growing offsets and drops positions that have become unique, up to the threshold. Over each byte of
-a corpus that is a sort of all bytes a round, several times the corpus on disk, so positions enter in groups
-and only where ranks of shorter strings are shared:
-
-round 1, SEED bytes: a window of `length` bytes is represented by the smallest of the ranks (hashes) of its
-  SEED-byte strings. Equal windows have equal representatives. Neighbouring windows with the same one form a
-  run, about one for every 80 bytes. Runs whose rank is unique are dropped: none of their windows repeats.
-round 2, the pair (rank, rank of the run's whole span): in runs that share it each window repeats, and they
-  are done. A run that shares its first rank only is contested, and goes on with the runs it shares it with.
-round 3, windows of contested runs, of one run for each rank of round 2: pairs (rank of the first half, rank
-  of the second half) at the threshold. Positions that share it repeat.
-
-In rounds 1 and 2 a mapper's chunk is ranked first; what repeats inside is settled there and sends one
-representative, so a passage that a third of all texts hold costs a row a chunk. Ranks are 64-bit hashes that
-need no exchange to be equal on two machines. Rounds read the texts again rather than keep them.
+"""Removal of byte strings that start at more than one place, by distributed prefix doubling.
+
+The rank of a position at length k names its next k bytes: equal for equal bytes. Doubling sorts positions by rank
+pairs at growing offsets, drops those that have become unique and ranks the rest at the next length, up to the
+threshold. Every byte of a corpus is a position; sorting all of them needs tens of bytes of disk for each byte of
+text (README has the measurement), so positions enter in groups that are known to repeat only together:
+
+length SEED: a window of `length` bytes is represented by the smallest of the ranks of its SEED-byte strings, its
+  anchor. Equal windows have equal anchors at equal offsets. Neighbouring windows with one anchor form a run. Spark
+  sorts (rank of the anchor, rank of the run's whole span): a run with a unique rank is dropped; of runs with equal
+  pairs each window repeats, and they are done; a run that shares its anchor's rank with another span goes on.
+length `length` - CELL + 1: the windows of a run whose anchors lie at offsets of one cell (CELL of them) share a core of
+  that length. Spark sorts the pairs of ranks of its halves; cells with a unique pair are dropped.
+length `length`: Spark sorts the pairs of ranks of the halves of the windows left. Those that share one repeat.
+
+A mapper sorts FLUSH positions first and settles what repeats among them: of equal ones a single representative is
+dealt out, so a passage in a third of all texts costs a row a flush. An anchor with more than HOT spans in one flush
+goes on with all its runs, of which two are dealt out. Ranks are 64-bit hashes, which need no exchange to be equal on
+two machines. Each length reads the texts again rather than keep them; which positions go on is told by a bitset of
+checked size, beyond it by a join on doc_id.
 
 Bytes are those of UTF-8; a match never crosses documents; nothing is capped.
 """
@@ -29,16 +31,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Bits, Scratch, SpanHash, bucket_bits, buffers, chunks, high_bits, mix, own_keys, pack, texts, with_given
+from quire.llm.common import Bits, Scratch, SpanHash, buffers, chunks, in_order, mapped, mix, own_keys, texts, with_given
 
-SEED = 40
-#: Records that a mapper ranks together before it sends them.
-FLUSH = 1 << 19
+SEED, CELL = 40, 40
+#: Positions that a mapper sorts together before it deals them out; spans of an anchor among them that make it hot.
+FLUSH, HOT = 1 << 18, 8
 
 _U = np.uint64
-_RUN = np.dtype([("v", "<u8"), ("f", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("n", "<u4"), ("many", "u1")])
-_HEAD = np.dtype([("doc", "<i8"), ("at", "<u4"), ("n", "<u4")])
-_HIT = np.dtype([("doc", "<i8"), ("at", "<u4"), ("n", "<u4")])
+_PAIR = _U(0x9E3779B97F4A7C15)
+#: Kinds of rows: a position (v, f: its ranks), a hit (doc, at, n windows that repeat), a mark (v: key of a position
+#: that goes on), a document (f: its bytes, whole: sha256).
+POSITION, HIT, MARK, DOC = range(4)
+_ROWS = "kind byte, v long, f long, doc long, at int, n int, whole string"
+_NAMES = ["kind", "v", "f", "doc", "at", "n", "whole"]
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -51,11 +56,11 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def _runs(hashes: SpanHash, rel: np.ndarray, length: int):
-    """Runs of windows in rows with ends rel: rank, row, first window, number of windows."""
+    """Runs of windows in rows with ends rel: rank, row, first window, number of windows, anchor."""
     n, seed = int(rel[-1]), min(SEED, length)
     if n < length:
         z = np.zeros(0, np.int64)
-        return z.astype(_U), z, z, z
+        return z.astype(_U), z, z, z, z
     h = hashes.every(seed)
     bits = _U(max(24, n.bit_length()))
     m = _sliding_min((h >> bits << bits) | np.arange(len(h), dtype=_U), length - seed + 1)
@@ -73,197 +78,266 @@ def _runs(hashes: SpanHash, rel: np.ndarray, length: int):
     start = np.flatnonzero((change[:-1] != 0) & inside)
     row = np.searchsorted(rel, start, "right") - 1
     stop = np.minimum(np.append(start[1:], len(pos)), ends[row])
-    return mix(h[pos[start]] + _U(0x9E3779B97F4A7C15)), row, start, stop - start  # mixed again: the smallest hashes begin with zeros
-
-
-def _settle(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Records that share (v, f), as hits; and one of each (v, f), many if it was shared."""
-    if not len(x):
-        return x, x
-    v, f = np.ascontiguousarray(x["v"]), np.ascontiguousarray(x["f"])
-    order = np.argsort(v)
-    v, f = v[order], f[order]
-    same = np.concatenate(([False], v[1:] == v[:-1], [False]))
-    several = np.flatnonzero(same[1:] | same[:-1])  # only these need their second rank sorted
-    order[several] = order[several][np.lexsort((f[several], v[several]))]
-    x = x[order]
-    new = np.concatenate(([True], (x["v"][1:] != x["v"][:-1]) | (x["f"][1:] != x["f"][:-1])))
-    at = np.flatnonzero(new)
-    count = np.add.reduceat(x["many"].astype(np.int64) + 1, at)
-    one = x[at]
-    one["many"] = count > 1
-    return x[np.repeat(count > 1, np.diff(np.append(at, len(x))))], one
-
-
-def _hits(x: np.ndarray, bits: int) -> list[tuple[int, bytes]]:
-    out = np.empty(len(x), _HIT)
-    for k in _HIT.names:
-        out[k] = x[k]
-    out = out[np.lexsort((out["at"], out["doc"]))]
-    if len(out):  # neighbouring windows become one hit
-        end = out["at"] + out["n"]
-        new = np.concatenate(([True], (out["doc"][1:] != out["doc"][:-1]) | (out["at"][1:] != end[:-1])))
-        at = np.flatnonzero(new)
-        last = np.append(at[1:], len(out)) - 1
-        n = end[last] - out["at"][at]
-        out = out[at]
-        out["n"] = n
-    return pack(out, high_bits(mix(out["doc"].view(_U)), bits), 1 << bits)
-
-
-def _batch(buckets, hits, docs=()):
-    """Rows of all kinds: bucket with data, hit with data, documents."""
-    k, m, d = len(buckets), len(hits), len(docs)
-    cols = {
-        "bucket": pa.array([r[0] for r in buckets] + [None] * (m + d), pa.int32()),
-        "hit": pa.array([None] * k + [r[0] for r in hits] + [None] * d, pa.int32()),
-        "data": pa.array([r[1] for r in buckets] + [r[1] for r in hits] + [None] * d, pa.binary()),
-        "doc_id": pa.array([None] * (k + m) + [x[0] for x in docs], pa.int64()),
-        "n_bytes": pa.array([None] * (k + m) + [x[1] for x in docs], pa.int64()),
-        "whole": pa.array([None] * (k + m) + [x[2] for x in docs], pa.string()),
-    }
-    return pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
-
-
-_ROWS = "bucket int, hit int, data binary, doc_id long, n_bytes long, whole string"
-
-
-def _first(length: int, bits: int):
-    """Round 1 and the chunk's part of round 2."""
+    return mix(h[pos[start]] + _PAIR), row, start, stop - start, pos[start]  # mixed again: the smallest hashes begin with zeros
+
+
+def _pair(hashes: SpanHash, start: np.ndarray, size: int) -> np.ndarray:
+    """Ranks at length size: of the pairs of ranks of both halves."""
+    half = size // 2
+    return mix(hashes.of(start, start + half) * _PAIR + hashes.of(start + half, start + size))
+
+
+def _key(doc: np.ndarray, at: np.ndarray, cell=0) -> np.ndarray:
+    return mix(mix(doc.astype(np.int64).view(_U)) + at.astype(_U) * _U(8191) + np.asarray(cell).astype(_U) * _PAIR)
+
+
+def _scan(batches, length: int):
+    """Of each chunk of texts: row of the batch, ids, bytes, ends, hashes, and its runs."""
+    for b in batches:
+        off, data = buffers(b.column("text"))
+        ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+        for lo, hi in chunks(off):
+            own, rel = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+            hashes = SpanHash(own)
+            yield (b, lo, hi), ids[lo:hi], own, rel, hashes, _runs(hashes, rel, length)
+
+
+def _rows(kind: int, doc, v=None, f=None, at=None, n=None, whole=None) -> pa.RecordBatch:
+    k = len(doc)
+    zero = lambda x, t: pa.array(np.zeros(k, t) if x is None else np.ascontiguousarray(x).astype(t) if x.dtype != _U else x.view(np.int64))
+    cols = [pa.array(np.full(k, kind, np.int8)), zero(v, np.int64), zero(f, np.int64), zero(doc, np.int64), zero(at, np.int32), zero(n, np.int32)]
+    return pa.RecordBatch.from_arrays([*cols, pa.nulls(k, pa.string()) if whole is None else pa.array(whole, pa.string())], _NAMES)
+
+
+def _hits(doc: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Hits, neighbouring windows of a document as one."""
+    order = np.lexsort((at, doc))
+    doc, at, n = doc[order], at[order], n[order]
+    if len(doc):
+        end = at + n
+        first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (at[1:] != end[:-1]))))
+        last = np.append(first[1:], len(doc)) - 1
+        doc, at, n = doc[first], at[first], end[last] - at[first]
+    return _rows(HIT, doc, v=mix(doc.astype(np.int64).view(_U)), at=at, n=n)
+
+
+def _flushed(batches, length: int, take, settle, more=None):
+    """take(chunk) gives arrays of positions; settle() gets FLUSH of them and gives rows."""
+    held, size = [], 0
+    for chunk in _scan(batches, length):
+        got = take(*chunk)
+        held.append(got)
+        size += len(got[0])
+        if more:
+            yield more(*chunk)
+        if size >= FLUSH:
+            yield from settle(*map(np.concatenate, zip(*held)))
+            held, size = [], 0
+    if held:
+        yield from settle(*map(np.concatenate, zip(*held)))
+
+
+def _anchors(length: int):
+    """Runs by the rank of their anchor, and the documents."""
+
+    def take(where, ids, own, rel, hashes, runs):
+        v, row, start, n, _ = runs
+        return v, hashes.of(start, start + n + length - 1), ids[row], start - rel[row], n
+
+    def documents(where, ids, own, rel, hashes, runs):
+        sha = [hashlib.sha256(own[s:e]).hexdigest() for s, e in zip(rel[:-1].tolist(), rel[1:].tolist())]
+        return _rows(DOC, ids, v=mix(ids.astype(np.int64).view(_U)), f=np.diff(rel), whole=sha)
+
+    def settle(v, f, doc, at, n):
+        if not len(v):
+            return
+        order = np.argsort(v)
+        v, f = v[order], f[order]
+        same = np.concatenate(([False], v[1:] == v[:-1], [False]))
+        several = np.flatnonzero(same[1:] | same[:-1])  # only these need their second rank sorted
+        second = np.lexsort((f[several], v[several]))
+        order[several], f[several] = order[several][second], f[several][second]
+        doc, at, n = doc[order], at[order], n[order]
+        new = np.concatenate(([True], v[1:] != v[:-1]))
+        kind = new | np.concatenate(([True], f[1:] != f[:-1]))
+        first = np.flatnonzero(kind)
+        twice = np.repeat(np.diff(np.append(first, len(v))) > 1, np.diff(np.append(first, len(v))))
+        yield _hits(doc[twice], at[twice], n[twice])
+        v, f, doc, at, n, new = (x[first] for x in (v, f, doc, at, n, new))
+        group = np.cumsum(new) - 1
+        kinds = np.bincount(group)
+        hot = kinds[group] > HOT
+        yield _rows(MARK, doc[hot], v=_key(doc[hot], at[hot]), at=at[hot])
+        nth = np.arange(len(v)) - np.flatnonzero(new)[group]
+        go = ~hot | (nth < 2)
+        yield _rows(POSITION, doc[go], v=v[go], f=f[go], at=at[go], n=n[go])
+
+    return lambda batches: _flushed(batches, length, take, settle, documents)
+
+
+def _compared(batches, keys: int):
+    """Of sorted rows: rows of other kinds than POSITION as they are; of positions their columns, and for the first and
+    second key whether the row before, and the row after, has the same."""
+    held = None
+    for b in batches:
+        kind = b.column("kind").to_numpy()
+        k = int(np.count_nonzero(kind == POSITION))
+        if k < len(kind):
+            yield b.slice(k), None, None, None
+        if not k:
+            continue
+        cols = {c: b.column(c).slice(0, k).to_numpy() for c in ("v", "f", "doc", "at", "n")}
+        left = [np.zeros(1, bool)] * keys
+        if held:
+            cols = {c: np.concatenate((held[0][c], x)) for c, x in cols.items()}
+            left = held[1]
+        names = ("v", "f")[:keys]
+        left = [np.concatenate((s, cols[c][1:] == cols[c][:-1])) for s, c in zip(left, names)]
+        if len(cols["v"]) > 1:
+            yield None, {c: x[:-1] for c, x in cols.items()}, [s[:-1] for s in left], [s[1:] for s in left]
+        held = ({c: x[-1:].copy() for c, x in cols.items()}, [s[-1:].copy() for s in left])
+    if held:
+        yield None, held[0], held[1], [np.zeros(1, bool)] * keys
+
+
+def _rank_anchors(batches):
+    """Hits of equal pairs; marks of runs whose anchor's rank has several spans."""
+    for rest, x, left, right in _compared(batches, 2):
+        if rest is not None:
+            yield rest
+            continue
+        (lv, lf), (rv, rf) = left, right
+        hit = lv & lf | rv & rf
+        yield _hits(x["doc"][hit], x["at"][hit], x["n"][hit])
+        go = lv & ~lf | rv & ~rf
+        yield _rows(MARK, x["doc"][go], v=_key(x["doc"][go], x["at"][go]))
+
+
+def _rank(kind: int):
+    """Marks or hits of positions that share their rank."""
 
     def scan(batches):
-        held, docs, size = [], [], 0
-
-        def flush():
-            hits, one = _settle(np.concatenate(held) if held else np.zeros(0, _RUN))
-            return _batch(pack(one, high_bits(one["v"], bits), 1 << bits), _hits(hits, bits), docs)
-
-        for b in batches:
-            off, data = buffers(b.column("text"))
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            for lo, hi in chunks(off):
-                own, rel = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
-                docs += [(int(i), int(e - s), hashlib.sha256(own[s:e]).hexdigest()) for i, s, e in zip(ids[lo:hi], rel[:-1], rel[1:])]
-                hashes = SpanHash(own)
-                v, row, start, n = _runs(hashes, rel, length)
-                x = np.empty(len(v), _RUN)
-                x["v"], x["f"] = v, hashes.of(start, start + n + length - 1)
-                x["doc"], x["at"], x["n"], x["many"] = ids[lo:hi][row], start - rel[row], n, 0
-                held.append(x)
-                size += len(x)
-                if size >= FLUSH:
-                    yield flush()
-                    held, docs, size = [], [], 0
-        yield flush()
+        for rest, x, left, right in _compared(batches, 1):
+            if rest is not None:
+                yield rest
+                continue
+            same = left[0] | right[0]
+            doc = x["doc"][same]
+            yield _rows(MARK, doc, v=x["f"][same]) if kind == MARK else _hits(doc, x["at"][same], np.ones(len(doc), np.int64))
 
     return scan
 
 
-def _one(v, f, doc, at) -> np.ndarray:
-    return mix(v ^ mix(f) ^ mix(doc.astype(np.int64).view(_U) * _U(1 << 32) + at.astype(_U)))
+def _picked(marks, where, keys: np.ndarray) -> np.ndarray:
+    """Which keys are marked: by a bitset, or by the lists that the rows of texts bring along."""
+    if marks is not None:
+        return Bits(marks.value).has(keys)
+    b, lo, hi = where
+    if "marks" not in b.schema.names:
+        return np.ones(len(keys), bool)
+    return np.isin(keys.view(np.int64), b.column("marks").slice(lo, hi - lo).flatten().to_numpy())
 
 
-def _contest(bits: int):
-    """Round 2 over all texts: hits, and the bits of one run of each contested (v, f)."""
+def _expand(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the range, and value, of each member of ranges."""
+    i = np.repeat(np.arange(len(first)), count)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + first[i]
 
-    def rank(key, t):
-        bucket = key[0].as_py()
-        x = np.frombuffer(b"".join(t.column("data").to_pylist()), _RUN)
-        hits, one = _settle(x)
-        at = np.flatnonzero(np.concatenate(([True], one["v"][1:] != one["v"][:-1])))
-        kinds = np.diff(np.append(at, len(one)))
-        open_ = np.add.reduceat((one["many"] == 0).astype(np.int64), at) > 0
-        go = one[np.repeat((kinds > 1) & open_, kinds)]
-        size = 1 << (Bits.BITS - bits)
-        pos = bucket * size + (_one(go["v"], go["f"], go["doc"], go["at"]) % _U(size)).astype(np.int64)
-        rows = _hits(hits, bits)
-        return pa.table({
-            "bucket": pa.array([bucket] + [None] * len(rows), pa.int32()),
-            "hit": pa.array([None] + [r[0] for r in rows], pa.int32()),
-            "data": pa.array([Bits.slice_of(pos, bucket, bits)] + [r[1] for r in rows], pa.binary()),
-        })
 
-    return rank
+def _cells(runs, ids, rel, size: int):
+    """Of runs (row, start, n, anchor) the run, number and key of each cell."""
+    row, start, n, anchor = runs
+    low = (anchor - start - n + 1) // size
+    i, j = _expand(low, (anchor - start) // size - low + 1)
+    return i, j, _key(ids[row[i]], (start - rel[row])[i], j + 1)
 
 
-def _second(length: int, bits: int, contested):
-    """Windows of contested runs: of each run its place and the ranks of its windows, each the rank of the
-    pair of the ranks of its halves."""
+def _cores(length: int, marks):
+    size = min(CELL, length - min(SEED, length) + 1)
 
-    def scan(batches):
-        go, held, size = Bits(contested.value), [], 0
-        per = 1 << (Bits.BITS - bits)
-        half = length // 2
+    def take(where, ids, own, rel, hashes, runs):
+        v, row, start, n, anchor = runs
+        go = _picked(marks, where, _key(ids[row], start - rel[row]))
+        row, start, n, anchor = (x[go] for x in (row, start, n, anchor))
+        i, j, key = _cells((row, start, n, anchor), ids, rel, size)
+        return mix(_pair(hashes, anchor[i] - j * size, length - size + 1) + j.astype(_U)), key, ids[row[i]]
 
-        def flush():
-            place, head, rank = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.int64), np.zeros(0, _HEAD), np.zeros(0, _U))
-            n = head["n"].astype(np.int64)
-            heads, ranks = pack(head, place, 1 << bits), pack(rank, np.repeat(place, n), 1 << bits)
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in heads], pa.int32()), pa.array([r[1] for r in heads], pa.binary()), pa.array([r[1] for r in ranks], pa.binary())], ["bucket", "heads", "ranks"])
+    def settle(v, key, doc):
+        _, first, back, count = np.unique(v, return_index=True, return_inverse=True, return_counts=True)
+        sure = count[back] > 1
+        yield _rows(MARK, doc[sure], v=key[sure])
+        yield _rows(POSITION, doc[first], v=v[first], f=key[first])
 
-        for b in batches:
-            off, data = buffers(b.column("text"))
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            for lo, hi in chunks(off):
-                own, rel = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
-                hashes = SpanHash(own)
-                v, row, start, n = _runs(hashes, rel, length)
-                place = high_bits(v, bits)
-                doc, at = ids[lo:hi][row], start - rel[row]
-                pick = go.has(place * per + (_one(v, hashes.of(start, start + n + length - 1), doc, at) % _U(per)).astype(np.int64))
-                head = np.empty(int(pick.sum()), _HEAD)
-                head["doc"], head["at"], head["n"] = doc[pick], at[pick], n[pick]
-                start, n = start[pick], n[pick]
-                w = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
-                held.append((place[pick], head, mix(hashes.of(w, w + half) * _U(0x9E3779B97F4A7C15) + hashes.of(w + half, w + length))))
-                size += len(w)
-                if size >= FLUSH:
-                    yield flush()
-                    held, size = [], 0
-        yield flush()
+    return lambda batches: _flushed(batches, length, take, settle)
 
-    return scan
 
+def _windows(length: int, runs_marked, marks):
+    size = min(CELL, length - min(SEED, length) + 1)
 
-def _repeat(bits: int):
-    """Round 3 over all texts: windows whose rank another has."""
+    def take(where, ids, own, rel, hashes, runs):
+        v, row, start, n, anchor = runs
+        if runs_marked is not None:
+            go = Bits(runs_marked.value).has(_key(ids[row], start - rel[row]))
+            row, start, n, anchor = (x[go] for x in (row, start, n, anchor))
+        i, j, key = _cells((row, start, n, anchor), ids, rel, size)
+        go = _picked(marks, where, key)
+        i, j = i[go], j[go]
+        first = np.maximum(start[i], anchor[i] - (j + 1) * size + 1)
+        stop = np.minimum(start[i] + n[i], anchor[i] - j * size + 1)
+        k, w = _expand(first, stop - first)
+        r = row[i][k]
+        return _pair(hashes, w, length), ids[r], w - rel[r]
 
-    def rank(key, t):
-        head = np.frombuffer(b"".join(t.column("heads").to_pylist()), _HEAD)
-        r = np.frombuffer(b"".join(t.column("ranks").to_pylist()), _U)
-        order = np.argsort(r)
-        s = r[order]
-        same = np.concatenate(([False], s[1:] == s[:-1], [False]))
-        got = np.sort(order[same[1:] | same[:-1]])
-        n = head["n"].astype(np.int64)
-        end = np.cumsum(n)
-        run = np.searchsorted(end, got, "right")
-        x = np.empty(len(got), _HIT)
-        x["doc"], x["at"], x["n"] = head["doc"][run], head["at"][run] + (got - (end - n)[run]), 1
-        rows = _hits(x, bits)
-        return pa.table({"hit": pa.array([r[0] for r in rows], pa.int32()), "data": pa.array([r[1] for r in rows], pa.binary())})
+    def settle(v, doc, at):
+        _, first, back, count = np.unique(v, return_index=True, return_inverse=True, return_counts=True)
+        sure = count[back] > 1
+        yield _hits(doc[sure], at[sure], np.ones(int(sure.sum()), np.int64))
+        yield _rows(POSITION, doc[first], v=v[first], at=at[first])
 
-    return rank
+    return lambda batches: _flushed(batches, length, take, settle)
 
 
 def _cover(length: int):
-    """Of the hits of one bucket of documents, each document's removed byte spans."""
+    """Of hits in order of (doc, at) each document's removed byte spans."""
+
+    def emit(doc, start, end):
+        new = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+        cut = pa.array(np.append(new, len(doc)).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.ListArray.from_arrays(cut, pa.array(start)), pa.ListArray.from_arrays(cut, pa.array(end))], ["doc_id", "starts", "ends"])
+
+    def scan(batches):
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            doc, start = b.column("doc").to_numpy(), b.column("at").to_numpy().astype(np.int64)
+            end = start + b.column("n").to_numpy() - 1 + length
+            if held:
+                doc, start, end = (np.concatenate(x) for x in zip(held, (doc, start, end)))
+            base = np.cumsum(np.concatenate(([0], doc[1:] != doc[:-1]))) << 40  # documents one after another
+            reach = np.maximum.accumulate(base + end)
+            first = np.flatnonzero(np.concatenate(([True], base[1:] + start[1:] > reach[:-1])))
+            last = np.append(first[1:], len(doc)) - 1
+            doc, start, end = doc[first], start[first], (reach - base)[last]
+            open_ = int(np.searchsorted(base[first], base[-1]))  # the last document may go on
+            if open_:
+                yield emit(doc[:open_], start[:open_], end[:open_])
+            held = (doc[open_:].copy(), start[open_:].copy(), end[open_:].copy())
+        if held:
+            yield emit(*held)
+
+    return scan
 
-    def merge(key, t):
-        x = np.frombuffer(b"".join(t.column("data").to_pylist()), _HIT)
-        x = x[np.lexsort((x["at"], x["doc"]))]
-        start, end = x["at"].astype(np.int64), x["at"].astype(np.int64) + x["n"] - 1 + length
-        first = np.flatnonzero(np.concatenate(([True], x["doc"][1:] != x["doc"][:-1])))
-        ids, starts, ends = [], [], []
-        for a, b in zip(first.tolist(), np.append(first[1:], len(x)).tolist()):
-            s, reach = start[a:b], np.maximum.accumulate(end[a:b])
-            new = np.concatenate(([True], s[1:] > reach[:-1]))
-            ids.append(int(x["doc"][a]))
-            starts.append(s[new].tolist())
-            ends.append(reach[np.append(np.flatnonzero(new)[1:] - 1, len(s) - 1)].tolist())
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "starts": pa.array(starts, pa.list_(pa.int64())), "ends": pa.array(ends, pa.list_(pa.int64()))})
 
-    return merge
+def _marked(docs: DataFrame, rows: DataFrame):
+    """The texts to read for marked positions, and the marks as a broadcast bitset; or, if there are too many for one,
+    None, and each text that has marks with a list of them."""
+    marks = rows.where(F.col("kind") == MARK).select("doc", "v")
+    held = Bits.of(marks.select(F.col("v").alias("h")), marks.count())
+    if held is not None:
+        return docs, docs.sparkSession.sparkContext.broadcast(held)
+    own = marks.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("v").alias("marks"))
+    return docs.join(own, F.col("doc_id") == F.col("_doc")).drop("_doc"), None
 
 
 def repeated_spans(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataFrame]:
@@ -275,49 +349,56 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataF
     must be unique, and rows of equal texts are copies of each other. Further columns are ignored."""
     spark = docs.sparkSession
     docs = texts(docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text"))
-    scratch, bits = Scratch(spark), bucket_bits(spark)
-    one = scratch.keep(docs.mapInArrow(_first(length, bits), _ROWS), "runs")
-    two = scratch.keep(one.where("bucket is not null").select("bucket", "data").groupBy("bucket").applyInArrow(_contest(bits), "bucket int, hit int, data binary"), "ranked")
-    contested = spark.sparkContext.broadcast(Bits.gather(two.where("bucket is not null").select("bucket", F.lit(bits).alias("bits"), "data")))  # 2 MB
-    three = docs.mapInArrow(_second(length, bits, contested), "bucket int, heads binary, ranks binary")
-    three = three.groupBy("bucket").applyInArrow(_repeat(bits), "hit int, data binary")
-    hits = one.where("hit is not null").select("hit", "data").union(two.where("hit is not null").select("hit", "data")).union(three)
-    spans = scratch.keep(hits.groupBy("hit").applyInArrow(_cover(length), "doc_id long, starts array<long>, ends array<long>"), "spans")
-    return one.where("doc_id is not null").select("doc_id", "n_bytes", "whole"), spans
-
-
-def _chosen(docs: DataFrame, spans: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of documents that have spans, with them. The texts are chosen by a bitset before the shuffle."""
-    spark = docs.sparkSession
-
-    def mark(key, t):
-        bucket, size = key[0].as_py(), 1 << (Bits.BITS - 8)
-        pos = np.unique(t.column("pos").to_numpy()) + bucket * size
-        return pa.table({"bucket": pa.array([bucket], pa.int32()), "bits": pa.array([8], pa.int32()), "data": pa.array([Bits.slice_of(pos, bucket, 8)], pa.binary())})
-
-    low = 1 << (Bits.BITS - 8)
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << Bits.BITS))
-    rows = spans.select(F.floor(slot / low).cast("int").alias("bucket"), (slot % low).alias("pos")).distinct()
-    held = spark.sparkContext.broadcast(Bits.gather(rows.groupBy("bucket").applyInArrow(mark, "bucket int, bits int, data binary")))  # 2 MB
-    marked = docs.withColumn("_slot", slot)
-
-    def pick(batches):
-        want = Bits(held.value)
-        for b in batches:
-            keep = want.has(b.column("_slot").to_numpy(zero_copy_only=False).astype(np.int64))
-            yield b.filter(pa.array(keep)).select(columns)
-
-    return marked.mapInArrow(pick, docs.select(*columns).schema).join(spans, "doc_id")
+    scratch = Scratch(spark)
+    rank = lambda take, scan: in_order(mapped(take[0], take[1], _ROWS), ["v"], ["kind", "v", "f"], scan, _ROWS)
+    one = scratch.keep(rank((docs, _anchors(length)), _rank_anchors), "anchors")
+    some, runs = _marked(docs, one)
+    two = scratch.keep(rank((some, _cores(length, runs)), _rank(MARK)), "cores")
+    some, cells = _marked(docs, two)
+    three = rank((some, _windows(length, runs, cells)), _rank(HIT))
+    hits = one.union(three).where(F.col("kind") == HIT).select("doc", "at", "n")
+    spans = scratch.keep(in_order(hits, ["doc"], ["doc", "at"], _cover(length), "doc_id long, starts array<long>, ends array<long>"), "spans")
+    scratch.drop("cores")
+    return one.where(F.col("kind") == DOC).select(F.col("doc").alias("doc_id"), F.col("f").alias("n_bytes"), "whole"), spans
+
+
+def _with_spans(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows that may have spans, and the others: a bitset of doc_ids keeps the others' texts out of the shuffle, as long
+    as one is small enough."""
+    held = Bits.of(spans.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h")), spans.count())
+    if held is None:
+        return docs, None
+    sent, columns, schema = docs.sparkSession.sparkContext.broadcast(held), docs.columns, docs.schema
+    marked = docs.withColumn("_h", F.xxhash64(F.col("doc_id").cast("long")))
+
+    def pick(want: bool):
+        def scan(batches):
+            bits = Bits(sent.value)
+            for b in batches:
+                keep = bits.has(b.column("_h").to_numpy(zero_copy_only=False).astype(np.int64))
+                yield b.filter(pa.array(keep if want else ~keep)).select(columns)
+
+        return mapped(marked, scan, schema)
+
+    return pick(True), pick(False)
+
+
+def _left(text: str, starts, ends) -> tuple[list[bytes], int]:
+    raw, at, kept = text.encode(), 0, []
+    for s, e in zip(starts, ends):
+        kept.append(raw[at:s])
+        at = e
+    return [*kept, raw[at:]], len(raw)
 
 
 def digests(docs: DataFrame, length: int = 200) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each document; see repeated_spans().
     Rows that repeat a doc_id are documents of their own."""
     rows, given = own_keys(docs.where("doc_id is not null"))
+    d = _digests(rows, length)
     if given:
-        d = _digests(rows, length)
-        return d.join(rows.select("doc_id", given), "doc_id").select(F.col(given).cast("long").alias("doc_id"), *d.columns[1:])
-    return _digests(docs, length)
+        d = d.join(rows.select("doc_id", given), "doc_id").select(F.col(given).cast("long").alias("doc_id"), *d.columns[1:])
+    return d
 
 
 def _digests(docs: DataFrame, length: int) -> DataFrame:
@@ -328,17 +409,15 @@ def _digests(docs: DataFrame, length: int) -> DataFrame:
         for b in batches:
             n, k, sha = [], [], []
             for t, s, e in zip(b.column("text").to_pylist(), b.column("starts").to_pylist(), b.column("ends").to_pylist()):
-                raw, at, h = t.encode(), 0, hashlib.sha256()
-                for x, y in zip(s, e):
-                    h.update(raw[at:x])
-                    at = y
-                h.update(raw[at:])
+                h = hashlib.sha256()
+                for piece in _left(t, s, e)[0]:
+                    h.update(piece)
                 n.append(sum(e) - sum(s))
                 k.append(len(s))
                 sha.append(h.hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(sha)], ["doc_id", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_removed", "n_spans", "kept"])
 
-    some = _chosen(docs, spans, ["doc_id", "text"]).mapInArrow(cut, "doc_id long, n_removed long, n_spans long, kept string")
+    some = mapped(_with_spans(docs, spans)[0].join(spans, "doc_id"), cut, "doc_id long, n_removed long, n_spans long, kept string")
     zero = F.lit(0).cast("long")
     return own.join(some, "doc_id", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "whole").alias("kept_sha256"))
 
@@ -350,22 +429,20 @@ def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     names = docs.columns
     docs, given = own_keys(docs)
     _, spans = repeated_spans(docs, length)
-    flat = texts(docs, *[c for c in docs.columns if c not in ("doc_id", "text")])
-
-    @F.pandas_udf("string")
-    def cut(text, starts, ends):
-        import pandas as pd
-
-        out = []
-        for t, s, e in zip(text, starts, ends):
-            raw, at, kept = t.encode(), 0, []
-            for x, y in zip(s, e):
-                kept.append(raw[at:x])
-                at = y
-            out.append(b"".join([*kept, raw[at:]]).decode(errors="ignore"))
-        return pd.Series(out)
-
-    changed = _chosen(flat, spans, flat.columns).withColumn("text", cut("text", "starts", "ends")).drop("starts", "ends").where("text <> ''")
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return with_given(docs.join(spans.select("doc_id"), "doc_id", "left_anti").select(*docs.columns).unionByName(changed.select(*docs.columns)), given, names)
+    columns, schema = docs.columns, docs.schema
+
+    def cut(batches):
+        for b in batches:
+            text = [x if s is None else b"".join(_left(x or "", s, e)[0]).decode(errors="ignore") for x, s, e in zip(b.column("text").to_pylist(), b.column("starts").to_pylist(), b.column("ends").to_pylist())]
+            gone = [s is not None and not x for x, s in zip(text, b.column("starts").to_pylist())]
+            i = b.schema.get_field_index("text")
+            b = b.set_column(i, "text", pa.array(text, b.schema.field("text").type))
+            if "n_chars" in columns:
+                i, kind = b.schema.get_field_index("n_chars"), b.schema.field("n_chars").type
+                own = [n if s is None else len(x) for n, x, s in zip(b.column("n_chars").to_pylist(), text, b.column("starts").to_pylist())]
+                b = b.set_column(i, "n_chars", pa.array(own, kind))
+            yield b.filter(pa.array([not g for g in gone], pa.bool_())).select(columns)
+
+    some, rest = _with_spans(docs, spans)
+    changed = mapped(some.join(spans.select(F.col("doc_id").alias("_d"), "starts", "ends"), F.col("doc_id") == F.col("_d"), "left").select(*columns, "starts", "ends"), cut, schema)
+    return with_given(changed if rest is None else changed.unionByName(rest), given, names)

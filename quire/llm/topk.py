@@ -14,10 +14,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire import ship
+from quire.llm.common import mapped, session
 
-#: Rows of a block of candidates and of queries, and dimensions accumulated at a time.
-BLOCK, QUERIES, GROUP = 8192, 256, 16
+#: Rows of a block of candidates and of queries, components of either at most, and dimensions accumulated at a time.
+BLOCK, QUERIES, CELLS, GROUP = 8192, 256, 1 << 20, 16
 SCALE = 1024
 
 
@@ -38,7 +38,7 @@ def _block(rows: int):
             for i, v in zip(b.column("vec_id").to_pylist(), b.column("v").to_pylist()):
                 got = held.setdefault(len(v), [])
                 got.append((i, v))
-                if len(got) >= rows:
+                if len(got) >= max(1, min(rows, CELLS // max(1, len(v)))):
                     yield emit(len(v), held.pop(len(v)))
         for d, got in held.items():
             yield emit(d, got)
@@ -86,14 +86,14 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     are ignored. Queries and candidates meet in blocks, all against all; a block of queries is copied to each of
     the shuffle partitions."""
     spark = vectors.sparkSession
-    ship(spark)
+    session(spark)
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     v = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(fine)
     v = v.withColumn("v", F.transform("v", lambda x: F.floor(x * SCALE).cast("long")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = "d int, block long, ids binary, data binary"
-    cand = v.mapInArrow(_block(BLOCK), schema).withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int"))
-    ask = v.where(F.col("vec_id") % every == 0).mapInArrow(_block(QUERIES), schema)
+    cand = mapped(v, _block(BLOCK), schema).withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int"))
+    ask = mapped(v.where(F.col("vec_id") % every == 0), _block(QUERIES), schema)
     ask = ask.select(F.col("d").alias("e"), F.col("block").alias("qb"), F.col("ids").alias("qids"), F.col("data").alias("qdata"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("s"))
     pairs = cand.join(ask, (F.col("d") == F.col("e")) & (F.col("slot") == F.col("s"))).select("d", "qb", "qids", "qdata", "block", "ids", "data").sortWithinPartitions("qb", "block")
 
@@ -121,6 +121,6 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
         if now is not None:
             yield emit()
 
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+    found = mapped(pairs, run, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

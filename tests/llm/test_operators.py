@@ -104,7 +104,6 @@ def test_packing(table, plain):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     pieces = packing.digests(packing.pack(table, path, 256)).toPandas()
     for i, g in pieces.groupby("doc_id"):
         ids, at = np.array(t.encode(plain[i], add_special_tokens=False).ids + [0], "<u4"), 0
@@ -126,7 +125,6 @@ def test_encoder_matches_the_library():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     odd = ["\n a", "a\n", "\nA b", "a\n\nb", "  x", "it's, 'twas.\nNo? 3,5 a.b...  ", "é. b c", "a  b", "", "x²,", "tab\tx y\r\nz", "<|endoftext|> hi", "日本。 x.", "a b c", "a ́b,"]
     for text, ids in zip(odd, packing.Encoder(path).encode(odd)):
         assert np.frombuffer(ids, "<u2").tolist() == t.encode(text, add_special_tokens=False).ids
@@ -194,21 +192,52 @@ def test_spotsigs(table, plain):
         assert abs(r.near_edited - spotsigs.likeness(sa, se)) < 1e-12 and abs(r.near_next - spotsigs.likeness(sa, sn)) < 1e-12
 
 
-def test_spotsigs_pairs(spark):
+def spot_chains(text):
+    """Signatures by the letter of the method: each anchor with the next words that are no anchors."""
+    words = re.findall(r"[a-z0-9\x80-\U0010ffff]+", text.lower())
+    out = set()
+    for i, w in enumerate(words):
+        if w in spotsigs.ANCHORS:
+            rest = [x for x in words[i + 1 :] if x not in spotsigs.ANCHORS][: spotsigs.CHAIN]
+            if len(rest) == spotsigs.CHAIN:
+                out.add((w, *rest))
+    return frozenset(out)
+
+
+def test_spotsigs_chains():
+    r = random.Random(5)
+    words = list(spotsigs.ANCHORS[:10]) + ["".join(r.choices("bcdfgé", k=4)) for _ in range(40)]
+    texts = [" ".join(r.choices(words, k=r.randint(0, 60))).title() + r.choice(["", ".", " - x9"]) for _ in range(200)]
+    got, want = spotsigs.signatures(texts), [spot_chains(t) for t in texts]
+    assert [len(x) for x in got] == [len(w) or bool(t) for w, t in zip(want, texts)]
+    for _ in range(300):  # likeness of hashed sets is that of the chains
+        a, b = r.randrange(200), r.randrange(200)
+        if want[a] and want[b]:
+            assert abs(spotsigs.likeness(got[a], got[b]) - len(want[a] & want[b]) / len(want[a] | want[b])) < 1e-12
+
+
+def test_spotsigs_classes(spark, table, empty):
     r = random.Random(5)
     words = list(spotsigs.ANCHORS[:10]) + ["".join(r.choices("bcdfg", k=4)) for _ in range(60)]
-    base = [r.choice(words) for _ in range(300)]
-    texts = []
-    for i in range(12):
-        w = list(base)
-        for _ in range(i):
-            w[r.randrange(300)] = "neu" + str(r.randrange(99))
-        texts.append(" ".join(w))
-    prints = spotsigs.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    s = spotsigs.signatures(texts)
-    first = sorted({spotsigs.encode(x): i for i, x in reversed(list(enumerate(s)))}.values())
-    want = {(a, b) for a in first for b in first if a < b and spotsigs.likeness(s[a], s[b]) >= 0.8}
-    assert {(x["a"], x["b"]) for x in spotsigs.similar(prints).collect()} == want and want
+    texts = [None, "", "x", "x"]
+    for _ in range(4):
+        base = [r.choice(words) for _ in range(300)]
+        for i in range(12):
+            w = list(base)
+            for _ in range(i):
+                w[r.randrange(300)] = "neu" + str(r.randrange(99))
+            texts.append(" ".join(w))
+    sets = spotsigs.signatures([t or "" for t in texts])
+    up = list(range(len(texts)))
+    find = lambda x: x if up[x] == x else find(up[x])
+    for a, b in product(range(len(texts)), repeat=2):
+        if a < b and len(sets[a]) and len(sets[b]) and spotsigs.likeness(sets[a], sets[b]) >= 0.8 - 1e-12:
+            x, y = sorted((find(a), find(b)))
+            up[y] = x
+    got = spotsigs.classes(spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, cls int")).collect()
+    assert {x["doc_id"]: (x["n_signatures"], x["class_id"]) for x in got} == {i: (len(sets[i]), find(i)) for i in range(len(texts))}
+    assert len({find(i) for i in range(4, len(texts))}) < 48
+    assert spotsigs.classes(empty).collect() == []
 
 
 def test_language_id_learns(spark):
