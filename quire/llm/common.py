@@ -141,11 +141,11 @@ def buffers(arr) -> tuple[np.ndarray, np.ndarray]:
     return off, data
 
 
-def chunks(off: np.ndarray, limit: int = CHUNK_BYTES):
-    """Ranges of rows of about limit bytes; a longer row comes alone."""
+def chunks(off: np.ndarray):
+    """Ranges of rows of about CHUNK_BYTES; a longer row comes alone."""
     lo, n = 0, len(off) - 1
     while lo < n:
-        hi = min(n, max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1))
+        hi = min(n, max(lo + 1, int(np.searchsorted(off, off[lo] + CHUNK_BYTES, "right")) - 1))
         yield lo, hi
         lo = hi
 

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from quire.llm.common import Scratch, buffers, mapped, mix, texts
 
 DIMS, BITS = 4, 10
-#: Hashed features of a token; pieces of text whose ids a task remembers at most (about 200 bytes each).
-FEATURES, REMEMBERED = 1 << 14, 250_000
+#: Hashed features of a token.
+FEATURES = 1 << 14
 #: Texts encoded together, and texts of a task that both encoders must give the same ids for.
 TEXTS, COMPARED = 512, 8
 END = 0
@@ -30,7 +30,7 @@ END = 0
 _PROJECTION = ((mix(np.arange(FEATURES * DIMS, dtype=np.uint64)) >> np.uint64(40)).astype(np.float32) / (1 << 23) - 1).reshape(FEATURES, DIMS)
 
 
-#: The pieces that byte-level BPE cuts a text into before merging.
+#: Fixed value: the pieces that byte-level BPE cuts a text into before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PROBE = "It's 12 naïve café-goers;  they'll\n\n pay £3.50 … 日本 \tok "
 
@@ -38,19 +38,15 @@ _PROBE = "It's 12 naïve café-goers;  they'll\n\n pay £3.50 … 日本 \tok "
 class Encoder:
     """Ids of whole texts, those of the tokenizers library.
 
-    A text whose white space is single spaces and newlines between words is cut before each of them, where this
-    tokeniser's own pieces begin as well; a word is also parted from the punctuation that ends it. Ids of words are
-    remembered, new ones are encoded many at once: a token that begins with white space begins a word. If the file is a
-    byte-level BPE whose ids rank its merges, words are merged by these ranks, which is faster, as long as that gives
-    the library's ids for a probe and for the first texts of a task. Texts that hold one of the file's added tokens, and
-    those with other white space, go to the library whole."""
+    If the file is a byte-level BPE whose ids rank its merges, tiktoken merges by these ranks, which is faster, as long
+    as that gives the library's ids for a probe and for the first texts of a task. Texts that hold one of the file's
+    added tokens, or other white space than single spaces and newlines between words, go to the library."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
         self.compared = 0
         self.ranked = self._ranked(path)
 
@@ -72,65 +68,18 @@ class Encoder:
             same = enc.encode_ordinary(_PROBE) == self._library(_PROBE)
         except (KeyError, ValueError):
             return None
-        self.starts = np.zeros(1 << 16, bool)
-        for k, v in ranks.items():
-            self.starts[v] = k[:1] in (b" ", b"\n")
         return enc if same else None
 
     def _library(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _ids(self, text: str) -> bytes:
-        return array("H", self.ranked.encode_ordinary(text)).tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        """Ids of words that begin with a space or a newline. All of one kind are encoded as one text, whose words begin
-        where tokens begin with that white space; should their numbers differ, each is encoded by itself."""
-        for kind in (" ", "\n"):
-            some = [w for w in words if w[0] == kind]
-            if not some:
-                continue
-            ids = self.ranked.encode_to_numpy("".join(some)).astype("<u2")
-            cut = np.flatnonzero(self.starts[ids])
-            if len(cut) == len(some) and cut[0] == 0:
-                raw, at = ids.tobytes(), (2 * np.append(cut, len(ids))).tolist()
-                self.known.update(zip(some, [raw[a:b] for a, b in zip(at, at[1:])]))
-            else:
-                self.known.update((w, self._ids(w)) for w in some)
-
-    def _fast(self, batch: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        cut = [t.replace("\n", " \n").split(" ") for t in batch]
-        # all but a text's first word follow a space, or begin with the newline that they follow
-        words = [[w if w[:1] == "\n" else " " + w for w in c[1:]] for c in cut]
-        new = set().union(*words).difference(known)
-        tails, plain = {}, set()
-        for w in new:
-            core = w.rstrip(",.;:!?")
-            if len(core) < len(w) and core[-1:].isalnum():
-                tails[w] = core
-                plain.add(core)
-            else:
-                plain.add(w)
-        self._learn([w for w in plain if w not in known])
-        for w, core in tails.items():
-            tail = w[len(core) :]
-            ids = known.get(tail)
-            if ids is None:
-                ids = known[tail] = self._ids(tail)
-            known[w] = known[core] + ids
-        return [(self._ids(c[0]) if c[0] else b"") + b"".join(map(known.__getitem__, w)) for c, w in zip(cut, words)]
-
     def encode(self, batch: list[str]) -> list[bytes]:
         """Little-endian 16-bit ids of each text; the vocabulary is below 65536."""
         slow = lambda t: array("H", self._library(t)).tobytes()
         if not self.ranked:
             return [slow(t) for t in batch]
         easy = [t.replace("\n", " ") == " ".join(t.split()) and not any(x in t for x in self.added) for t in batch]
-        fast = iter(self._fast([t for t, e in zip(batch, easy) if e]))
-        out = [next(fast) if e else slow(t) for t, e in zip(batch, easy)]
+        out = [self.ranked.encode_to_numpy(t).astype("<u2").tobytes() if e else slow(t) for t, e in zip(batch, easy)]
         for t, e, ids in zip(batch, easy, out):
             if self.compared >= COMPARED:
                 break

@@ -102,4 +102,35 @@ def oracle_sql() -> dict[str, str]:
           from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
     r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
     select query_id, rank, vec_id, score from r where rank <= 10"""
-    return {"op5_top_k": top}
+    shards = """
+    with c as (select list_transform(range(0, 256), lambda i: list_reduce(list_concat([i], range(0, 8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+    d as (select doc_id, coalesce(doc_id::varchar, 'null') as key, hex(encode(coalesce(text, ''))) as h from documents),
+    m as (select doc_id, length(h) // 2 as n, list_transform(range(0, 25), lambda s: substring(md5(key || '/' || s), 1, 13)) as u,
+      xor(list_reduce(list_concat([4294967295::bigint], list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::bigint)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) as crc from d, c),
+    s as (select doc_id, (n + 8)::bigint as size, crc::bigint as text_crc32, u, (list_position(u[1:24], list_max(u[1:24])) - 1)::integer as shard from m)
+    select doc_id, size, text_crc32, 'key' as law, shard, row_number() over (partition by shard order by doc_id, text_crc32) - 1 as slot,
+      case when u[25] > list_max(u[1:24]) then 24 else shard end as grown_shard from s"""
+    # 200-byte windows of hexadecimal text, cut in pieces of 1,000 first, as long texts are slow to index
+    repeats = """
+    with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents where doc_id is not null),
+    c as (select doc_id, k * 1000 as base, substring(h, 2000 * k + 1, 2398) as s from (select doc_id, h, unnest(range(0, length(h) // 2000 + 1)) as k from d)),
+    w as (select doc_id, base + i as pos, md5(substring(s, 2 * i + 1, 400)) as m from (select doc_id, base, s, unnest(range(0, least(1000, length(s) // 2 - 199))) as i from c where length(s) >= 400)),
+    r as (select doc_id, pos from (select doc_id, pos, count(*) over (partition by m) as n from w) where n > 1),
+    i as (select doc_id, pos, sum(case when pos <= before + 200 then 0 else 1 end) over (partition by doc_id order by pos) as g
+          from (select *, coalesce(lag(pos) over (partition by doc_id order by pos), -1000) as before from r)),
+    s as (select doc_id, min(pos) as a, max(pos) + 200 as b from i group by doc_id, g),
+    k as (select doc_id, sum(b - a) as n_removed, count(*) as n_spans, list(a order by a) as starts, list(b order by a) as ends from s group by doc_id)
+    select d.doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+      sha256(unhex(case when starts is null then h else array_to_string(list_transform(range(0, len(starts) + 1), lambda j: substring(h, 2 * (case when j = 0 then 0 else ends[j] end) + 1,
+        2 * ((case when j = len(starts) then length(h) // 2 else starts[j + 1] end) - (case when j = 0 then 0 else ends[j] end)))), '') end)) as kept_sha256
+    from d left join k on d.doc_id = k.doc_id"""
+    links = r"""
+    with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents where doc_id is not null),
+    s as (select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+          else list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) end as x from d),
+    t as (select doc_id, len(x) as n, unnest(x) as g from s),
+    p as (select a.doc_id as a, b.doc_id as b, count(*) as o, any_value(a.n) as na, any_value(b.n) as nb from t a join t b on a.g = b.g and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+    l as (select a, b from p where 100 * o >= 85 * (na + nb - o)),
+    r as (select a, b from l union select r.a, l.b from r join l on r.b = l.a)
+    select s.doc_id, len(x)::bigint as n_shingles, least(s.doc_id, coalesce((select min(b) from r where r.a = s.doc_id), s.doc_id)) as component_id from s"""
+    return {"op5_top_k": top, "op7_sharding": shards, "op9_suffix_dedup": repeats, "op10_ngram_join": links}

@@ -8,6 +8,7 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from quire.llm import chat, langid, mixing, ngram_join, packing, sharding, spotsigs, style_tree, suffix_dedup, topk
@@ -98,6 +99,86 @@ def test_suffix_dedup(table, plain):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(b), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest())
 
 
+def dedup_in_process(texts, length, batch=3):
+    """The three lengths of suffix dedup without Spark: scans of batches, rows sorted as Spark would."""
+    import pyarrow as pa
+
+    docs = [pa.RecordBatch.from_pydict({"doc_id": pa.array(range(i, min(i + batch, len(texts))), pa.int64()), "text": texts[i : i + batch]}) for i in range(0, len(texts), batch)]
+
+    def dealt(scan, rank):
+        rows = pa.Table.from_batches([b for part in (docs[::2], docs[1::2]) for b in scan(iter(part))], pa.schema([("kind", pa.int8()), ("v", pa.int64()), ("f", pa.int64()), ("doc", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("whole", pa.string())]))
+        rows = rows.sort_by([("kind", "ascending"), ("v", "ascending"), ("f", "ascending")])
+        return pa.Table.from_batches(list(rank(iter(rows.to_batches(max_chunksize=7)))), rows.schema)
+
+    class Sent:
+        def __init__(self, rows):
+            marks = rows.filter(pa.compute.equal(rows["kind"], suffix_dedup.MARK))["v"].to_numpy()
+            bits = np.zeros(1 << 16, np.uint8)
+            bits[marks.view(np.uint64) & np.uint64((1 << 16) - 1)] = 1
+            self.value = np.packbits(bits, bitorder="little").tobytes()
+
+    one = dealt(suffix_dedup._anchors(length), suffix_dedup._rank_anchors)
+    two = dealt(suffix_dedup._cores(length, Sent(one)), suffix_dedup._rank(suffix_dedup.MARK))
+    three = dealt(suffix_dedup._windows(length, Sent(one), Sent(two)), suffix_dedup._rank(suffix_dedup.HIT))
+    hits = pa.concat_tables([x.filter(pa.compute.equal(x["kind"], suffix_dedup.HIT)).select(["doc", "at", "n"]) for x in (one, three)]).sort_by([("doc", "ascending"), ("at", "ascending")])
+    spans = [b for b in suffix_dedup._cover(length)(iter(hits.to_batches(max_chunksize=5)))]
+    return {d: list(zip(s, e)) for b in spans for d, s, e in zip(*[b.column(c).to_pylist() for c in ("doc_id", "starts", "ends")])}
+
+
+def brute_spans(texts, length):
+    raw = [t.encode() for t in texts]
+    count = Counter(b[s : s + length] for b in raw for s in range(len(b) - length + 1))
+    out = {}
+    for i, b in enumerate(raw):
+        for s in range(len(b) - length + 1):
+            if count[b[s : s + length]] > 1:
+                spans = out.setdefault(i, [])
+                if spans and s <= spans[-1][1]:
+                    spans[-1] = (spans[-1][0], s + length)
+                else:
+                    spans.append((s, s + length))
+    return out
+
+
+@pytest.mark.parametrize("length,flush,hot,chunk", [(200, 50, 1, 300), (200, 1 << 18, 8, 1 << 17), (8, 20, 1, 50), (45, 100, 2, 1000), (1, 10, 8, 20)])
+def test_suffix_dedup_lengths(monkeypatch, length, flush, hot, chunk):
+    from quire.llm import common
+
+    monkeypatch.setattr(suffix_dedup, "FLUSH", flush)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(common, "CHUNK_BYTES", chunk)
+    r = random.Random(length)
+    say = lambda k: "".join(r.choices("abcdé ", k=k))
+    passage = say(260)
+    texts = [say(r.randint(0, 900)) for _ in range(12)] + [say(r.randint(0, 99)) + passage[r.randint(0, 40) :] + say(r.randint(0, 99)) for _ in range(12)] + [passage, passage, "", "aaa" * 200]
+    r.shuffle(texts)
+    assert dedup_in_process(texts, length) == brute_spans(texts, length)
+
+
+def test_other_ways_at_scale(spark, table, plain, monkeypatch):
+    """Bitsets too large to send, components of more edges than one task takes, and groups of several blocks."""
+    from quire.llm import common
+
+    want = sorted(map(tuple, suffix_dedup.digests(table).collect()))
+    kept = plain_rows(suffix_dedup.without_repeats(table))
+    monkeypatch.setattr(common, "MOST_BITS", 3)
+    assert sorted(map(tuple, suffix_dedup.digests(table).collect())) == want
+    assert plain_rows(suffix_dedup.without_repeats(table)) == kept
+    monkeypatch.setattr(common, "LOCAL_EDGES", 2)
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 150)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(table, 4, 85, 100).collect()}
+    assert got == brute_components(plain, 4, 85, 100)
+
+
+def test_components_of_chains(spark, monkeypatch):
+    from quire.llm import common
+
+    monkeypatch.setattr(common, "LOCAL_EDGES", 2)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (50, 50)]
+    got = common.components(spark, common.Scratch(spark), spark.createDataFrame(edges, "a long, b long").repartition(5), "c").collect()
+    assert {x["node"]: x["label"] for x in got if x["node"] != x["label"]} == {i: 0 for i in range(1, 41)} | {95: 90, 100: 90}
+
+
 def test_packing(table, plain):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -148,6 +229,44 @@ def test_mixing(table, plain):
     assert (s.target <= 3 * s["size"] + 1e-6).all()
 
 
+def test_mixing_against_brute_force(spark):
+    """Rates solve each source's dual by bisection; copies are a rate rounded up or down, near the target, and the same
+    again."""
+    r = random.Random(11)
+    rows = [(i, " ".join(["w"] * min(400, int(r.paretovariate(1.1)))), r.choice(["a", "a", "a", "b", "c", None])) for i in range(900)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    m = mixing.mix(d).toPandas()
+    assert sorted(map(tuple, mixing.mix(d.repartition(2)).select("doc_id", "copies").collect())) == sorted(zip(m.doc_id, m.copies))
+    for _, g in m.groupby("source", dropna=False):
+        x, target = g["size"] / g["size"].mean(), g.target.iloc[0]
+        lo, hi = -60.0, 60.0
+        for _ in range(200):
+            t = (lo + hi) / 2
+            taken = (g["size"] * 3 / (1 + 2 * np.exp(-t * x))).sum()
+            lo, hi = (t, hi) if taken < target else (lo, t)
+        want = 3 / (1 + 2 * np.exp(-lo * x)) if target < 3 * g["size"].sum() * (1 - 1e-12) else 3 + 0 * x
+        assert np.allclose(g.rate, want, atol=1e-5)
+        assert ((g.copies >= np.floor(g.rate)) & (g.copies <= np.ceil(g.rate))).all()
+        parts = -(-len(g) // mixing.PART)
+        assert abs((g["size"] * g.copies).sum() - target) <= parts * g["size"].max() / 2 + 1e-3
+
+
+def test_targets_by_hand(spark):
+    """All combinations of capped sources, by trying each number of them."""
+    r = random.Random(12)
+    for _ in range(5):
+        sizes = {k: r.choice([1, 10, 1000, 0]) * r.randint(1, 9) for k in ["", "a", "b", "c", "é", "Z", None]}
+        names = sorted((k for k in sizes if k is not None), key=lambda k: k.encode()) + [None]
+        weight = {k: (5, 2, 1)[i % 3] for i, k in enumerate(names)}
+        level, total = 0.0, sum(sizes.values())
+        lo, hi = 0.0, 10.0 * total
+        for _ in range(200):
+            level = (lo + hi) / 2
+            lo, hi = (level, hi) if sum(min(weight[k] * level, 3 * n) for k, n in sizes.items()) < total else (lo, level)
+        got = {x["source"]: x["target"] for x in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+        assert all(abs(got[k] - min(weight[k] * level, 3 * n)) < 1e-6 * total for k, n in sizes.items())
+
+
 def test_targets(spark):
     rows = [("a", 100), ("b", 1000), ("c", 10), (None, 500)]
     got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(rows, "source string, source_size long")).collect()}
@@ -173,6 +292,25 @@ def test_sharding(table, plain):
     assert all((n, c) == (len(plain[i].encode()) + 8, zlib.crc32(plain[i].encode())) for i, n, c in zip(d.doc_id, d["size"], d.text_crc32))
 
 
+def test_sharding_against_brute_force(table, plain):
+    """Scores by hashlib and math; slots in parts of two rows."""
+    import math
+
+    weights = [1.0, 2.0, 0.0, 1.5]
+
+    def score(key, s, w):
+        return -w / math.log((int(hashlib.md5(f"{key}/{s}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52))
+
+    got = {x["doc_id"]: x for x in sharding.shard(table, weights, 2).collect()}
+    for i in plain:
+        best = max((score(i, s, w), -s) for s, w in enumerate(weights) if w)
+        assert got[i]["shard"] == -best[1] and got[i]["grown_shard"] == (4 if score(i, 4, 1.5) > best[0] else -best[1])
+    parts = len(plain) // (2 * len(weights)) + 1
+    for s in range(4):
+        rows = sorted((zlib.crc32(str(i).encode()) % parts, i) for i, x in got.items() if x["shard"] == s)
+        assert [got[i]["slot"] for _, i in rows] == list(range(len(rows)))
+
+
 def test_sharding_weights(spark):
     d = spark.range(20000).selectExpr("id as doc_id", "'x' as text")
     k = sharding.shard(d, [1.0, 3.0]).toPandas().shard.value_counts(normalize=True)
@@ -282,6 +420,37 @@ def test_language_tables_are_the_network():
     assert np.allclose(langid.logits(m.tables(), x), np.concatenate(pooled, 1) @ m.p["out"] + m.p["bias"], atol=1e-4)
 
 
+def test_language_id_against_the_network(spark):
+    """Whole texts of several windows: the mean of the network's own logits, by its unfolded layers."""
+    m = langid.ByteCNN(["a", "b", "c"])
+    r = random.Random(3)
+    texts = ["".join(r.choices("abc éñ\n", k=k)) for k in (1, 255, 256, 257, 1000, 5000, 200_000)]
+
+    def logits(t):
+        raw = t.encode()
+        out = []
+        for at in range(0, len(raw), langid.WINDOW):
+            x = np.frombuffer(raw[at : at + langid.WINDOW].ljust(langid.WINDOW), np.uint8)
+            e, pooled = m.p["emb"][x], []
+            for w in langid.WIDTHS:
+                cols = np.concatenate([e[k : langid.WINDOW - w + 1 + k] for k in range(w)], axis=1)
+                pooled.append(np.maximum((cols @ m.p[f"w{w}"]).max(0) + m.p[f"b{w}"], 0))
+            out.append(np.concatenate(pooled) @ m.p["out"] + m.p["bias"])
+        z = np.mean(out, axis=0)
+        q = np.exp(z - z.max())
+        return q / q.sum()
+
+    got = {x["doc_id"]: x for x in langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), m).collect()}
+    for i, t in enumerate(texts):
+        q = logits(t)
+        assert got[i]["lang_pred"] == m.labels[int(q.argmax())] and abs(got[i]["score"] - q.max()) < 1e-4
+
+
+def test_sample_is_bounded(spark):
+    many = spark.createDataFrame([(i, f"text {i}", f"l{i % 3}") for i in range(900)], "doc_id long, text string, lang string")
+    assert len(langid.sample(many, 400, 90)) < 180 and {k for k, _ in langid.sample(many, 400, 90)} == {"l0", "l1", "l2"}
+
+
 def test_top_k(spark):
     r = np.random.default_rng(1)
     rows = [(i, [float(v) for v in r.normal(0, 0.2, 40).round(1)]) for i in range(700)]
@@ -364,6 +533,55 @@ def test_names_and_raw_elements_cut_no_text(html, want):
     assert "\n".join(text for _, text, noise, inside, _ in blocks if not noise and (inside or not has_main)) == want
 
 
+def test_nested_inline_noise():
+    for html, want in [("<p>a <span class=ad><span>Buy</span> now</span> b</p>", "a b"), ("<p>a <span class=ad>x<span/> y</span> b</p>", "a b"), ("<p>a <span class=ad>offen</p>", "a offen")]:
+        assert "\n".join(t for _, t, noise, _, _ in style_tree.parse(html)[0] if not noise) == want
+
+
+def test_html_against_another_parser(spark):
+    """Pages of the test tables: the article as the standard library's parser reads it."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.blocks, self.gone = 0, [""], 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "article":
+                self.inside += 1
+            self.gone += tag in ("script", "style")
+            if tag in ("p", "h1", "h2", "article", "ul", "li", "div"):
+                self.blocks.append("")
+            elif tag == "br":
+                self.blocks[-1] += " " * bool(self.inside)
+
+        def handle_endtag(self, tag):
+            self.gone -= tag in ("script", "style")
+            if tag in ("p", "h1", "h2", "article", "ul", "li", "div"):
+                self.blocks.append("")
+            self.inside -= tag == "article"
+
+        def handle_data(self, data):
+            if self.inside and not self.gone:
+                self.blocks[-1] += data
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {x["page_id"]: x["text"] for x in style_tree.main_text(pages).collect()}
+    for x in pages.collect():
+        p = Article()
+        p.feed(x["html"] or "")
+        p.close()
+        assert got[x["page_id"]] == "\n".join(t for t in (" ".join(b.split()) for b in p.blocks) if t)
+
+
+def test_long_and_odd_pages(spark):
+    long = "".join(f"<p>Absatz {i} {'wort ' * 40}</p>" for i in range(4000))
+    rows = [(1, "http://a.example", f"<body><main>{long}</main>", "x", 1), (1, "http://a.example", f"<body><main>{long}</main>", "x", 1), (None, None, "<p>A", None, None), (2, "kein host", "", "h", 2), (3, "http://A.example:80/x", "<div>" * 3000 + "tief", "h", 2)]
+    got = style_tree.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, host string, low int")).collect()
+    assert sorted((x["page_id"] or 0, len(x["text"].split("\n")) if x["text"] else 0) for x in got) == [(0, 1), (1, 4000), (1, 4000), (2, 0), (3, 1)]
+
+
 def brute_chat(roles):
     """Least cost by a search over all labels, merges and bridges."""
     cost = {chat.START: 0}
@@ -401,6 +619,43 @@ def test_chat(spark, monkeypatch):
         assert out.count("<|im_end|>") == len(said)
 
 
+def test_chat_odd_rows(spark):
+    """Null ids, null and equal turns, repeated rows, clashing columns, a long text; results don't depend on the order."""
+    rows = [(1, None, "user", "a", 7, "c"), (1, 0, "assistant", "b", 7, "c"), (1, 0, "assistant", "b", 7, "c"), (1, 0, "assistant", None, 7, "c"), (None, 1, "user", "weg", 7, "c"), (2, 5, None, "x" * 300_000, 7, "c"), (3, 1 << 40, "system", "", 7, "c")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, chunk int, entry string")
+    got = sorted(map(str, chat.repaired(d).collect()))
+    assert got == sorted(map(str, chat.repaired(d.repartition(3)).collect())) and len(got) == 6
+    by = {}
+    for x in chat.repaired(d).collect():
+        by.setdefault(x["conv_id"], []).append(x)
+    assert sum(x["cost"] for x in by[1]) == brute_chat([2, 3, 3, 3]) and sum(x["cost"] for x in by[3]) == brute_chat([1])
+    assert any(len(x["piece"]) > 300_000 for x in by[2])
+
+
+def test_top_k_odd_rows(spark):
+    """Repeated rows, clashing columns, and vectors of different lengths."""
+    rows = [(0, [1.0, 0.0], 1), (1, [0.5, 0.0], 1), (1, [0.5, 0.0], 1), (2, [1.0], 1), (100, [0.0, 1.0], 1), (100, [0.0, 1.0], 1)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>, block int")).collect()
+    assert [(x["rank"], x["vec_id"], x["score"]) for x in sorted(got, key=lambda x: x["rank"]) if x["query_id"] == 0] == [(1, 1, 524288), (2, 1, 524288), (3, 100, 0), (4, 100, 0)]
+
+
+@pytest.mark.parametrize("name", ["op5_top_k", "op7_sharding", "op9_suffix_dedup", "op10_ngram_join"])
+def test_queries_match_their_sql(spark, name):
+    import duckdb
+
+    from quire.llm import queries
+
+    db = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        db.execute(f"create view {t} as select * from read_parquet('/root/testdata/sf0.001/{t}.parquet')")
+    want = db.execute(queries.oracle_sql()[name]).df()
+    got = queries.queries()[name](spark, "/root/testdata/sf0.001").toPandas()
+    names = sorted(want.columns)
+    assert sorted(got.columns) == names
+    rows = lambda d: sorted(tuple(map(str, r)) for r in d[names].itertuples(index=False))
+    assert len(got) and rows(got) == rows(want)
+
+
 @pytest.mark.parametrize("run", [
     lambda e: ngram_join.jaccard_components(e, 4, 85, 100), lambda e: suffix_dedup.digests(e), lambda e: suffix_dedup.without_repeats(e), lambda e: mixing.mix(e),
     lambda e: sharding.shard(e, [1.0] * 24), spotsigs.beside_next, lambda e: langid.predict(e, langid.learn(e)),
@@ -466,7 +721,11 @@ def test_repeated_rows_stay_through_the_stages(spark, repeated, tmp_path):
     left = Counter((i, t if k == len((t or "").encode()) else b.decode()) for (i, t), b in zip(pairs, brute_cut([(t or "").encode() for _, t in pairs])) for k in [len(b)])
     assert plain_rows(cut) == left and (1, long) in left
     cut.write.parquet(str(tmp_path / "cut"))
-    pieces = cp.pack(spark, cp.mix(spark, spark.read.parquet(str(tmp_path / "cut")), ""), "").toPandas()
+    cut = spark.read.parquet(str(tmp_path / "cut"))
+    cp.mix(spark, cut, "").write.parquet(str(tmp_path / "mix"))
+    assert plain_rows(spark.read.parquet(str(tmp_path / "mix"))) == left  # one source: each row once
+    pieces = cp.pack(spark, spark.read.parquet(str(tmp_path / "mix")), "").toPandas()
+    assert (pieces.groupby(["sequence_id"]).length.sum().sort_values().iloc[1:] == 1024).all()
     assert Counter(pieces[pieces.start == 0].doc_id.isna()) == Counter(i is None for i, _ in left.elements())
 
 
