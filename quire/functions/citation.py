@@ -102,12 +102,13 @@ def citations(refs: DataFrame, text: str = "raw") -> DataFrame:
 
 
 def element_citation(text: str = "raw"):
-    """XML of a row of citations(): the whole text, then its structure, if a year was found."""
+    """XML of a row of citations(): the whole text, then its structure; without a year the text again with its kind."""
     tag = lambda name, col, attr="": F.when(F.col(col) != "", F.concat(LIT(f"<{name}{attr}>"), escape(F.col(col)), LIT(f"</{name}>")))
     name = lambda a: F.concat(LIT("<name><surname>"), escape(a["surname"]), LIT("</surname>"), F.when(a["given"] != "", F.concat(LIT("<given-names>"), escape(a["given"]), LIT("</given-names>"))).otherwise(""), LIT("</name>"))
-    people = F.when(F.size("authors") > 0, F.concat(LIT('<person-group person-group-type="author">'), F.array_join(F.transform("authors", name), ""), LIT("</person-group>")))
+    people = F.when(F.size("authors") > 0, F.concat(LIT('<person-group person-group-type="author">'), F.array_join(F.transform(F.filter("authors", lambda a: a["surname"] != ""), name), ""), LIT("</person-group>")))
     year = F.concat(LIT('<year iso-8601-date="'), F.regexp_extract("year", r"^\d*", 0), LIT('">'), escape(F.col("year")), LIT("</year>"))
+    link = F.when(F.col("url") != "", F.concat(LIT('<ext-link ext-link-type="uri" xlink:href="'), F.replace(escape(F.col("url")), LIT('"'), LIT("&quot;")), LIT('">'), escape(F.col("url")), LIT("</ext-link>")))
     kind = F.concat(LIT(' publication-type="'), F.col("pub_type"), LIT('">'))
-    inner = F.concat_ws("", people, year, tag("article-title", "article_title"), tag("source", "source"), tag("volume", "volume"), tag("issue", "issue"), tag("fpage", "fpage"), tag("lpage", "lpage"), tag("elocation-id", "elocation"), tag("pub-id", "doi", ' pub-id-type="doi"'), tag("ext-link", "url"))
-    mixed = F.concat(LIT("<mixed-citation>"), escape(clean(F.col(text))), LIT("</mixed-citation>"))
-    return F.concat(mixed, F.when(F.col("year") != "", F.concat(LIT("<element-citation"), kind, inner, LIT("</element-citation>"))).otherwise(""))
+    inner = F.concat_ws("", people, year, tag("article-title", "article_title"), tag("source", "source"), tag("volume", "volume"), tag("issue", "issue"), tag("fpage", "fpage"), tag("lpage", "lpage"), tag("elocation-id", "elocation"), tag("pub-id", "doi", ' pub-id-type="doi"'), link)
+    whole = F.concat(escape(clean(F.col(text))), LIT("</mixed-citation>"))
+    return F.concat(LIT("<mixed-citation>"), whole, F.when(F.col("year") != "", F.concat(LIT("<element-citation"), kind, inner, LIT("</element-citation>"))).otherwise(F.concat(LIT("<mixed-citation"), kind, whole)))

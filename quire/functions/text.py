@@ -2,11 +2,31 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from quire.functions import patterns as P
 
-ACCENTED, PLAIN = "áéíóúüñàèìòùâêîôûäëïöç", "aeiouunaeiouaeiouaeioc"
+
+def _folding(form: str) -> tuple[str, str]:
+    """Characters whose decomposition is one character and marks, with that one, then the marks, which have none."""
+    one, base, marks = [], [], []
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        if unicodedata.combining(c) if form == "NFKD" else unicodedata.category(c) == "Mn":
+            marks.append(c)
+            continue
+        plain = [x for x in unicodedata.normalize(form, c) if not (unicodedata.combining(x) if form == "NFKD" else unicodedata.category(x) == "Mn")]
+        if len(plain) == 1 and plain[0] != c and ord(c) < 0x10000:
+            one.append(c)
+            base.append(plain[0])
+    return "".join(one) + "".join(m for m in marks if ord(m) < 0x10000), "".join(base)
+
+
+_COMPATIBLE, _CANONICAL = _folding("NFKD"), _folding("NFD")
+#: Letters that are several.
+_LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ĳ": "ij", "Ĳ": "IJ", "…": "..."}
 
 
 def has(col, pattern: str, fold: bool = True):
@@ -27,8 +47,38 @@ def clean(col):
 
 
 def norm(col):
-    """Lower case without Latin accents, squeezed."""
-    return squeeze(F.translate(F.lower(col), ACCENTED, PLAIN))
+    """Lower case without marks and in compatible letters, squeezed. Compatibility characters that are several others
+    stay, but for ligatures of Latin letters and the ellipsis."""
+    t = F.translate(col, *_COMPATIBLE)
+    for k, v in _LIGATURES.items():
+        t = F.replace(t, F.lit(k), F.lit(v))
+    return F.lower(squeeze(t))
+
+
+def unaccented(col):
+    """Without accents: canonical decompositions less their marks."""
+    return F.translate(col, *_CANONICAL)
+
+
+def found_in(col, query: str):
+    """Whether a text holds the query, whatever its case and accents; nothing holds an empty one."""
+    q = query.strip()
+    return F.contains(unaccented(F.lower(col)), unaccented(F.lower(F.lit(q)))) if q else F.lit(False)
+
+
+def occurrences(col, query: str):
+    """array<struct(at, line, column, end_line, end_column)>: all places of the query, overlapping ones too, whatever case
+    and accents; at from 0, lines from 1, columns from 0."""
+    q = query.strip()
+    low, want = unaccented(F.lower(col)), unaccented(F.lower(F.lit(q)))
+    n = F.length(low) - F.length(want) + 1
+    hits = F.filter(F.sequence(F.lit(1), n), lambda i: F.substring(low, i, F.length(want)) == want)
+    before = lambda i: F.substring(col, F.lit(1), i)
+    lines = lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1
+    column = lambda t: F.length(F.substring_index(t, "\n", -1))
+    place = lambda i: F.struct((i - 1).alias("at"), lines(before(i - 1)).alias("line"), column(before(i - 1)).alias("column"), lines(before(i - 1 + len(q))).alias("end_line"), column(before(i - 1 + len(q))).alias("end_column"))
+    empty = F.array().cast("array<struct<at:int,line:int,column:int,end_line:int,end_column:int>>")
+    return F.when(F.lit(bool(q)) & (n > 0), F.transform(hits, place)).otherwise(empty)
 
 
 def keywords(col):
@@ -37,6 +87,16 @@ def keywords(col):
     return F.filter(F.transform(F.split(t, "[;,]"), lambda x: F.regexp_replace(x, r"^[ .;]+|[ .;]+$", "")), lambda x: x != "")
 
 
+def distinct_keywords(words):
+    """Of keywords that differ in case only the first spelling, in order."""
+    lower = F.transform(words, F.lower)
+    return F.filter(words, lambda x, i: F.array_position(lower, F.lower(x)) == i + 1)
+
+
+def emails(col, pattern: str = P.EMAIL_ANY):
+    return F.regexp_extract_all(col, F.lit(pattern), F.lit(0))
+
+
 def escape(col):
     return F.replace(F.replace(F.replace(col, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
@@ -46,9 +106,26 @@ def reference_text(col):
 
 
 def orcid(col):
+    """The identifier in upper case, '' if there is none."""
     return F.upper(F.regexp_extract(col, "(?i)" + P.ORCID, 0))
 
 
+def orcid_as_given(col, fold: bool = True):
+    """The identifier as written, in lists by hand in any case; what has none stays as it is."""
+    found = F.regexp_extract(strip(col), ("(?i)" if fold else "") + P.ORCID, 0)
+    return F.when(found != "", found).otherwise(strip(col))
+
+
+def orcid_search(name):
+    return F.concat(F.lit(P.ORCID_SEARCH), F.regexp_replace(name, r"(?U)\s+", "+"))
+
+
+def author_names(col):
+    """array<string>: the names of a line, parted by semicolons, without the marks after them."""
+    parts = F.transform(F.split(col, ";"), lambda x: strip(F.regexp_replace(strip(x), P.AUTHOR_TAIL, "")))
+    return F.filter(parts, lambda x: x != "")
+
+
 def person(col):
     """struct(surname, given) of a name."""
     name = F.regexp_replace(clean(col), r"^[ .]+|[ .]+$", "")
@@ -74,7 +151,13 @@ def is_doi_line(col):
 
 
 def row_like(col):
-    return has(col, P.YEAR_ROW, fold=False) & ~has(col, P.TAXON_LIST, fold=False)
+    """Begins as a row of a table does, with a year, and is no list of names by year."""
+    t = strip(col)
+    return has(t, P.YEAR_ROW, fold=False) & ~has(t, P.TAXON_LIST)
+
+
+def is_abstract_heading(col):
+    return norm(col).rlike(P.ABSTRACT_HEADING)
 
 
 def publication_type(col):
@@ -92,21 +175,42 @@ def months():
 
 
 def date_parts(col):
-    """struct(day, month, year) of strings, '' where absent, of `Word d, yyyy`, `d de word de yyyy` or `d/m/yyyy`."""
-    a, b, c = r"([A-Za-zÁÉÍÓÚáéíóú]+)\s+(\d{1,2}),\s*(\d{4})", r"(\d{1,2})\s+de\s+([A-Za-zÁÉÍÓÚáéíóú]+)\s+de\s+(\d{4})", r"(\d{1,2})/(\d{1,2})/(\d{4})"
-    g = lambda p, i: F.regexp_extract(col, p, i)
+    """struct(day, month, year) of strings, '' where absent, of `Word d, yyyy`, `d de word de yyyy` or `d/m/yyyy`; an
+    unknown month is ''."""
+    a, b, c = [F.regexp_extract_all(col, F.lit(p), F.lit(0)) for p in P.DATES]
+    form = F.when(F.size(a) > 0, 0).when(F.size(b) > 0, 1).when(F.size(c) > 0, 2)
+    whole = F.coalesce(F.get(a, F.lit(0)), F.get(b, F.lit(0)), F.get(c, F.lit(0)))
+    words = F.split(F.regexp_replace(whole, r"\s+de\s+|[,\s/\-]+", "\u0001"), "\u0001")
+    at = lambda i: F.get(words, F.lit(i))
     month = lambda x: F.coalesce(months()[F.lower(x)], F.lit(""))
-    pick = lambda i, j, k, f: F.when(g(a, 0) != "", f(g(a, i))).when(g(b, 0) != "", f(g(b, j))).otherwise(g(c, k))
-    two = lambda x: x
-    return F.struct(pick(2, 1, 1, two).alias("day"), pick(1, 2, 2, month).alias("month"), pick(3, 3, 3, two).alias("year"))
+    none = F.lit("")
+    return F.struct(
+        F.when(form == 0, at(1)).when(form.isNotNull(), at(0)).otherwise(none).alias("day"),
+        F.when(form == 0, month(at(0))).when(form == 1, month(at(1))).when(form == 2, at(1)).otherwise(none).alias("month"),
+        F.when(form.isNotNull(), at(2)).otherwise(none).alias("year"))
+
+
+def last_part(col):
+    """What stands after the last comma, without blanks, dots and semicolons, empty parts left out."""
+    parts = F.filter(F.transform(F.split(col, ","), lambda x: F.regexp_replace(x, r"^[ .;]+|[ .;]+$", "")), lambda x: x != "")
+    return F.coalesce(F.get(F.reverse(parts), F.lit(0)), F.lit(""))
+
+
+def country_code(name):
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in P.CODES.items() for x in kv])[norm(name)], F.lit(""))
 
 
 def country(col):
-    """Code of the longest country name in an affiliation, else of the country that its last part names, '' if none."""
-    low = norm(col)
-    out = F.coalesce(F.create_map(*[F.lit(x) for kv in P.LAST_PART_COUNTRIES.items() for x in kv])[norm(F.regexp_replace(F.substring_index(col, ",", -1), r"[\s.]+$", ""))], F.lit(""))
-    for name in sorted(P.COUNTRIES, key=lambda n: (len(n), n)):
-        out = F.when(low.rlike(rf"\b{name}\b"), F.lit(P.COUNTRIES[name])).otherwise(out)
+    """struct(name, code) of the longest country name in an affiliation (of equally long ones the first of the list),
+    else of the country that its last part names, '' if none."""
+    low, guess = norm(col), last_part(col)
+    code = country_code(guess)
+    out = F.when((guess != "") & (code != ""), F.struct(guess.alias("name"), code.alias("code"))).otherwise(F.struct(F.lit("").alias("name"), F.lit("").alias("code")))
+    order = sorted(P.COUNTRIES, key=len)  # stable: of equal lengths the first must be asked first, so last here
+    by_length = [k for n in sorted({len(k) for k in order}) for k in reversed([x for x in order if len(x) == n])]
+    for key in by_length:
+        name, iso = P.COUNTRIES[key]
+        out = F.when(low.rlike(rf"\b{key}\b"), F.struct(F.lit(name).alias("name"), F.lit(iso).alias("code"))).otherwise(out)
     return out
 
 
@@ -139,11 +243,13 @@ def references(col):
 
 
 def figure_caption(col):
-    return F.regexp_replace(F.regexp_replace(strip(col), "(?iu)" + P.FIGURE_PREFIX, ""), r"^[ \-:\t]+|[ \-:\t]+$", "")
+    """A caption without its label."""
+    return F.regexp_replace(F.regexp_replace(squeeze(col), "(?iu)" + P.FIGURE_PREFIX, ""), r"^[ \-:\t]+|[ \-:\t]+$", "")
 
 
 def table_title(col):
-    return F.regexp_replace(F.regexp_replace(strip(col), "(?iu)" + P.TABLE_PREFIX, ""), r"^[ \-:\t]+|[ \-:\t]+$", "")
+    """A title without its label."""
+    return F.regexp_replace(F.regexp_replace(squeeze(col), "(?iu)" + P.TABLE_PREFIX, ""), r"^[ \-:\t]+|[ \-:\t]+$", "")
 
 
 def paragraphs(col):
@@ -164,12 +270,58 @@ def issn(col):
 
 def autolink(col):
     """E-mail addresses of an escaped text as links."""
-    return F.regexp_replace(col, r"([\w.\-]+@[\w.\-]+\.\w{2,})", '<a href="mailto:$1">$1</a>')
+    return F.regexp_replace(col, f"({P.PAGE_EMAIL})", '<a href="mailto:$1">$1</a>')
 
 
-def is_meta_heading(col):
+def is_meta_heading(col, journal: str = ""):
+    """A heading that holds an ISSN, a number, pages, a month or a year, or is the journal's name."""
     months = "|".join(P.MONTHS)
-    return norm(col).rlike(rf"issn|volumen\s+\d|vol\.\s*\d|num\.\s*\d|p\.\s*\d+|{months}|\(\d{{4}}\)")
+    found = norm(col).rlike(rf"issn|volumen\s+\d|vol\.\s*\d|num\.\s*\d|p\.\s*\d+|{months}|\(\d{{4}}\)")
+    return found | (norm(col) == norm(F.lit(journal))) if journal else found
+
+
+def is_period(col):
+    """Names a month and, soon after it, a year."""
+    return col.rlike(P.PERIOD)
+
+
+def date_notes(col):
+    """array<string>: the sentences of a date note, each from its `Manuscrito` on."""
+    return F.filter(F.transform(F.split(col, r"(?<=[.!?])\s+(?=Manuscrito|Manuscript)"), strip), lambda x: x != "")
+
+
+def first_doi_address(col):
+    return F.regexp_extract(col, r"(https?://doi\.org/\S+)", 1)
+
+
+def css_of(html):
+    """The style sheet of a page without its imports, which other files would have to bring."""
+    return F.regexp_replace(F.regexp_extract(html, r"(?s)<style>(.*?)</style>", 1), r"@import\s+url\([^)]+\)\s*;?\s*", "")
+
+
+def body_of(html):
+    """What stands in a page's body; the whole page if it has none."""
+    return F.when(html.rlike(r"(?s)<body>.*?</body>"), F.regexp_extract(html, r"(?s)<body>(.*?)</body>", 1)).otherwise(html)
+
+
+def as_xhtml(html):
+    """Empty elements closed, and ampersands that begin no reference escaped."""
+    t = F.regexp_replace(html, r"<(br|hr)\s*>", "<$1/>")
+    t = F.regexp_replace(t, r"<(img|input)([^>]*[^/])\s*>", "<$1$2/>")
+    return F.regexp_replace(t, r"&(?!amp;|lt;|gt;|quot;|apos;|#\d+;|#x[\da-fA-F]+;)", "&amp;")
+
+
+def anchor_text(col, last: int = 80):
+    """What is looked for of an anchor: its last characters, without soft hyphens, hyphens at line ends and line ends."""
+    t = squeeze(F.regexp_replace(F.regexp_replace(F.coalesce(col, F.lit("")), "[\u00ad\ufffc\ufffe]", ""), r"-\s+", ""))
+    return strip(F.right(t, F.lit(last)))
+
+
+def safe_name(path):
+    """A file's name without folder and extension, in letters, digits, _ and -, 24 characters at most; `pdf` if none."""
+    base = F.regexp_replace(F.substring_index(path, "/", -1), r"(?<=.)\.[^.]*$", "")
+    t = F.regexp_replace(F.regexp_replace(base, "[^A-Za-z0-9_-]+", "_"), "^_+|_+$", "")
+    return F.left(F.when(t == "", "pdf").otherwise(t), F.lit(24))
 
 
 def is_body_heading(col):

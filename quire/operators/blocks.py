@@ -8,22 +8,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import patterns as P
-from quire.functions.text import has, is_cite, is_date_note, is_doi_line, row_like, strip
+from quire.functions.text import has, is_abstract_heading, is_cite, is_date_note, is_doi_line, row_like, strip
+
+#: Columns of a block besides its text and label that a fused block takes from its first piece.
+LOOK = ["size", "bold", "italic", "font", "pnum"]
+
 
 def by_doc():
     return Window.partitionBy("doc_id").orderBy("seq")
 
 
-def auto_label(text="contenido", size="size", bold="bold", italic="italic", font="font"):
-    """The label ladder of front and back matter; the first rule that holds."""
-    t, s = strip(F.col(text)), F.bround(F.col(size))
-    b, i, tnr = F.col(bold), F.col(italic), F.lower(F.col(font)).rlike("times|roman")
+def _ladder(t, size, bold, italic, font, low, cite, date):
+    s, low_font = F.bround(size), F.coalesce(F.lower(font), F.lit(""))
+    b, i, tnr = bold | low_font.rlike(P.BOLD_FONT), italic | low_font.rlike(P.ITALIC_FONT), low_font.rlike("times|roman")
     lettered = has(t, P.LETTERED, fold=False) & ~has(F.substring(t, 1, 30), r"\.\s+[A-Z]", fold=False)
     institution = has(t, P.INSTITUTION)
     return (
-        F.when(F.lower(t).isin(P.SECTIONS), P.SECCION).when(is_cite(t), P.CITAR).when(is_date_note(t) | is_doi_line(t), P.FECHA)
+        F.when(low.isin(P.SECTIONS), P.SECCION).when(cite, P.CITAR).when(date, P.FECHA)
         .when(has(t, P.KEYWORDS), P.CLAVE).when(has(t, P.TABLE_TITLE), P.TABLA).when(has(t, P.HAS_EMAIL) & (F.length(t) < 120), P.EMAIL)
-        .when(has(t, r"^\d+\.\s+\S") & ~has(t, r"^\d+\.\d") & (s <= 12), P.SUB).when(has(t, P.LEVEL2) & (s <= 12), P.SUB2)
+        .when((s <= 12) & has(t, r"^\d+\.\s+\S") & ~has(t, r"^\d+\.\d"), P.SUB).when((s <= 12) & has(t, P.LEVEL2), P.SUB2)
         .when((s >= 13) & b & ~i, P.TITULO).when((s >= 13) & b & i, P.TITULO2).when((s == 13) & ~b & ~i, P.AUTORES)
         .when((s == 12) & i, P.EMAIL).when((s == 12) & ~b, P.NORMAL).when((s == 10) & b, P.SECCION).when((s == 10) & ~b, P.SUB)
         .when(lettered & institution, P.FILIACION)
@@ -33,32 +36,39 @@ def auto_label(text="contenido", size="size", bold="bold", italic="italic", font
     )
 
 
+def auto_label(text="contenido", size="size", bold="bold", italic="italic", font="font"):
+    """The label ladder of front and back matter; the first rule that holds. Bold and italic also go by the font's name."""
+    t = strip(F.col(text))
+    return _ladder(t, F.col(size), F.col(bold), F.col(italic), F.col(font), F.lower(t), is_cite(t), is_date_note(t) | is_doi_line(t))
+
+
 def compat(label):
     """Former labels as they are called now."""
     return F.when(label.isin(P.NORMAL, P.AUTORES, P.RESUMEN), P.CUERPO).when(label == P.IMAGEN, P.IGNORAR).otherwise(label)
 
 
-def body_label(text="contenido"):
-    """The ladder of the body zone."""
-    t = strip(F.col(text))
-    return (
-        F.when(has(t, P.LEVEL1) & ~has(t, P.LEVEL2), P.SUB).when(has(t, P.LEVEL2), P.SUB2).when(is_cite(t), P.CITAR).when(is_date_note(t) | is_doi_line(t), P.FECHA)
-        .when(F.lower(t).isin(P.BODY_SECTIONS), P.SECCION).when(has(t, r"\b(tabla|table)\s+\d+[.:\s]"), P.TABLA).when(has(t, P.FIGURE_TITLE), P.FIGURA).otherwise(P.CUERPO)
-    )
-
-
 def label(blocks: DataFrame) -> DataFrame:
     """Adds zone (A, B or C) and clasificacion. The body begins at the first level-1 heading and ends at the
-    references heading at or after it."""
-    t = strip(F.col("contenido"))
-    start = F.min(F.when(has(t, P.LEVEL1) & ~has(t, P.LEVEL2) & (F.bround("size") <= 12), F.col("seq"))).over(Window.partitionBy("doc_id"))
-    b = blocks.withColumn("_start", start)
-    end = F.min(F.when(F.lower(t).isin("referencias", "references") & (F.col("seq") >= F.col("_start")), F.col("seq"))).over(Window.partitionBy("doc_id"))
-    b = b.withColumn("_end", end)
+    references heading at or after it. Rows whose `imagen` is true, if there is such a column, keep their label and begin
+    or end nothing. Stripped texts and tests that both ladders ask are columns of their own, evaluated once."""
+    image = F.col("imagen") if "imagen" in blocks.columns else F.lit(False)
+    given = F.col("clasificacion") if "clasificacion" in blocks.columns else F.lit(P.IMAGEN)
+    b = blocks.withColumn("_t", strip(F.col("contenido")))
+    t = F.col("_t")
+    b = b.withColumns({"_low": F.lower(t), "_cite": is_cite(t), "_date": is_date_note(t) | is_doi_line(t), "_two": has(t, P.LEVEL2), "_one": has(t, P.LEVEL1)})
+    one = F.col("_one") & ~F.col("_two")
+    doc = Window.partitionBy("doc_id")
+    b = b.withColumn("_start", F.min(F.when(~image & one & (F.bround("size") <= 12), F.col("seq"))).over(doc))
+    b = b.withColumn("_end", F.min(F.when(~image & F.col("_low").isin("referencias", "references") & (F.col("seq") >= F.col("_start")), F.col("seq"))).over(doc))
     inside = F.col("_start").isNotNull() & (F.col("seq") >= F.col("_start")) & (F.col("_end").isNull() | (F.col("seq") < F.col("_end")))
     zone = F.when(inside, "B").when(F.col("_end").isNotNull() & (F.col("seq") >= F.col("_end")), "C").otherwise("A")
-    own = F.when(F.col("seq") == F.col("_end"), P.SECCION).when(zone == "B", body_label()).otherwise(compat(auto_label()))
-    return b.withColumn("zone", zone).withColumn("clasificacion", own).drop("_start", "_end")
+    body = (
+        F.when(one, P.SUB).when(F.col("_two"), P.SUB2).when(F.col("_cite"), P.CITAR).when(F.col("_date"), P.FECHA)
+        .when(F.col("_low").isin(P.BODY_SECTIONS), P.SECCION).when(has(t, r"\b(tabla|table)\s+\d+[.:\s]"), P.TABLA).when(has(t, P.FIGURE_TITLE), P.FIGURA).otherwise(P.CUERPO)
+    )
+    front = compat(_ladder(t, F.col("size"), F.col("bold"), F.col("italic"), F.col("font"), F.col("_low"), F.col("_cite"), F.col("_date")))
+    own = F.when(image, given).when(F.col("seq") == F.col("_end"), P.SECCION).when(zone == "B", body).otherwise(front)
+    return b.withColumn("zone", zone).withColumn("clasificacion", own).drop("_t", "_low", "_cite", "_date", "_two", "_one", "_start", "_end")
 
 
 def drop_table_rows(labelled: DataFrame) -> DataFrame:
@@ -66,7 +76,7 @@ def drop_table_rows(labelled: DataFrame) -> DataFrame:
     c, t = F.col("clasificacion"), F.col("contenido")
     body = c == P.CUERPO
     rowish = body & row_like(t)
-    ending = c.isin(P.TABLE_ENDS) | (body & (F.length(t) > 200) & t.rlike(r"[.?!]$"))
+    ending = c.isin(P.TABLE_ENDS) | (body & (F.length(t) > 200) & t.rlike(r"(?U)[.?!]\s*$"))
     ev = F.when(c == P.TABLA, "ON").when(rowish & ending, "TG").when(rowish, "ON").when(ending, "OFF").otherwise("NOP")
     past = by_doc().rowsBetween(Window.unboundedPreceding, -1)
     b = labelled.withColumn("_ev", ev)
@@ -80,49 +90,97 @@ def drop_table_rows(labelled: DataFrame) -> DataFrame:
 
 
 def fuse(labelled: DataFrame) -> DataFrame:
-    """(doc_id, grp, kind, seq, clasificacion, contenido): paragraphs of body text that run on are joined.
+    """(doc_id, grp, kind, seq, clasificacion, contenido, and those of LOOK that there are): paragraphs of body text that
+    run on are joined.
 
-    kind 0: a block that stands alone, 1: one that passes by, 2: the fused body of the group. A paragraph runs on
-    unless the one before ends with .?!: or is a heading, or lies more than five pages off; a hyphen at its end is
-    dropped. Paragraphs are separated by an empty line."""
+    kind 0: a block that stands alone, 1: one that passes by, 2: the fused body of the group, with seq and look of its
+    first piece. A paragraph runs on unless the one before ends with .?!: or is a heading, or lies more than five pages
+    off; a hyphen at its end is dropped. Paragraphs are separated by an empty line. One pass: windows and the aggregation
+    share the exchange on doc_id."""
     c = F.col("clasificacion")
-    b = labelled.withColumn("kind", F.when(c.isin(P.ALONE), 0).when(c.isin(P.PASSING), 1).otherwise(2))
+    look = [x for x in LOOK if x in labelled.columns]
+    b = labelled.select("doc_id", "seq", "clasificacion", "contenido", *look)
+    b = b.withColumn("kind", F.when(c.isin(P.ALONE), 0).when(c.isin(P.PASSING), 1).otherwise(2))
     b = b.withColumn("grp", F.count(F.when(F.col("kind") == 0, 1)).over(by_doc().rowsBetween(Window.unboundedPreceding, 0)))
-    rest = b.where("kind < 2").select("doc_id", "grp", "kind", "seq", "clasificacion", "contenido")
-    w = Window.partitionBy("doc_id", "grp").orderBy("seq")
-    sub, last = F.col("clasificacion") == P.SUB2, F.lag("contenido").over(w)
-    m = b.where("kind = 2").withColumn("contenido", strip(F.col("contenido")))
-    new = last.isNull() | (last == "") | last.rlike(r"[.?!:]$") | F.coalesce(F.lag(sub).over(w), F.lit(False)) | sub | (F.abs(F.col("pnum") - F.lag("pnum").over(w)) > 5)
-    m = m.withColumn("_new", new).withColumn("_next", ~F.coalesce(F.lead(new).over(w), F.lit(True)))
-    m = m.withColumn("par", F.sum(F.col("_new").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    piece = F.concat(F.when(sub, "§SUB§").otherwise(""), F.when(F.col("_next") & F.col("contenido").endswith("-"), F.expr("left(contenido, length(contenido) - 1)")).when(F.col("_next"), F.concat("contenido", F.lit(" "))).otherwise(F.col("contenido")))
-    ordered = lambda col, key, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, col))), lambda x: x[col]), sep)
-    par = m.withColumn("piece", piece).groupBy("doc_id", "grp", "par").agg(ordered("piece", "seq", "").alias("text"), F.min("seq").alias("first"))
-    body = par.groupBy("doc_id", "grp").agg(ordered("text", "par", "\n\n").alias("contenido"), F.min("first").alias("seq"))
-    return rest.unionByName(body.select("doc_id", "grp", F.lit(2).alias("kind"), "seq", F.lit(P.CUERPO).alias("clasificacion"), "contenido"))
+    b = b.withColumn("_t", F.when(F.col("kind") == 2, strip(F.col("contenido"))))
+    w = Window.partitionBy("doc_id", "grp", F.col("kind") == 2).orderBy("seq")
+    sub, last = c == P.SUB2, F.lag("_t").over(w)
+    far = F.abs(F.col("pnum") - F.lag("pnum").over(w)) > 5 if "pnum" in look else F.lit(False)
+    new = last.isNull() | (last == "") | last.rlike(r"[.?!:]$") | F.coalesce(F.lag(sub).over(w), F.lit(False)) | sub | far
+    b = b.withColumn("_new", new).withColumn("_first", F.lag("_t").over(w).isNull()).withColumn("_next", ~F.coalesce(F.lead("_new").over(w), F.lit(True)))
+    text = F.when(F.col("_next") & F.col("_t").endswith("-"), F.expr("left(_t, length(_t) - 1)")).when(F.col("_next"), F.concat("_t", F.lit(" "))).otherwise(F.col("_t"))
+    piece = F.concat(F.when(F.col("_new") & ~F.col("_first"), "\n\n").otherwise(""), F.when(sub, "§SUB§").otherwise(""), text)
+    rows = F.array_sort(F.collect_list(F.struct("seq", "kind", "clasificacion", F.when(F.col("kind") == 2, piece).otherwise(F.col("contenido")).alias("contenido"), *look)))
+    g = b.groupBy("doc_id", "grp").agg(rows.alias("_r"))
+    one = lambda x, kind, label, text: F.struct(F.lit(kind).alias("kind") if isinstance(kind, int) else kind.alias("kind"), x["seq"].alias("seq"), label.alias("clasificacion"), text.alias("contenido"), *[x[k].alias(k) for k in look])
+    g = g.withColumn("_b", F.filter("_r", lambda x: x["kind"] == 2))
+    alone = F.transform(F.filter("_r", lambda x: x["kind"] < 2), lambda x: one(x, x["kind"], x["clasificacion"], x["contenido"]))
+    body = one(F.get("_b", F.lit(0)), 2, F.lit(P.CUERPO), F.array_join(F.transform("_b", lambda x: x["contenido"]), ""))
+    every = F.concat(alone, F.filter(F.array(body), lambda x: x["seq"].isNotNull()))
+    return g.select("doc_id", "grp", F.inline(every)).select("doc_id", "grp", "kind", "seq", "clasificacion", "contenido", *look)
 
 
 def histogram(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("clasificacion").agg(F.count("*").alias("n"))
 
 
+def top_labels(blocks: DataFrame, top: int = 6) -> DataFrame:
+    """(doc_id, rank, clasificacion, n): each document's commonest labels; of equal ones the one met first."""
+    g = blocks.groupBy("doc_id", "clasificacion").agg(F.count("*").alias("n"), F.min("seq").alias("_first"))
+    w = Window.partitionBy("doc_id").orderBy(F.desc("n"), "_first")
+    return g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("doc_id", "rank", "clasificacion", "n")
+
+
+def summary(blocks: DataFrame, **more: DataFrame) -> DataFrame:
+    """(doc_id, blocks, labels, and a count of each further table by its name): labels are the six commonest with their
+    numbers, as `label: n` parted by bars."""
+    g = blocks.groupBy("doc_id").agg(F.count("*").alias("blocks"))
+    t = top_labels(blocks).groupBy(F.col("doc_id").alias("_d"))
+    t = t.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "clasificacion", "n"))), lambda x: F.concat(x["clasificacion"], F.lit(": "), x["n"])), "  |  ").alias("labels"))
+    g = g.join(t, F.col("doc_id") == F.col("_d")).drop("_d")
+    for name, rows in more.items():
+        g = g.join(rows.groupBy(F.col("doc_id").alias("_d")).agg(F.count("*").alias("_n")), F.col("doc_id") == F.col("_d"), "left").withColumn(name, F.coalesce("_n", F.lit(0).cast("long"))).drop("_d", "_n")
+    return g
+
+
+def with_label(blocks: DataFrame, label: str) -> DataFrame:
+    """The blocks of a label; all for `Todos`."""
+    return blocks if label == "Todos" else blocks.where(F.col("clasificacion") == label)
+
+
+def search(blocks: DataFrame, query: str, step: int = 0) -> DataFrame:
+    """Blocks that hold the query, whatever its case and accents, with hit (from 0), hits (of the document) and current:
+    the hit that a cursor is at, which begins at the first and goes round."""
+    from quire.functions.text import found_in
+
+    b = blocks.where(found_in(F.col("contenido"), query)).withColumn("hit", F.row_number().over(by_doc()) - 1)
+    b = b.withColumn("hits", F.count("*").over(Window.partitionBy("doc_id")))
+    return b.withColumn("current", F.col("hit") == F.pmod(F.lit(step), F.col("hits")))
+
+
 def reading_order(blocks: DataFrame) -> DataFrame:
-    """Adds two_columns and ord: pages in two columns (two or more blocks' middles on either side of 55 % of the
-    width) are read left, then right; the rest from top to bottom."""
+    """Adds two_columns and ord: pages in two columns (two or more text blocks' middles on either side of 55 % of the
+    width) are read left, then right; the rest from top to bottom. Rows whose `imagen` is true, if there is such a column,
+    make no column but lie in one."""
     w = Window.partitionBy("doc_id", "pnum")
     left = (F.col("x0") + F.col("x1")) / 2 < 0.55 * F.col("page_w")
-    two = (F.sum(left.cast("int")).over(w) >= 2) & (F.sum((~left).cast("int")).over(w) >= 2)
+    text = ~F.col("imagen") if "imagen" in blocks.columns else F.lit(True)
+    two = (F.sum((left & text).cast("int")).over(w) >= 2) & (F.sum((~left & text).cast("int")).over(w) >= 2)
     b = blocks.withColumn("two_columns", two)
     side = F.when(F.col("two_columns") & ~left, 1).otherwise(0)
     return b.withColumn("_side", side).withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("pnum", "_side", "y0", "block_no"))).drop("_side")
 
 
+def at_edge():
+    """Whether a block of a page after the first is a running header or footer by its place."""
+    return (F.col("pnum") > 0) & ((F.col("y1") < 0.05 * F.col("page_h")) | (F.col("y0") > 0.95 * F.col("page_h")))
+
+
 def without_headers(blocks: DataFrame) -> DataFrame:
     """Without running headers and footers, header texts of the upper 12 % and texts under three characters."""
     t, h = strip(F.col("contenido")), F.col("page_h")
-    edge = (F.col("pnum") > 0) & ((F.col("y1") < 0.05 * h) | (F.col("y0") > 0.95 * h))
     upper = (F.col("pnum") > 0) & (F.col("y1") < 0.12 * h) & has(F.substring(t, 1, 100), P.HEADER_TEXT)
-    return blocks.where(~edge & ~upper & (F.length(t) >= 3))
+    return blocks.where(~at_edge() & ~upper & (F.length(t) >= 3))
 
 
 def outside_tables(blocks: DataFrame, rects: DataFrame, share: float = 0.4) -> DataFrame:
@@ -143,16 +201,22 @@ def nearest(items: DataFrame, texts: DataFrame, score, valid, name: str) -> Data
 
 
 def captions(images: DataFrame, texts: DataFrame) -> DataFrame:
-    """The nearest figure caption at or below each image."""
+    """The nearest caption at or below each image, without its label."""
+    from quire.functions.text import figure_caption
+
     dy = F.col("y0") - F.col("iy1")
-    return nearest(images, texts, F.abs(dy), (dy >= -8) & (dy <= 180) & has(F.col("contenido"), P.FIGURE_TITLE), "caption")
+    near = nearest(images, texts, F.abs(dy), (dy >= -8) & (dy <= 180) & has(strip(F.col("contenido")), P.CAPTION), "caption")
+    return near.withColumn("caption", figure_caption(F.col("caption")))
 
 
 def table_titles(tables: DataFrame, texts: DataFrame) -> DataFrame:
-    """The nearest table title above, else below, each table."""
+    """The nearest table title above, else below, each table, without its label."""
+    from quire.functions.text import table_title
+
     up, down = F.col("iy0") - F.col("y1"), F.col("y0") - F.col("iy1")
     above = (up >= 0) & (up <= 140)
-    return nearest(tables, texts, F.when(above, up).otherwise(down + 200), (above | ((down >= 0) & (down <= 80))) & has(F.col("contenido"), P.TABLE_TITLE), "title")
+    near = nearest(tables, texts, F.when(above, up).otherwise(down + 200), (above | ((down >= 0) & (down <= 80))) & has(strip(F.col("contenido")), P.TABLE_PREFIX), "title")
+    return near.withColumn("title", table_title(F.col("title")))
 
 
 def body_size(blocks: DataFrame) -> DataFrame:
@@ -168,12 +232,13 @@ def sections(blocks: DataFrame) -> DataFrame:
 
 
 def without_author_zone(blocks: DataFrame) -> DataFrame:
-    """Without the blocks strictly between a title (the secondary, else the main) and the next abstract heading."""
+    """Without the blocks strictly between a title (the secondary, else the main) and the next abstract heading; without
+    a title, or without such a heading after it, all."""
     doc = Window.partitionBy("doc_id")
     first = lambda cond: F.min(F.when(cond, F.col("seq"))).over(doc)
     c = F.col("clasificacion")
     b = blocks.withColumn("_t", F.coalesce(first(c == P.TITULO2), first(c == P.TITULO)))
-    b = b.withColumn("_a", first(has(strip(F.col("contenido")), r"^(resumen|abstract)\s*[:.]?$") & (F.col("seq") > F.col("_t"))))
+    b = b.withColumn("_a", first((c == P.SECCION) & is_abstract_heading(F.col("contenido")) & (F.col("seq") > F.col("_t"))))
     return b.where(~F.coalesce((F.col("seq") > F.col("_t")) & (F.col("seq") < F.col("_a")), F.lit(False))).drop("_t", "_a")
 
 

@@ -7,13 +7,23 @@ import uuid
 import zipfile
 from html import escape as esc
 
+from typing import NamedTuple
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import patterns as P
 from quire.functions.citation import citations, element_citation, issue_numbers, manuscript_dates
-from quire.functions.text import autolink, clean, doi, editorial, escape, issn, keywords, strip
+from quire.functions.text import (
+    affiliations, anchor_text, as_xhtml, autolink, body_of, clean, country, css_of, date_notes, distinct_keywords, doi, editorial, escape, first_doi_address, html_table,
+    is_period, issn, jats_table, keywords, person, reference_text, strip,
+)
+from quire.operators.blocks import without_author_zone
+from quire.operators.people import affiliation_lines, affiliations_html, affiliations_of_blocks, author_line, author_links, authors_of_blocks, emails_of_blocks, found_author_line, listed_authors, preferred
+
+#: Characters that XML does not know.
+ILLEGAL = "[\x00-\x08\x0B\x0C\x0E-\x1F\uFFFE\uFFFF]"
 
 
 def ordered(col, sep: str, *keys: str):
@@ -23,8 +33,9 @@ def ordered(col, sep: str, *keys: str):
 
 def paragraph_or_list(col, css: str = "cuerpo"):
     """A paragraph, or, at bullets, an introduction and items; an item that ends in a new introduction with a colon
-    closes its list and opens another."""
-    t, p = strip(col), F.lit(f'<p class="{css}">' if css else "<p>")
+    closes its list and opens another. css: cuerpo, abstract or none."""
+    style, more = {"cuerpo": ("cuerpo", " cuerpo-list"), "abstract": ("abstract sin-sangria", " abstract-list")}.get(css, (css, ""))
+    t, p = strip(col), F.lit(f'<p class="{style}">' if style else "<p>")
     parts = F.filter(F.transform(F.split(t, "•"), strip), lambda x: x != "")
     token = lambda kind, text: F.struct(F.lit(kind).alias("k"), text.alias("t"))
     turn = r"^(.*?[.;])\s+([A-ZÁÉÍÓÚÑ][^:]{4,}:)\s*$"
@@ -32,134 +43,404 @@ def paragraph_or_list(col, css: str = "cuerpo"):
     bare = t.startswith("•")
     tokens = F.flatten(F.transform(parts, lambda s, i: F.when((i == 0) & ~bare, F.array(token("p", s))).otherwise(item(s))))
     is_li = lambda i: F.coalesce(F.get(tokens, i)["k"] == "li", F.lit(False))
-    ul = f'<ul class="lista-bullets{" cuerpo-list" if css == "cuerpo" else ""}">\n'
+    ul = f'<ul class="lista-bullets{more}">\n'
     lines = F.transform(tokens, lambda x, i: F.when(x["k"] == "p", F.concat(p, editorial(x["t"]), F.lit("</p>"))).otherwise(
         F.concat(F.when(~is_li(i - 1), F.lit(ul)).otherwise(""), F.lit("  <li>"), editorial(x["t"]), F.lit("</li>"), F.when(~is_li(i + 1), "\n</ul>").otherwise(""))))
     return F.when(F.contains(t, F.lit("•")), F.array_join(lines, "\n")).when(t != "", F.concat(p, editorial(t), F.lit("</p>"))).otherwise("")
 
 
-def fragment(text="contenido", label="clasificacion"):
-    """HTML of one block by its label; null for blocks that are not shown."""
-    c, t = F.col(label), F.col(text)
-    tag = lambda name, body, css="": F.concat(F.lit(f'<{name} class="{css}">' if css else f"<{name}>"), body, F.lit(f"</{name}>"))
-    plain = escape(strip(t))
-    parts = F.filter(F.transform(F.split(t, r"\n{2,}"), strip), lambda x: x != "")
-    body = F.array_join(F.transform(parts, lambda x: F.when(x.startswith("§SUB§"), tag("h4", escape(F.replace(x, F.lit("§SUB§"), F.lit(""))), "nivel2")).otherwise(paragraph_or_list(x))), "\n")
+def rejoined(col):
+    """array<string>: the paragraphs of a fused block; those that the one before does not end are joined to it, a dash
+    before a small letter dropped. Sub-headings keep their mark and stand alone."""
+    parts = F.filter(F.transform(F.split(col, "\n\n"), strip), lambda x: x != "")
+    dash = "[\u2010-\u2014-]\\s*$"
+
+    def step(acc, x):
+        last = F.element_at(acc, -1)
+        joins = (F.size(acc) > 0) & ~x.startswith("§SUB§") & ~last.startswith("§SUB§") & ~last.rlike("[.?!:]$")
+        both = F.when(last.rlike(dash) & x.rlike("^[a-záéíóúñü]"), F.concat(F.regexp_replace(last, dash, ""), x)).otherwise(F.concat(last, F.lit(" "), x))
+        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(both))).otherwise(F.concat(acc, F.array(x)))
+
+    return F.aggregate(parts, F.array(F.lit("")), lambda acc, x: F.when(F.element_at(acc, -1) == "", F.array(x)).otherwise(step(acc, x)), lambda acc: F.filter(acc, lambda x: x != ""))
+
+
+def _tag(name: str, body, css: str = ""):
+    return F.concat(F.lit(f'<{name} class="{css}">' if css else f"<{name}>"), body, F.lit(f"</{name}>"))
+
+
+def heading_style(text, grey):
+    """Classes of a section heading: that of issue data, or ruled, grey, both or none. grey: whether it opens the second
+    or a later abstract."""
+    low = F.lower(strip(text))
+    pale = F.when(low.isin(P.ABSTRACTS), grey).otherwise(low == "keywords")
+    ruled = low.isin(P.RULED)
+    return F.when(text.rlike("(?iu)" + P.META_HEADING), "seccion meta").when(ruled & pale, "seccion con-linea gris").when(ruled, "seccion con-linea").when(pale, "seccion gris").otherwise("seccion")
+
+
+def styled(blocks: DataFrame) -> DataFrame:
+    """Adds what a block's look depends on: `gris`, whether it belongs to the second abstract or a later one, and `primero`,
+    whether it is the first heading of level 1. Headings of keywords leave the abstract open; others end it."""
+    c, low = F.col("clasificacion"), F.lower(strip(escape(F.col("contenido"))))
+    head, opens = c == P.SECCION, (c == P.SECCION) & low.isin(P.ABSTRACTS)
+    w = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    x = blocks.withColumn("_nth", F.sum(opens.cast("int")).over(w))
+    event = F.when(opens, F.col("_nth") >= 2).when((head & ~low.isin("palabras clave", "keywords")) | (c == P.SUB), False)
+    x = x.withColumn("gris", F.coalesce(F.last(event, ignorenulls=True).over(w), F.lit(False)))
+    return x.withColumn("primero", (c == P.SUB) & (F.sum((c == P.SUB).cast("int")).over(w) == 1)).drop("_nth")
+
+
+def fragment(text="contenido", label="clasificacion", gris="gris", primero="primero", italic="italic"):
+    """HTML of one block by its label and styled()'s columns; null for blocks that are not shown."""
+    c, t, grey = F.col(label), F.col(text), F.col(gris)
+    plain = escape(t)
+    parts = rejoined(t)
+    body = F.array_join(F.transform(parts, lambda x: F.when(x.startswith("§SUB§"), _tag("h3", escape(F.substring(x, F.lit(6), F.length(x))), "subseccion-bajo")).otherwise(paragraph_or_list(x))), "\n")
+    heading = F.concat(F.lit('<h2 class="'), heading_style(plain, grey), F.lit('">'), plain, F.lit("</h2>"))
+    key = F.regexp_replace(plain, r"^(?iu)((palabras\s+clave|keywords)\s*[:.]?)\s*", "<strong>$1</strong> ")
+    key = F.regexp_replace(key, r"^<strong>([^<]*?)\s+</strong>", "<strong>$1</strong>")
+    style = F.when(grey, '<p class="keywords sin-sangria" style="color:#666;font-style:italic;">').otherwise('<p class="keywords sin-sangria">')
     return (
-        F.when(strip(t) == "", None).when(c.isin(*P.PASSING), None).when(c == P.TITULO, tag("h1", plain, "titulo")).when(c == P.TITULO2, tag("h2", plain, "titulo-sec"))
-        .when(c == P.AUTORES, tag("p", plain, "autores")).when(c == P.FILIACION, tag("p", plain, "afiliacion")).when(c == P.EMAIL, tag("p", autolink(plain), "email"))
-        .when(c == P.SECCION, tag("h2", plain, "seccion")).when(c == P.SUB, tag("h3", plain, "nivel1")).when(c == P.SUB2, tag("h4", plain, "nivel2"))
-        .when(c == P.CLAVE, tag("p", F.regexp_replace(plain, r"^(?iu)(palabras\s+clave|keywords)\s*([:.])", "<strong>$1$2</strong>"), "palabras-clave"))
-        .when(c == P.REFERENCIA, tag("li", plain, "referencia")).when(c.isin(P.CITAR, P.FECHA), tag("p", plain, "nota")).otherwise(body)
+        F.when(c.isin(*P.PASSING), None).when(c == P.TITULO, _tag("h1", plain, "titulo-principal")).when(c == P.TITULO2, _tag("h2", plain, "titulo-secundario"))
+        .when(c == P.AUTORES, _tag("p", found_author_line(t), "autores sin-sangria")).when(c == P.FILIACION, affiliation_block(t)).when(c == P.EMAIL, _tag("p", autolink(plain), "email sin-sangria"))
+        .when(c == P.SECCION, heading).when(c == P.SUB, F.when(F.col(primero), _tag("h3", plain, "subseccion primer-nivel1")).otherwise(_tag("h3", plain, "subseccion")))
+        .when(c == P.SUB2, _tag("h3", plain, "subseccion-bajo")).when(c == P.RESUMEN, F.when(F.col(italic), _tag("p", plain, "abstract sin-sangria")).otherwise(_tag("p", plain, "resumen sin-sangria")))
+        .when(c == P.CLAVE, F.concat(style, key, F.lit("</p>"))).when(c == P.ABSTRACT_BODY, F.nullif(paragraph_or_list(t, "abstract"), F.lit("")))
+        .when(c == P.REFERENCIA, F.concat(F.lit('<p style="padding-left:1.5em;text-indent:-1.5em;font-size:10pt;">'), plain, F.lit("</p>")))
+        .when(c.isin(P.CUERPO, P.NORMAL), F.nullif(body, F.lit("")))
     )
 
 
-def html_documents(blocks: DataFrame, css: str = "") -> DataFrame:
-    """(doc_id, title, html): the first main title, and the fragments in order of seq in an HTML page."""
-    x = blocks.withColumn("_f", fragment())
-    title = F.coalesce(F.min_by(F.when(F.col("clasificacion") == P.TITULO, clean(F.col("contenido"))), F.when(F.col("clasificacion") == P.TITULO, F.col("seq"))), F.lit("Artículo"))
-    g = x.groupBy("doc_id").agg(title.alias("title"), F.array_join(F.transform(F.filter(F.array_sort(F.collect_list(F.struct("seq", "_f"))), lambda r: r["_f"].isNotNull()), lambda r: r["_f"]), "\n").alias("_b"))
-    return g.select("doc_id", "title", F.concat(F.lit('<!DOCTYPE html>\n<html lang="es">\n<head>\n<meta charset="UTF-8">\n<title>'), escape(F.col("title")), F.lit(f"</title>\n<style>{css}</style>\n</head>\n<body>\n<article>\n"), "_b", F.lit("\n</article>\n</body>\n</html>")).alias("html"))
-
-
-def insert_media(pages: DataFrame, media: DataFrame) -> DataFrame:
-    """Pages (doc_id, html) with media (doc_id, no, anchor, html) after the paragraph that holds the anchor's first
-    occurrence, whatever its case; media without one, or whose anchor is not found, go before the end of the article.
-    Media of one place keep the order of their numbers."""
-    wanted = F.lower(F.right(F.regexp_replace(F.regexp_replace(F.coalesce(F.col("anchor"), F.lit("")), "[\u00ad\ufffc\ufffe]|-\\s+", ""), r"\s+", " "), F.lit(80)))
-    m = media.select("doc_id", "no", strip(wanted).alias("_a"), F.col("html").alias("_m"))
-    both = m.join(pages.select("doc_id", "html"), "doc_id")
-    hit = F.when(F.col("_a") != "", F.expr("instr(lower(html), _a)")).otherwise(0)
-    both = both.withColumn("_hit", hit).withColumn("_end", F.when(F.col("_hit") > 0, F.expr("locate('</p>', html, _hit)")).otherwise(0))
-    at = F.when(F.col("_end") > 0, F.col("_end") + 4).otherwise(F.expr("greatest(instr(html, '</article>'), 1)"))
-    spots = both.withColumn("at", at).groupBy("doc_id", "at").agg(ordered(F.col("_m"), "\n", "no").alias("ins"))
-    plan = spots.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "ins"))).alias("_s"))
-    x = pages.join(plan, "doc_id", "left")
-    piece = lambda s, i: F.concat(F.substring("html", F.coalesce(F.get("_s", i - 1)["at"], F.lit(1)), s["at"] - F.coalesce(F.get("_s", i - 1)["at"], F.lit(1))), s["ins"], F.lit("\n"))
-    tail = F.substring("html", F.element_at("_s", -1)["at"], F.length("html"))
-    return x.withColumn("html", F.when(F.col("_s").isNull(), F.col("html")).otherwise(F.concat(F.array_join(F.transform("_s", piece), ""), tail))).select(*pages.columns)
-
-
-def jats_documents(routed: DataFrame) -> DataFrame:
-    """(doc_id, jats): front matter, publication date and numbers, history, abstracts, keywords, notes, body sections and
-    references, whole and structured, of route()'s parts. Absent values have no element."""
-    t, part = F.col("text"), F.col("part")
+def affiliation_block(t):
+    found = affiliations(t)
+    parts = F.array_join(F.transform(found, lambda a: _tag("p", F.concat(F.lit("<sup>"), escape(a["label"]), F.lit("</sup> "), escape(a["body"])), "filiaciones sin-sangria")), "\n")
+    return F.when(F.size(found) > 0, parts).otherwise(_tag("p", escape(t), "filiaciones sin-sangria"))
+
+
+def notes_before_references(blocks: DataFrame) -> DataFrame:
+    """How-to-cite and date notes that stand before the heading of the references, each text (its first 80 characters)
+    once."""
+    ref = F.min(F.when((F.col("clasificacion") == P.SECCION) & F.col("contenido").rlike("(?i)referencia|reference"), F.col("seq"))).over(Window.partitionBy("doc_id"))
+    x = blocks.withColumn("_ref", ref).where(F.col("clasificacion").isin(P.CITAR, P.FECHA) & (F.col("_ref").isNull() | (F.col("seq") <= F.col("_ref")))).drop("_ref")
+    w = Window.partitionBy("doc_id", "clasificacion", F.substring(strip(F.col("contenido")), 1, 80)).orderBy("seq")
+    return x.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def after_references(notes: DataFrame) -> DataFrame:
+    """(doc_id, html): the block after the references: how to cite, the sentences of date notes, then distinct DOI
+    addresses in order of their first note."""
+    n = notes.select("doc_id", "seq", "clasificacion", "contenido", strip(F.col("contenido")).alias("_t")).withColumn("_doi", F.when(F.col("clasificacion") == P.FECHA, first_doi_address(F.col("_t"))).otherwise(""))
+    left = F.when(F.col("_doi") != "", F.regexp_replace(F.replace("_t", "_doi", F.lit("")), r"^[ .]+|[ .]+$", "")).otherwise(F.col("_t"))
+    lines = F.transform(date_notes(left), lambda x: F.concat(F.lit("  <li>"), escape(x), F.lit("</li>")))
+    of = lambda kind, value: F.transform(F.array_sort(F.collect_list(F.when(F.col("clasificacion") == kind, F.struct("seq", value.alias("v"))))), lambda x: x["v"])
+    g = n.groupBy("doc_id").agg(
+        of(P.CITAR, _tag("p", escape(F.col("contenido")), "como-citar")).alias("cite"), F.flatten(of(P.FECHA, lines)).alias("dates"),
+        F.array_distinct(F.filter(of(P.FECHA, F.col("_doi")), lambda x: x != "")).alias("dois"), F.max((F.col("clasificacion") == P.FECHA).cast("int")).alias("dated"))
+    links = F.transform("dois", lambda d: F.concat(F.lit('  <li><a href="'), d, F.lit('" target="_blank">'), escape(d), F.lit("</a></li>")))
+    dates = F.when(F.col("dated") == 1, F.concat(F.array(F.lit('<div class="fechas-manuscrito"><ul>')), F.col("dates"), links, F.array(F.lit("</ul></div>")))).otherwise(F.array().cast("array<string>"))
+    return g.select("doc_id", F.array_join(F.concat(F.array(F.lit('<div class="post-referencias">')), F.col("cite"), dates, F.array(F.lit("</div>"))), "\n").alias("html"))
+
+
+def html_documents(blocks: DataFrame, css: str = "", authors: DataFrame | None = None, affiliation_texts: DataFrame | None = None, references: DataFrame | None = None) -> DataFrame:
+    """(doc_id, title, html): a page a document of its fragments in order of seq.
+
+    Blocks between title and abstract are left out. Authors (doc_id, ord, nombre, orcid) stand for author blocks and, with
+    the affiliations (doc_id, text: a file's text), follow the first secondary title, without one the first title.
+    References (doc_id, ref_no, raw) follow the heading of the references and stand for reference blocks. Notes follow at
+    the end. title: the first main title, `Artículo` without one."""
+    spark, c = blocks.sparkSession, F.col("clasificacion")
+    if "italic" not in blocks.columns:
+        blocks = blocks.withColumn("italic", F.lit(False))
+    none = lambda schema: spark.createDataFrame([], schema)
+    people = authors if authors is not None else none("doc_id long, ord int, nombre string, orcid string")
+    people = people.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "nombre", "orcid"))), lambda x: F.struct(x["nombre"].alias("nombre"), x["orcid"].alias("orcid"))).alias("_p"))
+    places = affiliation_texts if affiliation_texts is not None else none("doc_id long, text string")
+    cited = references if references is not None else none("doc_id long, ref_no int, raw string")
+    cited = cited.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ref_no", "raw"))), lambda x: F.concat(F.lit("  <li>"), escape(x["raw"]), F.lit("</li>"))).alias("_refs"))
+    ids = blocks.select("doc_id").distinct()
+    side = ids.join(people.select("doc_id", _tag("p", author_line(F.col("_p")), "autores sin-sangria").alias("_authors")), "doc_id", "left")
+    side = side.join(places.select("doc_id", F.nullif(affiliations_html(F.col("text")), F.lit("")).alias("_affs")), "doc_id", "left").join(cited, "doc_id", "left")
+    title = F.coalesce(F.min_by(F.when(c == P.TITULO, clean(F.col("contenido"))), F.when(c == P.TITULO, F.col("seq"))), F.lit("Artículo"))
+    titles = blocks.groupBy("doc_id").agg(title.alias("title"), F.max((c == P.TITULO2).cast("int")).alias("_second"))
+    shown = without_author_zone(blocks)
+    notes = after_references(notes_before_references(shown)).select("doc_id", F.col("html").alias("_notes"))
+    x = styled(shown.where(~c.isin(P.CITAR, P.FECHA))).join(side.join(titles.drop("title"), "doc_id"), "doc_id")
+    at = F.when(F.col("_second") == 1, c == P.TITULO2).otherwise(c == P.TITULO)
+    w = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_here", at & (F.sum(at.cast("int")).over(w) == 1))
+    refs = F.when((c == P.SECCION) & F.col("contenido").rlike("(?i)referencia|reference") & (F.size("_refs") > 0), F.concat(F.lit('<ol class="referencias">\n'), F.array_join("_refs", "\n"), F.lit("\n</ol>")))
+    gone = (c == P.AUTORES) & F.col("_authors").isNotNull() | (c == P.REFERENCIA) & (F.coalesce(F.size("_refs"), F.lit(0)) > 0)
+    own = F.when(gone, None).otherwise(F.nullif(F.concat_ws("\n", fragment(), F.when(F.col("_here"), F.col("_authors")), F.when(F.col("_here"), F.col("_affs")), refs), F.lit("")))
+    g = x.withColumn("_f", own).groupBy("doc_id").agg(F.transform(F.filter(F.array_sort(F.collect_list(F.struct("seq", "_f"))), lambda r: r["_f"].isNotNull()), lambda r: r["_f"]).alias("_b"))
+    top = f'<!DOCTYPE html>\n<html lang="es">\n<head>\n  <meta charset="UTF-8">\n  <meta name="viewport" content="width=device-width, initial-scale=1.0">\n  <title>Artículo</title>\n<style>{css}</style>\n</head>\n<body><article>'
+    page = titles.select("doc_id", "title").join(g, "doc_id", "left").join(notes, "doc_id", "left")
+    return page.select("doc_id", "title", F.concat_ws("\n", F.lit(top), F.when(F.size("_b") > 0, F.array_join("_b", "\n")), F.col("_notes"), F.lit("</article></body></html>")).alias("html"))
+
+
+def table_html(number, title, grid):
+    """A table with its number and title, as it stands in a page."""
+    n = number.cast("string")
+    named = F.when(F.coalesce(title, F.lit("")) != "", title).otherwise(F.concat(F.lit("Tabla "), n))
+    return F.concat(F.lit('\n<div class="tabla-wrapper">\n<p class="tabla-titulo"><strong>Tabla '), n, F.lit(".</strong> "), escape(named), F.lit("</p>\n"), html_table(grid), F.lit("\n</div>\n"))
+
+
+def figure_html(number, caption, source):
+    """A figure with its number and caption. source: an address, as data_uri() gives; null for a file that can't be read."""
+    n, text = number.cast("string"), F.coalesce(caption, F.lit(""))
+    said = F.concat(F.lit("<strong>Figura "), n, F.lit(".</strong>"), F.when(text != "", F.concat(F.lit(" "), escape(text))).otherwise(""))
+    return F.concat(F.lit('<figure id="fig'), n, F.lit('" style="margin:18px auto;text-align:center;">\n  <img src="'), F.coalesce(source, F.lit("imagen.jpg")), F.lit('" alt="Figura '), n,
+                    F.lit('" style="max-width:60%;max-height:420px;border:1px solid #bbb;">\n  <figcaption style="font-size:9pt;color:#1a1a1a;margin-top:5px;text-align:left;">'), said, F.lit("</figcaption>\n</figure>"))
+
+
+def insert_media(pages: DataFrame, media: DataFrame, last: int = 80, heading: str = "") -> DataFrame:
+    """Pages (doc_id, html) with media (doc_id, no, anchor, html) after the paragraph that holds the first occurrence of the
+    last `last` characters of the anchor, whatever its case; media without one, or whose anchor is not found, go before
+    the end of the article, under a heading if one is given. Media of one place keep the order of their numbers.
+
+    A page meets its media once, as a list."""
+    m = media.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("no", F.lower(anchor_text(F.col("anchor"), last)).alias("a"), F.col("html").alias("m")))).alias("_m"))
+    x = pages.join(m, "doc_id", "left").withColumn("_low", F.when(F.col("_m").isNotNull(), F.lower("html")))
+    hit = lambda v: F.when(v["a"] != "", F.position(v["a"], F.col("_low"))).otherwise(0)
+    end = lambda v: F.when(v["h"] > 0, F.position(F.lit("</p>"), F.col("html"), v["h"] + F.length(v["a"]))).otherwise(0)
+    x = x.withColumn("_m", F.transform("_m", lambda v: F.struct(v["no"].alias("no"), v["a"].alias("a"), v["m"].alias("m"), hit(v).alias("h"))))
+    x = x.withColumn("_m", F.transform("_m", lambda v: F.struct(v["no"].alias("no"), v["m"].alias("m"), end(v).alias("e"))))
+    tail = F.greatest(F.position(F.lit("</article>"), F.col("html")), F.lit(1))
+    placed = F.transform("_m", lambda v: F.struct(F.when(v["e"] > 0, v["e"] + 4).otherwise(tail).alias("at"), (v["e"] <= 0).alias("loose"), v["no"].alias("no"), v["m"].alias("m")))
+    x = x.withColumn("_s", F.array_sort(placed))
+    open_ = F.lit(f'\n<div class="figuras-finales">\n<h2 style="text-align:center;font-size:10pt;font-weight:700;margin-bottom:14px;">{heading}</h2>\n')
+    get = lambda i: F.get("_s", i)
+    first_loose = lambda v, i: v["loose"] & ~F.coalesce(get(i - 1)["loose"], F.lit(False))
+    last_loose = lambda v, i: v["loose"] & ~F.coalesce(get(i + 1)["loose"], F.lit(False))
+    around = lambda v, i: F.concat(F.when(first_loose(v, i), open_).otherwise(""), v["m"], F.lit("\n"), F.when(last_loose(v, i), "</div>\n").otherwise("")) if heading else F.concat(v["m"], F.lit("\n"))
+    piece = lambda v, i: F.concat(F.substring("html", F.coalesce(get(i - 1)["at"], F.lit(1)), v["at"] - F.coalesce(get(i - 1)["at"], F.lit(1))), around(v, i))
+    rest = F.substring("html", F.element_at("_s", -1)["at"], F.length("html"))
+    return x.withColumn("html", F.when(F.coalesce(F.size("_s"), F.lit(0)) <= 0, F.col("html")).otherwise(F.concat(F.array_join(F.transform("_s", piece), ""), rest))).select(*pages.columns)
+
+
+class Publication(NamedTuple):
+    """What all articles of a journal share."""
+
+    identifier: str = ""
+    title: str = ""
+    abbreviation: str = ""
+    publisher: str = ""
+    year: str = "2026"
+    license: str = "https://creativecommons.org/licenses/by/4.0/"
+    license_text: str = "Distribuido bajo una licencia Creative Commons Attribution 4.0 International (CC BY 4.0)."
+
+
+def _attr(value):
+    return F.replace(escape(value), F.lit('"'), F.lit("&quot;"))
+
+
+def _ordered(when, value, *keys: str):
+    return F.transform(F.array_sort(F.collect_list(F.when(when, F.struct(*keys, value.alias("v"))))), lambda x: x["v"])
+
+
+def kwd_group(words, lang: str, title: str):
+    """A group of keywords, each spelling of one once; null without any."""
+    own = distinct_keywords(words)
+    inner = F.concat(F.lit(f'<kwd-group kwd-group-type="author-generated" xml:lang="{lang}"><title>{title}</title>'), F.array_join(F.transform(own, lambda x: F.concat(F.lit("<kwd>"), escape(x), F.lit("</kwd>"))), ""), F.lit("</kwd-group>"))
+    return F.when(F.size(own) > 0, inner)
+
+
+def contributors(authors: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, xml): the group of contributors, with author_links()."""
+    n = links.groupBy("doc_id", "ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
+        "ref_type", F.expr("cast(regexp_extract(rid, '[0-9]+', 0) as int)").alias("n"), "rid", "label"))), lambda x: F.concat(F.lit('<xref ref-type="'), x["ref_type"], F.lit('" rid="'), x["rid"], F.lit('">'), escape(x["label"]), F.lit("</xref>"))), "").alias("_x"))
+    p = person(F.col("nombre"))
+    given = F.when(p["given"] != "", F.concat(F.lit("<given-names>"), escape(p["given"]), F.lit("</given-names>"))).otherwise("")
+    who = F.when(F.col("orcid") != "", F.concat(F.lit(f'<contrib-id contrib-id-type="orcid" authenticated="false">{P.ORCID_HOME}'), escape(F.col("orcid")), F.lit("</contrib-id>"))).otherwise("")
+    name = F.concat(F.lit("<name><surname>"), escape(F.when(p["surname"] != "", p["surname"]).otherwise(F.col("nombre"))), F.lit("</surname>"), given, F.lit("</name>"))
+    one = F.concat(F.lit('<contrib contrib-type="author">'), who, name, F.coalesce("_x", F.lit("")), F.lit("</contrib>"))
+    x = authors.join(n, ["doc_id", "ord"], "left").withColumn("_c", one).groupBy("doc_id")
+    return x.agg(F.concat(F.lit("<contrib-group>"), ordered(F.col("_c"), "", "ord"), F.lit("</contrib-group>")).alias("xml"))
+
+
+def affiliations_xml(affs: DataFrame) -> DataFrame:
+    """(doc_id, xml): affiliations (doc_id, aff_id, label, text) with the country each names."""
+    land = country(F.col("text"))
+    at = F.when(land["code"] != "", F.concat(F.lit(' country="'), land["code"], F.lit('"'))).otherwise("")
+    one = F.concat(F.lit('<aff id="'), F.col("aff_id"), F.lit('"><label>'), escape(F.col("label")), F.lit('</label><institution content-type="original">'), escape(F.col("text")), F.lit("</institution><country"), at, F.lit(">"), escape(land["name"]), F.lit("</country></aff>"))
+    n = F.expr("cast(regexp_extract(aff_id, '[0-9]+', 0) as int)")
+    return affs.select("doc_id", n.alias("n"), one.alias("_a")).groupBy("doc_id").agg(ordered(F.col("_a"), "", "n").alias("xml"))
+
+
+def body_xml(routed: DataFrame) -> DataFrame:
+    """(doc_id, xml): headings open sections, paragraphs stand in the one before; those before the first heading stand in
+    one without a title, and without any heading in none."""
+    part, t = F.col("part"), F.replace("text", F.lit("§SUB§"), F.lit(""))
+    g = routed.where(part.isin("heading", "paragraph")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", (part == "heading").alias("h"), strip(t).alias("t")))).alias("b"))
+    some = F.exists("b", lambda x: x["h"])
+    head = lambda x, i: F.concat(F.when(i > 0, "</sec>").otherwise(""), F.lit("<sec><title>"), escape(x["t"]), F.lit("</title>"))
+    text = lambda x, i: F.concat(F.when((i == 0) & some, "<sec><title></title>").otherwise(""), F.when(x["t"] != "", F.concat(F.lit("<p>"), escape(x["t"]), F.lit("</p>"))).otherwise(""))
+    return g.select("doc_id", F.concat(F.array_join(F.transform("b", lambda x, i: F.when(x["h"], head(x, i)).otherwise(text(x, i))), ""), F.when(some, "</sec>").otherwise("")).alias("xml"))
+
+
+def references_xml(refs: DataFrame) -> DataFrame:
+    """(doc_id, xml): references (doc_id, ref_no, raw) without their marks, whole and structured, numbered R1, R2 ..."""
+    r = refs.select("doc_id", "ref_no", reference_text(strip(F.col("raw"))).alias("raw")).where("raw <> ''")
+    x = citations(r).withColumn("_x", element_citation()).groupBy("doc_id").agg(_ordered(F.lit(True), F.col("_x"), "ref_no").alias("v"))
+    one = lambda v, i: F.concat(F.lit('<ref id="R'), (i + 1).cast("string"), F.lit('">'), v, F.lit("</ref>"))
+    return x.select("doc_id", F.concat(F.lit("<ref-list><title>Referencias</title>"), F.array_join(F.transform("v", one), ""), F.lit("</ref-list>")).alias("xml"))
+
+
+def media_xml(tables: DataFrame | None, figures: DataFrame | None, spark) -> DataFrame:
+    """(doc_id, xml): sections of the tables (doc_id, tab_no, titulo, grid) and figures (doc_id, fig_no, pie, path)."""
+    def section(rows, kind, title, number, inner):
+        one = rows.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(number)))
+        return one.withColumn("_x", inner(F.col("_n").cast("string"))).groupBy("doc_id").agg(F.concat(F.lit(f'<sec sec-type="{kind}"><title>{title}</title>'), ordered(F.col("_x"), "", "_n"), F.lit("</sec>")).alias("xml"))
+
+    def caption(word, n, text):
+        named = F.when(clean(F.coalesce(text, F.lit(""))) != "", clean(text)).otherwise(F.concat(F.lit(f"{word} "), n))
+        return F.concat(F.lit(f"<label>{word} "), n, F.lit(f"</label><caption><title>{word} "), n, F.lit("</title><p>"), escape(named), F.lit("</p></caption>"))
+
+    out = []
+    if tables is not None:
+        out.append(section(tables, "tables", "Tablas", "tab_no", lambda n: F.concat(F.lit('<table-wrap id="tbl'), n, F.lit('">'), caption("Tabla", n, F.col("titulo")), jats_table(F.col("grid")), F.lit("</table-wrap>"))).withColumn("k", F.lit(0)))
+    if figures is not None:
+        out.append(section(figures, "figures", "Figuras", "fig_no", lambda n: F.concat(F.lit('<fig id="fig'), n, F.lit('">'), caption("Figura", n, F.col("pie")), F.lit('<graphic xlink:href="'), _attr(F.substring_index("path", "/", -1)), F.lit('"/></fig>'))).withColumn("k", F.lit(1)))
+    if not out:
+        return spark.createDataFrame([], "doc_id long, xml string")
+    both = out[0] if len(out) == 1 else out[0].unionByName(out[1])
+    return both.groupBy("doc_id").agg(ordered(F.col("xml"), "", "k").alias("xml"))
+
+
+def jats_documents(routed: DataFrame, publication: Publication = Publication(), authors: DataFrame | None = None, affiliation_texts: DataFrame | None = None,
+                   references: DataFrame | None = None, tables: DataFrame | None = None, figures: DataFrame | None = None) -> DataFrame:
+    """(doc_id, jats): articles of route()'s parts: journal, identifiers, titles, contributors, affiliations, notes, date
+    and numbers of publication, history, permissions, abstracts, keywords, further notes, body, tables, figures and
+    references.
+
+    Given authors (doc_id, ord, nombre, orcid), affiliations (doc_id, text of a file) and references (doc_id, ref_no,
+    raw) are preferred for a document; others follow from its blocks. Absent values have no element; a document without a
+    title is an `Articulo` of the publication's year, one without an ISSN has 0000-0000. Characters that XML does not
+    know are left out."""
+    spark = routed.sparkSession
+    routed = routed.withColumn("text", F.regexp_replace("text", ILLEGAL, ""))
+    t, part, c = F.col("text"), F.col("part"), F.col("clasificacion")
     tag = lambda name, body, attr="": F.concat(F.lit(f"<{name}{attr}>"), body, F.lit(f"</{name}>"))
-    of = lambda name, wrap, sep="": F.array_join(F.transform(F.array_sort(F.collect_list(F.when(part == name, F.struct("seq", wrap.alias("v"))))), lambda x: x["v"]), sep)
-    first = lambda value: F.min_by(F.when(value != "", value), F.when(value != "", F.col("seq")))
-    title = F.when(F.col("clasificacion") == P.TITULO, t).otherwise("")
-    abstracts = [(f"abstract_{m}", a) for m, a in (("es", ' xml:lang="es"'), ("en", ' xml:lang="en"'), ("plain_es", ' abstract-type="plain" xml:lang="es"'), ("plain_en", ' abstract-type="plain" xml:lang="en"'))]
-    body = F.when(part == "heading", F.concat(F.lit("</sec><sec>"), tag("title", escape(t)))).when(part == "paragraph", tag("p", escape(t)))
-    g = routed.groupBy("doc_id").agg(
-        F.coalesce(first(title), F.lit("Articulo")).alias("title"), F.coalesce(first(doi(t)), F.lit("")).alias("doi"), F.coalesce(first(issn(t)), F.lit("0000-0000")).alias("issn"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(body.isNotNull(), F.struct("seq", body.alias("v"))))), lambda x: x["v"]), "").alias("body"),
-        *[F.transform(F.array_sort(F.collect_list(F.when(part == n, F.struct("seq", t.alias("v"))))), lambda x: x["v"]).alias(n) for n in ("front_note", "cite_note", "date_note", "keywords_es", "keywords_en", "keywords")],
-        *[of(n, tag("p", escape(t))).alias(n) for n, _ in abstracts],
-    )
-    cited = citations(routed.where(part == "ref").select("doc_id", "seq", t.alias("raw"))).withColumn("_x", element_citation())
-    cited = cited.groupBy(F.col("doc_id").alias("_d")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "_x"))), lambda x: x["_x"]).alias("refs"))
-    g = g.join(cited, F.col("doc_id").eqNullSafe(F.col("_d")), "left").withColumn("_n", issue_numbers(F.col("front_note"), F.col("doi")))
-    refs = F.array_join(F.transform("refs", lambda r, i: F.concat(F.lit('<ref id="R'), (i + 1).cast("string"), F.lit('">'), r, F.lit("</ref>"))), "")
     some = lambda name, value, attr="": F.when(value != "", tag(name, escape(value), attr))
-    n = F.col("_n")
-    numbers = [F.when(n["year"] != "", tag("pub-date", tag("year", n["year"]), ' pub-type="epub"')), *[some(k, n[k]) for k in ("volume", "issue", "fpage", "lpage")],
-               F.when(n["fpage"] == "", some("elocation-id", F.substring_index("doi", ".", -1)))]
+    first = lambda value: F.coalesce(F.min_by(F.when(value != "", value), F.when(value != "", F.col("seq"))), F.lit(""))
+    is_title = lambda label: F.when(c == label, t).otherwise("")
+    names = ("front_note", "cite_note", "date_note", "keywords_es", "keywords_en", "keywords", "abstract_es", "abstract_en", "abstract_plain_es", "abstract_plain_en")
+    g = routed.groupBy("doc_id").agg(first(is_title(P.TITULO)).alias("title"), first(is_title(P.TITULO2)).alias("title_en"), first(doi(t)).alias("doi"), first(issn(t)).alias("issn"),
+                                     *[_ordered(part == n, t, "seq").alias(n) for n in names])
+    own = authors_of_blocks(routed)
+    people = preferred(listed_authors(authors), own) if authors is not None else own
+    block_affs, block_mails = affiliations_of_blocks(routed), emails_of_blocks(routed)
+    affs, mails = block_affs.select("doc_id", "aff_id", "label", "text"), block_mails
+    if affiliation_texts is not None:
+        lines = affiliation_lines(affiliation_texts, "doc_id")
+        given = lines.select("doc_id").distinct()
+        bare = lambda x: x.join(given, "doc_id", "left_anti")
+        affs = lines.where("email is null").select("doc_id", "aff_id", "label", "text").unionByName(bare(affs))
+        mails = lines.where("email is not null").select("doc_id", F.col("line").alias("ord"), "email").unionByName(bare(mails))
+    mail = mails.groupBy("doc_id").agg(F.concat(F.lit('<author-notes><corresp id="cor1"><label>*</label>'), F.array_join(F.transform(_ordered(F.lit(True), F.col("email"), "ord"), lambda x: tag("email", escape(x))), ""), F.lit("</corresp></author-notes>")).alias("xml"))
+    block_refs = routed.where(part == "ref").select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")).alias("ref_no"), t.alias("raw"))
+    refs = preferred(references.select("doc_id", "ref_no", F.regexp_replace("raw", ILLEGAL, "").alias("raw")), block_refs) if references is not None else block_refs
+    parts = {"_people": contributors(people, author_links(people, affs, mails)), "_affs": affiliations_xml(affs), "_mail": mail, "_body": body_xml(routed), "_refs": references_xml(refs), "_media": media_xml(tables, figures, spark)}
+    for name, xml in parts.items():
+        g = g.join(xml.select(F.col("doc_id").alias("_d"), F.col("xml").alias(name)), F.col("doc_id").eqNullSafe(F.col("_d")), "left").drop("_d")
+    n = issue_numbers(F.col("front_note"), F.col("doi"))
+    g = g.withColumn("_n", n)
+    n, y = F.col("_n"), F.when(F.col("_n.year") != "", F.col("_n.year")).otherwise(F.lit(publication.year))
+    journal = "".join([f'<journal-id journal-id-type="publisher-id">{esc(publication.identifier)}</journal-id>', f'<journal-title-group><journal-title>{esc(publication.title)}</journal-title><abbrev-journal-title abbrev-type="publisher">{esc(publication.abbreviation)}</abbrev-journal-title></journal-title-group>'])
+    issn_value = F.when(F.col("issn") != "", F.col("issn")).otherwise("0000-0000")
+    titles = F.concat(F.lit("<title-group>"), tag("article-title", escape(F.when(F.col("title") != "", F.col("title")).otherwise("Articulo"))), F.when(F.col("title_en") != "", F.concat(F.lit('<trans-title-group xml:lang="en">'), tag("trans-title", escape(F.col("title_en"))), F.lit("</trans-title-group>"))).otherwise(""), F.lit("</title-group>"))
+    numbers = [tag("pub-date", tag("year", y), ' pub-type="epub"'), *[some(k, n[k]) for k in ("volume", "issue", "fpage", "lpage")], F.when((n["fpage"] == "") & (n["lpage"] == ""), some("elocation-id", elocation(F.col("doi"))))]
     day = lambda d: F.concat_ws("", F.concat(F.lit('<date date-type="'), d["date_type"], F.lit('">')), some("day", d["day"]), some("month", d["month"]), tag("year", d["year"]), F.lit("</date>"))
-    dates = F.array_join(F.transform(manuscript_dates(F.array_join("date_note", " ")), day), "")
+    history = F.array_join(F.transform(manuscript_dates(F.array_join("date_note", " ")), day), "")
+    rights = F.concat(F.lit("<permissions><copyright-statement>© "), y, F.lit(f" {esc(publication.title)}</copyright-statement>"), tag("copyright-year", y), F.lit(
+        f'<copyright-holder>{esc(publication.title)}</copyright-holder><ali:free_to_read/><license license-type="open-access" xlink:href="{esc(publication.license)}" xml:lang="es"><license-p>{esc(publication.license_text)}</license-p></license></permissions>'))
+    plain = ' abstract-type="plain-language-summary"'
+    abstract = lambda name, element, attr, title: F.when(F.size(name) > 0, tag(element, F.concat(F.lit(f"<title>{title}</title>"), F.array_join(F.transform(F.filter(F.transform(name, lambda x: strip(F.replace(x, F.lit("§SUB§"), F.lit("")))), lambda x: x != ""), lambda x: tag("p", escape(x))), "")), attr))
+    abstracts = [abstract("abstract_es", "abstract", "", "Resumen"), abstract("abstract_plain_es", "abstract", plain, "Resumen no técnico"), abstract("abstract_en", "trans-abstract", ' xml:lang="en"', "Abstract"), abstract("abstract_plain_en", "trans-abstract", plain + ' xml:lang="en"', "Non-technical Abstract")]
+    words = lambda name: F.flatten(F.transform(name, keywords))
+    groups = [kwd_group(words("keywords_es"), "es", "Palabras clave"), kwd_group(words("keywords_en"), "en", "Keywords"), kwd_group(words("keywords"), "es", "Palabras clave")]
+    meta = lambda name: lambda x: tag("custom-meta", F.concat(tag("meta-name", F.lit(name)), tag("meta-value", escape(x))))
+    period = F.slice(F.filter("front_note", is_period), 1, 1)
+    notes = F.array_join(F.concat(F.transform(period, meta("publication-period")), F.transform("cite_note", meta("how-to-cite"))), "")
+    article_id = some("article-id", F.col("doi"), ' pub-id-type="doi"')
+    head = F.concat_ws("", F.lit(f"<front><journal-meta>{journal}"), tag("issn", issn_value, ' pub-type="epub"'), F.lit(f"<publisher><publisher-name>{esc(publication.publisher)}</publisher-name></publisher></journal-meta><article-meta>"), article_id,
+                       F.lit('<article-categories><subj-group subj-group-type="heading"><subject>Research Article</subject></subj-group></article-categories>'), titles, F.col("_people"), F.col("_affs"), F.col("_mail"), *numbers,
+                       F.when(history != "", tag("history", history)), rights, *abstracts, *groups, F.when(notes != "", tag("custom-meta-group", notes)), F.lit("</article-meta></front>"))
+    spaces = " ".join(f'xmlns:{k}="{v}"' for k, v in P.NAMESPACES.items())
+    root = f'<?xml version="1.0" encoding="utf-8"?>\n{P.DOCTYPE}\n<article {spaces} article-type="research-article" dtd-version="1.1" specific-use="sps-1.8" xml:lang="es">'
+    return g.select("doc_id", F.concat_ws("", F.lit(root), head, F.lit("<body>"), F.col("_body"), F.col("_media"), F.lit("</body><back>"), F.col("_refs"), F.lit("</back></article>\n")).alias("jats"))
 
-    def group(name, lang, title):
-        words = F.flatten(F.transform(name, keywords))
-        lower = F.transform(words, F.lower)
-        own = F.filter(words, lambda x, i: F.array_position(lower, F.lower(x)) == i + 1)
-        inner = F.concat(tag("title", F.lit(title)), F.array_join(F.transform(own, lambda x: tag("kwd", escape(x))), ""))
-        return F.when(F.size(own) > 0, tag("kwd-group", inner, f' kwd-group-type="author-generated" xml:lang="{lang}"'))
 
-    meta = lambda name: lambda x: tag("custom-meta", F.concat(tag("meta-name", F.lit(name)), tag("meta-value", escape(x))))
-    period = F.slice(F.filter("front_note", lambda x: x.rlike(P.PERIOD)), 1, 1)
-    other = F.filter("front_note", lambda x: ~F.array_contains(period, x))
-    notes = F.array_join(F.concat(F.transform(period, meta("publication-period")), F.transform(other, meta("front-note")), F.transform("cite_note", meta("how-to-cite"))), "")
-    more = [group("keywords_es", "es", "Palabras clave"), group("keywords_en", "en", "Keywords"), group("keywords", "es", "Palabras clave"), F.when(notes != "", tag("custom-meta-group", notes))]
-    # the body opens one section too few and closes one too many at its first heading
-    text = F.regexp_replace(F.concat(F.col("body"), F.when(F.contains(F.col("body"), F.lit("<sec>")), F.lit("</sec>")).otherwise("")), r"^(.*?)</sec><sec>", "$1<sec>")
-    lead = F.regexp_replace(text, r"^((?:<p>[^<]*</p>)+)(?=<sec>)", "<sec>$1</sec>")
-    head = F.concat_ws("", F.lit("<front><journal-meta>"), tag("issn", F.col("issn")), F.lit("</journal-meta><article-meta>"), F.when(F.col("doi") != "", tag("article-id", escape(F.col("doi")), ' pub-id-type="doi"')), F.lit("<title-group>"), tag("article-title", escape(F.col("title"))), F.lit("</title-group>"), *numbers, F.when(dates != "", tag("history", dates)), *[F.when(F.col(k) != "", tag("abstract" if "xml:lang=\"es\"" in a else "trans-abstract", F.col(k), a)) for k, a in abstracts], *more, F.lit("</article-meta></front>"))
-    back = F.when(F.size("refs") > 0, F.concat(F.lit("<back><ref-list>"), refs, F.lit("</ref-list></back>"))).otherwise("")
-    return g.select("doc_id", F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<article xmlns:xlink="http://www.w3.org/1999/xlink" article-type="research-article" xml:lang="es">'), head, tag("body", lead), back, F.lit("</article>")).alias("jats"))
-
-
-def _epub(doc_id, title: str, html: str, sections, publisher: str) -> bytes:
+def elocation(col):
+    """What stands after the last dot of a DOI."""
+    return F.substring_index(col, ".", -1)
+
+
+def pretty_xml(documents: DataFrame, column: str = "jats") -> DataFrame:
+    """Documents indented by two blanks, without empty lines; a text that is no XML stays as it is."""
+
+    def indent(texts: pd.Series) -> pd.Series:
+        from xml.dom import minidom
+
+        def one(x):
+            try:
+                out = minidom.parseString(x.encode()).toprettyxml(indent="  ", encoding="utf-8").decode()
+                return "\n".join(line for line in out.splitlines() if line.strip()) + "\n"
+            except Exception:  # no XML
+                return x
+
+        return texts.map(one, na_action="ignore")
+
+    return documents.withColumn(column, F.pandas_udf(indent, "string")(F.col(column)))
+
+
+def _epub(doc_id, title: str, body: str, css: str, sections, authors, doi_: str, publisher: str) -> bytes:
     uid = f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{doc_id}/{title}')}"
-    head, body = esc(title, quote=False), html.split("<body>", 1)[-1].split("</body>", 1)[0]
-    css = html.split("<style>", 1)[1].split("</style>", 1)[0] if "<style>" in html else ""
-    points = "".join(f'<navPoint id="nav{i}" playOrder="{i}"><navLabel><text>{esc(s, quote=False)}</text></navLabel><content src="article.xhtml"/></navPoint>' for i, s in enumerate(sections if len(sections) else [title], 1))
+    text = lambda x: esc(x, quote=False)
+    head = text(title)
+    points = "".join(f'<navPoint id="nav{i}" playOrder="{i}"><navLabel><text>{text(s)}</text></navLabel><content src="article.xhtml"/></navPoint>' for i, s in enumerate(sections if len(sections) else [title], 1))
     items = {"article": ("article.xhtml", "application/xhtml+xml"), "css": ("style/main.css", "text/css"), "ncx": ("toc.ncx", "application/x-dtbncx+xml")}
     manifest = "".join(f'<item id="{k}" href="{h}" media-type="{m}"/>' for k, (h, m) in items.items())
+    creators = "".join(f"<dc:creator>{text(a)}</dc:creator>" for a in (authors if len(authors) else ["Autor desconocido"]))
+    own_doi = f'<dc:identifier id="doi">{text(doi_)}</dc:identifier>' if doi_ else ""
+    meta = "".join(f'<meta name="dtb:{k}" content="{v}"/>' for k, v in (("uid", uid), ("depth", 1), ("totalPageCount", 0), ("maxPageNumber", 0)))
     xml = '<?xml version="1.0" encoding="UTF-8"?>\n'
     files = {
         "META-INF/container.xml": xml + '<container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>',
-        "OEBPS/content.opf": xml + f'<package xmlns="http://www.idpf.org/2007/opf" version="2.0" unique-identifier="uid"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="uid">{uid}</dc:identifier><dc:title>{head}</dc:title><dc:creator>Autor desconocido</dc:creator><dc:language>es</dc:language><dc:publisher>{esc(publisher)}</dc:publisher></metadata><manifest>{manifest}</manifest><spine toc="ncx"><itemref idref="article"/></spine></package>',
-        "OEBPS/toc.ncx": xml + f'<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1"><head><meta name="dtb:uid" content="{uid}"/></head><docTitle><text>{head}</text></docTitle><navMap>{points}</navMap></ncx>',
+        "OEBPS/content.opf": xml + f'<package xmlns="http://www.idpf.org/2007/opf" version="2.0" unique-identifier="uid"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="uid">{uid}</dc:identifier><dc:title>{head}</dc:title>{creators}{own_doi}<dc:language>es</dc:language><dc:publisher>{text(publisher)}</dc:publisher></metadata><manifest>{manifest}</manifest><spine toc="ncx"><itemref idref="article"/></spine></package>',
+        "OEBPS/toc.ncx": xml + f'<!DOCTYPE ncx PUBLIC "-//NISO//DTD ncx 2005-1//EN" "http://www.daisy.org/z3986/2005/ncx-2005-1.dtd">\n<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1"><head>{meta}</head><docTitle><text>{head}</text></docTitle><navMap>{points}</navMap></ncx>',
         "OEBPS/article.xhtml": xml + f'<!DOCTYPE html>\n<html xmlns="http://www.w3.org/1999/xhtml" lang="es" xml:lang="es"><head><title>{head}</title><link href="style/main.css" rel="stylesheet" type="text/css"/></head><body>{body}</body></html>',
         "OEBPS/style/main.css": css,
     }
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr(zipfile.ZipInfo("mimetype"), b"application/epub+zip", zipfile.ZIP_STORED)
-        for name, text in files.items():
-            z.writestr(zipfile.ZipInfo(name), text.encode(), zipfile.ZIP_DEFLATED)
+        for name, body_text in files.items():
+            z.writestr(zipfile.ZipInfo(name), body_text.encode(), zipfile.ZIP_DEFLATED)
     return out.getvalue()
 
 
-def epub_documents(pages: DataFrame, sections: DataFrame, publisher: str = "") -> DataFrame:
-    """(doc_id, epub): EPUB 2.0 of html_documents() and sections (doc_id, seq, text); equal input gives equal bytes."""
+def epub_parts(pages: DataFrame, blocks: DataFrame, authors: DataFrame | None = None) -> DataFrame:
+    """(doc_id, title, body, css, sections, authors, doi): what a book is made of: the page's body as XHTML and its style
+    sheet, section headings, authors' names and the first DOI address of html_documents() and its blocks."""
+    c, t = F.col("clasificacion"), strip(F.col("contenido"))
+    link = F.regexp_replace(F.regexp_extract("contenido", r"https?://doi\.org/\S+", 0), r"\.+$", "")
+    b = blocks.groupBy(F.col("doc_id").alias("_d")).agg(_ordered((c == P.SECCION) & (t != ""), t, "seq").alias("sections"), F.coalesce(F.min_by(F.when(link != "", link), F.when(link != "", F.col("seq"))), F.lit("")).alias("doi"))
+    x = pages.select("doc_id", "title", F.regexp_replace(as_xhtml(body_of(F.col("html"))), ILLEGAL, "").alias("body"), css_of(F.col("html")).alias("css")).join(b, F.col("doc_id").eqNullSafe(F.col("_d")), "left").drop("_d")
+    who = authors if authors is not None else pages.sparkSession.createDataFrame([], "doc_id long, ord int, nombre string")
+    who = who.where("trim(nombre) <> ''").groupBy(F.col("doc_id").alias("_d")).agg(_ordered(F.lit(True), F.trim("nombre"), "ord").alias("authors"))
+    return x.join(who, F.col("doc_id").eqNullSafe(F.col("_d")), "left").drop("_d")
+
+
+def epub_documents(pages: DataFrame, blocks: DataFrame, authors: DataFrame | None = None, publisher: str = "") -> DataFrame:
+    """(doc_id, epub): EPUB 2.0 of epub_parts(); equal input gives equal bytes."""
     from quire import ship
 
     ship(pages.sparkSession)
-    s = sections.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]).alias("_s"))
+    kind = dict(pages.dtypes)["doc_id"]
 
     def build(parts):
+        some = lambda x: [] if x is None else list(x)
         for p in parts:
-            books = [_epub(d, t, h, [] if s is None else list(s), publisher) for d, t, h, s in zip(p.doc_id, p.title, p.html, p._s)]
+            books = [_epub(d, t, b, c, some(s), some(a), o or "", publisher) for d, t, b, c, s, a, o in zip(p.doc_id, p.title, p.body, p.css, p.sections, p.authors, p.doi)]
             yield pd.DataFrame({"doc_id": p.doc_id, "epub": books})
 
-    return pages.select("doc_id", "title", "html").join(s, "doc_id", "left").mapInPandas(build, "doc_id long, epub binary")
+    return epub_parts(pages, blocks, authors).mapInPandas(build, f"doc_id {kind}, epub binary")

@@ -58,17 +58,18 @@ def without(rows: DataFrame, deletions: DataFrame, *keys: str) -> DataFrame:
     return rows.join(deletions.select(*keys), list(keys), "left_anti")
 
 
-def route(labelled: DataFrame) -> DataFrame:
+def route(labelled: DataFrame, journal: str = "") -> DataFrame:
     """Adds part: where a block goes in a JATS article (null: nowhere), and text, its clean text.
 
     Parts are ref, front_note, cite_note, date_note, keywords_es, keywords_en, keywords, abstract_es, abstract_en,
-    abstract_plain_es, abstract_plain_en, heading and paragraph. What a block is depends on the last heading before it."""
+    abstract_plain_es, abstract_plain_en, heading and paragraph. What a block is depends on the last heading before it.
+    A heading that is the journal's name, if one is given, is a front note."""
     from quire.functions.text import clean, is_body_heading, is_meta_heading
 
     x = labelled.withColumn("text", clean(F.col("contenido"))).where("text <> ''")
     c, t = F.col("clasificacion"), norm(F.col("text"))
     head, sub = c == P.SECCION, c.isin(P.SUB, P.SUB2)
-    meta = head & is_meta_heading(F.col("text"))
+    meta = head & is_meta_heading(F.col("text"), journal)
     titles = F.create_map(*[F.lit(v) for v in ("resumen", "es", "abstract", "en", "resumen no tecnico", "plain_es", "non-technical abstract", "plain_en")])
     refs = head & t.isin("referencias", "references")
     meta = meta & ~refs

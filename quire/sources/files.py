@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import patterns as P
-from quire.functions.text import affiliations, clean, references
+from quire.functions.text import orcid_as_given, references
+from quire.operators.people import affiliation_lines
 
 #: Names in the first column of an authors' sheet that make its row a head.
 HEAD_NAMES = ["autor", "nombre", "author", "name"]
@@ -30,23 +31,14 @@ def read_references(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_affiliations(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line, part, aff_id, label, text, email): lines of `*` and an address are e-mails; others one affiliation
-    or more, numbered aff1, aff2 ... a file. A line without a mark is one affiliation, labelled by its number."""
-    line = _whole(spark, path).select("path", F.posexplode(F.split("text", r"\r?\n")).alias("line", "t")).withColumn("t", clean(F.col("t"))).where("t <> ''")
-    mail = F.regexp_extract("t", P.EMAIL_ANY, 0)
-    x = line.withColumn("email", F.when(F.col("t").startswith("*") & (mail != ""), mail)).withColumn("_a", affiliations(F.col("t")))
-    whole = F.array(F.struct(F.lit("").alias("label"), F.col("t").alias("body")))
-    x = x.withColumn("_a", F.when(F.col("email").isNotNull(), F.array(F.struct(F.lit("").alias("label"), F.lit("").alias("body")))).when(F.size("_a") > 0, F.col("_a")).otherwise(whole))
-    x = x.select("path", "line", "email", F.posexplode("_a").alias("part", "a"))
-    n = F.sum(F.col("email").isNull().cast("int")).over(Window.partitionBy("path").orderBy("line", "part").rowsBetween(Window.unboundedPreceding, 0))
-    x = x.withColumn("_n", n).withColumn("aff_id", F.when(F.col("email").isNull(), F.concat(F.lit("aff"), F.col("_n").cast("string"))))
-    return x.select("path", "line", "part", "aff_id", F.when(F.col("a.label") != "", F.col("a.label")).otherwise(F.col("_n").cast("string")).alias("label"), F.col("a.body").alias("text"), "email")
+    """(path, line, part, aff_id, label, text, email) of affiliation_lines()."""
+    return affiliation_lines(_whole(spark, path), "path")
 
 
 def read_figures(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content) of the files whose extension is that of a figure."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return f.where(F.lower(F.substring_index("path", ".", -1)).isin(*P.MIME))
+    """(path, content) of the files whose extension is that of a figure; others are not read."""
+    any_case = ",".join("".join(f"[{c}{c.upper()}]" for c in x) for x in P.FIGURE_FILES)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{any_case}}}").load(path).select("path", "content")
 
 
 def _cells(path: str, content: bytes):
@@ -93,12 +85,30 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(cells, CELLS)
 
 
+def sheets(cells: DataFrame) -> DataFrame:
+    """(path, sheet_no, sheet, active) of the sheets that have a filled cell: a table to each."""
+    return cells.select("path", "sheet_no", "sheet", "active").distinct()
+
+
 def grids(cells: DataFrame) -> DataFrame:
-    """(path, sheet_no, sheet, active, grid): rows and columns up to the last filled one, nulls where no cell is."""
-    row = cells.groupBy("path", "sheet_no", "sheet", "active", "r").agg(F.map_from_entries(F.collect_list(F.struct("c", "v"))).alias("m"), F.max("c").alias("w"))
-    g = row.groupBy("path", "sheet_no", "sheet", "active").agg(F.map_from_entries(F.collect_list(F.struct("r", "m"))).alias("rows"), F.max("r").alias("h"), F.max("w").alias("w"))
-    line = lambda i: F.transform(F.sequence(F.lit(0), F.col("w")), lambda j: F.element_at(F.element_at("rows", i), j))
-    return g.select("path", "sheet_no", "sheet", "active", F.transform(F.sequence(F.lit(0), F.col("h")), line).alias("grid"))
+    """(path, sheet_no, sheet, active, grid): rows up to the last filled one, each up to its last filled cell, nulls where
+    no cell is. A stray cell far off costs the empty rows above it and the nulls beside it, no full rectangle."""
+    fill = lambda items, at, value, gap: F.aggregate(items, F.array().cast(gap), lambda acc, x: F.concat(acc, F.array_repeat(F.lit(None).cast(gap[6:-1]), x[at] - F.size(acc)), F.array(x[value])))
+    row = cells.groupBy("path", "sheet_no", "sheet", "active", "r").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("m"))
+    row = row.withColumn("line", fill("m", "c", "v", "array<string>"))
+    g = row.groupBy("path", "sheet_no", "sheet", "active").agg(F.array_sort(F.collect_list(F.struct("r", "line"))).alias("m"))
+    lines = F.transform(fill("m", "r", "line", "array<array<string>>"), lambda x: F.coalesce(x, F.array().cast("array<string>")))
+    return g.select("path", "sheet_no", "sheet", "active", lines.alias("grid"))
+
+
+def chosen_grids(descriptors: DataFrame, cells: DataFrame) -> DataFrame:
+    """descriptors (path, hoja, ...) with grid: that of the sheet of this name, else of the active one; null if the file
+    has no filled cell there."""
+    g = grids(cells).select(F.col("path").alias("_p"), F.col("sheet").alias("_s"), "active", "grid")
+    own = g.select("_p", "_s", "grid").withColumnRenamed("grid", "_own")
+    named = descriptors.join(own, (F.col("path") == F.col("_p")) & (F.col("hoja") == F.col("_s")), "left").drop("_p", "_s")
+    other = g.where("active").select("_p", F.col("grid").alias("_active"))
+    return named.join(other, F.col("path") == F.col("_p"), "left").withColumn("grid", F.coalesce("_own", "_active")).drop("_p", "_own", "_active")
 
 
 def authors(cells: DataFrame) -> DataFrame:
@@ -106,10 +116,10 @@ def authors(cells: DataFrame) -> DataFrame:
     form); blank and head rows are left out."""
     x = cells.where("active and c < 2").groupBy("path", "r").agg(F.trim(F.max(F.when(F.col("c") == 0, F.col("v")))).alias("nombre"), F.trim(F.coalesce(F.max(F.when(F.col("c") == 1, F.col("v"))), F.lit(""))).alias("_o"))
     x = x.where((F.coalesce("nombre", F.lit("")) != "") & ~F.lower("nombre").isin(HEAD_NAMES))
-    found = F.regexp_extract("_o", P.ORCID, 0)
-    return x.select("path", F.row_number().over(Window.partitionBy("path").orderBy("r")).alias("ord"), "nombre", F.when(found != "", found).otherwise(F.col("_o")).alias("orcid"))
+    return x.select("path", F.row_number().over(Window.partitionBy("path").orderBy("r")).alias("ord"), "nombre", orcid_as_given(F.col("_o"), False).alias("orcid"))
 
 
 def write_texts(documents: DataFrame, column: str, path: str) -> None:
-    """One folder doc_id=... a document with its text as a file; committed like any table, on any store."""
+    """One folder doc_id=... a document with its text as a file; committed like any table, on any store. For exports of
+    some thousand documents: a store lists each folder. Larger ones are better kept as the tables they are."""
     documents.select("doc_id", column).write.mode("overwrite").partitionBy("doc_id").option("lineSep", "\n").text(path)

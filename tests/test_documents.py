@@ -33,7 +33,9 @@ def test_editorial(spark):
 
 
 def test_country(spark):
-    assert one(spark, T.country, "UNAM, México.", "X, Honduras", "Nowhere", "El Salvador, Chile") == ["MX", "HN", "", "SV"]
+    got = one(spark, T.country, "UNAM, México.", "X, Honduras .;", "Nowhere", "El Salvador, Chile", "Chile and China", "Poland, Francia", "x, España", "USA")
+    assert [tuple(x) for x in got] == [("Mexico", "MX"), ("Honduras", "HN"), ("", ""), ("El Salvador", "SV"), ("Chile", "CL"), ("Francia", "FR"), ("Espana", "ES"), ("United States", "US")]
+    assert one(spark, T.country_code, "España", "méxico", "Perú") == ["", "MX", "PE"]
 
 
 def test_doi_and_captions(spark):
@@ -44,7 +46,7 @@ def test_doi_and_captions(spark):
 
 def test_manuscript_dates(spark):
     got = one(spark, C.manuscript_dates, "Manuscrito recibido: Diciembre 5, 2020 Manuscript accepted: 3 de marzo de 2021. Manuscrito raro: 1/1/2000", "nothing")
-    assert [[tuple(d) for d in x] for x in got] == [[("received", "5", "12", "2020"), ("accepted", "3", "03", "2021")], []]
+    assert [[tuple(d) for d in x] for x in got] == [[("received", "5", "12", "2020"), ("accepted", "3", "3", "2021")], []]
 
 
 def test_issue_numbers(spark):
@@ -120,8 +122,8 @@ def test_jats(article):
     r = render.jats_documents(splits.route(article)).collect()[0]
     root = ElementTree.fromstring(r.jats.encode())
     assert root.findtext(".//article-title") == "Un título" and root.findtext(".//issn") == "0000-0000"
-    assert [p.text for p in root.findall("./body/sec/p")] == ["pre", "largo", "p1 a@b.org §SUB§1.1 x", "p2 & q"]
-    assert [s.findtext("title") for s in root.findall("./body/sec")] == [None, "1. Uno"]
+    assert [p.text for p in root.findall("./body/sec/p")] == ["pre", "largo", "p1 a@b.org 1.1 x", "p2 & q"]
+    assert [s.findtext("title") for s in root.findall("./body/sec")] == ["", "1. Uno"]
     assert [x.get("id") for x in root.findall(".//ref")] == ["R1", "R2"] and root.findtext(".//abstract/p") == "corto"
 
 
@@ -139,7 +141,7 @@ def test_jats_has_all_parts(spark):
     assert [meta.findtext(p) for p in ("pub-date/year", "volume", "issue", "fpage", "lpage")] == ["2024", "13", "2", "45", "67"]
     assert [[k.text for k in g.findall("kwd")] for g in meta.findall("kwd-group")] == [["uno", "<dos>"], ["one"], ["all"]]
     assert [(d.get("date-type"), d.findtext("day"), d.findtext("month"), d.findtext("year")) for d in meta.findall("history/date")] == [("received", "5", "12", "2020")]
-    assert [(c.findtext("meta-name"), c.findtext("meta-value")) for c in meta.iter("custom-meta")] == [("publication-period", "Volumen 13, núm. 2, enero - abril 2024, p. 45–67"), ("front-note", "ISSN 2007-5189"), ("how-to-cite", "Cite así & ya")]
+    assert [(c.findtext("meta-name"), c.findtext("meta-value")) for c in meta.iter("custom-meta")] == [("publication-period", "Volumen 13, núm. 2, enero - abril 2024, p. 45–67"), ("how-to-cite", "Cite así & ya")]
     assert [(r.get("id"), r.findtext("element-citation/person-group/name/surname"), r.findtext("element-citation/year")) for r in m.iter("ref")] == [("R1", "García", "2001"), ("R2", None, None)]
     assert [r.findtext("mixed-citation") for r in m.iter("ref")][1] == "Sin año"
 
@@ -147,20 +149,19 @@ def test_jats_has_all_parts(spark):
 def test_html_media_and_epub(spark, article, tmp_path):
     page = render.html_documents(article, "p{}")
     html = page.collect()[0].html
-    assert "<h1 class=\"titulo\">Un título</h1>" in html and '<h4 class="nivel2">1.1 x</h4>' in html and "Fig" not in html
+    assert "<h1 class=\"titulo-principal\">Un título</h1>" in html and '<h3 class="subseccion-bajo">1.1 x</h3>' in html and "Fig" not in html
     media = spark.createDataFrame([(1, 1, "P1 A@b", "<i>1</i>"), (1, 2, "p1 a@b", "<i>2</i>"), (1, 3, "absent", "<i>3</i>"), (1, 4, None, "<i>4</i>")], "doc_id long, no int, anchor string, html string")
     got = render.insert_media(page, media).collect()[0].html
     assert 'p1 a@b.org</p><i>1</i>\n<i>2</i>\n' in got and "<i>3</i>\n<i>4</i>\n</article>" in got
     for piece in ("<i>1</i>\n<i>2</i>\n", "<i>3</i>\n<i>4</i>\n"):
         got = got.replace(piece, "", 1)
     assert got == html
-    heads = article.where(F.col("clasificacion") == P.SECCION).select("doc_id", "seq", F.col("contenido").alias("text"))
-    book = render.epub_documents(page, heads).collect()[0].epub
+    book = render.epub_documents(page, article).collect()[0].epub
     with zipfile.ZipFile(io.BytesIO(book)) as z:
         assert z.namelist()[0] == "mimetype" and z.getinfo("mimetype").compress_type == zipfile.ZIP_STORED and len(z.namelist()) == 6
         for n in z.namelist()[1:-1]:
             ElementTree.fromstring(z.read(n))
-    assert render.epub_documents(page, heads.where("false")).collect()[0].epub
+    assert render.epub_documents(page, article.where("false")).collect()[0].epub
     files.write_texts(page, "html", str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out"), wholetext=True).collect()[0].value.rstrip("\n") == html
 
