@@ -199,3 +199,115 @@ def test_files(spark, tmp_path):
     assert [(r.aff_id, r.label, r.text, r.email) for r in got] == [("aff1", "1", "Instituto A", None), ("aff2", "2", "Uno", None), ("aff3", "3", "Dos", None), ("aff4", "4", "Instituto sin marca.", None), (None, "4", "", "x@y.org")]
     (tmp_path / "i.PNG").write_bytes(b"\x89PNG")
     assert [r[0] for r in files.read_figures(spark, str(tmp_path)).select(T.data_uri(F.col("path"), F.col("content"))).collect()] == ["data:image/png;base64,iVBORw=="]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def made(spark):
+    from quire.plans import more
+
+    return {k: {r["doc_id"]: r for r in more.queries()[k](spark, SF).collect()} for k in ("html_pages", "jats_articles", "epub_parts")}
+
+
+def test_every_page_and_book_is_well_formed(made):
+    for i, r in made["epub_parts"].items():
+        ElementTree.fromstring(f"<body>{r.body}</body>")
+        assert r.css == "p{}" and (r.authors or []) == (["Ruiz,  Ana", "Luz María Paz"] if i % 4 == 0 else [])
+    for r in made["html_pages"].values():
+        assert r.html.startswith("<!DOCTYPE html>\n<html lang=\"es\">") and r.html.endswith("</article></body></html>") and r.html.count("primer-nivel1") <= 1
+        assert ("orcid.org/0000-0001-2345-678x" in r.html or "<h1" not in r.html and "<h2 class=\"titulo" not in r.html) if r.doc_id % 4 == 0 else "Luz María" not in r.html
+
+
+def test_every_article_is_well_formed(made):
+    order = ["article-id", "article-categories", "title-group", "contrib-group", "aff", "author-notes", "pub-date", "volume", "issue", "fpage", "lpage", "elocation-id", "history", "permissions", "abstract", "trans-abstract", "kwd-group", "custom-meta-group"]
+    for r in made["jats_articles"].values():
+        root = ElementTree.fromstring(r.jats.encode())
+        assert [x.tag for x in root] == ["front", "body", "back"]
+        at = [order.index(x.tag) for x in root.find("front/article-meta")]
+        assert at == sorted(at)
+        ids = {x.get("id") for x in root.iter() if x.get("id")}
+        assert {x.get("rid") for x in root.iter("xref")} <= ids
+        assert all(x[0].tag == "title" for x in root.iter("sec"))
+
+
+def test_long_articles(spark):
+    rows = [(1, i, f"Uno {i}" if i % 50 == 1 else "Material. Texto & más.", P.SUB if i % 50 == 1 else P.CUERPO, 9.0, False, False, "Arial", 0) for i in range(20_000)]
+    x = spark.createDataFrame(rows, "doc_id long, seq int, contenido string, clasificacion string, size double, bold boolean, italic boolean, font string, pnum int")
+    root = ElementTree.fromstring(render.jats_documents(splits.route(x)).collect()[0].jats.encode())
+    assert len(list(root.iter("p"))) == 19_600 and len(root.findall("body/sec")) == 401
+    page = render.html_documents(x)
+    with zipfile.ZipFile(io.BytesIO(render.epub_documents(page, x).collect()[0].epub)) as z:
+        assert len(list(ElementTree.fromstring(z.read("OEBPS/article.xhtml")).iter("{http://www.w3.org/1999/xhtml}strong"))) == 19_600
+
+
+def test_page_rules(spark):
+    x = blocks(
+        spark, ("T", P.TITULO), ("T2", P.TITULO2), ("perdido", P.CUERPO), ("Resumen", P.SECCION), ("uno-\n\ndos\n\nTres.\n\ncuatro", P.CUERPO), ("Keywords: a", P.CLAVE), ("Abstract", P.SECCION), ("Keywords", P.SECCION),
+        ("Keywords: b", P.CLAVE), ("1. Uno", P.SUB), ("2. Dos", P.SUB), ("• a • b", P.ABSTRACT_BODY), ("1 Instituto, Chile. 2 Dos, Perú", P.FILIACION), ("Ana1; Luz", P.AUTORES), ("cita & así", P.CITAR), ("cita & así", P.CITAR),
+        ("Manuscrito recibido: 1/2/2020. Manuscrito aceptado: x. https://doi.org/10.1/x.", P.FECHA), ("Referencias", P.SECCION), ("r1", P.REFERENCIA), ("tarde", P.CITAR))
+    html = render.html_documents(x).collect()[0].html
+    assert "perdido" not in html and "tarde" not in html and html.count("cita &amp; así") == 1
+    assert '<p class="cuerpo">unodos Tres.</p>\n<p class="cuerpo">cuatro</p>' in html
+    assert '<h2 class="seccion con-linea">Resumen</h2>' in html and '<h2 class="seccion con-linea gris">Abstract</h2>' in html and '<h2 class="seccion gris">Keywords</h2>' in html
+    assert '<p class="keywords sin-sangria"><strong>Keywords:</strong> a</p>' in html and 'font-style:italic;"><strong>Keywords:</strong> b</p>' in html
+    assert '<h3 class="subseccion primer-nivel1">1. Uno</h3>\n<h3 class="subseccion">2. Dos</h3>' in html and '<ul class="lista-bullets abstract-list">' in html
+    assert '<sup>1</sup> Instituto, Chile</p>\n<p class="filiaciones sin-sangria"><sup>2</sup> Dos, Perú</p>' in html and "Buscar Ana en ORCID" in html
+    assert '<li>Manuscrito recibido: 1/2/2020.</li>\n  <li>Manuscrito aceptado: x</li>\n  <li><a href="https://doi.org/10.1/x." target="_blank">' in html
+    people = spark.createDataFrame([(1, 1, "Ana & Co", "0000-0001-2345-6789")], "doc_id long, ord int, nombre string, orcid string")
+    refs = spark.createDataFrame([(1, 2, "dos"), (1, 1, "<uno>")], "doc_id long, ref_no int, raw string")
+    html = render.html_documents(x, "", people, spark.createDataFrame([(1, "* a@b.org")], "doc_id long, text string"), refs).collect()[0].html
+    assert "Buscar Ana" not in html and "r1" not in html and '<ol class="referencias">\n  <li>&lt;uno&gt;</li>\n  <li>dos</li>\n</ol>' in html
+    assert html.index("T2") < html.index("Ana &amp; Co") < html.index("mailto:a@b.org") < html.index("Resumen")
+
+
+def test_article_rules(spark):
+    x = blocks(spark, ("Título", P.TITULO), ("Title", P.TITULO2), ("Ana Ruiz1; Paz, Luz", P.AUTORES), ("Instituto, Chile", P.FILIACION), ("a@b.org a@b.org c@d.org", P.EMAIL), ("Mi Revista", P.SECCION), ("https://doi.org/10.1/x.2019.77", P.FECHA), ("p", P.CUERPO), ("Referencias", P.SECCION), ("[1] Sin", P.REFERENCIA))
+    routed = splits.route(x, "mi revista")
+    assert routed.where("contenido = 'Mi Revista'").first().part == "front_note"
+    tables = spark.createDataFrame([(1, 4, "", [["a", "b"], ["c"]])], "doc_id long, tab_no int, titulo string, grid array<array<string>>")
+    figures = spark.createDataFrame([(1, 2, "Pie", "x/y.png")], "doc_id long, fig_no int, pie string, path string")
+    root = ElementTree.fromstring(render.jats_documents(routed, render.Publication(title="R & S"), tables=tables, figures=figures).collect()[0].jats.encode())
+    m = root.find("front/article-meta")
+    assert [(c.findtext("name/surname"), c.findtext("name/given-names"), [r.get("rid") for r in c.findall("xref")]) for c in m.iter("contrib")] == [("Ruiz", "Ana", ["aff1", "cor1"]), ("Paz", "Luz", ["aff1"])]
+    assert m.findtext("aff/country") == "Chile" and [e.text for e in m.iter("email")] == ["a@b.org", "c@d.org"] and m.findtext("title-group/trans-title-group/trans-title") == "Title"
+    assert m.findtext("pub-date/year") == "2019" and m.findtext("elocation-id") == "77" and m.findtext("permissions/copyright-holder") == "R & S"
+    assert root.findtext("body/sec[@sec-type='tables']/table-wrap/caption/p") == "Tabla 1" and root.findtext("body/sec[@sec-type='figures']/fig/caption/p") == "Pie"
+    assert [r.text for r in root.iter("mixed-citation")] == ["Sin", "Sin"]
+    given = spark.createDataFrame([(1, "1 Uno, Perú\n* z@z.org")], "doc_id long, text string")
+    root = ElementTree.fromstring(render.pretty_xml(render.jats_documents(routed, affiliation_texts=given)).collect()[0].jats.encode())
+    assert [a.findtext("institution") for a in root.iter("aff")] == ["Uno, Perú"] and [e.text for e in root.iter("email")] == ["z@z.org"]
+
+
+def test_fused_blocks_keep_the_look_of_the_first(spark):
+    from quire.operators import blocks as B
+
+    rows = [(1, 0, "uno", P.CUERPO, 8.0, True, False, "Arial", 3), (1, 1, "dos", P.CUERPO, 9.0, False, True, "Times", 4)]
+    x = spark.createDataFrame(rows, "doc_id long, seq int, contenido string, clasificacion string, size double, bold boolean, italic boolean, font string, pnum int")
+    assert [tuple(r) for r in B.fuse(x).collect()] == [(1, 0, 2, 0, P.CUERPO, "uno dos", 8.0, True, False, "Arial", 3)]
+
+
+def test_images_are_passed_over(spark):
+    from quire.operators import blocks as B
+
+    rows = [(1, 0, "1. Imagen", 0.0, False, False, None, 0, True, P.IMAGEN), (1, 1, "1. Uno", 9.0, False, False, "Arial-BoldItalic", 0, False, None), (1, 2, "Título", 14.0, False, False, "Arial-Bold", 0, False, None), (1, 3, "[x]", 0.0, False, False, None, 0, True, P.IGNORAR)]
+    x = spark.createDataFrame(rows, "doc_id long, seq int, contenido string, size double, bold boolean, italic boolean, font string, pnum int, imagen boolean, clasificacion string")
+    assert [(r.zone, r.clasificacion) for r in B.label(x).orderBy("seq").collect()] == [("A", P.IMAGEN), ("B", P.SUB), ("B", P.CUERPO), ("B", P.IGNORAR)]
+    assert [r[0] for r in x.where("seq = 2").select(B.auto_label()).collect()] == [P.TITULO]
+
+
+def test_sheets_and_grids(spark):
+    cells = spark.createDataFrame([("f", 0, "A", False, 0, 0, "x"), ("f", 0, "A", False, 3, 2, "y"), ("f", 1, "B", True, 0, 0, "z"), ("f", 1, "B", True, 1_048_575, 16_383, "far")], files.CELLS)
+    assert sorted((r.sheet, r.active) for r in files.sheets(cells).collect()) == [("A", False), ("B", True)]
+    d = spark.createDataFrame([("f", "A"), ("f", "no"), ("g", "A")], "path string, hoja string")
+    got = {(r.path, r.hoja): r.grid for r in files.chosen_grids(d, cells.where("r < 9")).collect()}
+    assert got == {("f", "A"): [["x"], [], [], [None, None, "y"]], ("f", "no"): [["z"]], ("g", "A"): None}
+    assert files.grids(cells).where("sheet = 'B'").selectExpr("size(grid)", "size(grid[1048575])").first() == (1_048_576, 16_384)
+
+
+def test_manual_authors(spark):
+    from quire.operators import people
+
+    got = people.manual_authors(spark, [(1, " Ana ", "https://orcid.org/0000-0001-2345-678x"), (1, None, "nada")])
+    assert [tuple(r) for r in got.orderBy("ord").collect()] == [(1, 1, "Ana", "0000-0001-2345-678x"), (1, 2, "", "nada")]
