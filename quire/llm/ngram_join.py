@@ -12,7 +12,8 @@
 4. The sets of each connected group go into prefix trees. A set is looked up by one walk that shares the
    overlap of common beginnings and leaves a subtree when what is missing, or what remains, can't reach
    the threshold. A subtree whose sets all belong to the set's component already is skipped: links are
-   only needed to connect. Groups beyond BLOCK_TOKENS are dealt out as pairs of blocks of similar sizes.
+   only needed to connect. Large groups are cut into blocks of similar sizes: each block is joined with itself, and,
+   in a task of its own, with each other block of sizes that can be similar, across only.
 5. Components of the links found.
 
 Nothing is capped: links are those of the exact Jaccard similarity, up to collisions of 64-bit hashes.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
@@ -32,8 +34,8 @@ from quire.llm.shingles import set_hash, shingle_sets
 
 #: n-grams are counted in this many times the part of the hash range that a prefix takes of a set.
 COUNTED = 2.4
-#: Shingles in one prefix tree's block.
-BLOCK_TOKENS = 1 << 20
+#: Shingles of a block: an eighth of its group's, but between these.
+LEAST_TOKENS, BLOCK_TOKENS = 1 << 16, 1 << 20
 #: Sets looked up between two layouts of a tree; children from which a node is laid out.
 BATCH, WIDE = 64, 16
 #: Records a mapper gathers before it sends them.
@@ -283,8 +285,9 @@ class Trie:
         mask[ranks] = False
 
 
-def linked(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links (i, j) of positions that connect all sets of a Jaccard similarity of num / den or more."""
+def linked(sets: list[np.ndarray], num: int, den: int, left: int = 0) -> list[tuple[int, int]]:
+    """Links (i, j) of positions that connect all sets of a Jaccard similarity of num / den or more; with left, all such
+    pairs of one of the first `left` sets and one of the others."""
     if len(sets) < 2:
         return []
     every = np.concatenate(sets)
@@ -297,8 +300,16 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     for k in sizes:
         parts.append(np.sort(ranked[at : at + k]))
         at += k
-    order = sorted(range(len(sets)), key=lambda i: (sizes[i], parts[i].tobytes()))
+    key = lambda i: (sizes[i], parts[i].tobytes())
     whole, mask, links = Trie(len(sets)), np.zeros(len(members), bool), []
+    if left:
+        for i in sorted(range(left), key=key):
+            whole.insert(parts[i], i)
+        whole.freeze()
+        for i in sorted(range(left, len(sets)), key=key):
+            whole.link(parts[i], i, mask, sizes, num, den, links)
+        return links
+    order = sorted(range(len(sets)), key=key)
     for a in range(0, len(order), BATCH):
         # a batch meets the tree of those before it, then its own
         some = order[a : a + BATCH]
@@ -335,25 +346,30 @@ def _verified(spark, scratch: Scratch, docs: DataFrame, groups: DataFrame, sets,
     found = mapped(texts(docs), pick, "cls long, size int, members binary")
     sets = found.join(groups, found.cls == groups.node).groupBy("cls").agg(F.min("label").alias("label"), F.min("size").alias("size"), F.first("members").alias("members"))
     sets = scratch.keep(sets, "sets")
-    # a group's sets in order of size, cut into blocks of BLOCK_TOKENS by a running sum over its sizes
+    # a group's sets in order of size, cut into blocks by a running sum over its sizes
     per = sets.groupBy("label", "size").agg(F.count("*").alias("k"))
-    run = Window.partitionBy("label").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = per.withColumn("before", F.coalesce(F.sum(F.col("k") * F.col("size")).over(run), F.lit(0)))
+    group = Window.partitionBy("label")
+    run = group.orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    tokens = F.col("k") * F.col("size")
+    block = F.least(F.lit(BLOCK_TOKENS), F.greatest(F.lit(min(LEAST_TOKENS, BLOCK_TOKENS)), F.sum(tokens).over(group) / 8))
+    placed = per.withColumn("before", F.coalesce(F.sum(tokens).over(run), F.lit(0))).withColumn("block", block)
     # within one size the sets are spread by hash over as many blocks as that size needs
-    placed = placed.select(F.col("label").alias("l"), F.col("size").alias("s"), F.floor(F.col("before") / BLOCK_TOKENS).alias("lo"), F.floor((F.col("before") + F.col("k") * F.col("size") - 1) / BLOCK_TOKENS).alias("hi"))
+    placed = placed.select(F.col("label").alias("l"), F.col("size").alias("s"), F.floor(F.col("before") / F.col("block")).alias("lo"), F.floor((F.col("before") + tokens - 1) / F.col("block")).alias("hi"))
     dealt = sets.join(placed, (sets.label == placed.l) & (sets["size"] == placed.s)).select("label", "size", "cls", "members", (F.col("lo") + F.pmod(F.xxhash64("cls"), F.col("hi") - F.col("lo") + 1)).alias("block"))
     span = dealt.groupBy("label", "block").agg(F.min("size").alias("least"), F.max("size").alias("most"))
     x, y = span.alias("x"), span.alias("y")
     pairs = x.join(y, (F.col("x.label") == F.col("y.label")) & (F.col("x.block") <= F.col("y.block")) & (F.col("x.most") * den >= F.col("y.least") * num))
     pairs = pairs.select(F.col("x.label").alias("l"), F.col("x.block").alias("i"), F.col("y.block").alias("j"))
-    # a block alone is a pair with itself only where it has no other partner
     sides = pairs.select("l", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("own"))
-    rows = dealt.join(sides, (dealt.label == sides.l) & (dealt.block == sides.own)).select("l", "i", "j", "cls", "members")
+    rows = dealt.join(sides, (dealt.label == sides.l) & (dealt.block == sides.own)).select("l", "i", "j", (F.col("own") != F.col("i")).alias("right"), "cls", "members")
 
     def walk(key, t):
+        t = t.sort_by("right") if key[1] != key[2] else t
         cls = t.column("cls").to_numpy()
         got = [np.frombuffer(m, _U) for m in t.column("members").to_pylist()]
-        found = linked(got, num, den)
+        across = key[1] != key[2]
+        left = len(got) - pc.sum(t.column("right")).as_py() if across else 0
+        found = linked(got, num, den, left) if not across or 0 < left < len(got) else []
         del got
         release()
         return pa.table({"a": pa.array([int(cls[i]) for i, _ in found], pa.int64()), "b": pa.array([int(cls[j]) for _, j in found], pa.int64())})

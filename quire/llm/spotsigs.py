@@ -113,8 +113,9 @@ def _members(off: np.ndarray, data: np.ndarray):
         yield np.sort(mix(x.astype(_U) + _U(1)))
 
 
-def linked(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links (i, j) of positions that connect all sets of a Jaccard similarity of num / den or more.
+def linked(sets: list[np.ndarray], num: int, den: int, left: int = 0) -> list[tuple[int, int]]:
+    """Links (i, j) of positions that connect all sets of a Jaccard similarity of num / den or more; with left, those of
+    one of the first `left` sets with one of the others.
 
     In order of length each set is looked up in inverted lists of the signatures that those before it can't all miss,
     rarest first. A list keeps its sets by component, so that members of one component are not compared with each
@@ -127,7 +128,8 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     sizes = [len(s) for s in sets]
     ends = np.cumsum(sizes)
     ranked = [np.sort(rank[inverse[e - n : e]]) for e, n in zip(ends, sizes)]
-    up, lists, links = list(range(len(sets))), {}, []
+    up, links = list(range(len(sets))), []
+    both = ({}, {}) if left else ({},) * 2  # lists to look up in, and to enter, by side
 
     def root(x):
         while up[x] != x:
@@ -140,6 +142,7 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
         if not n:
             continue
         prefix = own[: n - -(-n * num // den) + 1].tolist()
+        lists, entered = both[i < left], both[i >= left]
         seen = set()
         for at, r in enumerate(prefix):
             held = lists.get(r)
@@ -164,7 +167,7 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
                         up[root(j)] = root(i)
                         break
         for place, r in enumerate(prefix):
-            lists.setdefault(r, {}).setdefault(root(i), []).append((n, i, place))
+            entered.setdefault(r, {}).setdefault(root(i), []).append((n, i, place))
     return links
 
 

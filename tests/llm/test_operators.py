@@ -75,9 +75,16 @@ def test_trie_links_as_all_pairs():
                 x = up[x]
             return x
 
-        for i, j in ngram_join.linked(sets, 60, 100):
-            a, b = sorted((root(got, i), root(got, j)))
-            got[b] = a
+        for side in (ngram_join, spotsigs):
+            cut = side.linked(sets[:60], 60, 100) + [(i + 60, j + 60) for i, j in side.linked(sets[60:], 60, 100)] + side.linked(sets, 60, 100, 60)
+            ends = []
+            for links in (cut, side.linked(sets, 60, 100)):
+                got = list(range(150))
+                for i, j in links:
+                    a, b = sorted((root(got, i), root(got, j)))
+                    got[b] = a
+                ends.append([root(got, i) for i in range(150)])
+            assert ends[0] == ends[1]
         for i in range(150):
             for j in range(i):
                 k = len(np.intersect1d(sets[i], sets[j]))
@@ -166,6 +173,7 @@ def test_other_ways_at_scale(spark, table, plain, monkeypatch):
     assert plain_rows(suffix_dedup.without_repeats(table)) == kept
     monkeypatch.setattr(common, "LOCAL_EDGES", 2)
     monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 150)
+    monkeypatch.setattr(ngram_join, "LEAST_TOKENS", 10)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(table, 4, 85, 100).collect()}
     assert got == brute_components(plain, 4, 85, 100)
 
