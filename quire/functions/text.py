@@ -29,6 +29,11 @@ _COMPATIBLE, _CANONICAL = _folding("NFKD"), _folding("NFD")
 _LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ĳ": "ij", "Ĳ": "IJ", "…": "..."}
 
 
+def let(value, use):
+    """use(value), with the value evaluated once, however often use asks for it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def has(col, pattern: str, fold: bool = True):
     return col.rlike(("(?iu)" if fold else "") + pattern)
 
@@ -128,7 +133,10 @@ def author_names(col):
 
 def person(col):
     """struct(surname, given) of a name."""
-    name = F.regexp_replace(clean(col), r"^[ .]+|[ .]+$", "")
+    return let(F.regexp_replace(clean(col), r"^[ .]+|[ .]+$", ""), _person)
+
+
+def _person(name):
     parts = F.split(name, " ")
     comma = F.contains(name, F.lit(","))
     surname = F.when(comma, strip(F.substring_index(name, ",", 1))).when(F.size(parts) == 1, name).otherwise(F.element_at(parts, -1))
@@ -177,17 +185,13 @@ def months():
 def date_parts(col):
     """struct(day, month, year) of strings, '' where absent, of `Word d, yyyy`, `d de word de yyyy` or `d/m/yyyy`; an
     unknown month is ''."""
-    a, b, c = [F.regexp_extract_all(col, F.lit(p), F.lit(0)) for p in P.DATES]
-    form = F.when(F.size(a) > 0, 0).when(F.size(b) > 0, 1).when(F.size(c) > 0, 2)
-    whole = F.coalesce(F.get(a, F.lit(0)), F.get(b, F.lit(0)), F.get(c, F.lit(0)))
-    words = F.split(F.regexp_replace(whole, r"\s+de\s+|[,\s/\-]+", "\u0001"), "\u0001")
-    at = lambda i: F.get(words, F.lit(i))
+    found = F.array(*[F.regexp_extract(col, p, 0) for p in P.DATES])
+    words = lambda f: F.split(F.regexp_replace(F.coalesce(F.nullif(f[0], F.lit("")), F.nullif(f[1], F.lit("")), f[2]), r"\s+de\s+|[,\s/\-]+", "\u0001"), "\u0001")
     month = lambda x: F.coalesce(months()[F.lower(x)], F.lit(""))
-    none = F.lit("")
-    return F.struct(
-        F.when(form == 0, at(1)).when(form.isNotNull(), at(0)).otherwise(none).alias("day"),
-        F.when(form == 0, month(at(0))).when(form == 1, month(at(1))).when(form == 2, at(1)).otherwise(none).alias("month"),
-        F.when(form.isNotNull(), at(2)).otherwise(none).alias("year"))
+    part = lambda day, month, year: F.struct(day.alias("day"), month.alias("month"), year.alias("year"))
+    at = lambda w, i: F.coalesce(F.get(w, F.lit(i)), F.lit(""))
+    by_form = lambda f, w: F.when(f[0] != "", part(at(w, 1), month(at(w, 0)), at(w, 2))).when(f[1] != "", part(at(w, 0), month(at(w, 1)), at(w, 2))).otherwise(part(at(w, 0), at(w, 1), at(w, 2)))
+    return let(found, lambda f: let(words(f), lambda w: by_form(f, w)))
 
 
 def last_part(col):
@@ -203,15 +207,18 @@ def country_code(name):
 def country(col):
     """struct(name, code) of the longest country name in an affiliation (of equally long ones the first of the list),
     else of the country that its last part names, '' if none."""
-    low, guess = norm(col), last_part(col)
-    code = country_code(guess)
-    out = F.when((guess != "") & (code != ""), F.struct(guess.alias("name"), code.alias("code"))).otherwise(F.struct(F.lit("").alias("name"), F.lit("").alias("code")))
-    order = sorted(P.COUNTRIES, key=len)  # stable: of equal lengths the first must be asked first, so last here
-    by_length = [k for n in sorted({len(k) for k in order}) for k in reversed([x for x in order if len(x) == n])]
-    for key in by_length:
-        name, iso = P.COUNTRIES[key]
-        out = F.when(low.rlike(rf"\b{key}\b"), F.struct(F.lit(name).alias("name"), F.lit(iso).alias("code"))).otherwise(out)
-    return out
+    pair = lambda name, code: F.struct(name.alias("name"), code.alias("code"))
+    order = sorted(P.COUNTRIES, key=len, reverse=True)  # stable: of equal lengths the first of the list stays first
+
+    def of(low, guess):
+        out = F.lit(None).cast("struct<name:string,code:string>")
+        for key in reversed(order):
+            name, iso = P.COUNTRIES[key]
+            out = F.when(low.rlike(rf"\b{key}\b"), pair(F.lit(name), F.lit(iso))).otherwise(out)
+        last = let(country_code(guess), lambda code: F.when((guess != "") & (code != ""), pair(guess, code)).otherwise(pair(F.lit(""), F.lit(""))))
+        return F.coalesce(out, last)
+
+    return let(norm(col), lambda low: let(last_part(col), lambda guess: of(low, guess)))
 
 
 def editorial(col):
@@ -224,7 +231,11 @@ def editorial(col):
 
 def affiliations(col):
     """array<struct(label, body)> of a line: one after its mark, or several after marks that follow .;:) or begin it."""
-    t, mark = squeeze(F.coalesce(col, F.lit(""))), r"([0-9]+|[A-Za-z]{1,3})"
+    return let(squeeze(F.coalesce(col, F.lit(""))), _affiliations)
+
+
+def _affiliations(t):
+    mark = r"([0-9]+|[A-Za-z]{1,3})"
     whole = rf"^{mark}\s*[).:\-*]?\s+([A-ZÁÉÍÓÚÑÜ].*)$"
     body = lambda x, chars: F.regexp_replace(x, rf"^[ \-{chars}\t]+|[ \-{chars}\t]+$", "")
     pair = lambda label, text: F.struct(label.alias("label"), text.alias("body"))
@@ -239,7 +250,7 @@ def references(col):
     """array<string>: the texts between marks at line beginnings; lines, if that leaves nothing."""
     kept = lambda x: F.filter(F.transform(x, strip), lambda y: y != "")
     marked = kept(F.split(col, r"(?m)^\s*(?:\[?\d+[.)\]]\s*)"))
-    return F.when(F.size(marked) > 0, marked).otherwise(kept(F.split(col, "\n")))
+    return let(marked, lambda m: F.when(F.size(m) > 0, m).otherwise(kept(F.split(col, "\n"))))
 
 
 def figure_caption(col):

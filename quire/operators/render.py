@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from quire.functions import patterns as P
 from quire.functions.citation import citations, element_citation, issue_numbers, manuscript_dates
 from quire.functions.text import (
-    affiliations, anchor_text, as_xhtml, autolink, body_of, clean, country, css_of, date_notes, distinct_keywords, doi, editorial, escape, first_doi_address, html_table,
-    is_period, issn, jats_table, keywords, person, reference_text, strip,
+    affiliations, anchor_text, as_xhtml, author_names, autolink, body_of, clean, country, css_of, date_notes, distinct_keywords, doi, editorial, emails, escape, first_doi_address, html_table,
+    is_period, issn, jats_table, keywords, let, norm, person, reference_text, strip,
 )
 from quire.operators.blocks import without_author_zone
-from quire.operators.people import affiliation_lines, affiliations_html, affiliations_of_blocks, author_line, author_links, authors_of_blocks, emails_of_blocks, found_author_line, listed_authors, preferred
+from quire.operators.people import affiliation_lines, affiliations_html, author_line, found_author_line, listed_authors
 
 #: Characters that XML does not know.
 ILLEGAL = "[\x00-\x08\x0B\x0C\x0E-\x1F\uFFFE\uFFFF]"
@@ -68,13 +68,14 @@ def _tag(name: str, body, css: str = ""):
     return F.concat(F.lit(f'<{name} class="{css}">' if css else f"<{name}>"), body, F.lit(f"</{name}>"))
 
 
-def heading_style(text, grey):
-    """Classes of a section heading: that of issue data, or ruled, grey, both or none. grey: whether it opens the second
-    or a later abstract."""
+def heading_style(text, grey, journal: str = ""):
+    """Classes of a section heading: that of issue data (as is the journal's name, if one is given), or ruled, grey, both or
+    none. grey: whether it opens the second or a later abstract."""
     low = F.lower(strip(text))
     pale = F.when(low.isin(P.ABSTRACTS), grey).otherwise(low == "keywords")
     ruled = low.isin(P.RULED)
-    return F.when(text.rlike("(?iu)" + P.META_HEADING), "seccion meta").when(ruled & pale, "seccion con-linea gris").when(ruled, "seccion con-linea").when(pale, "seccion gris").otherwise("seccion")
+    named = (norm(text) == norm(F.lit(journal))) if journal else F.lit(False)
+    return F.when(text.rlike("(?iu)" + P.META_HEADING) | named, "seccion meta").when(ruled & pale, "seccion con-linea gris").when(ruled, "seccion con-linea").when(pale, "seccion gris").otherwise("seccion")
 
 
 def styled(blocks: DataFrame) -> DataFrame:
@@ -89,13 +90,13 @@ def styled(blocks: DataFrame) -> DataFrame:
     return x.withColumn("primero", (c == P.SUB) & (F.sum((c == P.SUB).cast("int")).over(w) == 1)).drop("_nth")
 
 
-def fragment(text="contenido", label="clasificacion", gris="gris", primero="primero", italic="italic"):
+def fragment(text="contenido", label="clasificacion", gris="gris", primero="primero", italic="italic", journal: str = ""):
     """HTML of one block by its label and styled()'s columns; null for blocks that are not shown."""
     c, t, grey = F.col(label), F.col(text), F.col(gris)
     plain = escape(t)
     parts = rejoined(t)
     body = F.array_join(F.transform(parts, lambda x: F.when(x.startswith("§SUB§"), _tag("h3", escape(F.substring(x, F.lit(6), F.length(x))), "subseccion-bajo")).otherwise(paragraph_or_list(x))), "\n")
-    heading = F.concat(F.lit('<h2 class="'), heading_style(plain, grey), F.lit('">'), plain, F.lit("</h2>"))
+    heading = F.concat(F.lit('<h2 class="'), heading_style(plain, grey, journal), F.lit('">'), plain, F.lit("</h2>"))
     key = F.regexp_replace(plain, r"^(?iu)((palabras\s+clave|keywords)\s*[:.]?)\s*", "<strong>$1</strong> ")
     key = F.regexp_replace(key, r"^<strong>([^<]*?)\s+</strong>", "<strong>$1</strong>")
     style = F.when(grey, '<p class="keywords sin-sangria" style="color:#666;font-style:italic;">').otherwise('<p class="keywords sin-sangria">')
@@ -111,36 +112,49 @@ def fragment(text="contenido", label="clasificacion", gris="gris", primero="prim
 
 
 def affiliation_block(t):
-    found = affiliations(t)
-    parts = F.array_join(F.transform(found, lambda a: _tag("p", F.concat(F.lit("<sup>"), escape(a["label"]), F.lit("</sup> "), escape(a["body"])), "filiaciones sin-sangria")), "\n")
-    return F.when(F.size(found) > 0, parts).otherwise(_tag("p", escape(t), "filiaciones sin-sangria"))
+    one = lambda a: _tag("p", F.concat(F.lit("<sup>"), escape(a["label"]), F.lit("</sup> "), escape(a["body"])), "filiaciones sin-sangria")
+    return let(affiliations(t), lambda found: F.when(F.size(found) > 0, F.array_join(F.transform(found, one), "\n")).otherwise(_tag("p", escape(t), "filiaciones sin-sangria")))
+
+
+def _noted(blocks: DataFrame) -> DataFrame:
+    """Adds _note: whether a block is one of notes_before_references()."""
+    c = F.col("clasificacion")
+    ref = F.min(F.when((c == P.SECCION) & F.col("contenido").rlike("(?i)referencia|reference"), F.col("seq"))).over(Window.partitionBy("doc_id"))
+    early = c.isin(P.CITAR, P.FECHA) & (F.col("_ref").isNull() | (F.col("seq") <= F.col("_ref")))
+    x = blocks.withColumn("_ref", ref).withColumn("_early", early)
+    w = Window.partitionBy("doc_id", "_early", "clasificacion", F.when(F.col("_early"), F.substring(strip(F.col("contenido")), 1, 80))).orderBy("seq")
+    return x.withColumn("_note", F.col("_early") & (F.row_number().over(w) == 1)).drop("_ref", "_early")
 
 
 def notes_before_references(blocks: DataFrame) -> DataFrame:
     """How-to-cite and date notes that stand before the heading of the references, each text (its first 80 characters)
     once."""
-    ref = F.min(F.when((F.col("clasificacion") == P.SECCION) & F.col("contenido").rlike("(?i)referencia|reference"), F.col("seq"))).over(Window.partitionBy("doc_id"))
-    x = blocks.withColumn("_ref", ref).where(F.col("clasificacion").isin(P.CITAR, P.FECHA) & (F.col("_ref").isNull() | (F.col("seq") <= F.col("_ref")))).drop("_ref")
-    w = Window.partitionBy("doc_id", "clasificacion", F.substring(strip(F.col("contenido")), 1, 80)).orderBy("seq")
-    return x.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return _noted(blocks).where("_note").drop("_note")
+
+
+def _note_lists(of):
+    """Columns cite, dates, dois and dated of a group's notes. of(kind, value): their values in order."""
+    t = strip(F.col("contenido"))
+    left = lambda t: let(first_doi_address(t), lambda d: F.when(d != "", F.regexp_replace(F.replace(t, d, F.lit("")), r"^[ .]+|[ .]+$", "")).otherwise(t))
+    lines = let(t, lambda t: F.transform(date_notes(left(t)), lambda x: F.concat(F.lit("  <li>"), escape(x), F.lit("</li>"))))
+    dates = of(P.FECHA, lines)
+    return [of(P.CITAR, _tag("p", escape(F.col("contenido")), "como-citar")).alias("cite"), F.flatten(dates).alias("dates"),
+            F.array_distinct(F.filter(of(P.FECHA, first_doi_address(t)), lambda x: x != "")).alias("dois"), (F.size(dates) > 0).alias("dated")]
+
+
+def _note_html():
+    links = F.transform("dois", lambda d: F.concat(F.lit('  <li><a href="'), d, F.lit('" target="_blank">'), escape(d), F.lit("</a></li>")))
+    dates = F.when(F.col("dated"), F.concat(F.array(F.lit('<div class="fechas-manuscrito"><ul>')), F.col("dates"), links, F.array(F.lit("</ul></div>")))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(F.array(F.lit('<div class="post-referencias">')), F.col("cite"), dates, F.array(F.lit("</div>"))), "\n")
 
 
 def after_references(notes: DataFrame) -> DataFrame:
     """(doc_id, html): the block after the references: how to cite, the sentences of date notes, then distinct DOI
     addresses in order of their first note."""
-    n = notes.select("doc_id", "seq", "clasificacion", "contenido", strip(F.col("contenido")).alias("_t")).withColumn("_doi", F.when(F.col("clasificacion") == P.FECHA, first_doi_address(F.col("_t"))).otherwise(""))
-    left = F.when(F.col("_doi") != "", F.regexp_replace(F.replace("_t", "_doi", F.lit("")), r"^[ .]+|[ .]+$", "")).otherwise(F.col("_t"))
-    lines = F.transform(date_notes(left), lambda x: F.concat(F.lit("  <li>"), escape(x), F.lit("</li>")))
-    of = lambda kind, value: F.transform(F.array_sort(F.collect_list(F.when(F.col("clasificacion") == kind, F.struct("seq", value.alias("v"))))), lambda x: x["v"])
-    g = n.groupBy("doc_id").agg(
-        of(P.CITAR, _tag("p", escape(F.col("contenido")), "como-citar")).alias("cite"), F.flatten(of(P.FECHA, lines)).alias("dates"),
-        F.array_distinct(F.filter(of(P.FECHA, F.col("_doi")), lambda x: x != "")).alias("dois"), F.max((F.col("clasificacion") == P.FECHA).cast("int")).alias("dated"))
-    links = F.transform("dois", lambda d: F.concat(F.lit('  <li><a href="'), d, F.lit('" target="_blank">'), escape(d), F.lit("</a></li>")))
-    dates = F.when(F.col("dated") == 1, F.concat(F.array(F.lit('<div class="fechas-manuscrito"><ul>')), F.col("dates"), links, F.array(F.lit("</ul></div>")))).otherwise(F.array().cast("array<string>"))
-    return g.select("doc_id", F.array_join(F.concat(F.array(F.lit('<div class="post-referencias">')), F.col("cite"), dates, F.array(F.lit("</div>"))), "\n").alias("html"))
+    return notes.groupBy("doc_id").agg(*_note_lists(lambda kind, value: _ordered(F.col("clasificacion") == kind, value, "seq"))).select("doc_id", _note_html().alias("html"))
 
 
-def html_documents(blocks: DataFrame, css: str = "", authors: DataFrame | None = None, affiliation_texts: DataFrame | None = None, references: DataFrame | None = None) -> DataFrame:
+def html_documents(blocks: DataFrame, css: str = "", authors: DataFrame | None = None, affiliation_texts: DataFrame | None = None, references: DataFrame | None = None, journal: str = "") -> DataFrame:
     """(doc_id, title, html): a page a document of its fragments in order of seq.
 
     Blocks between title and abstract are left out. Authors (doc_id, ord, nombre, orcid) stand for author blocks and, with
@@ -156,24 +170,25 @@ def html_documents(blocks: DataFrame, css: str = "", authors: DataFrame | None =
     places = affiliation_texts if affiliation_texts is not None else none("doc_id long, text string")
     cited = references if references is not None else none("doc_id long, ref_no int, raw string")
     cited = cited.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ref_no", "raw"))), lambda x: F.concat(F.lit("  <li>"), escape(x["raw"]), F.lit("</li>"))).alias("_refs"))
-    ids = blocks.select("doc_id").distinct()
-    side = ids.join(people.select("doc_id", _tag("p", author_line(F.col("_p")), "autores sin-sangria").alias("_authors")), "doc_id", "left")
-    side = side.join(places.select("doc_id", F.nullif(affiliations_html(F.col("text")), F.lit("")).alias("_affs")), "doc_id", "left").join(cited, "doc_id", "left")
-    title = F.coalesce(F.min_by(F.when(c == P.TITULO, clean(F.col("contenido"))), F.when(c == P.TITULO, F.col("seq"))), F.lit("Artículo"))
-    titles = blocks.groupBy("doc_id").agg(title.alias("title"), F.max((c == P.TITULO2).cast("int")).alias("_second"))
-    shown = without_author_zone(blocks)
-    notes = after_references(notes_before_references(shown)).select("doc_id", F.col("html").alias("_notes"))
-    x = styled(shown.where(~c.isin(P.CITAR, P.FECHA))).join(side.join(titles.drop("title"), "doc_id"), "doc_id")
+    side = people.select("doc_id", _tag("p", author_line(F.col("_p")), "autores sin-sangria").alias("_authors"))
+    side = side.join(places.select("doc_id", F.nullif(affiliations_html(F.col("text")), F.lit("")).alias("_affs")), "doc_id", "full").join(cited, "doc_id", "full")
+    # one pass over the blocks: all that a page needs of its document comes by windows and one aggregation
+    doc = Window.partitionBy("doc_id")
+    is_title = (c == P.TITULO).cast("int")
+    x = blocks.withColumn("_second", F.max((c == P.TITULO2).cast("int")).over(doc)).withColumn("_title", F.min_by(F.when(is_title == 1, F.col("contenido")), F.when(is_title == 1, F.col("seq"))).over(doc))
+    x = _noted(styled(without_author_zone(x)))
     at = F.when(F.col("_second") == 1, c == P.TITULO2).otherwise(c == P.TITULO)
-    w = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("_here", at & (F.sum(at.cast("int")).over(w) == 1))
+    w = doc.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_here", at & (F.sum(at.cast("int")).over(w) == 1)).join(side, "doc_id", "left")
     refs = F.when((c == P.SECCION) & F.col("contenido").rlike("(?i)referencia|reference") & (F.size("_refs") > 0), F.concat(F.lit('<ol class="referencias">\n'), F.array_join("_refs", "\n"), F.lit("\n</ol>")))
-    gone = (c == P.AUTORES) & F.col("_authors").isNotNull() | (c == P.REFERENCIA) & (F.coalesce(F.size("_refs"), F.lit(0)) > 0)
-    own = F.when(gone, None).otherwise(F.nullif(F.concat_ws("\n", fragment(), F.when(F.col("_here"), F.col("_authors")), F.when(F.col("_here"), F.col("_affs")), refs), F.lit("")))
-    g = x.withColumn("_f", own).groupBy("doc_id").agg(F.transform(F.filter(F.array_sort(F.collect_list(F.struct("seq", "_f"))), lambda r: r["_f"].isNotNull()), lambda r: r["_f"]).alias("_b"))
+    gone = c.isin(P.CITAR, P.FECHA) | (c == P.AUTORES) & F.col("_authors").isNotNull() | (c == P.REFERENCIA) & (F.coalesce(F.size("_refs"), F.lit(0)) > 0)
+    own = F.when(gone, None).otherwise(F.nullif(F.concat_ws("\n", fragment(journal=journal), F.when(F.col("_here"), F.col("_authors")), F.when(F.col("_here"), F.col("_affs")), refs), F.lit("")))
+    x = x.withColumn("_f", own)
+    noted = lambda kind, value: _ordered(F.col("_note") & (c == kind), value, "seq")
+    g = x.groupBy("doc_id").agg(F.coalesce(clean(F.first("_title")), F.lit("Artículo")).alias("title"), _ordered(F.col("_f").isNotNull(), F.col("_f"), "seq").alias("_b"), *_note_lists(noted))
     top = f'<!DOCTYPE html>\n<html lang="es">\n<head>\n  <meta charset="UTF-8">\n  <meta name="viewport" content="width=device-width, initial-scale=1.0">\n  <title>Artículo</title>\n<style>{css}</style>\n</head>\n<body><article>'
-    page = titles.select("doc_id", "title").join(g, "doc_id", "left").join(notes, "doc_id", "left")
-    return page.select("doc_id", "title", F.concat_ws("\n", F.lit(top), F.when(F.size("_b") > 0, F.array_join("_b", "\n")), F.col("_notes"), F.lit("</article></body></html>")).alias("html"))
+    notes = F.when(F.col("dated") | (F.size("cite") > 0), _note_html())
+    return g.select("doc_id", "title", F.concat_ws("\n", F.lit(top), F.when(F.size("_b") > 0, F.array_join("_b", "\n")), notes, F.lit("</article></body></html>")).alias("html"))
 
 
 def table_html(number, title, grid):
@@ -216,6 +231,17 @@ def insert_media(pages: DataFrame, media: DataFrame, last: int = 80, heading: st
     return x.withColumn("html", F.when(F.coalesce(F.size("_s"), F.lit(0)) <= 0, F.col("html")).otherwise(F.concat(F.array_join(F.transform("_s", piece), ""), rest))).select(*pages.columns)
 
 
+def illustrated(pages: DataFrame, tables: DataFrame | None = None, figures: DataFrame | None = None) -> DataFrame:
+    """Pages (doc_id, html) with tables (doc_id, tab_no, titulo, ancla, grid) and then figures (doc_id, fig_no, pie, ancla,
+    source) at their anchors, the last 60 and 80 characters of which are looked for; the others at the end of the article,
+    tables under a heading."""
+    if tables is not None:
+        pages = insert_media(pages, tables.select("doc_id", F.col("tab_no").alias("no"), F.col("ancla").alias("anchor"), table_html(F.col("tab_no"), F.col("titulo"), F.col("grid")).alias("html")), 60, "Tablas")
+    if figures is not None:
+        pages = insert_media(pages, figures.select("doc_id", F.col("fig_no").alias("no"), F.col("ancla").alias("anchor"), F.concat(F.lit("\n"), figure_html(F.col("fig_no"), F.col("pie"), F.col("source"))).alias("html")))
+    return pages
+
+
 class Publication(NamedTuple):
     """What all articles of a journal share."""
 
@@ -243,45 +269,79 @@ def kwd_group(words, lang: str, title: str):
     return F.when(F.size(own) > 0, inner)
 
 
-def contributors(authors: DataFrame, links: DataFrame) -> DataFrame:
-    """(doc_id, xml): the group of contributors, with author_links()."""
-    n = links.groupBy("doc_id", "ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
-        "ref_type", F.expr("cast(regexp_extract(rid, '[0-9]+', 0) as int)").alias("n"), "rid", "label"))), lambda x: F.concat(F.lit('<xref ref-type="'), x["ref_type"], F.lit('" rid="'), x["rid"], F.lit('">'), escape(x["label"]), F.lit("</xref>"))), "").alias("_x"))
-    p = person(F.col("nombre"))
-    given = F.when(p["given"] != "", F.concat(F.lit("<given-names>"), escape(p["given"]), F.lit("</given-names>"))).otherwise("")
-    who = F.when(F.col("orcid") != "", F.concat(F.lit(f'<contrib-id contrib-id-type="orcid" authenticated="false">{P.ORCID_HOME}'), escape(F.col("orcid")), F.lit("</contrib-id>"))).otherwise("")
-    name = F.concat(F.lit("<name><surname>"), escape(F.when(p["surname"] != "", p["surname"]).otherwise(F.col("nombre"))), F.lit("</surname>"), given, F.lit("</name>"))
-    one = F.concat(F.lit('<contrib contrib-type="author">'), who, name, F.coalesce("_x", F.lit("")), F.lit("</contrib>"))
-    x = authors.join(n, ["doc_id", "ord"], "left").withColumn("_c", one).groupBy("doc_id")
-    return x.agg(F.concat(F.lit("<contrib-group>"), ordered(F.col("_c"), "", "ord"), F.lit("</contrib-group>")).alias("xml"))
+def _contributors(people, affs, mails):
+    """XML of arrays of struct(nombre, orcid), struct(aff_id, label, text) and addresses."""
+    link = lambda kind, rid, label: F.concat(F.lit(f'<xref ref-type="{kind}" rid="'), rid, F.lit('">'), escape(label), F.lit("</xref>"))
+    to = F.array_join(F.transform(affs, lambda a: link("aff", a["aff_id"], a["label"])), "")
+    first = F.when(F.size(mails) > 0, link("corresp", F.lit("cor1"), F.lit(""))).otherwise("")
+
+    def one(a, p, i, to, first):
+        given = F.when(p["given"] != "", F.concat(F.lit("<given-names>"), escape(p["given"]), F.lit("</given-names>"))).otherwise("")
+        who = F.when(a["orcid"] != "", F.concat(F.lit(f'<contrib-id contrib-id-type="orcid" authenticated="false">{P.ORCID_HOME}'), escape(a["orcid"]), F.lit("</contrib-id>"))).otherwise("")
+        name = F.concat(F.lit("<name><surname>"), escape(F.when(p["surname"] != "", p["surname"]).otherwise(a["nombre"])), F.lit("</surname>"), given, F.lit("</name>"))
+        return F.concat(F.lit('<contrib contrib-type="author">'), who, name, to, F.when(i == 0, first).otherwise(""), F.lit("</contrib>"))
+
+    every = lambda to, first: F.array_join(F.transform(people, lambda a, i: let(person(a["nombre"]), lambda p: one(a, p, i, to, first))), "")
+    return F.when(F.size(people) > 0, F.concat(F.lit("<contrib-group>"), let(to, lambda t: let(first, lambda f: every(t, f))), F.lit("</contrib-group>")))
+
+
+def contributors(authors: DataFrame, affs: DataFrame, mails: DataFrame) -> DataFrame:
+    """(doc_id, xml): the group of contributors: authors (doc_id, ord, nombre, orcid) with references to each affiliation
+    (doc_id, aff_id, label) of the document, the first one also to the correspondence, if there is an address (doc_id,
+    email)."""
+    n = F.expr("cast(regexp_extract(aff_id, '[0-9]+', 0) as int)")
+    a = authors.groupBy("doc_id").agg(_ordered(F.lit(True), F.struct("nombre", "orcid"), "ord").alias("p"))
+    f = affs.select("doc_id", n.alias("n"), "aff_id", "label").groupBy("doc_id").agg(_ordered(F.lit(True), F.struct("aff_id", "label"), "n").alias("f"))
+    e = mails.groupBy("doc_id").agg(F.collect_list("email").alias("e"))
+    x = a.join(f, "doc_id", "left").join(e, "doc_id", "left")
+    none = lambda name, kind: F.coalesce(F.col(name), F.array().cast(kind))
+    return x.select("doc_id", _contributors(F.col("p"), none("f", "array<struct<aff_id:string,label:string>>"), none("e", "array<string>")).alias("xml"))
+
+
+def _affiliation(a):
+    at = lambda land: F.when(land["code"] != "", F.concat(F.lit(' country="'), land["code"], F.lit('"'))).otherwise("")
+    return let(country(a["text"]), lambda land: F.concat(F.lit('<aff id="'), a["aff_id"], F.lit('"><label>'), escape(a["label"]), F.lit('</label><institution content-type="original">'), escape(a["text"]), F.lit("</institution><country"), at(land), F.lit(">"), escape(land["name"]), F.lit("</country></aff>")))
 
 
 def affiliations_xml(affs: DataFrame) -> DataFrame:
     """(doc_id, xml): affiliations (doc_id, aff_id, label, text) with the country each names."""
-    land = country(F.col("text"))
-    at = F.when(land["code"] != "", F.concat(F.lit(' country="'), land["code"], F.lit('"'))).otherwise("")
-    one = F.concat(F.lit('<aff id="'), F.col("aff_id"), F.lit('"><label>'), escape(F.col("label")), F.lit('</label><institution content-type="original">'), escape(F.col("text")), F.lit("</institution><country"), at, F.lit(">"), escape(land["name"]), F.lit("</country></aff>"))
     n = F.expr("cast(regexp_extract(aff_id, '[0-9]+', 0) as int)")
+    one = _affiliation({"aff_id": F.col("aff_id"), "label": F.col("label"), "text": F.col("text")})
     return affs.select("doc_id", n.alias("n"), one.alias("_a")).groupBy("doc_id").agg(ordered(F.col("_a"), "", "n").alias("xml"))
 
 
+def _body(b):
+    """XML of array<struct(h, t)>: headings and paragraphs in order."""
+    def of(b, some):
+        head = lambda x, i: F.concat(F.when(i > 0, "</sec>").otherwise(""), F.lit("<sec><title>"), escape(x["t"]), F.lit("</title>"))
+        text = lambda x, i: F.concat(F.when((i == 0) & some, "<sec><title></title>").otherwise(""), F.when(x["t"] != "", F.concat(F.lit("<p>"), escape(x["t"]), F.lit("</p>"))).otherwise(""))
+        return F.concat(F.array_join(F.transform(b, lambda x, i: F.when(x["h"], head(x, i)).otherwise(text(x, i))), ""), F.when(some, "</sec>").otherwise(""))
+
+    return let(b, lambda b: let(F.exists(b, lambda x: x["h"]), lambda some: of(b, some)))
+
+
+def _body_rows():
+    """array<struct(h, t)> of a group's headings and paragraphs."""
+    part = F.col("part")
+    return _ordered(part.isin("heading", "paragraph"), F.struct((part == "heading").alias("h"), strip(F.replace("text", F.lit("§SUB§"), F.lit(""))).alias("t")), "seq")
+
+
 def body_xml(routed: DataFrame) -> DataFrame:
     """(doc_id, xml): headings open sections, paragraphs stand in the one before; those before the first heading stand in
-    one without a title, and without any heading in none."""
-    part, t = F.col("part"), F.replace("text", F.lit("§SUB§"), F.lit(""))
-    g = routed.where(part.isin("heading", "paragraph")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", (part == "heading").alias("h"), strip(t).alias("t")))).alias("b"))
-    some = F.exists("b", lambda x: x["h"])
-    head = lambda x, i: F.concat(F.when(i > 0, "</sec>").otherwise(""), F.lit("<sec><title>"), escape(x["t"]), F.lit("</title>"))
-    text = lambda x, i: F.concat(F.when((i == 0) & some, "<sec><title></title>").otherwise(""), F.when(x["t"] != "", F.concat(F.lit("<p>"), escape(x["t"]), F.lit("</p>"))).otherwise(""))
-    return g.select("doc_id", F.concat(F.array_join(F.transform("b", lambda x, i: F.when(x["h"], head(x, i)).otherwise(text(x, i))), ""), F.when(some, "</sec>").otherwise("")).alias("xml"))
+    one without a title, and without any heading in none. Documents without either have no row."""
+    return routed.where(F.col("part").isin("heading", "paragraph")).groupBy("doc_id").agg(_body_rows().alias("b")).select("doc_id", _body(F.col("b")).alias("xml"))
+
+
+def _cited(refs):
+    one = lambda v, i: F.concat(F.lit('<ref id="R'), (i + 1).cast("string"), F.lit('">'), v, F.lit("</ref>"))
+    return F.when(F.size(refs) > 0, F.concat(F.lit("<ref-list><title>Referencias</title>"), F.array_join(F.transform(refs, one), ""), F.lit("</ref-list>")))
 
 
 def references_xml(refs: DataFrame) -> DataFrame:
     """(doc_id, xml): references (doc_id, ref_no, raw) without their marks, whole and structured, numbered R1, R2 ..."""
     r = refs.select("doc_id", "ref_no", reference_text(strip(F.col("raw"))).alias("raw")).where("raw <> ''")
     x = citations(r).withColumn("_x", element_citation()).groupBy("doc_id").agg(_ordered(F.lit(True), F.col("_x"), "ref_no").alias("v"))
-    one = lambda v, i: F.concat(F.lit('<ref id="R'), (i + 1).cast("string"), F.lit('">'), v, F.lit("</ref>"))
-    return x.select("doc_id", F.concat(F.lit("<ref-list><title>Referencias</title>"), F.array_join(F.transform("v", one), ""), F.lit("</ref-list>")).alias("xml"))
+    return x.select("doc_id", _cited(F.col("v")).alias("xml"))
 
 
 def media_xml(tables: DataFrame | None, figures: DataFrame | None, spark) -> DataFrame:
@@ -323,24 +383,37 @@ def jats_documents(routed: DataFrame, publication: Publication = Publication(),
     first = lambda value: F.coalesce(F.min_by(F.when(value != "", value), F.when(value != "", F.col("seq"))), F.lit(""))
     is_title = lambda label: F.when(c == label, t).otherwise("")
     names = ("front_note", "cite_note", "date_note", "keywords_es", "keywords_en", "keywords", "abstract_es", "abstract_en", "abstract_plain_es", "abstract_plain_en")
-    g = routed.groupBy("doc_id").agg(first(is_title(P.TITULO)).alias("title"), first(is_title(P.TITULO2)).alias("title_en"), first(doi(t)).alias("doi"), first(issn(t)).alias("issn"),
-                                     *[_ordered(part == n, t, "seq").alias(n) for n in names])
-    own = authors_of_blocks(routed)
-    people = preferred(listed_authors(authors), own) if authors is not None else own
-    block_affs, block_mails = affiliations_of_blocks(routed), emails_of_blocks(routed)
-    affs, mails = block_affs.select("doc_id", "aff_id", "label", "text"), block_mails
+    # one pass over the blocks: references are structured row by row, the rest of a document is one aggregation
+    own = citations(routed.select("doc_id", "seq", "clasificacion", "part", "text", F.when(part == "ref", reference_text(t)).alias("_raw")), "_raw")
+    own = own.select("doc_id", "seq", "clasificacion", "part", "text", F.when((part == "ref") & (F.col("_raw") != ""), element_citation("_raw")).alias("_ref"))
+    g = own.groupBy("doc_id").agg(
+        first(is_title(P.TITULO)).alias("title"), first(is_title(P.TITULO2)).alias("title_en"), first(doi(t)).alias("doi"), first(issn(t)).alias("issn"), *[_ordered(part == n, t, "seq").alias(n) for n in names],
+        F.flatten(_ordered(c == P.AUTORES, author_names(t), "seq")).alias("_names"), _ordered(c == P.FILIACION, t, "seq").alias("_places"), F.array_distinct(F.flatten(_ordered(c == P.EMAIL, emails(t), "seq"))).alias("_found"),
+        _body_rows().alias("_rows"), _ordered(F.col("_ref").isNotNull(), F.col("_ref"), "seq").alias("_cited"))
+
+    def beside(rows, *names):  # what is given for a document, null where nothing is
+        nonlocal g
+        g = g.join(rows.select(F.col("doc_id").alias("_d"), *names), F.col("doc_id").eqNullSafe(F.col("_d")), "left").drop("_d")
+
+    people = F.transform("_names", lambda n: F.struct(n.alias("nombre"), F.lit("").alias("orcid")))
+    affs = F.transform("_places", lambda x, i: F.struct(F.concat(F.lit("aff"), i + 1).alias("aff_id"), (i + 1).cast("string").alias("label"), x.alias("text")))
+    mails, refs, media = F.col("_found"), _cited(F.col("_cited")), F.lit(None).cast("string")
+    if authors is not None:
+        beside(listed_authors(authors).groupBy("doc_id").agg(_ordered(F.lit(True), F.struct("nombre", "orcid"), "ord").alias("_given_people")), "_given_people")
+        people = F.coalesce("_given_people", people)
     if affiliation_texts is not None:
-        lines = affiliation_lines(affiliation_texts, "doc_id")
-        given = lines.select("doc_id").distinct()
-        bare = lambda x: x.join(given, "doc_id", "left_anti")
-        affs = lines.where("email is null").select("doc_id", "aff_id", "label", "text").unionByName(bare(affs))
-        mails = lines.where("email is not null").select("doc_id", F.col("line").alias("ord"), "email").unionByName(bare(mails))
-    mail = mails.groupBy("doc_id").agg(F.concat(F.lit('<author-notes><corresp id="cor1"><label>*</label>'), F.array_join(F.transform(_ordered(F.lit(True), F.col("email"), "ord"), lambda x: tag("email", escape(x))), ""), F.lit("</corresp></author-notes>")).alias("xml"))
-    block_refs = routed.where(part == "ref").select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")).alias("ref_no"), t.alias("raw"))
-    refs = preferred(references.select("doc_id", "ref_no", F.regexp_replace("raw", ILLEGAL, "").alias("raw")), block_refs) if references is not None else block_refs
-    parts = {"_people": contributors(people, author_links(people, affs, mails)), "_affs": affiliations_xml(affs), "_mail": mail, "_body": body_xml(routed), "_refs": references_xml(refs), "_media": media_xml(tables, figures, spark)}
-    for name, xml in parts.items():
-        g = g.join(xml.select(F.col("doc_id").alias("_d"), F.col("xml").alias(name)), F.col("doc_id").eqNullSafe(F.col("_d")), "left").drop("_d")
+        lines = affiliation_lines(affiliation_texts, "doc_id").groupBy("doc_id")
+        beside(lines.agg(_ordered(F.col("email").isNull(), F.struct("aff_id", "label", "text"), "line", "part").alias("_given_affs"), _ordered(F.col("email").isNotNull(), F.col("email"), "line").alias("_given_mails")), "_given_affs", "_given_mails")
+        affs, mails = F.coalesce("_given_affs", affs), F.coalesce("_given_mails", mails)
+    if references is not None:
+        beside(references_xml(references.select("doc_id", "ref_no", F.regexp_replace("raw", ILLEGAL, "").alias("raw"))), F.col("xml").alias("_given_refs"))
+        refs = F.coalesce("_given_refs", refs)
+    if tables is not None or figures is not None:
+        beside(media_xml(tables, figures, spark), F.col("xml").alias("_media"))
+        media = F.col("_media")
+    mail = lambda m: F.when(F.size(m) > 0, F.concat(F.lit('<author-notes><corresp id="cor1"><label>*</label>'), F.array_join(F.transform(m, lambda x: tag("email", escape(x))), ""), F.lit("</corresp></author-notes>")))
+    g = g.withColumn("_p", people).withColumn("_a", affs).withColumn("_e", mails)
+    g = g.withColumns({"_people": _contributors(F.col("_p"), F.col("_a"), F.col("_e")), "_affs": F.nullif(F.array_join(F.transform("_a", _affiliation), ""), F.lit("")), "_mail": mail(F.col("_e")), "_body": _body(F.col("_rows")), "_refs": refs, "_media": media})
     n = issue_numbers(F.col("front_note"), F.col("doi"))
     g = g.withColumn("_n", n)
     n, y = F.col("_n"), F.when(F.col("_n.year") != "", F.col("_n.year")).otherwise(F.lit(publication.year))
@@ -376,20 +449,22 @@ def elocation(col):
 
 def pretty_xml(documents: DataFrame, column: str = "jats") -> DataFrame:
     """Documents indented by two blanks, without empty lines; a text that is no XML stays as it is."""
+    from xml.parsers.expat import ExpatError
 
-    def indent(texts: pd.Series) -> pd.Series:
+    def one(x):
         from xml.dom import minidom
 
-        def one(x):
-            try:
-                out = minidom.parseString(x.encode()).toprettyxml(indent="  ", encoding="utf-8").decode()
-                return "\n".join(line for line in out.splitlines() if line.strip()) + "\n"
-            except Exception:  # no XML
-                return x
+        try:
+            out = minidom.parseString(x.encode()).toprettyxml(indent="  ", encoding="utf-8").decode()
+        except ExpatError:
+            return x
+        return "\n".join(line for line in out.splitlines() if line.strip()) + "\n"
 
-        return texts.map(one, na_action="ignore")
+    def indent(parts):
+        for p in parts:
+            yield p.assign(**{column: p[column].map(one, na_action="ignore")})
 
-    return documents.withColumn(column, F.pandas_udf(indent, "string")(F.col(column)))
+    return documents.mapInPandas(indent, documents.schema)
 
 
 def _epub(doc_id, title: str, body: str, css: str, sections, authors, doi_: str, publisher: str) -> bytes:

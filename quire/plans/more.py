@@ -138,7 +138,7 @@ def queries() -> dict:
         "affiliations_html": lambda s, d: _texts(s, d).select("doc_id", people.affiliations_html(F.col("text")).alias("html")),
         "jats_body": lambda s, d: render.body_xml(splits.route(_label(s, d))),
         "jats_affiliations": lambda s, d: render.affiliations_xml(people.affiliation_lines(_texts(s, d), "doc_id").where("email is null")),
-        "jats_contributors": lambda s, d: render.contributors(people.listed_authors(_manual(s, d)), people.author_links(people.listed_authors(_manual(s, d)), _manual(s, d).where("doc_id % 8 = 0").select("doc_id", F.concat(F.lit("aff"), "ord").alias("aff_id"), F.col("ord").cast("string").alias("label")), _manual(s, d).where("doc_id % 8 = 0").select("doc_id", F.lit("e").alias("email")))),
+        "jats_contributors": lambda s, d: render.contributors(people.listed_authors(_manual(s, d)), _manual(s, d).where("doc_id % 8 = 0").select("doc_id", F.concat(F.lit("aff"), "ord").alias("aff_id"), F.col("ord").cast("string").alias("label")), _manual(s, d).where("doc_id % 8 = 0").select("doc_id", F.lit("e").alias("email"))),
         "keyword_groups": lambda s, d: _label(s, d).where(F.col("clasificacion") == P.CLAVE).select("doc_id", "seq", render.kwd_group(T.keywords(F.col("contenido")), "es", "Palabras clave").alias("xml")),
         "media_at_anchors": lambda s, d: _media(s, d).select("doc_id", F.md5(F.col("html").cast("binary")).alias("html_md5")),
         "table_and_figure_html": lambda s, d: _grid(s, d).select("n_regionkey", render.table_html(F.col("n_regionkey"), F.when(F.col("n_regionkey") % 2 == 0, "a<b"), F.array(F.array(F.lit("h")), F.array(F.lit("c")))).alias("tabla"), render.figure_html(F.col("n_regionkey"), F.when(F.col("n_regionkey") % 2 == 0, "a<b").otherwise(""), F.lit(None).cast("string")).alias("figura")),

@@ -311,3 +311,18 @@ def test_manual_authors(spark):
 
     got = people.manual_authors(spark, [(1, " Ana ", "https://orcid.org/0000-0001-2345-678x"), (1, None, "nada")])
     assert [tuple(r) for r in got.orderBy("ord").collect()] == [(1, 1, "Ana", "0000-0001-2345-678x"), (1, 2, "", "nada")]
+
+
+def test_illustrated(spark):
+    page = spark.createDataFrame([(1, "<article><p>uno dos</p><p>tres</p></article>")], "doc_id long, html string")
+    tables = spark.createDataFrame([(1, 1, "T", "UNO dos", [["a"]]), (1, 2, "", "", [["b"]])], "doc_id long, tab_no int, titulo string, ancla string, grid array<array<string>>")
+    figures = spark.createDataFrame([(1, 1, "F", "tres", None), (1, 2, "", "nada", "data:x")], "doc_id long, fig_no int, pie string, ancla string, source string")
+    html = render.illustrated(page, tables, figures).collect()[0].html
+    order = [html.index(x) for x in ("uno dos", "Tabla 1.", "tres</p>", 'id="fig1"', ">Tablas</h2>", "Tabla 2.", 'id="fig2"', "</article>")]
+    assert order == sorted(order) and 'src="imagen.jpg"' in html and 'src="data:x"' in html
+
+
+def test_journal_heading(spark):
+    x = blocks(spark, ("Mi Revista", P.SECCION), ("Otra", P.SECCION))
+    html = render.html_documents(x, journal="mi revista").collect()[0].html
+    assert '<h2 class="seccion meta">Mi Revista</h2>' in html and '<h2 class="seccion">Otra</h2>' in html
