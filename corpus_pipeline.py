@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import langid, mixing, ngram_join, packing, suffix_dedup
-from quire.llm.common import Scratch, own_keys, scratches, with_given
+from quire.llm.common import Scratch, own_keys, parted, scratches, session, with_given
 
 #: Documents whose language is predicted with less probability than this are rejected.
 LEAST_SCORE = 0.3
@@ -28,6 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps the document of the smallest doc_id of each group connected by a Jaccard similarity of 0.8 or more
     of five-word shingles. Rows that repeat a doc_id, or have none, are documents of their own; of a group's rows
     with the smallest doc_id one is kept, and one without a doc_id only if none has one."""
+    session(spark)
     rows, given = own_keys(docs)
     if given:
         groups = ngram_join.jaccard_components(rows, 5, 80, 100).select("doc_id", "component_id")
@@ -36,7 +37,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         return with_given(rows.join(best.select("doc_id"), "doc_id", "left_semi"), given, docs.columns)
     groups = ngram_join.jaccard_components(docs, 5, 80, 100)
     gone = groups.where("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    some, rest = parted(docs, gone)
+    kept = some.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return kept if rest is None else kept.unionByName(rest)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

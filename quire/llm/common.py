@@ -295,6 +295,27 @@ def with_given(rows: DataFrame, given: str | None, columns: list[str]) -> DataFr
     return rows.select(*[F.col(given).alias(c) if given and c == "doc_id" else c for c in columns])
 
 
+def parted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose doc_id may be among those of ids, and the others, which need no join with it: a bitset of the ids keeps
+    their texts out of the shuffle. None for the others if ids are too many for one; then all rows are in the first."""
+    held = Bits.of(ids.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h")), ids.count())
+    if held is None:
+        return docs, None
+    sent, columns, schema = docs.sparkSession.sparkContext.broadcast(held), docs.columns, docs.schema
+    marked = docs.withColumn("_h", F.xxhash64(F.col("doc_id").cast("long")))
+
+    def pick(want: bool):
+        def scan(batches):
+            bits = Bits(sent.value)
+            for b in batches:
+                keep = bits.has(b.column("_h").to_numpy(zero_copy_only=False).astype(np.int64))
+                yield b.filter(pa.array(keep if want else ~keep)).select(columns)
+
+        return mapped(marked, scan, schema)
+
+    return pick(True), pick(False)
+
+
 #: Edges that one task turns into components by itself; 16 bytes each.
 LOCAL_EDGES = 1 << 20
 

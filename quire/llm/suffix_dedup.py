@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Bits, Scratch, SpanHash, buffers, chunks, in_order, mapped, mix, own_keys, texts, with_given
+from quire.llm.common import Bits, Scratch, SpanHash, buffers, chunks, in_order, mapped, mix, own_keys, parted, texts, with_given
 
 SEED, CELL = 40, 40
 #: Positions that a mapper sorts together before it deals them out; spans of an anchor among them that make it hot.
@@ -362,27 +362,6 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataF
     return one.where(F.col("kind") == DOC).select(F.col("doc").alias("doc_id"), F.col("f").alias("n_bytes"), "whole"), spans
 
 
-def _with_spans(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Rows that may have spans, and the others: a bitset of doc_ids keeps the others' texts out of the shuffle, as long
-    as one is small enough."""
-    held = Bits.of(spans.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h")), spans.count())
-    if held is None:
-        return docs, None
-    sent, columns, schema = docs.sparkSession.sparkContext.broadcast(held), docs.columns, docs.schema
-    marked = docs.withColumn("_h", F.xxhash64(F.col("doc_id").cast("long")))
-
-    def pick(want: bool):
-        def scan(batches):
-            bits = Bits(sent.value)
-            for b in batches:
-                keep = bits.has(b.column("_h").to_numpy(zero_copy_only=False).astype(np.int64))
-                yield b.filter(pa.array(keep if want else ~keep)).select(columns)
-
-        return mapped(marked, scan, schema)
-
-    return pick(True), pick(False)
-
-
 def _left(text: str, starts, ends) -> tuple[list[bytes], int]:
     raw, at, kept = text.encode(), 0, []
     for s, e in zip(starts, ends):
@@ -417,7 +396,7 @@ def _digests(docs: DataFrame, length: int) -> DataFrame:
                 sha.append(h.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_removed", "n_spans", "kept"])
 
-    some = mapped(_with_spans(docs, spans)[0].join(spans, "doc_id"), cut, "doc_id long, n_removed long, n_spans long, kept string")
+    some = mapped(parted(docs, spans)[0].join(spans, "doc_id"), cut, "doc_id long, n_removed long, n_spans long, kept string")
     zero = F.lit(0).cast("long")
     return own.join(some, "doc_id", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "whole").alias("kept_sha256"))
 
@@ -443,6 +422,6 @@ def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
                 b = b.set_column(i, "n_chars", pa.array(own, kind))
             yield b.filter(pa.array([not g for g in gone], pa.bool_())).select(columns)
 
-    some, rest = _with_spans(docs, spans)
+    some, rest = parted(docs, spans)
     changed = mapped(some.join(spans.select(F.col("doc_id").alias("_d"), "starts", "ends"), F.col("doc_id") == F.col("_d"), "left").select(*columns, "starts", "ends"), cut, schema)
     return with_given(changed if rest is None else changed.unionByName(rest), given, names)

@@ -168,9 +168,13 @@ def test_other_ways_at_scale(spark, table, plain, monkeypatch):
 
     want = sorted(map(tuple, suffix_dedup.digests(table).collect()))
     kept = plain_rows(suffix_dedup.without_repeats(table))
+    import corpus_pipeline as cp
+
+    once = plain_rows(cp.near_duplicates(spark, table, ""))
     monkeypatch.setattr(common, "MOST_BITS", 3)
     assert sorted(map(tuple, suffix_dedup.digests(table).collect())) == want
     assert plain_rows(suffix_dedup.without_repeats(table)) == kept
+    assert plain_rows(cp.near_duplicates(spark, table, "")) == once
     monkeypatch.setattr(common, "LOCAL_EDGES", 2)
     monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 150)
     monkeypatch.setattr(ngram_join, "LEAST_TOKENS", 10)
