@@ -75,15 +75,19 @@ def occurrences(col, query: str):
     """array<struct(at, line, column, end_line, end_column)>: all places of the query, overlapping ones too, whatever case
     and accents; at from 0, lines from 1, columns from 0."""
     q = query.strip()
-    low, want = unaccented(F.lower(col)), unaccented(F.lower(F.lit(q)))
-    n = F.length(low) - F.length(want) + 1
-    hits = F.filter(F.sequence(F.lit(1), n), lambda i: F.substring(low, i, F.length(want)) == want)
-    before = lambda i: F.substring(col, F.lit(1), i)
-    lines = lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1
-    column = lambda t: F.length(F.substring_index(t, "\n", -1))
-    place = lambda i: F.struct((i - 1).alias("at"), lines(before(i - 1)).alias("line"), column(before(i - 1)).alias("column"), lines(before(i - 1 + len(q))).alias("end_line"), column(before(i - 1 + len(q))).alias("end_column"))
     empty = F.array().cast("array<struct<at:int,line:int,column:int,end_line:int,end_column:int>>")
-    return F.when(F.lit(bool(q)) & (n > 0), F.transform(hits, place)).otherwise(empty)
+    if not q:
+        return F.when(F.lit(False), empty).otherwise(empty)
+    want = unaccented(F.lower(F.lit(q)))
+    # a cut before each place: places are what the pieces before them measure; so are the beginnings of lines
+    cut = lambda low: F.split(low, F.concat(F.lit("(?=\\Q"), want, F.lit("\\E)")))
+    ends = lambda pieces, more: F.aggregate(pieces, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x) + more)), lambda acc: F.slice(acc, 1, F.size(pieces)))
+    at = lambda low: let(cut(low), lambda pieces: F.filter(ends(pieces, 0), lambda x, i: (i > 0) | low.startswith(want)))
+    row = lambda lines, i: F.filter(lines, lambda x: x <= i)
+    place = lambda lines, i, a, b: F.struct(i.alias("at"), F.size(a).alias("line"), (i - F.element_at(a, -1)).alias("column"), F.size(b).alias("end_line"), (i + len(q) - F.element_at(b, -1)).alias("end_column"))
+    one = lambda lines, i: let(F.struct(row(lines, i).alias("a"), row(lines, i + len(q)).alias("b")), lambda r: place(lines, i, r["a"], r["b"]))
+    found = let(ends(F.split(col, "\n"), 1), lambda lines: F.transform(let(unaccented(F.lower(col)), at), lambda i: one(lines, i)))
+    return F.when(found_in(col, query) & (want != ""), found).otherwise(empty)
 
 
 def keywords(col):
