@@ -18,13 +18,13 @@ def by_doc():
     return Window.partitionBy("doc_id").orderBy("seq")
 
 
-def _ladder(t, size, bold, italic, font, low, cite, date):
+def _ladder(t, size, bold, italic, font, section, cite, date):
     s, low_font = F.bround(size), F.coalesce(F.lower(font), F.lit(""))
     b, i, tnr = bold | low_font.rlike(P.BOLD_FONT), italic | low_font.rlike(P.ITALIC_FONT), low_font.rlike("times|roman")
     lettered = has(t, P.LETTERED, fold=False) & ~has(F.substring(t, 1, 30), r"\.\s+[A-Z]", fold=False)
     institution = has(t, P.INSTITUTION)
     return (
-        F.when(low.isin(P.SECTIONS), P.SECCION).when(cite, P.CITAR).when(date, P.FECHA)
+        F.when(section, P.SECCION).when(cite, P.CITAR).when(date, P.FECHA)
         .when(has(t, P.KEYWORDS), P.CLAVE).when(has(t, P.TABLE_TITLE), P.TABLA).when(has(t, P.HAS_EMAIL) & (F.length(t) < 120), P.EMAIL)
         .when((s <= 12) & has(t, r"^\d+\.\s+\S") & ~has(t, r"^\d+\.\d"), P.SUB).when((s <= 12) & has(t, P.LEVEL2), P.SUB2)
         .when((s >= 13) & b & ~i, P.TITULO).when((s >= 13) & b & i, P.TITULO2).when((s == 13) & ~b & ~i, P.AUTORES)
@@ -39,7 +39,7 @@ def _ladder(t, size, bold, italic, font, low, cite, date):
 def auto_label(text="contenido", size="size", bold="bold", italic="italic", font="font"):
     """The label ladder of front and back matter; the first rule that holds. Bold and italic also go by the font's name."""
     t = strip(F.col(text))
-    return _ladder(t, F.col(size), F.col(bold), F.col(italic), F.col(font), F.lower(t), is_cite(t), is_date_note(t) | is_doi_line(t))
+    return _ladder(t, F.col(size), F.col(bold), F.col(italic), F.col(font), F.lower(t).isin(P.SECTIONS), is_cite(t), is_date_note(t) | is_doi_line(t))
 
 
 def compat(label):
@@ -50,25 +50,29 @@ def compat(label):
 def label(blocks: DataFrame) -> DataFrame:
     """Adds zone (A, B or C) and clasificacion. The body begins at the first level-1 heading and ends at the
     references heading at or after it. Rows whose `imagen` is true, if there is such a column, keep their label and begin
-    or end nothing. Stripped texts and tests that both ladders ask are columns of their own, evaluated once."""
+    or end nothing. Tests that both ladders ask are columns of their own, evaluated once before the exchange on doc_id, which
+    takes a stripped text along only where it differs from the text."""
     image = F.col("imagen") if "imagen" in blocks.columns else F.lit(False)
     given = F.col("clasificacion") if "clasificacion" in blocks.columns else F.lit(P.IMAGEN)
     b = blocks.withColumn("_t", strip(F.col("contenido")))
     t = F.col("_t")
-    b = b.withColumns({"_low": F.lower(t), "_cite": is_cite(t), "_date": is_date_note(t) | is_doi_line(t), "_two": has(t, P.LEVEL2), "_one": has(t, P.LEVEL1)})
+    low = F.lower(t)
+    b = b.withColumns({"_section": low.isin(P.SECTIONS), "_refs": low.isin("referencias", "references"), "_inner": low.isin(P.BODY_SECTIONS), "_cite": is_cite(t), "_date": is_date_note(t) | is_doi_line(t), "_two": has(t, P.LEVEL2), "_one": has(t, P.LEVEL1)})
+    b = b.withColumn("_t", F.nullif(t, F.col("contenido")))
     one = F.col("_one") & ~F.col("_two")
     doc = Window.partitionBy("doc_id")
     b = b.withColumn("_start", F.min(F.when(~image & one & (F.bround("size") <= 12), F.col("seq"))).over(doc))
-    b = b.withColumn("_end", F.min(F.when(~image & F.col("_low").isin("referencias", "references") & (F.col("seq") >= F.col("_start")), F.col("seq"))).over(doc))
+    b = b.withColumn("_end", F.min(F.when(~image & F.col("_refs") & (F.col("seq") >= F.col("_start")), F.col("seq"))).over(doc))
+    b = b.withColumn("_t", F.coalesce("_t", "contenido"))
     inside = F.col("_start").isNotNull() & (F.col("seq") >= F.col("_start")) & (F.col("_end").isNull() | (F.col("seq") < F.col("_end")))
     zone = F.when(inside, "B").when(F.col("_end").isNotNull() & (F.col("seq") >= F.col("_end")), "C").otherwise("A")
     body = (
         F.when(one, P.SUB).when(F.col("_two"), P.SUB2).when(F.col("_cite"), P.CITAR).when(F.col("_date"), P.FECHA)
-        .when(F.col("_low").isin(P.BODY_SECTIONS), P.SECCION).when(has(t, r"\b(tabla|table)\s+\d+[.:\s]"), P.TABLA).when(has(t, P.FIGURE_TITLE), P.FIGURA).otherwise(P.CUERPO)
+        .when(F.col("_inner"), P.SECCION).when(has(t, r"\b(tabla|table)\s+\d+[.:\s]"), P.TABLA).when(has(t, P.FIGURE_TITLE), P.FIGURA).otherwise(P.CUERPO)
     )
-    front = compat(_ladder(t, F.col("size"), F.col("bold"), F.col("italic"), F.col("font"), F.col("_low"), F.col("_cite"), F.col("_date")))
+    front = compat(_ladder(t, F.col("size"), F.col("bold"), F.col("italic"), F.col("font"), F.col("_section"), F.col("_cite"), F.col("_date")))
     own = F.when(image, given).when(F.col("seq") == F.col("_end"), P.SECCION).when(zone == "B", body).otherwise(front)
-    return b.withColumn("zone", zone).withColumn("clasificacion", own).drop("_t", "_low", "_cite", "_date", "_two", "_one", "_start", "_end")
+    return b.withColumn("zone", zone).withColumn("clasificacion", own).drop("_t", "_section", "_refs", "_inner", "_cite", "_date", "_two", "_one", "_start", "_end")
 
 
 def drop_table_rows(labelled: DataFrame) -> DataFrame:
