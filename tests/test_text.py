@@ -39,3 +39,13 @@ def test_orcid_country_prefix(spark):
     assert one(spark, "https://orcid.org/0000-0001-2345-678x", T.orcid) == "0000-0001-2345-678X"
     assert tuple(one(spark, "Instituto, Ciudad de México", T.country)) == ("Mexico", "MX")
     assert one(spark, "[12] Autor", T.reference_text) == "Autor"
+
+
+def test_occurrences_overlap_and_count_lines(spark):
+    find = lambda text, query="ÁNA": [tuple(x) for x in one(spark, text, lambda c: T.occurrences(c, query))]
+    assert find("Ananas") == [(0, 1, 0, 1, 3), (2, 1, 2, 1, 5)]
+    assert find("xx\nÁna anana\n") == [(3, 2, 0, 2, 3), (7, 2, 4, 2, 7), (9, 2, 6, 2, 9)]
+    assert find("a.c abc", ".C") == [(1, 1, 1, 1, 3)]
+    assert find("") == find("an\na") == find("Ananas", " ") == []
+    long = find("x\n" * 5000 + "ana" * 5000)
+    assert len(long) == 5000 and long[-1] == (24997, 5001, 14997, 5001, 15000)
