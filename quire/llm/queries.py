@@ -82,6 +82,14 @@ def op10_ngram_join(spark, sf_dir):
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), 4, 85, 100)
 
 
+def op12_token_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    from quire.llm import align
+
+    return align.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_repair_files(spark, sf_dir):
     import public_tokenizers
 
@@ -97,7 +105,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries() -> dict:
-    own = [op1_packing, op2_language_id, op3_fingerprints, op4_html_text, op5_top_k, op6_mixing, op7_sharding, op8_role_repair, op9_suffix_dedup, op10_ngram_join, op13_repair_files, pipeline, fingerprint_classes]
+    own = [op1_packing, op2_language_id, op3_fingerprints, op4_html_text, op5_top_k, op6_mixing, op7_sharding, op8_role_repair, op9_suffix_dedup, op10_ngram_join, op12_token_alignment, op13_repair_files, pipeline, fingerprint_classes]
     return {f.__name__: f for f in own}
 
 

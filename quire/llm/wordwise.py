@@ -121,7 +121,7 @@ class ByteLevel:
 
 
 class Pieces:
-    """Ids of a sentence-piece model. A piece's bytes are its UTF-8 with U+2581 as a space; <0xHH> is that byte."""
+    """Ids of a sentence-piece model, which adds the space that words begin with. A piece's bytes are its UTF-8 with U+2581 as a space; <0xHH> is that byte."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -132,16 +132,13 @@ class Pieces:
         byte = [self.model.is_byte(i) for i in range(n)]
         self.bytes_of = [bytes([int(s[3:5], 16)]) if b else s.replace("▁", " ").encode() for s, b in zip(names, byte)]
         self.size = np.array([len(x) for x in self.bytes_of], np.int64)
-        #: whether words can be encoded apart
-        self.apart = not any("▁" in s.lstrip("▁") for s, b in zip(names, byte) if not b)
+        if any("▁" in s.lstrip("▁") for s, b in zip(names, byte) if not b):
+            raise ValueError(f"{path}: pieces with a space inside would cross words")
 
     def join(self, raw: bytes) -> np.ndarray:
-        if not self.apart:
-            return np.zeros(0, np.int64)
         return np.array(self.model.encode(raw[1:].decode(), num_threads=1), np.int64)
 
-    def one(self, raw: bytes) -> np.ndarray:
-        return np.array(self.model.encode(raw[1:].decode(), num_threads=1), np.int64)
+    one = join
 
 
 def spread(flat: np.ndarray, first: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
