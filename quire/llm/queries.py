@@ -82,6 +82,12 @@ def op10_ngram_join(spark, sf_dir):
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), 4, 85, 100)
 
 
+def op11_collocations(spark, sf_dir):
+    from quire.llm import collocations
+
+    return collocations.top(collocations.phrases(_table(spark, sf_dir, "documents")), 2000)
+
+
 def op12_token_alignment(spark, sf_dir):
     import public_tokenizers
 
@@ -105,7 +111,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries() -> dict:
-    own = [op1_packing, op2_language_id, op3_fingerprints, op4_html_text, op5_top_k, op6_mixing, op7_sharding, op8_role_repair, op9_suffix_dedup, op10_ngram_join, op12_token_alignment, op13_repair_files, pipeline, fingerprint_classes]
+    own = [op1_packing, op2_language_id, op3_fingerprints, op4_html_text, op5_top_k, op6_mixing, op7_sharding, op8_role_repair, op9_suffix_dedup, op10_ngram_join, op11_collocations, op12_token_alignment, op13_repair_files, pipeline, fingerprint_classes]
     return {f.__name__: f for f in own}
 
 
@@ -149,4 +155,21 @@ def oracle_sql() -> dict[str, str]:
     l as (select a, b from p where 100 * o >= 85 * (na + nb - o)),
     r as (select a, b from l union select r.a, l.b from r join l on r.b = l.a)
     select s.doc_id, len(x)::bigint as n_shingles, least(s.doc_id, coalesce((select min(b) from r where r.a = s.doc_id), s.doc_id)) as component_id from s"""
-    return {"op5_top_k": top, "op7_sharding": shards, "op9_suffix_dedup": repeats, "op10_ngram_join": links}
+    phrases = r"""
+    with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p from documents),
+    w as (select lang, regexp_extract_all(p, '[^\x20\x09]+') as w from p),
+    d as (select lang, w, count(*) as m from w where len(w) > 0 group by lang, w),
+    t as (select lang, sum(m * len(w))::bigint as n from d group by lang),
+    g as (select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase, sum(m)::bigint as f
+          from (select lang, w, m, k, unnest(range(1, len(w) - k + 2)) as i from d, (values (1), (2), (3), (4)) v(k)) group by lang, k, phrase having sum(m) >= 30),
+    c as (select lang, k, phrase, f, string_split(phrase, ' ') as w from g where k > 1),
+    s as (select c.lang, c.phrase, c.f as a, x.f as l, y.f as r, j, (2000000 * c.f::hugeint // (x.f + y.f))::bigint as score
+          from (select *, unnest(range(1, k)) as j from c) c
+          join g x on x.lang = c.lang and x.phrase = array_to_string(w[1:j], ' ') join g y on y.lang = c.lang and y.phrase = array_to_string(w[j + 1:], ' ')),
+    b as (select * from (select *, row_number() over (partition by lang, phrase order by score, j) as z from s) where z = 1),
+    o as (select lang, array_to_string(w[i:i + z - 1], ' ') as phrase, max(f) as most
+          from (select *, unnest(range(1, k - z + 2)) as i from (select *, unnest(range(2, k)) as z from c)) group by 1, 2),
+    r as (select b.lang, b.phrase, a, l, r, n, score, row_number() over (partition by b.lang order by score desc, a desc, b.phrase) as rank
+          from b join t on t.lang = b.lang left join o on o.lang = b.lang and o.phrase = b.phrase where o.most is null or 100 * o.most < 80 * a)
+    select lang, rank, phrase, a, l, r, n, score from r where rank <= 2000"""
+    return {"op11_collocations": phrases, "op5_top_k": top, "op7_sharding": shards, "op9_suffix_dedup": repeats, "op10_ngram_join": links}
