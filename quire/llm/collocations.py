@@ -161,6 +161,12 @@ def counts(rows: DataFrame, n: int, least: int, shorter: bytes | None = None, to
     return mapped(dealt, add_up, "lang string, phrase string, f long, h long")
 
 
+def score(a: str, left: str, right: str, scale: int):
+    """floor(scale * a / (left + right)), in decimals."""
+    d = lambda c: F.col(c).cast("decimal(25, 0)")
+    return F.call_function("div", d(a) * F.lit(scale).cast("decimal(10, 0)"), d(left) + d(right))
+
+
 def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, inside: int = 80, scale: int = 2_000_000) -> DataFrame:
     """(lang, phrase, words, a, l, r, n, score): the candidates that stay, of all languages.
 
@@ -193,8 +199,7 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, inside:
     asked = cut.select("lang", "phrase", "a", "words", "k", sides.alias("x")).select("lang", "phrase", "a", "words", "k", "x.part", "x.left")
     counted = all_counts.select("lang", F.col("phrase").alias("part"), "f")
     told = asked.join(counted, ["lang", "part"]).groupBy("lang", "phrase", "a", "words", "k").agg(F.max(F.when(F.col("left"), F.col("f"))).alias("l"), F.max(F.when(~F.col("left"), F.col("f"))).alias("r"))
-    score = F.expr(f"cast(a as decimal(25, 0)) * {scale}BD div (cast(l as decimal(25, 0)) + cast(r as decimal(25, 0)))")
-    scored = told.withColumn("score", score).groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "l", "r", "a", "words")).alias("x")).select("lang", "phrase", "x.a", "x.words", "x.l", "x.r", "x.score")
+    scored = told.withColumn("score", score("a", "l", "r", scale)).groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "l", "r", "a", "words")).alias("x")).select("lang", "phrase", "x.a", "x.words", "x.l", "x.r", "x.score")
     # the most frequent longer candidate around each
     lengths = F.expr("explode(flatten(transform(sequence(2, words - 1), z -> transform(sequence(1, words - z + 1), i -> array_join(slice(w, i, z), ' ')))))")
     around = held.where("words > 2").select("lang", lengths.alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("most"))
@@ -203,9 +208,15 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, inside:
     return stay.join(words, "lang").select("lang", "phrase", "words", "a", "l", "r", "n", "score")
 
 
+#: Parts that a language's candidates are ranked in first.
+PARTS = 64
+
+
 def top(candidates: DataFrame, first: int) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the first of each language by score, a (descending) and phrase (ascending by
-    UTF-8 bytes). Spark cuts each task's rows to these before it shuffles them."""
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first)
+    UTF-8 bytes). A language is ranked in hashed parts first, so the last sort gets at most PARTS * first of its rows."""
+    by = [F.desc("score"), F.desc("a"), "phrase"]
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
+    some = candidates.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*by))).where(F.col("rank") <= first)
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*by))).where(F.col("rank") <= first)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
