@@ -350,12 +350,19 @@ def data_uri(path, content):
 
 
 def html_table(grid):
-    """An array<array<string>> as an HTML table: the first row is the head, rows of nulls only are left out."""
+    """An array<array<string>> as an HTML table: the first row is the head, rows of nulls only are left out, the others are
+    filled up to the longest."""
+    return let(grid, _html_table)
+
+
+def _html_table(grid):
+    width = F.array_max(F.transform(grid, lambda r: F.size(r)))
+    even = lambda r: F.concat(r, F.array_repeat(F.lit(None).cast("string"), width - F.size(r)))
     cells = lambda row, tag: F.array_join(F.transform(row, lambda c: F.concat(F.lit(f"<{tag}>"), escape(F.coalesce(c, F.lit(""))), F.lit(f"</{tag}>"))), "\n")
     rest = F.filter(F.slice(grid, F.lit(2), F.size(grid)), lambda r: F.exists(r, lambda c: c.isNotNull()))
     line = lambda row, tag: F.concat_ws("\n", F.when(F.size(row) > 0, cells(row, tag)))
-    rows = F.transform(rest, lambda r: F.concat_ws("\n", F.lit("<tr>"), line(r, "td"), F.lit("</tr>")))
-    head = F.concat_ws("\n", F.lit("<thead><tr>"), line(F.get(grid, F.lit(0)), "th"), F.lit("</tr></thead><tbody>"))
+    rows = F.transform(rest, lambda r: F.concat_ws("\n", F.lit("<tr>"), line(even(r), "td"), F.lit("</tr>")))
+    head = F.concat_ws("\n", F.lit("<thead><tr>"), line(even(F.get(grid, F.lit(0))), "th"), F.lit("</tr></thead><tbody>"))
     return F.when(F.coalesce(F.size(grid), F.lit(0)) <= 0, "<p><em>[Tabla vacía]</em></p>").otherwise(F.concat_ws("\n", F.lit('<table class="pm-tabla">'), head, F.when(F.size(rows) > 0, F.array_join(rows, "\n")), F.lit("</tbody></table>")))
 
 

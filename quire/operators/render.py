@@ -46,7 +46,7 @@ def paragraph_or_list(col, css: str = "cuerpo"):
     ul = f'<ul class="lista-bullets{more}">\n'
     lines = F.transform(tokens, lambda x, i: F.when(x["k"] == "p", F.concat(p, editorial(x["t"]), F.lit("</p>"))).otherwise(
         F.concat(F.when(~is_li(i - 1), F.lit(ul)).otherwise(""), F.lit("  <li>"), editorial(x["t"]), F.lit("</li>"), F.when(~is_li(i + 1), "\n</ul>").otherwise(""))))
-    return F.when(F.contains(t, F.lit("•")), F.array_join(lines, "\n")).when(t != "", F.concat(p, editorial(t), F.lit("</p>"))).otherwise("")
+    return F.when(F.contains(t, F.lit("•")) & (F.size(parts) > 0), F.array_join(lines, "\n")).when(t != "", F.concat(p, editorial(t), F.lit("</p>"))).otherwise("")
 
 
 def rejoined(col):

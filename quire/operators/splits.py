@@ -47,13 +47,35 @@ def split_embedded(labelled: DataFrame) -> DataFrame:
     return x.select(*rest, F.col("_p.t").alias("contenido"), F.col("_p.c").alias("clasificacion"), F.col("_p.sub_seq").alias("sub_seq"))
 
 
+def last_edits(edits: DataFrame) -> DataFrame:
+    """(doc_id, seq, contenido, clasificacion): of a log of edits (doc_id, seq, version, contenido, clasificacion) the last
+    value of each block and field that is not null. Edits of one version that differ: the greatest value."""
+    last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("version", c)))[c].alias(c)
+    return edits.groupBy("doc_id", "seq").agg(last("contenido"), last("clasificacion"))
+
+
 def override(blocks: DataFrame, edits: DataFrame) -> DataFrame:
-    """Blocks with the non-null contenido and clasificacion of edits (doc_id, seq, contenido, clasificacion; one a block)."""
-    e = edits.select("doc_id", "seq", F.col("contenido").alias("_t"), F.col("clasificacion").alias("_c"))
+    """Blocks with the last non-null contenido and clasificacion of edits (doc_id, seq, contenido, clasificacion, and
+    version if there are several of a block). Rows of blocks stay as many as they are."""
+    log = edits if "version" in edits.columns else edits.withColumn("version", F.lit(0))
+    e = last_edits(log).select("doc_id", "seq", F.col("contenido").alias("_t"), F.col("clasificacion").alias("_c"))
     x = blocks.join(e, ["doc_id", "seq"], "left")
     return x.withColumn("contenido", F.coalesce("_t", "contenido")).withColumn("clasificacion", F.coalesce("_c", "clasificacion")).select(*blocks.columns)
 
 
+def renumbered(blocks: DataFrame, *order: str) -> DataFrame:
+    """Blocks with seq from 0 on without gaps, in the given order (seq, and sub_seq if there is one)."""
+    keys = order or tuple(c for c in ("seq", "sub_seq") if c in blocks.columns)
+    w = Window.partitionBy("doc_id").orderBy(*keys)
+    return blocks.withColumn("seq", F.row_number().over(w) - 1).drop("sub_seq")
+
+
+def edited(blocks: DataFrame, edits: DataFrame, deletions: DataFrame | None = None) -> DataFrame:
+    """Blocks after a log of edits and deletions (doc_id, seq), renumbered. An edit of a deleted block changes nothing."""
+    x = override(blocks, edits)
+    return renumbered(x if deletions is None else without(x, deletions, "doc_id", "seq"))
+
+
 def without(rows: DataFrame, deletions: DataFrame, *keys: str) -> DataFrame:
     return rows.join(deletions.select(*keys), list(keys), "left_anti")
 

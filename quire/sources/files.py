@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import io
-import re
-import zipfile
-from xml.etree import ElementTree
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import patterns as P
 from quire.functions.text import orcid_as_given, references
 from quire.operators.people import affiliation_lines
+from quire.sources.workbooks import CELLS, read_sheets, read_workbooks  # noqa: F401  readers of side files, too
 
 #: Names in the first column of an authors' sheet that make its row a head.
 HEAD_NAMES = ["autor", "nombre", "author", "name"]
-CELLS = "path string, sheet_no int, sheet string, active boolean, r int, c int, v string"
 
 
 def _whole(spark: SparkSession, path: str) -> DataFrame:
@@ -41,64 +35,21 @@ def read_figures(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{any_case}}}").load(path).select("path", "content")
 
 
-def _cells(path: str, content: bytes):
-    """Rows of CELLS of a workbook. Only filled cells have a row; an unreadable workbook has none."""
-    tag = lambda e: e.tag.rsplit("}", 1)[-1]
-    text = lambda e: "".join(t.text or "" for t in e.iter() if tag(t) == "t")
-    try:
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            load = lambda n: ElementTree.fromstring(z.read(n))
-            shared = [text(e) for e in load("xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in z.namelist() else []
-            links = {e.get("Id"): e.get("Target") for e in load("xl/_rels/workbook.xml.rels")}
-            book = load("xl/workbook.xml")
-            chosen = next((int(e.get("activeTab", 0)) for e in book.iter() if tag(e) == "workbookView"), 0)
-            for no, s in enumerate(e for e in book.iter() if tag(e) == "sheet"):
-                target = links[next(v for k, v in s.attrib.items() if k.rsplit("}", 1)[-1] == "id" and "}" in k)]
-                for cell in load(target.lstrip("/") if target.startswith("/") else f"xl/{target}").iter():
-                    if tag(cell) != "c":
-                        continue
-                    letters, row = re.fullmatch(r"([A-Z]+)(\d+)", cell.get("r")).groups()
-                    col = 0
-                    for a in letters:
-                        col = col * 26 + ord(a) - 64
-                    value = next((e.text for e in cell if tag(e) == "v"), None)
-                    kind = cell.get("t")
-                    value = shared[int(value)] if kind == "s" and value is not None else text(cell) if kind == "inlineStr" else value
-                    if value is not None:
-                        yield path, no, s.get("name"), no == chosen, int(row) - 1, col - 1, value
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
-        return
-
-
-def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """CELLS of all workbooks: numbers from 0, values as text."""
-    from quire import ship
-
-    ship(spark)
-    names = [x.split()[0] for x in CELLS.split(", ")]
-
-    def cells(parts):
-        for p in parts:
-            for one, content in zip(p.path, p.content):
-                yield pd.DataFrame(list(_cells(one, content)), columns=names)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(cells, CELLS)
-
-
 def sheets(cells: DataFrame) -> DataFrame:
-    """(path, sheet_no, sheet, active) of the sheets that have a filled cell: a table to each."""
+    """(path, sheet_no, sheet, active) of the sheets that have a cell; read_sheets() has the others, too."""
     return cells.select("path", "sheet_no", "sheet", "active").distinct()
 
 
 def grids(cells: DataFrame) -> DataFrame:
-    """(path, sheet_no, sheet, active, grid): rows up to the last filled one, each up to its last filled cell, nulls where
-    no cell is. A stray cell far off costs the empty rows above it and the nulls beside it, no full rectangle."""
+    """(path, sheet_no, sheet, active, grid): rows up to the last one with a cell, each as wide as the sheet, nulls where no
+    value is. Rows without a cell are empty, but for the first, so a stray cell far off costs no full rectangle."""
     fill = lambda items, at, value, gap: F.aggregate(items, F.array().cast(gap), lambda acc, x: F.concat(acc, F.array_repeat(F.lit(None).cast(gap[6:-1]), x[at] - F.size(acc)), F.array(x[value])))
     row = cells.groupBy("path", "sheet_no", "sheet", "active", "r").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("m"))
     row = row.withColumn("line", fill("m", "c", "v", "array<string>"))
-    g = row.groupBy("path", "sheet_no", "sheet", "active").agg(F.array_sort(F.collect_list(F.struct("r", "line"))).alias("m"))
-    lines = F.transform(fill("m", "r", "line", "array<array<string>>"), lambda x: F.coalesce(x, F.array().cast("array<string>")))
-    return g.select("path", "sheet_no", "sheet", "active", lines.alias("grid"))
+    g = row.groupBy("path", "sheet_no", "sheet", "active").agg(F.array_sort(F.collect_list(F.struct("r", "line"))).alias("m"), F.max(F.size("line")).alias("width"))
+    null = F.lit(None).cast("string")
+    even = lambda x, i: F.when(x.isNotNull(), F.concat(x, F.array_repeat(null, F.col("width") - F.size(x)))).when(i == 0, F.array_repeat(null, F.col("width"))).otherwise(F.array().cast("array<string>"))
+    return g.select("path", "sheet_no", "sheet", "active", F.transform(fill("m", "r", "line", "array<array<string>>"), even).alias("grid"))
 
 
 def chosen_grids(descriptors: DataFrame, cells: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ def test_citations(spark):
 def test_tables(spark):
     df = spark.createDataFrame([([["a", "b"], [None, None], ["<", None], [""]],), ([],), (None,)], "g array<array<string>>")
     html, jats = zip(*df.select(T.html_table(F.col("g")), T.jats_table(F.col("g"))).collect())
-    assert html[0].replace("\n", "") == '<table class="pm-tabla"><thead><tr><th>a</th><th>b</th></tr></thead><tbody><tr><td>&lt;</td><td></td></tr><tr><td></td></tr></tbody></table>'
+    assert html[0].replace("\n", "") == '<table class="pm-tabla"><thead><tr><th>a</th><th>b</th></tr></thead><tbody><tr><td>&lt;</td><td></td></tr><tr><td></td><td></td></tr></tbody></table>'
     assert jats[0] == "<table><thead><tr><th>a</th><th>b</th></tr></thead><tbody><tr><td>&lt;</td><td></td></tr></tbody></table>"
     assert html[1] == html[2] == "<p><em>[Tabla vacía]</em></p>" and jats[1] == jats[2]
 
@@ -169,7 +169,7 @@ def test_html_media_and_epub(spark, article, tmp_path):
 def test_lists(spark):
     f = lambda c: render.paragraph_or_list(c)
     got = one(spark, f, "hola", "Son: • uno • dos. Otros son: • tres", "• a", "", "•")
-    assert got[0] == '<p class="cuerpo">hola</p>' and got[3] == "" and got[4] == ""
+    assert got[0] == '<p class="cuerpo">hola</p>' and got[3] == "" and got[4] == '<p class="cuerpo">•</p>'
     assert got[1].replace("\n", "") == '<p class="cuerpo">Son:</p><ul class="lista-bullets cuerpo-list">  <li>uno</li>  <li>dos.</li></ul><p class="cuerpo">Otros son:</p><ul class="lista-bullets cuerpo-list">  <li>tres</li></ul>'
     assert got[2].count("<ul") == got[2].count("</ul>") == 1
 
@@ -302,7 +302,7 @@ def test_sheets_and_grids(spark):
     assert sorted((r.sheet, r.active) for r in files.sheets(cells).collect()) == [("A", False), ("B", True)]
     d = spark.createDataFrame([("f", "A"), ("f", "no"), ("g", "A")], "path string, hoja string")
     got = {(r.path, r.hoja): r.grid for r in files.chosen_grids(d, cells.where("r < 9")).collect()}
-    assert got == {("f", "A"): [["x"], [], [], [None, None, "y"]], ("f", "no"): [["z"]], ("g", "A"): None}
+    assert got == {("f", "A"): [["x", None, None], [], [], [None, None, "y"]], ("f", "no"): [["z"]], ("g", "A"): None}
     assert files.grids(cells).where("sheet = 'B'").selectExpr("size(grid)", "size(grid[1048575])").first() == (1_048_576, 16_384)
 
 
