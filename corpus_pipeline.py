@@ -59,39 +59,45 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), nulls=True))
 
 
-#: Tables that stages have written for themselves; those of a stage go when the next one begins.
-_left: list[Scratch] = []
+#: Tables that a stage called from STAGES has written for itself, by its number. A stage's result is written before the
+#: next begins, which then removes them; what the last one leaves goes when the driver ends.
+_left: dict[int, list[Scratch]] = {}
 
 
-def _clean(stage):
-    """The stage, which first removes what stages before it have left. Its documents are the written result of the one
-    before; tables that they still read stay."""
+def _clear(tables: list[Scratch]) -> None:
+    for s in tables:
+        s.clear()
 
+
+def _clean(k: int, stage):
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        read = docs.inputFiles() if _left else []
-        for s in [s for s in _left if not any(s.root.rsplit("/", 1)[-1] in f for f in read)]:
-            s.clear()
-            _left.remove(s)
+        _clear(_left.pop(k - 1, []))
         with scratches() as opened:
             out = stage(spark, docs, sf_dir)
-        _left.extend(opened)
+        if k + 1 < len(_STAGES):
+            _left.setdefault(k, []).extend(opened)
         return out
 
     return run
 
 
-STAGES = [(name, _clean(f)) for name, f in (("language ID", language), ("n-gram Jaccard join", near_duplicates), ("suffix-array dedup", repeated_strings), ("mixing", mix), ("packing", pack))]
+_STAGES = [("language ID", language), ("n-gram Jaccard join", near_duplicates), ("suffix-array dedup", repeated_strings), ("mixing", mix), ("packing", pack)]
+STAGES = [(name, _clean(k, f)) for k, (name, f) in enumerate(_STAGES)]
 
 #: Networks, hashes and tokens have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed corpus. What the returned frame reads, its run's last tables, stays as long as the driver; other runs
+    don't touch it."""
     docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = scratch.keep(docs, f"stage-{i}")
-            if i:
-                scratch.drop(f"stage-{i - 1}")
+    for k, (_, stage) in enumerate(_STAGES):
+        with scratches() as opened:
+            docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(_STAGES):
+            docs = scratch.keep(docs, f"stage-{k}")
+            _clear(opened)
+            if k:
+                scratch.drop(f"stage-{k - 1}")
     return docs
