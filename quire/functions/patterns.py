@@ -46,8 +46,10 @@ MANUSCRIPT = r"(manuscrito\s+recibido|manuscrito\s+corregido|manuscrito\s+acepta
 KEYWORDS = r"^(palabras\s+clave|keywords)\s*[:.]"
 TABLE_TITLE = r"^(tabla|table)\s+\d+[.:\s]"
 FIGURE_TITLE = r"^(figura|figure)\s+\d+[.:\s]"
-HAS_EMAIL = r"@[\w.\-]+\.\w{2,}"
-EMAIL_ANY = r"[\w.\-+%]+@[\w.\-]+\.\w{2,}"
+#: Inside brackets: what a word is made of, in any script.
+WORD = r"\p{L}\p{N}_"
+HAS_EMAIL = rf"@[{WORD}.\-]+\.[{WORD}]{{2,}}"
+EMAIL_ANY = rf"[{WORD}.\-+%]+@[{WORD}.\-]+\.[{WORD}]{{2,}}"
 LEVEL1, LEVEL2 = r"^\d+\.\s*\S", r"^\d+\.\d+"
 YEAR_ROW = r"^(18|19|20)\d\d\s+\S"
 TAXON_LIST = r"^(18|19|20)\d\d\s+[A-Za-zÁÉÍÓÚÑáéíóúñü\-]+(\s+[A-Za-zÁÉÍÓÚÑáéíóúñü\-]+){0,4}\s*;"
@@ -98,7 +100,7 @@ META_HEADING = (
     r"issn|volumen\s+\d|vol\.\s*\d|núm\.\s*\d|p\.\s*\d{2,}|enero|febrero|marzo|abril|mayo|junio|julio|agosto|septiembre|octubre|noviembre|"
     r"diciembre|january|february|march|april|june|july|august|september|october|november|december|\(\d{4}\)"
 )
-PAGE_EMAIL = r"[\w.\-]+@[\w\-.]+\.\w{2,}"
+PAGE_EMAIL = rf"[{WORD}.\-]+@[{WORD}\-.]+\.[{WORD}]{{2,}}"
 AUTHOR_TAIL = r"[\d,*\u00b9\u00b2\u00b3\u2070-\u209f]+$"
 ORCID_HOME, ORCID_SEARCH = "https://orcid.org/", "https://orcid.org/orcid-search/search?searchQuery="
 # fixed values: namespaces and document type of articles

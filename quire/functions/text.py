@@ -35,7 +35,8 @@ def let(value, use):
 
 
 def has(col, pattern: str, fold: bool = True):
-    return col.rlike(("(?iu)" if fold else "") + pattern)
+    """Whether a pattern is found; white space, digits and words in it are those of any script."""
+    return col.rlike(("(?iU)" if fold else "(?U)") + pattern)
 
 
 def strip(col):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import patterns as P
 from quire.functions.text import has, norm, strip
-from quire.operators.blocks import auto_label, compat
+from quire.operators.blocks import auto_label
 
 #: `Abstract` as a word of its own, unless a word on technical matters stands at most 20 characters before it.
 ALONE = r"(?i)(?<![\p{L}\d_])abstract(?![\p{L}\d_])"
@@ -16,7 +16,7 @@ ALONE = r"(?i)(?<![\p{L}\d_])abstract(?![\p{L}\d_])"
 def split_embedded(labelled: DataFrame) -> DataFrame:
     """Adds sub_seq (0, 1, 2) and cuts a block in text before, heading and text after.
 
-    First headings of P.EMBEDDED, the first of that list that occurs past the beginning, at its first occurrence; else
+    All of it is one projection and a generator, so rows stay where they are. First headings of P.EMBEDDED, the first of that list that occurs past the beginning, at its first occurrence; else
     `Abstract` alone; else, in body text, a table title up to 200 characters long. The text before a heading gets the
     label its look asks for; the text after keeps the block's. Empty parts are left out, and nothing is cut twice.
     A body block that begins with a table title becomes one."""
@@ -37,7 +37,7 @@ def split_embedded(labelled: DataFrame) -> DataFrame:
     after = strip(F.expr("substring(contenido, _at + _n)"))
     is_title = (F.col("_head") == "") & (F.col("_abs") == 0)
     own = labelled.columns
-    again = compat(auto_label(text="_before", font="_no_font"))
+    again = auto_label(text="_before", font="_no_font")  # labels as they are: former ones stay here
     x = x.withColumn("_no_font", F.lit("")).withColumn("_again", F.when(is_title, F.col("clasificacion")).otherwise(again))
     part = lambda i, text, label: F.struct(F.lit(i).alias("sub_seq"), text.alias("t"), label.alias("c"))
     parts = F.filter(F.array(part(0, F.col("_before"), F.col("_again")), part(1, middle, F.when(is_title, P.TABLA).otherwise(P.SECCION)), part(2, after, F.col("clasificacion"))), lambda p: p["t"] != "")

@@ -9,9 +9,9 @@ from quire.functions import citation as C
 from quire.functions import patterns as P
 from quire.functions import text as T
 from quire.operators import blocks as B
-from quire.operators import layout, people, render, splits
+from quire.operators import chain, layout, people, render, splits
 from quire.plans import registry
-from quire.plans.registry import _BLOCKS, _FUSE, _LABELS, _TABLE_MODE, _fused, _grid, blocks
+from quire.plans.registry import _AUTO, _BLOCKS, _FUSE, _LABELS, _TABLE_MODE, _fused, _grid, blocks
 
 
 def _customers(spark, sf_dir):
@@ -83,7 +83,7 @@ def _manual(spark, sf_dir):
 def _texts(spark, sf_dir):
     """Files of affiliations, one a customer."""
     c = _customers(spark, sf_dir)
-    return c.select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("1 Instituto "), "c_name", F.lit(", México\n\n  2 Uno, Chile. b Dos\nInstituto suelto\n* "), "n", F.lit("@x.org\n* sin correo\n")).alias("text"))
+    return c.select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("1 Instituto "), "c_name", F.lit(", México\n\n  2 Uno, Chile. b Dos\nInstituto suelto\n* ñé."), "n", F.lit("@ü.org\n* sin correo\n")).alias("text"))
 
 
 def _links(s, d):
@@ -92,13 +92,33 @@ def _links(s, d):
     return people.author_links(authors, people.affiliations_of_blocks(lab), people.emails_of_blocks(lab))
 
 
+def _embedded(spark, sf_dir):
+    """Blocks of which most have a heading or a table title inside them."""
+    c = F.col("contenido")
+    inside = [" Agradecimientos ", " abstract ", " technical Abstract: ", " Tabla 4. Lista de ", " Resumen no técnico Conflict of interest "]
+    t = c
+    for i, x in enumerate(inside):
+        t = F.when((F.col("doc_id") + F.col("seq")) % 7 == i, F.concat(F.left(c, F.lit(40)), F.lit(x), F.substring(c, 41, 1 << 30))).otherwise(t)
+    return blocks(spark, sf_dir).withColumn("contenido", t)
+
+
+def _log(spark, sf_dir):
+    """Up to three edits of a block, one of them of its label only, and edits of blocks that don't exist."""
+    b = blocks(spark, sf_dir).where("seq % 5 = 0").select("doc_id", "seq")
+    v = F.explode(F.sequence(F.lit(1), F.lit(1) + (F.col("doc_id") % 3).cast("int"))).alias("version")
+    e = b.select("doc_id", "seq", v)
+    text = F.when((F.col("version") + F.col("seq")) % 4 != 1, F.concat(F.lit("edición "), F.col("version").cast("string")))
+    label = F.when((F.col("version") + F.col("seq")) % 3 == 0, F.when(F.col("version") % 2 == 0, P.SUB).otherwise(P.TITULO))
+    return e.select("doc_id", "seq", "version", text.alias("contenido"), label.alias("clasificacion")).unionByName(e.where("seq = 0").select("doc_id", (F.col("seq") - 1).alias("seq"), "version", F.lit("nada").alias("contenido"), F.lit(None).cast("string").alias("clasificacion")))
+
+
 def _html(s, d):
-    return render.html_documents(B.fuse(B.drop_table_rows(_label(s, d))), "p{}", _manual(s, d))
+    return render.html_documents(chain.paragraphs(_embedded(s, d)), "p{}", _manual(s, d))
 
 
 def _jats(s, d):
     tabs = layout.tables(_tables(s, d), layout.text_blocks(_pages(s, d)))
-    return render.jats_documents(splits.route(_fused(s, d)), authors=_manual(s, d), tables=tabs)
+    return render.jats_documents(splits.route(chain.paragraphs(_embedded(s, d))), authors=_manual(s, d), tables=tabs)
 
 
 def _media(s, d):
@@ -154,15 +174,46 @@ def queries() -> dict:
             T.clean(F.concat(F.lit(" a­￼\n "), "c_name")).alias("clean"), T.autolink(T.escape(F.concat(F.lit("<"), "n", F.lit("@a-b.org> y c@d")))).alias("link"),
             F.array_join(T.paragraphs(F.concat(F.lit("uno\n\n\n§SUB§ 1.1 "), "c_name", F.lit("\n\n \n\ndos\ntres"))), "|").alias("paragraphs"), F.md5(T.data_uri(F.concat("c_name", F.element_at(F.array(*map(F.lit, (".PNG", ".jpeg", ".tiff"))), (F.col("k") % 3 + 1).cast("int"))), F.col("c_name").cast("binary")).cast("binary")).alias("uri_md5")),
         "issue_numbers": lambda s, d: _customers(s, d).select("c_custkey", C.issue_numbers(F.array(F.lit("ISSN 2007-5189, 1999"), F.when(F.col("k") % 2 == 0, F.concat(F.lit("Vol. "), "n")).otherwise(F.concat(F.lit("núm. "), "n")), F.when(F.col("k") % 3 == 0, F.lit("Volumen 13, núm. 2, 2024, p. 45–67")).otherwise("p. 5")), F.lit("10.1/j.2001.5")).alias("x")).select("c_custkey", "x.*"),
+        "split_blocks": lambda s, d: splits.renumbered(splits.split_embedded(B.drop_table_rows(B.label(_embedded(s, d))))).select("doc_id", long("seq"), "clasificacion", "contenido"),
+        "split_fused": lambda s, d: chain.paragraphs(_embedded(s, d)).select("doc_id", "kind", long("seq"), "clasificacion", "contenido"),
+        "edit_log": lambda s, d: splits.edited(_label(s, d), _log(s, d), blocks(s, d).where("seq % 11 = 3")).select("doc_id", long("seq"), "clasificacion", "contenido"),
         "html_pages": _html,
         "jats_articles": _jats,
         "epub_parts": lambda s, d: render.epub_parts(_html(s, d), _fused(s, d), _manual(s, d)),
     }
 
 
+#: In SQL: headings that run on inside blocks, and how blocks are cut there.
+_HEADS = [
+    "Non-technical Abstract", "Non-Technical Abstract", "Resumen no técnico", "Resumen no Técnico", "Acknowledgments", "Acknowledgements", "Agradecimientos", "Conflicts of interest", "Conflict of interest",
+    "Competing interests", "Conflicto de intereses", "Authors'' Contribution", "Contribuciones de los autores", "Contribucción de autores", "Contribucción de Autores", "Contribución de Autores",
+]
+_STRIP = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+_EMBEDDED = _LABELS.replace("z as (select", """be as (select * replace (case (doc_id + seq) % 7 when 0 then left(contenido, 40) || ' Agradecimientos ' || substring(contenido, 41) when 1 then left(contenido, 40) || ' abstract ' || substring(contenido, 41)
+  when 2 then left(contenido, 40) || ' technical Abstract: ' || substring(contenido, 41) when 3 then left(contenido, 40) || ' Tabla 4. Lista de ' || substring(contenido, 41)
+  when 4 then left(contenido, 40) || ' Resumen no técnico Conflict of interest ' || substring(contenido, 41) else contenido end as contenido) from b),
+z as (select""").replace(" from b),\nst as", " from be),\nst as").replace("contenido, pnum, zone,", "contenido, pnum, size, bold, italic, zone,") + _TABLE_MODE.replace("contenido, pnum,", "contenido, pnum, size, bold, italic,")
+_WORDS = r"[^\p{L}\p{N}_]"
+_ABSTRACT = rf"(?is)^((?:.*?{_WORDS})??)abstract(?:{_WORDS}|$)"
+_TITLE = rf"(?is)^((?:.*?{_WORDS})??)((?:tabla|table)\s+\d+[.:\s][^\n]{{0,200}})"
+_SPLIT = f"""
+h1 as (select *, case {' '.join(f"when instr(contenido, '{h}') > 1 then '{h}'" for h in _HEADS)} else '' end as head, case when regexp_matches(contenido, '{_ABSTRACT}') then length(regexp_extract(contenido, '{_ABSTRACT}', 1)) + 1 else 0 end as abs0 from kept),
+h2 as (select *, case when head = '' and abs0 > 1 and not regexp_matches(lower(substring(contenido, greatest(1, abs0 - 20), least(20, abs0 - 1))), 'technical|técnico') then abs0 else 0 end as abs1 from h1),
+h3 as (select *, head = '' and abs1 = 0 and clasificacion = '{P.CUERPO}' and regexp_matches(contenido, '{_TITLE}') as tab from h2),
+h4 as (select *, case when tab then length(regexp_extract(contenido, '{_TITLE}', 1)) + 1 else 0 end as tab0, case when tab then regexp_extract(contenido, '{_TITLE}', 2) else '' end as title from h3),
+h5 as (select *, case when head <> '' then instr(contenido, head) when abs1 > 0 then abs1 when tab0 > 1 then tab0 else 0 end as cut_at, case when head <> '' then length(head) when abs1 > 0 then 8 else length(title) end as n from h4),
+h6 as (select *, {_STRIP("substring(contenido, 1, cut_at - 1)")} as t, {_STRIP("substring(contenido, cut_at + n)")} as after, round_even(size, 0) as s, '' as font from h5),
+cut as (
+  select doc_id, seq, 0 as sub_seq, case when cut_at <= 1 then contenido else t end as contenido, case when cut_at <= 1 then case when tab0 = 1 then '{P.TABLA}' else clasificacion end when head = '' and abs1 = 0 then clasificacion else {_AUTO} end as clasificacion, pnum, cut_at from h6
+  union all select doc_id, seq, 1, case when head <> '' then head when abs1 > 0 then 'Abstract' else {_STRIP("title")} end, case when head = '' and abs1 = 0 then '{P.TABLA}' else '{P.SECCION}' end, pnum, cut_at from h6 where cut_at > 1
+  union all select doc_id, seq, 2, after, clasificacion, pnum, cut_at from h6 where cut_at > 1),
+parts as (select doc_id, row_number() over (partition by doc_id order by seq, sub_seq) - 1 as seq, contenido, clasificacion, pnum from cut where cut_at <= 1 or contenido <> ''),
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    chain = lambda ctes, body: "with " + ctes.strip().rstrip(",") + " " + body
-    lab = lambda body: chain(_LABELS, body)
+    chained = lambda ctes, body: "with " + ctes.strip().rstrip(",") + " " + body
+    lab = lambda body: chained(_LABELS, body)
     wide = "greatest(0, least(x1, ix1) - greatest(x0, ix0)) / greatest(1, least(x1 - x0, ix1 - ix0)) >= 0.15"
     manual = """a as (select doc_id, unnest([1, 2, 3]) as ord from documents where doc_id % 4 = 0),
       m as (select doc_id, ord, [' Ruiz,  Ana ', 'Luz María Paz', ' '][ord] as nombre, ['https://orcid.org/0000-0001-2345-678x', 'ninguno', ''][ord] as orcid from a),"""
@@ -180,7 +231,13 @@ def oracle_sql() -> dict[str, str]:
             select *, min(case when clasificacion = 'Encabezado sección' and regexp_matches(contenido, 'referencia|reference', 'i') then seq end) over (partition by doc_id) as ref from lab)
             where clasificacion in ('Cómo citar', 'Fecha manuscrito') and (ref is null or seq <= ref)) where nth = 1"""
     return {
-        "rejoined": chain(_LABELS + _TABLE_MODE + _FUSE, r"""select doc_id, seq, case when len(a) = 0 then '' else list_reduce(a, lambda acc, x: case
+        "split_blocks": chained(_EMBEDDED + _SPLIT, "select doc_id, seq, clasificacion, contenido from parts"),
+        "split_fused": chained(_EMBEDDED + _SPLIT + _FUSE.replace("from kept)", "from parts)"), "select doc_id, cast(kind as integer) as kind, seq, clasificacion, contenido from fused"),
+        "edit_log": lab("""select doc_id, row_number() over (partition by doc_id order by seq) - 1 as seq, clasificacion, contenido from (
+            select lab.doc_id, lab.seq, coalesce(l, clasificacion) as clasificacion, coalesce(t, contenido) as contenido from lab left join (
+            select doc_id, seq, arg_max(case when version % 2 = 0 then 'Subencabezado' else 'Título principal' end, version) filter ((version + seq) % 3 = 0) as l, arg_max('edición ' || version, version) filter ((version + seq) % 4 <> 1) as t
+            from (select doc_id, seq, unnest(range(1, 2 + doc_id % 3)) as version from b where seq % 5 = 0) group by doc_id, seq) e on e.doc_id = lab.doc_id and e.seq = lab.seq where lab.seq % 11 <> 3)"""),
+        "rejoined": chained(_LABELS + _TABLE_MODE + _FUSE, r"""select doc_id, seq, case when len(a) = 0 then '' else list_reduce(a, lambda acc, x: case
             when starts_with(x, '§SUB§') or starts_with(string_split(acc, chr(10) || chr(10))[-1], '§SUB§') or regexp_matches(acc, '[.?!:]$') then acc || chr(10) || chr(10) || x
             when regexp_matches(acc, '[‐-—-]\s*$') and regexp_matches(x, '^[a-záéíóúñü]') then regexp_replace(acc, '[‐-—-]\s*$', '') || x else acc || ' ' || x end) end as contenido from (
             select doc_id, seq, list_filter(list_transform(string_split(contenido, chr(10) || chr(10)), lambda x: trim(x)), lambda x: x <> '') as a from fused where kind = 2)"""),
@@ -192,22 +249,22 @@ def oracle_sql() -> dict[str, str]:
         "jats_body": f"""select doc_id, string_agg(piece, '' order by seq) || case when bool_or(part = 'heading') then '</sec>' else '' end as xml from (
             select doc_id, seq, part, case when part = 'heading' then case when i > 1 then '</sec>' else '' end || '<sec><title>' || {esc('t')} || '</title>' else case when i = 1 and headed then '<sec><title></title>' else '' end || '<p>' || {esc('t')} || '</p>' end as piece from (
             select r.doc_id, r.seq, r.part, trim(regexp_replace(contenido, '\\s+', ' ', 'g')) as t, row_number() over (partition by r.doc_id order by r.seq) as i, bool_or(r.part = 'heading') over (partition by r.doc_id) as headed
-            from ({registry.oracle_sql()['jats_route']}) r join ({chain(_BLOCKS, 'select doc_id, seq, contenido from b')}) c on r.doc_id = c.doc_id and r.seq = c.seq where r.part in ('heading', 'paragraph'))) group by doc_id""",
-        "layout_blocks": chain(_PAGES, """select doc_id, row_number() over (partition by doc_id order by ord) - 1 as seq, contenido, size, bold, italic, font, imagen, clasificacion, pnum from (
+            from ({registry.oracle_sql()['jats_route']}) r join ({chained(_BLOCKS, 'select doc_id, seq, contenido from b')}) c on r.doc_id = c.doc_id and r.seq = c.seq where r.part in ('heading', 'paragraph'))) group by doc_id""",
+        "layout_blocks": chained(_PAGES, """select doc_id, row_number() over (partition by doc_id order by ord) - 1 as seq, contenido, size, bold, italic, font, imagen, clasificacion, pnum from (
             select *, case when imagen then '[IMAGEN ' || round_even(x1 - x0, 0)::bigint || '×' || round_even(y1 - y0, 0)::bigint || 'px]' else text end as contenido, case when imagen then 0.0 else 10.0 end::double as size,
               not imagen and (k % 3 = 0 or k % 7 = 0) as bold, not imagen and k % 4 = 0 as italic, case when imagen then null when k % 7 = 0 then 'arial-bold' else 'times' end as font,
               case when imagen then case when (x1 - x0 < 32 and y1 - y0 < 32) or (pnum > 0 and (y1 < 40 or y0 > 760)) then 'Ignorar' else 'Imagen' end end as clasificacion,
               row_number() over (partition by doc_id order by pnum, case when two and not lft then 1 else 0 end, y0, no) as ord
             from (select *, sum(case when lft and not imagen then 1 else 0 end) over w >= 2 and sum(case when not lft and not imagen then 1 else 0 end) over w >= 2 as two from (select *, (x0 + x1) / 2 < 330 as lft from p2) window w as (partition by doc_id, pnum)))
             where imagen or (not (pnum > 0 and (y1 < 40 or y0 > 760)) and not (pnum > 0 and y1 < 96 and regexp_matches(substring(trim(text), 1, 100), '^(https?://doi[.]org/|doi[.]org/|[0-9]{1,3}$|paleontolog[íi]a mexicana\\s+vol[.])', 'i')) and length(trim(text)) >= 3)"""),
-        "pdf_figures": chain(_PAGES + pages + """
+        "pdf_figures": chained(_PAGES + pages + """
             im as (select *, doc_id + pnum as k, 100.0 + 125.0 * (doc_id % 3) + case when img_idx = 3 then 10.0 else 0.0 end as iy0, case when (doc_id + pnum + img_idx) % 5 = 0 then 31.0 else 200.0 end as w from (select doc_id, pnum, unnest([1, 2, 3]) as img_idx from pg)),
             i1 as (select *, 60.0 as ix0, 60.0 + w as ix1, iy0 + 60 as iy1 from (select *, row_number() over (partition by doc_id, pnum, case when img_idx = 3 then 7 else 5 end, iy0, w order by img_idx) as nth from im where w >= 32) where nth = 1),""",
             """select doc_id, row_number() over (partition by doc_id order by pnum, iy0, img_idx) as fig_no, printf('p%03d_img%02d_01.', pnum + 1, img_idx) || ['png', 'jpg', 'jpg', 'png'][cast(k % 4 + 1 as integer)] as path, pie, pnum + 1 as pagina, 'auto_pdf' as origen from (
             select i.doc_id, i.pnum, img_idx, any_value(k) as k, any_value(iy0) as iy0, regexp_replace(regexp_replace(coalesce(arg_min(text, abs(y0 - iy1) * 1000 + no), ''), '^(figura|fig[.]?|figure)\\s*[0-9]+[a-z]?(\\s*-\\s*[a-z])?[.):]?\\s*', '', 'i'), '^[ :\\t-]+|[ :\\t-]+$', '', 'g') as pie
             from i1 i left join texts x on x.doc_id = i.doc_id and x.pnum = i.pnum and """ + wide + """ and y0 - iy1 between -8 and 180 and regexp_matches(text, '^(figura|fig[.]?|figure|table|tabla)\\s*[0-9]+', 'i') group by i.doc_id, i.pnum, img_idx)"""),
-        "pdf_tables": chain(tables, "select doc_id, tab_no, 'a b||/<c>|d|e' as grid, titulo, pagina from found"),
-        "table_diagnosis": chain(tables + """f as (select doc_id, 'detectadas ' || count(*) || ' tabla(s) en ' || count(distinct pagina) || ' pagina(s)' as m from found where doc_id % 2 = 0 group by doc_id),
+        "pdf_tables": chained(tables, "select doc_id, tab_no, 'a b||/<c>|d|e' as grid, titulo, pagina from found"),
+        "table_diagnosis": chained(tables + """f as (select doc_id, 'detectadas ' || count(*) || ' tabla(s) en ' || count(distinct pagina) || ' pagina(s)' as m from found where doc_id % 2 = 0 group by doc_id),
             e as (select doc_id, string_agg('p' || pnum || 'b' || no, ' | ' order by pos) as m from (select *, row_number() over (partition by doc_id order by pos) as nth from p0 where doc_id % 3 = 0) where nth <= 3 group by doc_id),""",
             "select d.doc_id, coalesce(f.m, case when d.doc_id % 9 = 0 then 'se detectaron tablas pero no se pudieron extraer: ' else 'la deteccion fallo: ' end || e.m, 'no se detectaron tablas') as diagnosis from documents d left join f on d.doc_id = f.doc_id left join e on d.doc_id = e.doc_id"),
         "detected_tables": """select doc_id, row_number() over (partition by doc_id order by z, tab_no) as tab_no, titulo, origen from (select c_custkey % 50 as doc_id, 0 as z, c_custkey as tab_no, c_name as titulo, null::varchar as origen from customer where c_custkey % 3 <> 0
@@ -216,7 +273,7 @@ def oracle_sql() -> dict[str, str]:
         "summary": lab("""select doc_id, any_value(total) as blocks, string_agg(clasificacion || ': ' || n, '  |  ' order by rank) as labels, case when doc_id % 4 = 0 then 3 else 0 end::bigint as authors from (
             select doc_id, row_number() over (partition by doc_id order by count(*) desc, min(seq)) as rank, clasificacion, count(*) as n, sum(count(*)) over (partition by doc_id)::bigint as total from lab group by doc_id, clasificacion) where rank <= 6 group by doc_id"""),
         "label_filter": lab("select doc_id, seq from lab where clasificacion = 'Encabezado sección'"),
-        "search_offsets": chain(_BLOCKS, """select doc_id, seq, (i - 1)::integer as at, (len(string_split(left(contenido, i - 1), chr(10))))::integer as line, (length(string_split(left(contenido, i - 1), chr(10))[-1]))::integer as "column",
+        "search_offsets": chained(_BLOCKS, """select doc_id, seq, (i - 1)::integer as at, (len(string_split(left(contenido, i - 1), chr(10))))::integer as line, (length(string_split(left(contenido, i - 1), chr(10))[-1]))::integer as "column",
             (len(string_split(left(contenido, i + 2), chr(10))))::integer as end_line, (length(string_split(left(contenido, i + 2), chr(10))[-1]))::integer as end_column
             from (select doc_id, seq, contenido, unnest(list_filter(range(1, length(contenido) - 1), lambda i: substring(strip_accents(lower(contenido)), i, 3) = 'ana')) as i from b)"""),
         "abstract_style": lab(f"""select doc_id, seq, gris, primero, case when clasificacion = 'Encabezado sección' then case
@@ -234,21 +291,21 @@ def oracle_sql() -> dict[str, str]:
             where clasificacion in ('Cómo citar', 'Fecha manuscrito') and (ref is null or seq <= ref)) where nth = 1"""),
         "block_authors": lab("""select doc_id, row_number() over (partition by doc_id order by seq, i) as ord, nombre from (
             select doc_id, seq, unnest(range(len(a))) as i, unnest(a) as nombre from (select doc_id, seq, list_filter(list_transform(string_split(contenido, ';'), lambda x: trim(regexp_replace(trim(x), '[0-9,*¹²³]+$', ''))), lambda x: x <> '') as a from lab where starts_with(contenido, 'Ana')))"""),
-        "listed_authors": chain(manual, "select doc_id, ord, trim(regexp_replace(nombre, '\\s+', ' ', 'g')) as nombre, upper(regexp_extract(orcid, '[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{3}[0-9Xx]', 0)) as orcid from m where trim(nombre) <> ''"),
-        "appended_authors": chain(manual, "select doc_id, row_number() over (partition by doc_id order by z, ord) as ord, case when ord = 1 then '0000-0001-2345-678x' else orcid end as orcid from (select doc_id, ord, orcid, 0 as z from m union all select doc_id, ord, orcid, 1 from m where doc_id % 8 = 0)"),
+        "listed_authors": chained(manual, "select doc_id, ord, trim(regexp_replace(nombre, '\\s+', ' ', 'g')) as nombre, upper(regexp_extract(orcid, '[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{3}[0-9Xx]', 0)) as orcid from m where trim(nombre) <> ''"),
+        "appended_authors": chained(manual, "select doc_id, row_number() over (partition by doc_id order by z, ord) as ord, case when ord = 1 then '0000-0001-2345-678x' else orcid end as orcid from (select doc_id, ord, orcid, 0 as z from m union all select doc_id, ord, orcid, 1 from m where doc_id % 8 = 0)"),
         "author_links": lab("""select a.doc_id, a.ord, 'aff' as ref_type, 'aff' || f.n as rid, f.n::varchar as label from (select doc_id, unnest([1, 2]) as ord from documents where doc_id % 4 = 0) a
             join (select doc_id, row_number() over (partition by doc_id order by seq) as n from lab where clasificacion = 'Filiación' and trim(contenido) <> '') f on a.doc_id = f.doc_id
-            union all select doc_id, 1, 'corresp', 'cor1', '' from (select distinct doc_id from lab where doc_id % 4 = 0 and clasificacion = 'Email / Metadatos' and regexp_matches(contenido, '[A-Za-z0-9_.+%-]+@[A-Za-z0-9_.-]+[.][A-Za-z0-9_]{2,}'))"""),
+            union all select doc_id, 1, 'corresp', 'cor1', '' from (select distinct doc_id from lab where doc_id % 4 = 0 and clasificacion = 'Email / Metadatos' and regexp_matches(contenido, '[\\p{L}\\p{N}_.+%-]+@[\\p{L}\\p{N}_.-]+[.][\\p{L}\\p{N}_]{2,}'))"""),
         "author_line": """select c_custkey, case when c_custkey % 2 = 0 then '<a class="orcid-autor" href="https://orcid.org/0000-0001-2345-6789" target="_blank" title="ORCID: 0000-0001-2345-6789">' || c_name || '</a><a class="orcid-icon" href="https://orcid.org/0000-0001-2345-6789" target="_blank" title="ORCID: 0000-0001-2345-6789"><img src alt="ORCID"></a>'
             else '<a class="orcid-autor" href="https://orcid.org/orcid-search/search?searchQuery=' || regexp_replace(c_name, '\\s+', '+', 'g') || '" target="_blank" title="Buscar en ORCID">' || c_name || '</a>' end
             || '; <a class="orcid-autor" href="https://orcid.org/orcid-search/search?searchQuery=Luz+&+' || c_nationkey || '" target="_blank" title="Buscar en ORCID">Luz &amp; ' || c_nationkey || '</a>' as html from customer""",
         "block_affiliations": lab("select doc_id, n as ord, 'aff' || n as aff_id, n::varchar as label, t as text from (select doc_id, trim(regexp_replace(contenido, '\\s+', ' ', 'g')) as t, row_number() over (partition by doc_id order by seq) as n from lab where clasificacion = 'Filiación' and trim(contenido) <> '')"),
         "block_emails": lab("""select doc_id, row_number() over (partition by doc_id order by f, g) as ord, email from (select doc_id, email, min(seq) as f, arg_min(i, seq * 1000 + i) as g from (
-            select doc_id, seq, unnest(range(len(a))) as i, unnest(a) as email from (select doc_id, seq, regexp_extract_all(contenido, '[A-Za-z0-9_.+%-]+@[A-Za-z0-9_.-]+[.][A-Za-z0-9_]{2,}') as a from lab where clasificacion = 'Email / Metadatos')) group by doc_id, email)"""),
+            select doc_id, seq, unnest(range(len(a))) as i, unnest(a) as email from (select doc_id, seq, regexp_extract_all(contenido, '[\\p{L}\\p{N}_.+%-]+@[\\p{L}\\p{N}_.-]+[.][\\p{L}\\p{N}_]{2,}') as a from lab where clasificacion = 'Email / Metadatos')) group by doc_id, email)"""),
         "affiliation_lines": """select c_custkey as doc_id, unnest([0, 2, 2, 3, 4, 5]) as line, unnest([0, 0, 1, 0, 0, 0]) as part, unnest(['aff1', 'aff2', 'aff3', 'aff4', null, 'aff5']) as aff_id, unnest(['1', '2', 'b', '4', '4', '5']) as label,
-            unnest(['Instituto ' || c_name || ', México', 'Uno, Chile', 'Dos', 'Instituto suelto', '', '* sin correo']) as text, unnest([null, null, null, null, c_nationkey || '@x.org', null]) as email from customer""",
+            unnest(['Instituto ' || c_name || ', México', 'Uno, Chile', 'Dos', 'Instituto suelto', '', '* sin correo']) as text, unnest([null, null, null, null, 'ñé.' || c_nationkey || '@ü.org', null]) as email from customer""",
         "affiliations_html": """select c_custkey as doc_id, concat_ws(chr(10), '<p class="filiaciones sin-sangria"><sup>1</sup> Instituto ' || c_name || ', México</p>', '<p class="filiaciones sin-sangria"><sup>2</sup> Uno, Chile</p>', '<p class="filiaciones sin-sangria"><sup>b</sup> Dos</p>',
-            '<p class="filiaciones sin-sangria">Instituto suelto</p>', '<p class="email sin-sangria">* <a href="mailto:' || c_nationkey || '@x.org">' || c_nationkey || '@x.org</a></p>', '<p class="filiaciones sin-sangria">* sin correo</p>') as html from customer""",
+            '<p class="filiaciones sin-sangria">Instituto suelto</p>', '<p class="email sin-sangria">* <a href="mailto:ñé.' || c_nationkey || '@ü.org">ñé.' || c_nationkey || '@ü.org</a></p>', '<p class="filiaciones sin-sangria">* sin correo</p>') as html from customer""",
         "jats_affiliations": """select c_custkey as doc_id, '<aff id="aff1"><label>1</label><institution content-type="original">Instituto ' || c_name || ', México</institution><country country="MX">Mexico</country></aff><aff id="aff2"><label>2</label><institution content-type="original">Uno, Chile</institution><country country="CL">Chile</country></aff>'
             || '<aff id="aff3"><label>b</label><institution content-type="original">Dos</institution><country></country></aff><aff id="aff4"><label>4</label><institution content-type="original">Instituto suelto</institution><country></country></aff>'
             || '<aff id="aff5"><label>5</label><institution content-type="original">* sin correo</institution><country></country></aff>' as xml from customer""",

@@ -27,7 +27,7 @@ def blocks(spark, sf_dir):
         15: "Resumen no Técnico:", 16: "Ana Ruiz1,*; Luz Paz²", 17: "ver https://doi.org/10.1/x. Manuscrito aceptado: 20-12-2021. Manuscript revised: mayo 3 2022",
     }
     m = (p + F.col("doc_id")) % 31
-    t = F.when(m == 8, F.concat(F.lit("autor@correo.org "), F.substring(line, 1, 20)))
+    t = F.when(m == 8, F.concat(F.lit("josé.ñandú+1@correo-ü.org "), F.substring(line, 1, 20)))
     for i, s in [*enumerate(starts), (11, "Fig. 3a. "), (12, "Table2: ")]:
         if s:
             t = t.when(m == i, F.concat(F.lit(s), line))
@@ -47,7 +47,7 @@ def blocks(spark, sf_dir):
 _BLOCKS = """
 l as (select doc_id, unnest(generate_series(0, len(a) - 1)) as pos, unnest(a) as line from (select doc_id, string_split(text, chr(10)) as a from documents)),
 b as (select doc_id, cast(pos as integer) as seq,
-  case (pos + doc_id) % 31 when 8 then 'autor@correo.org ' || substring(line, 1, 20) when 0 then '1. ' || line when 1 then '2.3. ' || line
+  case (pos + doc_id) % 31 when 8 then 'josé.ñandú+1@correo-ü.org ' || substring(line, 1, 20) when 0 then '1. ' || line when 1 then '2.3. ' || line
     when 2 then 'Tabla 3. ' || line when 3 then '1998 ' || line when 7 then 'Figura 2. ' || line when 9 then 'Cómo citar: ' || line
     when 4 then 'Abstract' when 5 then 'Referencias' when 6 then 'Palabras clave: Uno.; dos, uno ;; Dos' when 10 then 'Manuscrito  recibido: Diciembre 5, 2020' when 11 then 'Fig. 3a. ' || line
     when 12 then 'Table2: ' || line when 13 then '1998 García-Pérez Soto; Ñu' when 14 then 'Corrected manuscript of 2021' when 15 then 'Resumen no Técnico:' when 16 then 'Ana Ruiz1,*; Luz Paz²'
@@ -94,19 +94,20 @@ _SENTENCE = _c(r"\.\s+[A-ZÁÉÍÓÚÑ][a-záéíóúñ]")
 _DOILINE = f"({_i('https?://doi[.]org/')} and length(t) <= 200 and not ({_SENTENCE} and not {_NOTE}))"
 _INST = _i(r",|\b(university|instituto|department|lab|center|centre|museum|college|faculty|school|national|natural)\b")
 _LETTERED = f"{_c(_LETTER)} and not {_c(r'[.][[:space:]]+[A-Z]', 'substring(t, 1, 30)')} and {_INST}"
-_LABELS = _BLOCKS + f"""
-z as (select *, regexp_replace(contenido, '^\\s+|\\s+$', '', 'g') as t, round_even(size, 0) as s from b),
-st as (select *, min(case when {_i(_ONE)} and not {_i(_TWO)} and s <= 12 then seq end) over (partition by doc_id) as z0 from z),
-en as (select *, min(case when lower(t) in ('referencias', 'references') and seq >= z0 then seq end) over (partition by doc_id) as z1 from st),
-au as (select *, case when lower(t) in ({_IN}) then '{P.SECCION}' when {_CITE} then '{P.CITAR}' when {_NOTE} or {_DOILINE} then '{P.FECHA}'
-  when {_i(r'^(palabras\s+clave|keywords)\s*[:.]')} then '{P.CLAVE}' when {_i(_TAB)} then '{P.TABLA}' when {_i(r'@[A-Za-z0-9_.-]+[.][A-Za-z0-9_]{2,}')} and length(t) < 120 then '{P.EMAIL}'
+_AUTO = f"""case when lower(t) in ({_IN}) then '{P.SECCION}' when {_CITE} then '{P.CITAR}' when {_NOTE} or {_DOILINE} then '{P.FECHA}'
+  when {_i(r'^(palabras\s+clave|keywords)\s*[:.]')} then '{P.CLAVE}' when {_i(_TAB)} then '{P.TABLA}' when {_i(r'@[\p{L}\p{N}_.-]+[.][\p{L}\p{N}_]{2,}')} and length(t) < 120 then '{P.EMAIL}'
   when {_i(r'^\d+\.\s+\S')} and not {_i(r'^\d+\.\d')} and s <= 12 then '{P.SUB}' when {_i(_TWO)} and s <= 12 then '{P.SUB2}'
   when s >= 13 and bold and not italic then '{P.TITULO}' when s >= 13 and bold and italic then '{P.TITULO2}' when s = 13 and not bold and not italic then '{P.AUTORES}'
   when s = 12 and italic then '{P.EMAIL}' when s = 12 and not bold then '{P.NORMAL}' when s = 10 and bold then '{P.SECCION}' when s = 10 and not bold then '{P.SUB}'
   when {_LETTERED} then '{P.FILIACION}'
   when s = 9 and not {_c('times|roman', 'lower(font)')} and {_c('^([0-9]+|[a-zA-Z])\\s+[A-ZÁÉÍÓÚÑÜ]')} and {_INST} then '{P.FILIACION}'
   when s = 9 and ({_c('times|roman', 'lower(font)')} or length(t) > 100) then '{P.RESUMEN}' when s = 9 and length(t) < 80 then '{P.FILIACION}' when s = 9 then '{P.RESUMEN}'
-  when length(t) < 4 then '{P.IGNORAR}' else '{P.NORMAL}' end as auto,
+  when length(t) < 4 then '{P.IGNORAR}' else '{P.NORMAL}' end"""
+_LABELS = _BLOCKS + f"""
+z as (select *, regexp_replace(contenido, '^\\s+|\\s+$', '', 'g') as t, round_even(size, 0) as s from b),
+st as (select *, min(case when {_i(_ONE)} and not {_i(_TWO)} and s <= 12 then seq end) over (partition by doc_id) as z0 from z),
+en as (select *, min(case when lower(t) in ('referencias', 'references') and seq >= z0 then seq end) over (partition by doc_id) as z1 from st),
+au as (select *, {_AUTO} as auto,
   case when {_i(_ONE)} and not {_i(_TWO)} then '{P.SUB}' when {_i(_TWO)} then '{P.SUB2}' when {_CITE} then '{P.CITAR}' when {_NOTE} or {_DOILINE} then '{P.FECHA}'
   when lower(t) in ({_BODY_IN}) then '{P.SECCION}' when {_i(r'\b(tabla|table)\s+\d+[.:\s]')} then '{P.TABLA}' when {_i(_FIG)} then '{P.FIGURA}' else '{P.CUERPO}' end as body,
   case when z0 is not null and seq >= z0 and (z1 is null or seq < z1) then 'B' when z1 is not null and seq >= z1 then 'C' else 'A' end as zone from en),
@@ -277,7 +278,7 @@ def oracle_sql() -> dict[str, str]:
             select *, coalesce(min(case when clasificacion = '{P.TITULO2}' then seq end) over (partition by doc_id), min(case when clasificacion = '{P.TITULO}' then seq end) over (partition by doc_id)) as t0 from lab))
             where not coalesce(seq > t0 and seq < a0, false)"""),
         "note_dedup": lab(f"select doc_id, seq from (select *, row_number() over (partition by doc_id, substring(regexp_replace(contenido, '^\\s+|\\s+$', '', 'g'), 1, 80) order by seq) as n from lab where clasificacion in ('{P.FECHA}', '{P.CITAR}')) where n = 1"),
-        "emails": base(f"select doc_id, seq, unnest(regexp_extract_all(contenido, '[A-Za-z0-9_.+%-]+@[A-Za-z0-9_.-]+[.][A-Za-z0-9_]{{2,}}')) as email from b"),
+        "emails": base(f"select doc_id, seq, unnest(regexp_extract_all(contenido, '[\\p{{L}}\\p{{N}}_.+%-]+@[\\p{{L}}\\p{{N}}_.-]+[.][\\p{{L}}\\p{{N}}_]{{2,}}')) as email from b"),
         "html_escape": base("select doc_id, seq, replace(replace(replace(contenido, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as html from b"),
         "keywords": lab(f"""select doc_id, seq, kw from (select *, row_number() over (partition by doc_id, seq, lower(kw) order by i) as n from (
             select doc_id, seq, unnest(a) as kw, unnest(range(len(a))) as i from (select doc_id, seq, list_filter(list_transform(regexp_split_to_array(regexp_replace(trim(regexp_replace(contenido, '\\s+', ' ', 'g')), '^(palabras clave|keywords) *[:.]? *', '', 'i'), '[;,]'),
