@@ -4,29 +4,49 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from typing import NamedTuple
 
 from pyspark.sql import functions as F
 
 from quire.functions import patterns as P
 
 
-def _folding(form: str) -> tuple[str, str]:
-    """Characters whose decomposition is one character and marks, with that one, then the marks, which have none."""
-    one, base, marks = [], [], []
+#: Between several letters in a list of them.
+_GAP = "\u0001"
+
+
+class _Folds(NamedTuple):
+    """A normal form less its marks: letters for one (`one`, `base`), marks, which have none, and signs that are several
+    letters (`signs`, `letters`)."""
+
+    one: str
+    base: str
+    marks: str
+    signs: str
+    letters: str
+
+
+def _folding(form: str) -> _Folds:
+    """The folds of all code points by their decompositions; Hangul syllables are left to _syllable()."""
+    is_mark = (lambda x: unicodedata.combining(x) != 0) if form == "NFKD" else (lambda x: unicodedata.category(x) == "Mn")
+    one, marks, signs = {}, [], {}
     for c in map(chr, range(0x80, sys.maxunicode + 1)):
-        if unicodedata.combining(c) if form == "NFKD" else unicodedata.category(c) == "Mn":
-            marks.append(c)
+        if unicodedata.category(c) in ("Cs", "Cn") or "가" <= c <= "힣":
             continue
-        plain = [x for x in unicodedata.normalize(form, c) if not (unicodedata.combining(x) if form == "NFKD" else unicodedata.category(x) == "Mn")]
-        if len(plain) == 1 and plain[0] != c and ord(c) < 0x10000:
-            one.append(c)
-            base.append(plain[0])
-    return "".join(one) + "".join(m for m in marks if ord(m) < 0x10000), "".join(base)
+        plain = "".join(x for x in unicodedata.normalize(form, c) if not is_mark(x))
+        if plain == "":
+            marks.append(c)
+        elif len(plain) == 1 and plain != c:
+            one[c] = plain
+        elif len(plain) > 1:
+            signs[c] = plain
+    return _Folds("".join(one), "".join(one.values()), "".join(marks), "".join(signs), _GAP.join(signs.values()))
 
 
 _COMPATIBLE, _CANONICAL = _folding("NFKD"), _folding("NFD")
-#: Letters that are several.
-_LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ĳ": "ij", "Ĳ": "IJ", "…": "..."}
+_SYLLABLES = "".join(map(chr, range(0xAC00, 0xD7A4)))
+# fixed values: the letters of Hangul syllables: first, second, last
+_FIRST, _SECOND, _LAST = ("".join(map(chr, range(a, b))) for a, b in ((0x1100, 0x1113), (0x1161, 0x1176), (0x11A8, 0x11C3)))
 
 
 def let(value, use):
@@ -52,18 +72,38 @@ def clean(col):
     return squeeze(F.regexp_replace(col, "[­￼￾]", ""))
 
 
+def _syllable(c):
+    """The two or three letters of a Hangul syllable, which follow from its place."""
+    at = F.ascii(c) - 0xAC00
+    pick = lambda letters, i: F.substring(F.lit(letters), i.cast("int") + 1, F.lit(1))
+    return F.concat(pick(_FIRST, F.floor(at / 588)), pick(_SECOND, F.floor(at % 588 / 28)), F.when(at % 28 > 0, pick(_LAST, at % 28 - 1)).otherwise(""))
+
+
+def _letters(c, folds: _Folds):
+    """What one character folds to, if it is several letters, else itself."""
+    of = lambda i: F.when(i > 0, F.element_at(F.split(F.lit(folds.letters), _GAP), i)).when(c.between("가", "힣"), _syllable(c)).otherwise(c)
+    return let(F.instr(F.lit(folds.signs), c), of)
+
+
+def _holds(col, characters: str):
+    """Whether a text holds one of the characters, of which there may be thousands."""
+    return F.translate(col, characters, "") != col
+
+
+def _fold(col, folds: _Folds):
+    """Texts without signs of several letters need one translation only; others go by character first."""
+    wide = F.array_join(F.transform(F.split(col, ""), lambda c: _letters(c, folds)), "")
+    return F.translate(F.when(_holds(col, folds.signs + _SYLLABLES), wide).otherwise(col), folds.one + folds.marks, folds.base)
+
+
 def norm(col):
-    """Lower case without marks and in compatible letters, squeezed. Compatibility characters that are several others
-    stay, but for ligatures of Latin letters and the ellipsis."""
-    t = F.translate(col, *_COMPATIBLE)
-    for k, v in _LIGATURES.items():
-        t = F.replace(t, F.lit(k), F.lit(v))
-    return F.lower(squeeze(t))
+    """Lower case, squeezed, in compatible decomposition (NFKD) without marks: signs of several letters become these."""
+    return F.lower(squeeze(_fold(col, _COMPATIBLE)))
 
 
 def unaccented(col):
-    """Without accents: canonical decompositions less their marks."""
-    return F.translate(col, *_CANONICAL)
+    """Without accents: canonical decompositions (NFD) less their marks."""
+    return _fold(col, _CANONICAL)
 
 
 def found_in(col, query: str):
@@ -74,20 +114,28 @@ def found_in(col, query: str):
 
 def occurrences(col, query: str):
     """array<struct(at, line, column, end_line, end_column)>: all places of the query, overlapping ones too, whatever case
-    and accents; at from 0, lines from 1, columns from 0."""
+    and accents; at from 0, lines from 1, columns from 0. Places are those of the text as it is: where letters have marks
+    of their own or are several, found places are mapped back, and one ends with its last letter's marks."""
     q = query.strip()
     empty = F.array().cast("array<struct<at:int,line:int,column:int,end_line:int,end_column:int>>")
     if not q:
         return F.when(F.lit(False), empty).otherwise(empty)
     want = unaccented(F.lower(F.lit(q)))
+    n = F.length(want)
     # a cut before each place: places are what the pieces before them measure; so are the beginnings of lines
     cut = lambda low: F.split(low, F.concat(F.lit("(?=\\Q"), want, F.lit("\\E)")))
     ends = lambda pieces, more: F.aggregate(pieces, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x) + more)), lambda acc: F.slice(acc, 1, F.size(pieces)))
     at = lambda low: let(cut(low), lambda pieces: F.filter(ends(pieces, 0), lambda x, i: (i > 0) | low.startswith(want)))
     row = lambda lines, i: F.filter(lines, lambda x: x <= i)
-    place = lambda lines, i, a, b: F.struct(i.alias("at"), F.size(a).alias("line"), (i - F.element_at(a, -1)).alias("column"), F.size(b).alias("end_line"), (i + len(q) - F.element_at(b, -1)).alias("end_column"))
-    one = lambda lines, i: let(F.struct(row(lines, i).alias("a"), row(lines, i + len(q)).alias("b")), lambda r: place(lines, i, r["a"], r["b"]))
-    found = let(ends(F.split(col, "\n"), 1), lambda lines: F.transform(let(unaccented(F.lower(col)), at), lambda i: one(lines, i)))
+    place = lambda s, a, b: F.struct(s["a"].alias("at"), F.size(a).alias("line"), (s["a"] - F.element_at(a, -1)).alias("column"), F.size(b).alias("end_line"), (s["b"] - F.element_at(b, -1)).alias("end_column"))
+    one = lambda lines, s: let(F.struct(row(lines, s["a"]).alias("a"), row(lines, s["b"]).alias("b")), lambda r: place(s, r["a"], r["b"]))
+    # for each letter of the folded text the place of the character it came from
+    source = F.flatten(F.transform(F.split(col, ""), lambda c, k: F.array_repeat(k, F.length(unaccented(F.lower(c))))))
+    end = lambda last, after: F.when(after > last, after).otherwise(last + 1)
+    mapped = lambda hits: let(source, lambda src: F.array_distinct(F.transform(hits, lambda i: F.struct(F.get(src, i).alias("a"), end(F.get(src, i + n - 1), F.coalesce(F.get(src, i + n), F.length(col))).alias("b")))))
+    plain = lambda hits: F.transform(hits, lambda i: F.struct(i.alias("a"), (i + n).alias("b")))
+    spans = let(let(unaccented(F.lower(col)), at), lambda hits: F.when(_holds(col, "İ" + _CANONICAL.marks + _CANONICAL.signs + _SYLLABLES), mapped(hits)).otherwise(plain(hits)))
+    found = let(ends(F.split(col, "\n"), 1), lambda lines: F.transform(spans, lambda s: one(lines, s)))
     return F.when(found_in(col, query) & (want != ""), found).otherwise(empty)
 
 

@@ -1,5 +1,7 @@
 """Column helpers on rows written by hand."""
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -16,6 +18,35 @@ def test_clean_and_norm(spark):
     assert one(spark, "São ﬁ ²", T.unaccented) == "Sao ﬁ ²"
 
 
+def test_folds_equal_normal_forms_of_all_code_points(spark):
+    every = [chr(i) for i in range(1, 0x110000) if unicodedata.category(chr(i)) not in ("Cs", "Cn")]
+    rows = spark.createDataFrame([(every[i : i + 500],) for i in range(0, len(every), 500)], "c array<string>").select(F.explode("c").alias("c"))
+    forms = {"n": ("NFKD", lambda x: unicodedata.combining(x) == 0), "d": ("NFD", lambda x: unicodedata.category(x) != "Mn")}
+    got = rows.select("c", T._fold(F.col("c"), T._COMPATIBLE).alias("n"), T.unaccented(F.col("c")).alias("d")).collect()
+    assert len(got) == len(every)
+    for name, (form, keep) in forms.items():
+        assert [r.c for r in got if r[name] != "".join(x for x in unicodedata.normalize(form, r.c) if keep(x))] == []
+
+
+def test_folds_of_whole_texts(spark):
+    text = "½ km² de ﬁn… ㎞, 각각 Ǆ  𝐀😀 A\u0301ngel ﷺ"
+    plain = "".join(x for x in unicodedata.normalize("NFKD", text) if unicodedata.combining(x) == 0)
+    assert one(spark, text, T.norm) == " ".join(plain.split()).lower()
+    assert one(spark, "", T.norm) == "" and one(spark, None, T.norm) is None
+
+
+def test_places_are_those_of_the_text_itself(spark):
+    find = lambda text, query: [(x["at"], x["line"], x["column"], x["end_line"], x["end_column"]) for x in one(spark, text, lambda c: T.occurrences(c, query))]
+    apart = "a\u0301n\u0303a\u0301"  # letters with marks of their own
+    assert find(f"x {apart}\n{apart}.", "aña") == [(2, 1, 2, 1, 8), (9, 2, 0, 2, 6)]
+    assert find("İ ana", "ANA") == [(2, 1, 2, 1, 5)]
+    assert find("x½² y½²", "½²") == [(1, 1, 1, 1, 3), (5, 1, 5, 1, 7)]  # canonical folds leave these signs
+    assert find("나각 가", "가") == [(1, 1, 1, 1, 2), (3, 1, 3, 1, 4)]  # the first letters of a syllable are the syllable
+    assert find("각각", "각") == [(0, 1, 0, 1, 1), (1, 1, 1, 1, 2)]
+    long = find(("y" * 50 + apart) * 2000, "ÁÑA")
+    assert len(long) == 2000 and long[-1] == (1999 * 56 + 50, 1, 1999 * 56 + 50, 1, 2000 * 56)
+
+
 def test_escape(spark):
     assert one(spark, "a < b & c > \"d\"", T.escape) == "a &lt; b &amp; c &gt; \"d\""
 
