@@ -18,16 +18,22 @@ def _customers(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", F.col("c_nationkey").cast("string").alias("n"), F.col("c_custkey").alias("k"))
 
 
-def _pages(spark, sf_dir):
+def _pages(spark, sf_dir, scans: bool = False):
     """Pages of layout blocks: two lines of a span each, every thirteenth an image; the first block of a page at its edge
-    or in its upper zone."""
+    or in its upper zone. Scans hold the telling texts of blocks() in several sizes, short ones in one line."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    if scans:
+        d = blocks(spark, sf_dir).select("doc_id", F.col("seq").alias("pos"), F.col("contenido").alias("line"))
     p, k, no = F.col("pos"), F.col("doc_id") + F.col("pos"), F.col("pos") % 6
     text = F.when((no == 0) & (p % 4 == 0), "12").otherwise(F.col("line"))
     half = F.floor(F.length(text) / 2).cast("int")
+    sizes = F.lit(9.0), F.lit(11.0)
+    if scans:
+        half = F.when(F.length(text) < 60, F.length(text)).otherwise(half)
+        sizes = (F.element_at(F.array(*[F.lit(float(v)) for v in (9, 10, 12, 13, 8.5)]), ((F.col("doc_id") * 7 + p * 3) % 5 + 1).cast("int")),) * 2
     span = lambda t, size, flags, font: F.struct(F.array(F.struct(t.alias("text"), size.alias("size"), flags.alias("flags"), font.alias("font"))).alias("spans"))
     first = F.concat(F.substring(text, F.lit(1), half), F.when(k % 5 == 0, "-").otherwise(""))
-    lines = F.array(span(first, F.lit(9.0), F.when(k % 3 == 0, 16).otherwise(0), F.when(k % 7 == 0, "Arial-Bold").otherwise("Times")), span(F.substring(text, half + 1, F.length(text)), F.lit(11.0), F.when(k % 4 == 0, 2).otherwise(0), F.lit("Arial")))
+    lines = F.array(span(first, sizes[0], F.when(k % 3 == 0, 16).otherwise(0), F.when(k % 7 == 0, "Arial-Bold").otherwise("Times")), span(F.substring(text, half + 1, F.length(text)), sizes[1], F.when(k % 4 == 0, 2).otherwise(0), F.lit("Arial")))
     small = F.when(p % 2 == 0, 20.0).otherwise(240.0)
     image = k % 13 == 0
     x0 = 40.0 + 300.0 * (k % 2)
@@ -48,6 +54,18 @@ texts as (select doc_id, pnum, no, text, x0, y0, x1, y1 from p2 where not imagen
 """
 
 
+#: The same with the texts of blocks(), in several sizes.
+_SCANS = _BLOCKS + _PAGES.replace(_PAGES[: _PAGES.index("p0 as")].strip(), "sl as (select doc_id, seq as pos, contenido as line from b),").replace("end as t from l)", "end as t from sl)").replace("length(t) // 2", "case when length(t) < 60 then length(t) else length(t) // 2 end")
+#: Blocks of pages in SQL; {size} of the texts, and {free}, what else holds of them.
+_LAYOUT = """select doc_id, row_number() over (partition by doc_id order by ord) - 1 as seq, contenido, size, bold, italic, font, imagen, clasificacion, pnum from (
+            select *, case when imagen then '[IMAGEN ' || round_even(x1 - x0, 0)::bigint || '×' || round_even(y1 - y0, 0)::bigint || 'px]' else text end as contenido, case when imagen then 0.0 else {size} end::double as size,
+              not imagen and (k % 3 = 0 or k % 7 = 0) as bold, not imagen and k % 4 = 0 as italic, case when imagen then null when k % 7 = 0 then 'arial-bold' else 'times' end as font,
+              case when imagen then case when (x1 - x0 < 32 and y1 - y0 < 32) or (pnum > 0 and (y1 < 40 or y0 > 760)) then 'Ignorar' else 'Imagen' end end as clasificacion,
+              row_number() over (partition by doc_id order by pnum, case when two and not lft then 1 else 0 end, y0, no) as ord
+            from (select *, sum(case when lft and not imagen then 1 else 0 end) over w >= 2 and sum(case when not lft and not imagen then 1 else 0 end) over w >= 2 as two from (select *, (x0 + x1) / 2 < 330 as lft from p2) window w as (partition by doc_id, pnum)))
+            where imagen or ({free} not (pnum > 0 and (y1 < 40 or y0 > 760)) and not (pnum > 0 and y1 < 96 and regexp_matches(substring(trim(text), 1, 100), '^(https?://doi[.]org/|doi[.]org/|[0-9]{{1,3}}$|paleontolog[íi]a mexicana\\s+vol[.])', 'i')) and length(trim(text)) >= 3)"""
+
+
 def _tables(spark, sf_dir):
     """A ruled table on every third page, the same place twice, some too small; and their documents."""
     p = _pages(spark, sf_dir).select("doc_id", "pnum").distinct().where("pnum % 3 = 0")
@@ -121,6 +139,26 @@ def _jats(s, d):
     return render.jats_documents(splits.route(chain.paragraphs(_embedded(s, d))), authors=_manual(s, d), tables=tabs)
 
 
+def _folded_signs(spark, sf_dir):
+    """Lines with signs that are several letters, and syllables of Hangul, among their words."""
+    signs = F.element_at(F.array(*map(F.lit, ("½ ", "㎞² ", "ﬁn… ", "각 ", "Ǆ ", "ĳ℡"))), ((F.col("doc_id") + F.col("seq")) % 6 + 1).cast("int"))
+    return blocks(spark, sf_dir).select("doc_id", "seq", F.concat(F.left("contenido", F.lit(20)), signs, F.substring("contenido", 21, 1 << 30)).alias("contenido"))
+
+
+def _scanned(spark, sf_dir):
+    return chain.scanned(_pages(spark, sf_dir, scans=True), _images(spark, sf_dir), _tables(spark, sf_dir))
+
+
+def _document_pages(s, d):
+    x = _scanned(s, d)
+    return chain.pages(x, "p{}", authors=_manual(s, d))
+
+
+def _document_articles(s, d):
+    x = _scanned(s, d)
+    return chain.articles(x, authors=_manual(s, d))
+
+
 def _media(s, d):
     """A note at a word of each page, one at none, one without an anchor."""
     p = s.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("doc_id"), "html")
@@ -177,6 +215,11 @@ def queries() -> dict:
         "split_blocks": lambda s, d: splits.renumbered(splits.split_embedded(B.drop_table_rows(B.label(_embedded(s, d))))).select("doc_id", long("seq"), "clasificacion", "contenido"),
         "split_fused": lambda s, d: chain.paragraphs(_embedded(s, d)).select("doc_id", "kind", long("seq"), "clasificacion", "contenido"),
         "edit_log": lambda s, d: splits.edited(_label(s, d), _log(s, d), blocks(s, d).where("seq % 11 = 3")).select("doc_id", long("seq"), "clasificacion", "contenido"),
+        "compatible_folds": lambda s, d: _folded_signs(s, d).select("doc_id", "seq", T.norm(F.col("contenido")).alias("folded")),
+        "search_decomposed": lambda s, d: blocks(s, d).select("doc_id", "seq", F.inline(T.occurrences(F.replace("contenido", F.lit("a"), F.lit("a\u0301")), "ÁNA"))),
+        "document_paragraphs": lambda s, d: _scanned(s, d).paragraphs.select("doc_id", "kind", long("seq"), "clasificacion", "contenido"),
+        "document_pages": _document_pages,
+        "document_articles": _document_articles,
         "html_pages": _html,
         "jats_articles": _jats,
         "epub_parts": lambda s, d: render.epub_parts(_html(s, d), _fused(s, d), _manual(s, d)),
@@ -230,7 +273,18 @@ def oracle_sql() -> dict[str, str]:
     notes = """select doc_id, seq, clasificacion, contenido from (select *, row_number() over (partition by doc_id, clasificacion, substring(trim(contenido), 1, 80) order by seq) as nth from (
             select *, min(case when clasificacion = 'Encabezado sección' and regexp_matches(contenido, 'referencia|reference', 'i') then seq end) over (partition by doc_id) as ref from lab)
             where clasificacion in ('Cómo citar', 'Fecha manuscrito') and (ref is null or seq <= ref)) where nth = 1"""
+    # scans: tables of layout, blocks outside them, labels (images keep theirs), table mode, splits, fusion
+    scans = tables.replace(_PAGES, _SCANS)
+    scans = scans[: scans.index("tt as (")].strip() + "\nlb as (" + _LAYOUT.format(size="([9.0, 10.0, 12.0, 13.0, 8.5])[cast((doc_id * 7 + pos * 3) % 5 + 1 as integer)]", free="""not exists (select 1 from t1 where t1.doc_id = z0.doc_id and t1.pnum = z0.pnum
+              and greatest(0, least(x1, ix1) - greatest(x0, ix0)) * greatest(0, least(y1, iy1) - greatest(y0, iy0)) / greatest(1, (x1 - x0) * (y1 - y0)) >= 0.4) and""").replace("(partition by doc_id, pnum)))\n", "(partition by doc_id, pnum))) z0\n") + "),"
+    image = _LABELS[len(_BLOCKS) :].replace(" from b),\nst as", " from lb),\nst as").replace("min(case when ", "min(case when not imagen and ").replace("case when z1 = seq", "case when imagen then given when z1 = seq").replace("z as (select *,", "z as (select * exclude (clasificacion), clasificacion as given,")
+    image = image.replace("contenido, pnum, zone,", "contenido, pnum, size, bold, italic, zone,") + _TABLE_MODE.replace("contenido, pnum,", "contenido, pnum, size, bold, italic,")
     return {
+        "compatible_folds": chained(_BLOCKS, """select doc_id, seq, lower(trim(regexp_replace(strip_accents(left(contenido, 20)) || ['1⁄2 ', 'km2 ', 'fin... ', chr(4352) || chr(4449) || chr(4520) || ' ', 'DZ ', 'ijTEL'][cast((doc_id + seq) % 6 + 1 as integer)] || strip_accents(substring(replace(contenido, '²', '2'), 21)), '\\s+', ' ', 'g'))) as folded from b"""),
+        "search_decomposed": chained(_BLOCKS, """select doc_id, seq, p as at, 1::integer as line, p as "column", 1::integer as end_line, e as end_column from (
+            select doc_id, seq, (i - 1 + n - length(replace(left(contenido, i - 1), 'a', '')))::integer as p, (i + 2 + n2 - length(replace(left(contenido, i + 2), 'a', '')))::integer as e from (
+            select *, i - 1 as n, i + 2 as n2 from (select doc_id, seq, contenido, unnest(list_filter(range(1, length(contenido) - 1), lambda i: substring(strip_accents(lower(contenido)), i, 3) = 'ana')) as i from b)))"""),
+        "document_paragraphs": chained(scans + image + _SPLIT + _FUSE.replace("from kept)", "from parts)").replace("p1 as (", "fp as (").replace("from p1 ", "from fp "), "select doc_id, cast(kind as integer) as kind, seq, clasificacion, contenido from fused"),
         "split_blocks": chained(_EMBEDDED + _SPLIT, "select doc_id, seq, clasificacion, contenido from parts"),
         "split_fused": chained(_EMBEDDED + _SPLIT + _FUSE.replace("from kept)", "from parts)"), "select doc_id, cast(kind as integer) as kind, seq, clasificacion, contenido from fused"),
         "edit_log": lab("""select doc_id, row_number() over (partition by doc_id order by seq) - 1 as seq, clasificacion, contenido from (
@@ -250,13 +304,7 @@ def oracle_sql() -> dict[str, str]:
             select doc_id, seq, part, case when part = 'heading' then case when i > 1 then '</sec>' else '' end || '<sec><title>' || {esc('t')} || '</title>' else case when i = 1 and headed then '<sec><title></title>' else '' end || '<p>' || {esc('t')} || '</p>' end as piece from (
             select r.doc_id, r.seq, r.part, trim(regexp_replace(contenido, '\\s+', ' ', 'g')) as t, row_number() over (partition by r.doc_id order by r.seq) as i, bool_or(r.part = 'heading') over (partition by r.doc_id) as headed
             from ({registry.oracle_sql()['jats_route']}) r join ({chained(_BLOCKS, 'select doc_id, seq, contenido from b')}) c on r.doc_id = c.doc_id and r.seq = c.seq where r.part in ('heading', 'paragraph'))) group by doc_id""",
-        "layout_blocks": chained(_PAGES, """select doc_id, row_number() over (partition by doc_id order by ord) - 1 as seq, contenido, size, bold, italic, font, imagen, clasificacion, pnum from (
-            select *, case when imagen then '[IMAGEN ' || round_even(x1 - x0, 0)::bigint || '×' || round_even(y1 - y0, 0)::bigint || 'px]' else text end as contenido, case when imagen then 0.0 else 10.0 end::double as size,
-              not imagen and (k % 3 = 0 or k % 7 = 0) as bold, not imagen and k % 4 = 0 as italic, case when imagen then null when k % 7 = 0 then 'arial-bold' else 'times' end as font,
-              case when imagen then case when (x1 - x0 < 32 and y1 - y0 < 32) or (pnum > 0 and (y1 < 40 or y0 > 760)) then 'Ignorar' else 'Imagen' end end as clasificacion,
-              row_number() over (partition by doc_id order by pnum, case when two and not lft then 1 else 0 end, y0, no) as ord
-            from (select *, sum(case when lft and not imagen then 1 else 0 end) over w >= 2 and sum(case when not lft and not imagen then 1 else 0 end) over w >= 2 as two from (select *, (x0 + x1) / 2 < 330 as lft from p2) window w as (partition by doc_id, pnum)))
-            where imagen or (not (pnum > 0 and (y1 < 40 or y0 > 760)) and not (pnum > 0 and y1 < 96 and regexp_matches(substring(trim(text), 1, 100), '^(https?://doi[.]org/|doi[.]org/|[0-9]{1,3}$|paleontolog[íi]a mexicana\\s+vol[.])', 'i')) and length(trim(text)) >= 3)"""),
+        "layout_blocks": chained(_PAGES, _LAYOUT.format(size="10.0", free="")),
         "pdf_figures": chained(_PAGES + pages + """
             im as (select *, doc_id + pnum as k, 100.0 + 125.0 * (doc_id % 3) + case when img_idx = 3 then 10.0 else 0.0 end as iy0, case when (doc_id + pnum + img_idx) % 5 = 0 then 31.0 else 200.0 end as w from (select doc_id, pnum, unnest([1, 2, 3]) as img_idx from pg)),
             i1 as (select *, 60.0 as ix0, 60.0 + w as ix1, iy0 + 60 as iy1 from (select *, row_number() over (partition by doc_id, pnum, case when img_idx = 3 then 7 else 5 end, iy0, w order by img_idx) as nth from im where w >= 32) where nth = 1),""",

@@ -9,7 +9,7 @@ from quire.plans import more, registry
 
 QUERIES, SQL = registry.queries() | more.queries(), registry.oracle_sql() | more.oracle_sql()
 #: Whole pages and articles have no SQL; see test_documents.py.
-WHOLE = {"html_pages", "jats_articles", "epub_parts"}
+WHOLE = {"html_pages", "jats_articles", "epub_parts", "document_pages", "document_articles"}
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
