@@ -91,8 +91,9 @@ def _holds(col, characters: str):
 
 
 def _fold(col, folds: _Folds):
-    """Texts without signs of several letters need one translation only; others go by character first."""
-    wide = F.array_join(F.transform(F.split(col, ""), lambda c: _letters(c, folds)), "")
+    """Texts without signs of several letters need one translation only; in others each such sign is replaced first."""
+    rare = F.filter(F.array_distinct(F.split(col, "")), lambda c: (F.instr(F.lit(folds.signs), c) > 0) | c.between("가", "힣"))
+    wide = F.aggregate(rare, col, lambda acc, c: F.replace(acc, c, _letters(c, folds)))
     return F.translate(F.when(_holds(col, folds.signs + _SYLLABLES), wide).otherwise(col), folds.one + folds.marks, folds.base)
 
 

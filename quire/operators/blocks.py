@@ -180,20 +180,28 @@ def at_edge():
     return (F.col("pnum") > 0) & ((F.col("y1") < 0.05 * F.col("page_h")) | (F.col("y0") > 0.95 * F.col("page_h")))
 
 
-def without_headers(blocks: DataFrame) -> DataFrame:
-    """Without running headers and footers, header texts of the upper 12 % and texts under three characters."""
+def is_content():
+    """Whether a text is neither a running header or footer, nor a header text of the upper 12 %, nor under three
+    characters."""
     t, h = strip(F.col("contenido")), F.col("page_h")
     upper = (F.col("pnum") > 0) & (F.col("y1") < 0.12 * h) & has(F.substring(t, 1, 100), P.HEADER_TEXT)
-    return blocks.where(~at_edge() & ~upper & (F.length(t) >= 3))
+    return ~at_edge() & ~upper & (F.length(t) >= 3)
+
+
+def without_headers(blocks: DataFrame) -> DataFrame:
+    """Without running headers and footers, header texts of the upper 12 % and texts under three characters."""
+    return blocks.where(is_content())
 
 
 def outside_tables(blocks: DataFrame, rects: DataFrame, share: float = 0.4) -> DataFrame:
-    """Blocks of which no table rectangle (doc_id, pnum, rx0, ry0, rx1, ry1) of the page covers that share."""
+    """Blocks of which no table rectangle (doc_id, pnum, rx0, ry0, rx1, ry1) of the page covers that share. Rows whose
+    `imagen` is true, if there is such a column, stay."""
     r = rects.select(F.col("doc_id").alias("_d"), F.col("pnum").alias("_p"), "rx0", "ry0", "rx1", "ry1")
     w = F.greatest(F.lit(0), F.least("x1", "rx1") - F.greatest("x0", "rx0"))
     h = F.greatest(F.lit(0), F.least("y1", "ry1") - F.greatest("y0", "ry0"))
     area = F.greatest(F.lit(1), (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
-    return blocks.join(r, (F.col("doc_id") == F.col("_d")) & (F.col("pnum") == F.col("_p")) & (w * h / area >= share), "left_anti")
+    text = ~F.col("imagen") if "imagen" in blocks.columns else F.lit(True)
+    return blocks.join(r, (F.col("doc_id") == F.col("_d")) & (F.col("pnum") == F.col("_p")) & text & (w * h / area >= share), "left_anti")
 
 
 def nearest(items: DataFrame, texts: DataFrame, score, valid, name: str) -> DataFrame:

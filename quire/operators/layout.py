@@ -41,11 +41,9 @@ def raw_blocks(page_blocks: DataFrame, rects: DataFrame | None = None) -> DataFr
     small = (w < LEAST_SIDE) & (h < LEAST_SIDE)
     x = x.withColumn("_f", font_info()).withColumn("contenido", F.when(F.col("imagen"), image).otherwise(block_text()))
     x = x.withColumn("clasificacion", F.when(F.col("imagen"), F.when(small | B.at_edge(), P.IGNORAR).otherwise(P.IMAGEN)))
-    keep = F.col("imagen")
-    texts = B.without_headers(x.where(~keep))
+    x = x.where(F.col("imagen") | B.is_content())
     if rects is not None:
-        texts = B.outside_tables(texts, rects)
-    x = texts.unionByName(x.where(keep))
+        x = B.outside_tables(x, rects)
     off = lambda name, value: F.when(F.col("imagen"), F.lit(value)).otherwise(F.col(f"_f.{name}")).alias(name)
     seq = (F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1).alias("seq")
     return x.select("doc_id", seq, "contenido", off("size", 0.0), off("bold", False), off("italic", False), off("font", None), "imagen", "clasificacion", "pnum", "block_no", "x0", "y0", "x1", "y1", "page_w", "page_h")
