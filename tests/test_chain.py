@@ -37,7 +37,7 @@ def test_paragraphs_of_scans(small):
     got = [(r.doc_id, r.clasificacion, r.contenido) for r in small.paragraphs.orderBy("doc_id", "seq").collect()]
     assert got == [
         (1, "Título principal", "Un <título>"), (1, "Subencabezado", "1. Introducción"), (1, "Cuerpo", "El texto que continúa & sigue en otro bloque."), (1, "Imagen", "[IMAGEN 240×100px]"),
-        (1, "Pie de figura", "Figura 1. Un hueso"), (1, "Título tabla", "Tabla 1. Medidas"), (1, "Subencabezado", "2. Fin"), (1, "Cuerpo", "Fin del texto."), (1, "Encabezado sección", "Agradecimientos"), (1, "Cuerpo", "A todos.")]
+        (1, "Pie de figura", "Figura 1. Un hueso"), (1, "Título tabla", "Tabla 1. Medidas"), (1, "Subencabezado", "2. Fin"), (1, "Filiación", "Fin del texto."), (1, "Encabezado sección", "Agradecimientos"), (1, "Cuerpo", "A todos.")]
 
 
 def test_page_of_scans(small):
