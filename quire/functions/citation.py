@@ -18,7 +18,7 @@ def _trim(col, chars: str):
 def manuscript_dates(col):
     """array<struct(date_type, day, month, year)> of a document's date notes, joined by a blank; entries of unknown
     kind or without a year are left out."""
-    marked = F.split(F.regexp_replace(col, r"(?iu)(?:manuscrito|manuscript)\s+(\w+)\s*:", "\u0001$1\u0002"), "\u0001")
+    marked = F.split(F.regexp_replace(col, r"(?iuU)(?:manuscrito|manuscript)\s+(\w+)\s*:", "\u0001$1\u0002"), "\u0001")
     kinds = F.create_map(*[LIT(x) for kv in P.DATE_TYPES.items() for x in kv])
     parts = F.transform(
         F.slice(marked, LIT(2), F.size(marked)),
@@ -56,13 +56,24 @@ def issue_numbers(notes, doi):
     return F.struct(F.when(out["year"] != "", out["year"]).otherwise(found(F.coalesce(doi, LIT("")), P.YEAR, 0)).alias("year"), *[out[n].alias(n) for n in names[1:]])
 
 
+def _paired(parts):
+    """Pieces with the initials after them, at most one such piece each: in a run of initials every second begins anew."""
+    none = F.struct(F.array().cast("array<string>").alias("names"), LIT(True).alias("full"))
+
+    def step(acc, x):
+        names, joins = acc["names"], ~acc["full"] & x.rlike(r"^[A-ZÁÉÍÓÚÑÜ][.\s]")
+        both = F.concat(F.slice(names, LIT(1), F.size(names) - 1), F.array(F.concat(F.element_at(names, -1), LIT(", "), x)))
+        return F.struct(F.when(joins, both).otherwise(F.concat(names, F.array(x))).alias("names"), joins.alias("full"))
+
+    return F.aggregate(parts, none, step, lambda acc: acc["names"])
+
+
 def cited_authors(col):
-    """array<struct(surname, given)> of `Name, A. B., Name, C. & Name, D.`."""
-    s = F.regexp_replace(F.regexp_replace(strip(col), r"\s*&\s*", ", "), r"(?iu)\band\b\s*", "")
+    """array<struct(surname, given)> of `Name, A. B., Name, C. & Name, D.`. A piece that begins with an initial belongs to
+    the one before it, unless that has taken such a piece already."""
+    s = F.regexp_replace(F.regexp_replace(strip(col), r"\s*&\s*", ", "), r"(?iuU)\band\b\s*", "")
     parts = F.filter(F.transform(F.split(s, r",\s*(?=[A-ZÁÉÍÓÚÑÜ][a-záéíóúñü]|\.\s*[A-Z]|$)"), lambda x: _trim(x, " .,")), lambda x: x != "")
-    # initials that were cut off go back to the name before them
-    whole = F.split(F.regexp_replace(F.array_join(parts, "\u0001"), "\u0001([A-ZÁÉÍÓÚÑÜ][.\\s]+[^\u0001]*)", ", $1"), "\u0001")
-    named = F.filter(whole, lambda x: x != "")
+    named = F.filter(F.transform(_paired(parts), lambda x: _trim(x, " ,.")), lambda x: x != "")
     return F.transform(named, lambda x: F.struct(
         F.when(F.contains(x, LIT(",")), clean(F.substring_index(x, ",", 1))).otherwise(x).alias("surname"),
         F.when(F.contains(x, LIT(",")), clean(F.regexp_replace(x, "^[^,]*,", ""))).otherwise("").alias("given")))

@@ -277,18 +277,18 @@ def country(col):
 
 def editorial(col):
     """Escaped text with editorial tags in bold, on a line of their own unless they begin it."""
-    tag = rf"(?iu)\b({P.EDITORIAL})\s*"
-    t = F.regexp_replace(escape(col), "^" + tag, "<strong>$1</strong> ")
-    t = F.regexp_replace(t, r"(?iu)(?<!^)(?<!<strong>)" + tag[5:], "<br><strong>$1</strong> ")
+    t = F.regexp_replace(escape(col), rf"(?iuU)\b({P.EDITORIAL})\s*", "<br><strong>$1</strong> ")
+    t = F.regexp_replace(t, "^<br>", "")  # an escaped text has no tag of its own
     return strip(F.replace(t, F.lit("<strong>Sinonimia.</strong> "), F.lit("<strong>Sinonimia.</strong><br>")))
 
 
-def affiliations(col):
-    """array<struct(label, body)> of a line: one after its mark, or several after marks that follow .;:) or begin it."""
-    return let(squeeze(F.coalesce(col, F.lit(""))), _affiliations)
+def affiliations(col, by_mark: bool = False):
+    """array<struct(label, body)> of a line: one after its mark, or several after marks that follow .;:) or begin it.
+    by_mark: a line that has none of these may begin with a mark and anything after it, small letters and digits too."""
+    return let(squeeze(F.coalesce(col, F.lit(""))), lambda t: _affiliations(t, by_mark))
 
 
-def _affiliations(t):
+def _affiliations(t, by_mark: bool):
     mark = r"([0-9]+|[A-Za-z]{1,3})"
     whole = rf"^{mark}\s*[).:\-*]?\s+([A-ZÁÉÍÓÚÑÜ].*)$"
     body = lambda x, chars: F.regexp_replace(x, rf"^[ \-{chars}\t]+|[ \-{chars}\t]+$", "")
@@ -297,6 +297,9 @@ def _affiliations(t):
     several = F.split(F.regexp_replace(t, rf"(^|[.;:)])\s*(?={mark}\s+[A-Za-zÁÉÍÓÚÑÜáéíóúñü])", "$1\u0001"), "\u0001")
     cut = F.transform(F.slice(several, F.lit(2), F.size(several)), lambda x: pair(F.regexp_extract(x, "^" + mark, 1), body(F.regexp_replace(x, "^" + mark, ""), ".:;")))
     single = t.rlike(whole) & ~one.rlike(rf"[.;:)]\s+{mark}\s+[A-ZÁÉÍÓÚÑÜ]")
+    if by_mark:
+        loose = rf"^{mark}\s*[).:\-]?\s+(.*)$"
+        cut = F.when(F.size(several) == 1, F.array(pair(F.regexp_extract(t, loose, 1), F.regexp_extract(t, loose, 2)))).otherwise(cut)
     return F.filter(F.when(single, F.array(pair(F.regexp_extract(t, whole, 1), one))).otherwise(cut), lambda x: x["body"] != "")
 
 

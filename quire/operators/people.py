@@ -46,7 +46,7 @@ def affiliation_lines(texts: DataFrame, *key: str) -> DataFrame:
     by its number."""
     line = texts.select(*key, F.posexplode(F.split("text", r"\r?\n")).alias("line", "t")).withColumn("t", clean(F.col("t"))).where("t <> ''")
     mail = F.regexp_extract("t", P.EMAIL_ANY, 0)
-    x = line.withColumn("email", F.when(F.col("t").startswith("*") & (mail != ""), mail)).withColumn("_a", affiliations(F.col("t")))
+    x = line.withColumn("email", F.when(F.col("t").startswith("*") & (mail != ""), mail)).withColumn("_a", affiliations(F.col("t"), by_mark=True))
     whole = F.array(F.struct(F.lit("").alias("label"), F.col("t").alias("body")))
     x = x.withColumn("_a", F.when(F.col("email").isNotNull(), F.array(F.struct(F.lit("").alias("label"), F.lit("").alias("body")))).when(F.size("_a") > 0, F.col("_a")).otherwise(whole))
     x = x.select(*key, "line", "email", F.posexplode("_a").alias("part", "a"))

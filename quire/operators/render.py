@@ -38,7 +38,7 @@ def paragraph_or_list(col, css: str = "cuerpo"):
     t, p = strip(col), F.lit(f'<p class="{style}">' if style else "<p>")
     parts = F.filter(F.transform(F.split(t, "•"), strip), lambda x: x != "")
     token = lambda kind, text: F.struct(F.lit(kind).alias("k"), text.alias("t"))
-    turn = r"^(.*?[.;])\s+([A-ZÁÉÍÓÚÑ][^:]{4,}:)\s*$"
+    turn = r"(?U)^(.*?[.;])\s+([A-ZÁÉÍÓÚÑ][^:]{4,}:)\s*$"
     item = lambda s: F.when(s.rlike(turn), F.array(token("li", F.regexp_extract(s, turn, 1)), token("p", F.regexp_extract(s, turn, 2)))).otherwise(F.array(token("li", s)))
     bare = t.startswith("•")
     tokens = F.flatten(F.transform(parts, lambda s, i: F.when((i == 0) & ~bare, F.array(token("p", s))).otherwise(item(s))))

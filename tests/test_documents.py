@@ -54,6 +54,21 @@ def test_issue_numbers(spark):
     assert [tuple(r[0]) for r in df.select(C.issue_numbers(F.col("n"), F.col("d"))).collect()] == [("2024", "45", "67", "13", "2"), ("2001", "", "", "", ""), ("", "", "", "", "3")]
 
 
+def test_initials_and_words_at_accents(spark):
+    got = one(spark, C.cited_authors, "Andújar, J. A., . K. L., . M. N. & Ñu, B.", "Uno, A. and Andújar, B.", "")
+    assert [[tuple(a) for a in x] for x in got] == [[("Andújar", "J. A, K. L"), ("M. N", ""), ("Ñu", "B")], [("Uno", "A. Andújar, B")], []]
+    got = one(spark, C.manuscript_dates, "Manuscrito recibido: s/f Manuscrito revisión: 3 de mayo de 2020")
+    assert got == [[]]  # the second note's date is not the first's
+    assert one(spark, T.editorial, "Horizonte y localidad. z", "éMaterial. x", "Material.\u00a0Remarks. y") == ["<strong>Horizonte y localidad.</strong> z", "éMaterial. x", "<strong>Material.</strong> <br><strong>Remarks.</strong> y"]
+
+
+def test_lines_that_begin_with_a_mark_only(spark):
+    lines = ["1) instituto de x", "Sur 5 x", "abcd 5 x", "1)"]
+    got = one(spark, lambda c: T.affiliations(c, by_mark=True), *lines)
+    assert [[tuple(a) for a in x] for x in got] == [[("1", "instituto de x")], [("Sur", "5 x")], [], []]
+    assert one(spark, T.affiliations, *lines) == [[], [], [], []]
+
+
 def test_citations(spark):
     raw = [
         "García, A. B., & López, C. (2001). Un título. Revista de Cosas, 12(3), 45–67. https://doi.org/10.1234/abc.",

@@ -5,9 +5,9 @@ import os
 import duckdb
 import pytest
 
-from quire.plans import more, registry
+from quire.plans import more, registry, shapes
 
-QUERIES, SQL = registry.queries() | more.queries(), registry.oracle_sql() | more.oracle_sql()
+QUERIES, SQL = registry.queries() | more.queries() | shapes.queries(), registry.oracle_sql() | more.oracle_sql() | shapes.oracle_sql()
 #: Whole pages and articles have no SQL; see test_documents.py.
 WHOLE = {"html_pages", "jats_articles", "epub_parts", "document_pages", "document_articles"}
 
