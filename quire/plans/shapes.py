@@ -103,22 +103,30 @@ select v.o_orderkey, pub_type, doi, url, year, coalesce(authors, '') as authors,
 from v left join a7 using (o_orderkey)"""
 
 _MARK = "([0-9]+|[A-Za-z]{1,3})"
+
+
+def affiliation_ctes(source: str, key: str) -> str:
+    """CTEs from a relation (key columns, t, squeezed) to `marked` (key columns, pos, label, body): affiliations after marks."""
+    both = lambda a, b: " and ".join(f"{a}.{c} = {b}.{c}" for c in key.split(", "))
+    return f"""
+am as (select *, trim(regexp_extract(t, '^{_MARK}\\s*[).:*-]?\\s+([{_UPPER}].*)$', 2), ' -:' || chr(9)) as own, regexp_extract(t, '^{_MARK}\\s*[).:*-]?\\s+([{_UPPER}].*)$', 1) as mark from {source}),
+af as (select *, own <> '' and not regexp_matches(own, '[.;:)]\\s+{_MARK}\\s+[{_UPPER}]') as single from am),
+-- every place where a mark stands at the beginning or after a closing sign
+ap as (select *, unnest(generate_series(1, length(t))) as pos from af where not single),
+ast as (select *, regexp_extract(substr(t, pos), '^{_MARK}\\s+[{_UPPER}{_LOWER}]', 1) as found from ap where pos = 1 or regexp_matches(rtrim(left(t, pos - 1)), '[.;:)]$')),
+ag as (select *, coalesce(lead(pos) over (partition by {key} order by pos), length(t) + 1) as until from ast where found <> ''),
+marked as (select * from (select {key}, pos, found as label, trim(substr(t, pos + length(found), until - pos - length(found)), ' -.:;' || chr(9)) as body from ag) where body <> ''
+  union all select {key}, 0, mark, own from af where single),
+loose as (select {key}, regexp_extract(t, '^{_MARK}\\s*[).:-]?\\s+(.*)$', 1) as label, regexp_extract(t, '^{_MARK}\\s*[).:-]?\\s+(.*)$', 2) as body from af where not single and not exists (select 1 from ag where {both('ag', 'af')}) and regexp_matches(t, '^{_MARK}\\s*[).:-]?\\s+.')),"""
+
+
 _AFFILIATION_SQL = f"""{_with(_AFFILIATION)},
 ln as (select o_orderkey, unnest(generate_series(0, len(a) - 1)) as line, unnest(a) as raw from (select o_orderkey, string_split(text, chr(10)) as a from r)),
 c as (select o_orderkey, line, {_CLEAN.format('raw')} as t from ln where trim(raw) <> ''),
-m as (select *, case when starts_with(t, '*') then nullif(regexp_extract(t, '[{_W}.\\-+%]+@[{_W}.\\-]+\\.[{_W}]{{2,}}', 0), '') end as email,
-  trim(regexp_extract(t, '^{_MARK}\\s*[).:*-]?\\s+([{_UPPER}].*)$', 2), ' -:' || chr(9)) as own, regexp_extract(t, '^{_MARK}\\s*[).:*-]?\\s+([{_UPPER}].*)$', 1) as mark from c),
-f as (select *, email is null and own <> '' and not regexp_matches(own, '[.;:)]\\s+{_MARK}\\s+[{_UPPER}]') as single from m),
--- every place where a mark stands pos the beginning or after a closing sign
-p as (select *, unnest(generate_series(1, length(t))) as pos from f where email is null and not single),
-st as (select *, regexp_extract(substr(t, pos), '^{_MARK}\\s+[{_UPPER}{_LOWER}]', 1) as found from p where pos = 1 or regexp_matches(rtrim(left(t, pos - 1)), '[.;:)]$')),
-sg as (select *, coalesce(lead(pos) over (partition by o_orderkey, line order by pos), length(t) + 1) as until, 1 as ok from st where found <> ''),
-seg as (select o_orderkey, line, pos, found as label, trim(substr(t, pos + length(found), until - pos - length(found)), ' -.:;' || chr(9)) as body from sg),
-kept as (select o_orderkey, line, pos, label, body from seg where body <> ''
-  union all select o_orderkey, line, 0, mark, own from f where single
-  union all select o_orderkey, line, 0, '', '' from f where email is not null
-  union all select o_orderkey, line, 0, regexp_extract(t, '^{_MARK}\\s*[).:-]?\\s+(.*)$', 1), regexp_extract(t, '^{_MARK}\\s*[).:-]?\\s+(.*)$', 2) from f where email is null and not single and (o_orderkey, line) not in (select (o_orderkey, line) from sg) and regexp_matches(t, '^{_MARK}\\s*[).:-]?\\s+.')),
-al as (select f.o_orderkey, f.line, f.email, coalesce(k.pos, 0) as pos, coalesce(k.label, '') as label, case when k.body is null then f.t else k.body end as text from f left join kept k on k.o_orderkey = f.o_orderkey and k.line = f.line),
+m as (select *, case when starts_with(t, '*') then nullif(regexp_extract(t, '[{_W}.\\-+%]+@[{_W}.\\-]+\\.[{_W}]{{2,}}', 0), '') end as email from c),
+f as (select o_orderkey, line, t from m where email is null),{affiliation_ctes('f', 'o_orderkey, line')}
+kept as (select o_orderkey, line, pos, label, body from marked union all select o_orderkey, line, 0, label, body from loose union all select o_orderkey, line, 0, '', '' from m where email is not null),
+al as (select m.o_orderkey, m.line, m.email, coalesce(k.pos, 0) as pos, coalesce(k.label, '') as label, case when k.body is null then m.t else k.body end as text from m left join kept k on k.o_orderkey = m.o_orderkey and k.line = m.line),
 n as (select *, row_number() over (partition by o_orderkey, line order by pos) - 1 as part, sum(case when email is null then 1 else 0 end) over (partition by o_orderkey order by line, pos rows unbounded preceding) as n from al)
 select o_orderkey, cast(line as integer) as line, cast(part as integer) as part, case when email is null then 'aff' || cast(n as bigint) end as aff_id, case when label <> '' then label else cast(cast(n as bigint) as varchar) end as label, text, email from n"""
 
@@ -143,15 +151,23 @@ def _tagged(col: str) -> str:
 
 
 _TURN = f"^(.*?[.;])\\s+([A-ZÁÉÍÓÚÑ][^:]{{4,}}:)\\s*$"
-_LIST_SQL = f"""with k as (select o_orderkey as k from orders), t as (select k as o_orderkey, trim({_LISTED}) as t from k),
-p as (select o_orderkey, t, list_filter(list_transform(string_split(t, '•'), lambda z: trim(z)), lambda z: z <> '') as a from t),
-u as (select o_orderkey, t, unnest(generate_series(1, len(a))) as i, unnest(a) as s from p where contains(t, '•')),
-w as (select o_orderkey, i * 2 as i, case when i = 1 and not starts_with(t, '•') then 'p' else 'li' end as kind, case when (i > 1 or starts_with(t, '•')) and regexp_matches(s, '{_TURN}') then regexp_extract(s, '{_TURN}', 1) else s end as s from u
-  union all select o_orderkey, i * 2 + 1, 'p', regexp_extract(s, '{_TURN}', 2) from u where (i > 1 or starts_with(t, '•')) and regexp_matches(s, '{_TURN}')
-  union all select o_orderkey, 0, 'p', t from p where t <> '' and (not contains(t, '•') or len(a) = 0)),
-n as (select *, coalesce(lag(kind) over v, 'p') as before, coalesce(lead(kind) over v, 'p') as after from w window v as (partition by o_orderkey order by i)),
-o as (select o_orderkey, i, case when kind = 'p' then '<p class="cuerpo">' || {_tagged('s')} || '</p>' else case when before = 'p' then '<ul class="lista-bullets cuerpo-list">' || chr(10) else '' end || '  <li>' || {_tagged('s')} || '</li>' || case when after = 'p' then chr(10) || '</ul>' else '' end end as x from n)
-select t.o_orderkey, coalesce(string_agg(x, chr(10) order by i), '') as html from t left join o using (o_orderkey) group by t.o_orderkey"""
+
+
+def list_ctes(source: str, key: str) -> str:
+    """CTEs from a relation (key columns, t, stripped) to `listed` (key columns, html): paragraphs and lists."""
+    return f"""
+lp as (select {key}, t, list_filter(list_transform(string_split(t, '•'), lambda z: trim(z)), lambda z: z <> '') as a from {source}),
+lu as (select {key}, t, unnest(generate_series(1, len(a))) as i, unnest(a) as s from lp where contains(t, '•')),
+lw as (select {key}, i * 2 as i, case when i = 1 and not starts_with(t, '•') then 'p' else 'li' end as kind, case when (i > 1 or starts_with(t, '•')) and regexp_matches(s, '{_TURN}') then regexp_extract(s, '{_TURN}', 1) else s end as s from lu
+  union all select {key}, i * 2 + 1, 'p', regexp_extract(s, '{_TURN}', 2) from lu where (i > 1 or starts_with(t, '•')) and regexp_matches(s, '{_TURN}')
+  union all select {key}, 0, 'p', t from lp where t <> '' and (not contains(t, '•') or len(a) = 0)),
+ln as (select *, coalesce(lag(kind) over v, 'p') as before, coalesce(lead(kind) over v, 'p') as after from lw window v as (partition by {key} order by i)),
+lo as (select {key}, i, case when kind = 'p' then '<p class="cuerpo">' || {_tagged('s')} || '</p>' else case when before = 'p' then '<ul class="lista-bullets cuerpo-list">' || chr(10) else '' end || '  <li>' || {_tagged('s')} || '</li>' || case when after = 'p' then chr(10) || '</ul>' else '' end end as x from ln),
+listed as (select {key}, string_agg(x, chr(10) order by i) as html from lo group by {key}),"""
+
+
+_LIST_SQL = f"""with k as (select o_orderkey as k from orders), t as (select k as o_orderkey, trim({_LISTED}) as t from k),{list_ctes('t', 'o_orderkey').rstrip(',')}
+select t.o_orderkey, coalesce(html, '') as html from t left join listed using (o_orderkey)"""
 
 
 def oracle_sql():
