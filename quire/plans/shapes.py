@@ -76,38 +76,54 @@ _YEAR = r"(?i)\((\d{4}(?:[,\s]+[^)]+)?|in press|en prensa)\)\.\s*"
 _DOI, _URL = r"(?i)https?://doi\.org/(\S+?)[.\s]*$", r"(?i)(https?://\S+?)[.\s]*$"
 _ISSUE, _VOLUME = r",\s*(\d+)\s*\((\d+)\)\s*,\s*(.+)$", r",\s*(\d+)\s*,\s*(.+)$"
 
-_CITATION_SQL = f"""{_with(_CITATION)},
-l as (select *, regexp_extract(t, '{_DOI}', 0) as dm, regexp_extract(t, '{_URL}', 0) as um,
+
+
+def esc(x: str) -> str:
+    return f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+def same(a: str, b: str, key: str) -> str:
+    return " and ".join(f"{a}.{c} = {b}.{c}" for c in key.split(", "))
+
+
+def citation_ctes(source: str, key: str) -> str:
+    """CTEs from a relation (key columns, t, squeezed) to `cited`: its columns and those of citations(); people: names as XML."""
+    both = same("cv", "a7", key)
+    return f"""
+cl as (select *, regexp_extract(t, '{_DOI}', 0) as dm, regexp_extract(t, '{_URL}', 0) as um,
   case when contains(lower(t), 'doi.org') or regexp_matches(t, ',\\s*\\d+\\s*[(,]') then 'journal' when regexp_matches(lower(t), '[(]eds?[.][)]| in |pp[.] ') then 'book'
-    when regexp_matches(lower(t), '[.]pdf|fundación|fundacion|informe|report') then 'report' when contains(lower(t), 'http') then 'webpage' else 'journal' end as pub_type from t),
-x as (select *, rtrim(regexp_extract(t, '{_DOI}', 1), '.),;') as doi, case when dm = '' then rtrim(regexp_extract(t, '{_URL}', 1), '.),;') else '' end as url,
-  case when dm <> '' then trim(left(t, instr(t, dm) - 1), ' .') when um <> '' then trim(left(t, instr(t, um) - 1), ' .') else t end as x from l),
-y as (select *, regexp_extract(x, '{_YEAR}', 0) as m, regexp_extract(x, '[(](\\d{{4}})[)]', 0) as m2 from x),
-h as (select *, case when m <> '' then trim(regexp_extract(x, '{_YEAR}', 1)) else trim(m2, '()') end as year,
+    when regexp_matches(lower(t), '[.]pdf|fundación|fundacion|informe|report') then 'report' when contains(lower(t), 'http') then 'webpage' else 'journal' end as pub_type from {source}),
+cx as (select *, rtrim(regexp_extract(t, '{_DOI}', 1), '.),;') as doi, case when dm = '' then rtrim(regexp_extract(t, '{_URL}', 1), '.),;') else '' end as url,
+  case when dm <> '' then trim(left(t, instr(t, dm) - 1), ' .') when um <> '' then trim(left(t, instr(t, um) - 1), ' .') else t end as x from cl),
+cy as (select *, regexp_extract(x, '{_YEAR}', 0) as m, regexp_extract(x, '[(](\\d{{4}})[)]', 0) as m2 from cx),
+ch as (select *, case when m <> '' then trim(regexp_extract(x, '{_YEAR}', 1)) else trim(m2, '()') end as year,
   case when m <> '' then left(x, instr(x, m) - 1) when m2 <> '' then left(x, instr(x, m2) - 1) else '' end as a,
-  rtrim(case when m <> '' then trim(substr(x, instr(x, m) + length(m))) when m2 <> '' then trim(substr(x, instr(x, m2) + 6), ' .') else '' end, '.') as rest from y),
-s as (select *, list_filter(list_transform(string_split_regex(rest, '\\.\\s+'), lambda z: trim(z)), lambda z: z <> '') as s from h),
-j as (select *, coalesce(s[1], '') as article_title, coalesce(s[2], '') as j, case when pub_type <> 'journal' then '' else regexp_extract(coalesce(s[2], ''), '{_ISSUE}', 0) end as im, case when pub_type <> 'journal' then '' else regexp_extract(coalesce(s[2], ''), '{_VOLUME}', 0) end as vm from s),
-v as (select *, case when im <> '' then im else vm end as cut, trim(case when im <> '' then regexp_extract(im, '{_ISSUE}', 3) when vm <> '' then regexp_extract(vm, '{_VOLUME}', 2) else '' end, ' .') as pages from j),
+  rtrim(case when m <> '' then trim(substr(x, instr(x, m) + length(m))) when m2 <> '' then trim(substr(x, instr(x, m2) + 6), ' .') else '' end, '.') as rest from cy),
+cs as (select *, list_filter(list_transform(string_split_regex(rest, '\\.\\s+'), lambda z: trim(z)), lambda z: z <> '') as s from ch),
+cj as (select *, coalesce(s[1], '') as article_title, coalesce(s[2], '') as j, case when pub_type <> 'journal' then '' else regexp_extract(coalesce(s[2], ''), '{_ISSUE}', 0) end as im, case when pub_type <> 'journal' then '' else regexp_extract(coalesce(s[2], ''), '{_VOLUME}', 0) end as vm from cs),
+cv as (select *, case when im <> '' then im else vm end as cut, trim(case when im <> '' then regexp_extract(im, '{_ISSUE}', 3) when vm <> '' then regexp_extract(vm, '{_VOLUME}', 2) else '' end, ' .') as pages from cj),
 -- authors: pieces, then a piece of initials goes to the piece before it, unless that has taken one already
-a1 as (select o_orderkey, regexp_replace(regexp_replace(trim(a, ' .'), '\\s*&\\s*', ', ', 'g'), '(?i)(^|[^{_W}])and(?:\\s+|([^{_W}\\s])|$)', '\\1\\2', 'g') as a from h where year <> ''),
-a2 as (select o_orderkey, list_filter(list_transform(string_split(regexp_replace(a, ',\\s*([{_UPPER}][{_LOWER}]|\\.\\s*[A-Z]|$)', chr(1) || '\\1', 'g'), chr(1)), lambda z: trim(z, ' .,')), lambda z: z <> '') as a from a1),
-a3 as (select o_orderkey, unnest(generate_series(1, len(a))) as i, unnest(a) as p from a2),
-a4 as (select *, sum(case when i = 1 or not regexp_matches(p, '^[{_UPPER}][.\\s]') then 1 else 0 end) over (partition by o_orderkey order by i) as run from a3),
-a5 as (select *, (row_number() over (partition by o_orderkey, run order by i) - 1) // 2 as pair from a4),
-a6 as (select o_orderkey, min(i) as i, trim(string_agg(p, ', ' order by i), ' ,.') as p from a5 group by o_orderkey, run, pair),
-a7 as (select o_orderkey, string_agg(case when contains(p, ',') then trim(split_part(p, ',', 1)) || '/' || trim(substr(p, instr(p, ',') + 1)) else p || '/' end, '|' order by i) as authors from a6 group by o_orderkey)
-select v.o_orderkey, pub_type, doi, url, year, coalesce(authors, '') as authors, article_title, case when cut <> '' then trim(left(j, instr(j, cut) - 1), ' ,') else j end as source,
+a1 as (select {key}, regexp_replace(regexp_replace(trim(a, ' .'), '\\s*&\\s*', ', ', 'g'), '(?i)(^|[^{_W}])and(?:\\s+|([^{_W}\\s])|$)', '\\1\\2', 'g') as a from ch where year <> ''),
+a2 as (select {key}, list_filter(list_transform(string_split(regexp_replace(a, ',\\s*([{_UPPER}][{_LOWER}]|\\.\\s*[A-Z]|$)', chr(1) || '\\1', 'g'), chr(1)), lambda z: trim(z, ' .,')), lambda z: z <> '') as a from a1),
+a3 as (select {key}, unnest(generate_series(1, len(a))) as i, unnest(a) as p from a2),
+a4 as (select *, sum(case when i = 1 or not regexp_matches(p, '^[{_UPPER}][.\\s]') then 1 else 0 end) over (partition by {key} order by i) as run from a3),
+a5 as (select *, (row_number() over (partition by {key}, run order by i) - 1) // 2 as pair from a4),
+a6 as (select {key}, min(i) as i, trim(string_agg(p, ', ' order by i), ' ,.') as p from a5 group by {key}, run, pair),
+a7 as (select {key}, string_agg('<name><surname>' || {esc("case when contains(p, ',') then trim(split_part(p, ',', 1)) else p end")} || '</surname>' || case when contains(p, ',') and trim(substr(p, instr(p, ',') + 1)) <> '' then '<given-names>' || {esc("trim(substr(p, instr(p, ',') + 1))")} || '</given-names>' else '' end || '</name>', '' order by i) as people, string_agg(case when contains(p, ',') then trim(split_part(p, ',', 1)) || '/' || trim(substr(p, instr(p, ',') + 1)) else p || '/' end, '|' order by i) as authors from a6 group by {key}),
+cited as (select cv.*, coalesce(authors, '') as authors, people, case when cut <> '' then trim(left(j, instr(j, cut) - 1), ' ,') else j end as source,
   case when im <> '' then regexp_extract(im, '{_ISSUE}', 1) when vm <> '' then regexp_extract(vm, '{_VOLUME}', 1) else '' end as volume, regexp_extract(im, '{_ISSUE}', 2) as issue,
   regexp_extract(pages, '(\\d+)\\s*[–-]\\s*(\\d+)', 1) as fpage, regexp_extract(pages, '(\\d+)\\s*[–-]\\s*(\\d+)', 2) as lpage, case when regexp_matches(pages, '\\d\\s*[–-]\\s*\\d') then '' else pages end as elocation
-from v left join a7 using (o_orderkey)"""
+from cv left join a7 on {both}),"""
+
+
+_CITATION_SQL = f"""{_with(_CITATION)},{citation_ctes('t', 'o_orderkey').rstrip(',')}
+select o_orderkey, pub_type, doi, url, year, authors, article_title, source, volume, issue, fpage, lpage, elocation from cited"""
 
 _MARK = "([0-9]+|[A-Za-z]{1,3})"
 
 
 def affiliation_ctes(source: str, key: str) -> str:
     """CTEs from a relation (key columns, t, squeezed) to `marked` (key columns, pos, label, body): affiliations after marks."""
-    both = lambda a, b: " and ".join(f"{a}.{c} = {b}.{c}" for c in key.split(", "))
     return f"""
 am as (select *, trim(regexp_extract(t, '^{_MARK}\\s*[).:*-]?\\s+([{_UPPER}].*)$', 2), ' -:' || chr(9)) as own, regexp_extract(t, '^{_MARK}\\s*[).:*-]?\\s+([{_UPPER}].*)$', 1) as mark from {source}),
 af as (select *, own <> '' and not regexp_matches(own, '[.;:)]\\s+{_MARK}\\s+[{_UPPER}]') as single from am),
@@ -117,7 +133,7 @@ ast as (select *, regexp_extract(substr(t, pos), '^{_MARK}\\s+[{_UPPER}{_LOWER}]
 ag as (select *, coalesce(lead(pos) over (partition by {key} order by pos), length(t) + 1) as until from ast where found <> ''),
 marked as (select * from (select {key}, pos, found as label, trim(substr(t, pos + length(found), until - pos - length(found)), ' -.:;' || chr(9)) as body from ag) where body <> ''
   union all select {key}, 0, mark, own from af where single),
-loose as (select {key}, regexp_extract(t, '^{_MARK}\\s*[).:-]?\\s+(.*)$', 1) as label, regexp_extract(t, '^{_MARK}\\s*[).:-]?\\s+(.*)$', 2) as body from af where not single and not exists (select 1 from ag where {both('ag', 'af')}) and regexp_matches(t, '^{_MARK}\\s*[).:-]?\\s+.')),"""
+loose as (select {key}, regexp_extract(t, '^{_MARK}\\s*[).:-]?\\s+(.*)$', 1) as label, regexp_extract(t, '^{_MARK}\\s*[).:-]?\\s+(.*)$', 2) as body from af where not single and not exists (select 1 from ag where {same('ag', 'af', key)}) and regexp_matches(t, '^{_MARK}\\s*[).:-]?\\s+.')),"""
 
 
 _AFFILIATION_SQL = f"""{_with(_AFFILIATION)},
@@ -132,15 +148,23 @@ select o_orderkey, cast(line as integer) as line, cast(part as integer) as part,
 
 _MONTHS = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in P.MONTHS.items()) + "}"
 _FORMS = [r"([A-Za-záéíóúñÁÉÍÓÚÑ]+)\s+(\d{1,2})[,\s]+(\d{4})", r"(\d{1,2})\s+de\s+([A-Za-záéíóúñ]+)\s+de\s+(\d{4})", r"(\d{1,2})[/\-](\d{1,2})[/\-](\d{4})"]
-_DATES_SQL = f"""{_with(_NOTES)},
-s as (select o_orderkey, string_split(regexp_replace(text, '(?i)(?:manuscrito|manuscript)\\s+([{_W}]+)\\s*:', chr(1) || '\\1' || chr(2), 'g'), chr(1)) as a from t),
-e as (select o_orderkey, unnest(generate_series(2, len(a))) as i, unnest(a[2:]) as e from s),
-d as (select o_orderkey, i, case lower(split_part(e, chr(2), 1)) when 'recibido' then 'received' when 'received' then 'received' when 'corregido' then 'rev-recd' when 'revised' then 'rev-recd' when 'aceptado' then 'accepted' when 'accepted' then 'accepted' end as date_type, split_part(e, chr(2), 2) as v from e),
-f as (select *, case when regexp_matches(v, '{_FORMS[0]}') then 1 when regexp_matches(v, '{_FORMS[1]}') then 2 when regexp_matches(v, '{_FORMS[2]}') then 3 end as form from d),
-g as (select *, case form when 1 then regexp_extract(v, '{_FORMS[0]}', 2) when 2 then regexp_extract(v, '{_FORMS[1]}', 1) else regexp_extract(v, '{_FORMS[2]}', 1) end as day,
+
+
+def date_ctes(source: str, key: str) -> str:
+    """CTEs from a relation (key columns, text) to `dated` (key columns, place, date_type, day, month, year)."""
+    return f"""
+ds as (select {key}, string_split(regexp_replace(text, '(?i)(?:manuscrito|manuscript)\\s+([{_W}]+)\\s*:', chr(1) || '\\1' || chr(2), 'g'), chr(1)) as a from {source}),
+de as (select {key}, unnest(generate_series(2, len(a))) as i, unnest(a[2:]) as e from ds),
+dd as (select {key}, i, case lower(split_part(e, chr(2), 1)) when 'recibido' then 'received' when 'received' then 'received' when 'corregido' then 'rev-recd' when 'revised' then 'rev-recd' when 'aceptado' then 'accepted' when 'accepted' then 'accepted' end as date_type, split_part(e, chr(2), 2) as v from de),
+df as (select *, case when regexp_matches(v, '{_FORMS[0]}') then 1 when regexp_matches(v, '{_FORMS[1]}') then 2 when regexp_matches(v, '{_FORMS[2]}') then 3 end as form from dd),
+dg as (select *, case form when 1 then regexp_extract(v, '{_FORMS[0]}', 2) when 2 then regexp_extract(v, '{_FORMS[1]}', 1) else regexp_extract(v, '{_FORMS[2]}', 1) end as day,
   case form when 1 then coalesce({_MONTHS}[lower(regexp_extract(v, '{_FORMS[0]}', 1))], '') when 2 then coalesce({_MONTHS}[lower(regexp_extract(v, '{_FORMS[1]}', 2))], '') else regexp_extract(v, '{_FORMS[2]}', 2) end as month,
-  case form when 1 then regexp_extract(v, '{_FORMS[0]}', 3) when 2 then regexp_extract(v, '{_FORMS[1]}', 3) else regexp_extract(v, '{_FORMS[2]}', 3) end as year from f where date_type is not null and form is not null)
-select o_orderkey, cast(row_number() over (partition by o_orderkey order by i) - 1 as integer) as place, date_type, day, month, year from g"""
+  case form when 1 then regexp_extract(v, '{_FORMS[0]}', 3) when 2 then regexp_extract(v, '{_FORMS[1]}', 3) else regexp_extract(v, '{_FORMS[2]}', 3) end as year from df where date_type is not null and form is not null),
+dated as (select {key}, cast(row_number() over (partition by {key} order by i) - 1 as integer) as place, date_type, day, month, year from dg),"""
+
+
+_DATES_SQL = f"""{_with(_NOTES)},{date_ctes('t', 'o_orderkey').rstrip(',')}
+select * from dated"""
 
 
 def _tagged(col: str) -> str:
