@@ -110,8 +110,8 @@ j3 as (select doc_id, coalesce(arg_min(text, seq) filter (c = 'Título principal
 k1 as (select doc_id, row_number() over (partition by doc_id order by seq) as n, text, lower(strip_accents(text)) as low, coalesce(list_filter(list_transform(string_split(text, ','), lambda x: trim(x, ' .;')), lambda x: x <> '')[-1], '') as part from j1 where c = 'Filiación'),
 k2 as (select *, coalesce(case {_LONGEST} end, case lower(strip_accents(part)) {_LAST} end, ['', '']) as land from k1),
 affs as (select doc_id, string_agg('<aff id="aff' || n || '"><label>' || n || '</label><institution content-type="original">' || {esc('text')} || '</institution><country' || case when land[2] <> '' then ' country="' || land[2] || '"' else '' end || '>' || {esc('land[1]')} || '</country></aff>', '' order by n) as affs, string_agg('<xref ref-type="aff" rid="aff' || n || '">' || n || '</xref>', '' order by n) as links from k2 group by doc_id),
-m1 as (select doc_id, seq, unnest(regexp_extract_all(text, '[{_W}.+%-]+@[{_W}.-]+[.][{_W}]{{2,}}')) as m from j1 where c = 'Email / Metadatos'),
-mails as (select doc_id, string_agg('<email>' || {esc('m')} || '</email>', '' order by seq) as mails from (select doc_id, m, min(seq) as seq from m1 group by doc_id, m) group by doc_id),
+ml1 as (select doc_id, seq, unnest(regexp_extract_all(text, '[{_W}.+%-]+@[{_W}.-]+[.][{_W}]{{2,}}')) as m from j1 where c = 'Email / Metadatos'),
+mails as (select doc_id, string_agg('<email>' || {esc('m')} || '</email>', '' order by seq) as mails from (select doc_id, m, min(seq) as seq from ml1 group by doc_id, m) group by doc_id),
 p1_ as (select doc_id, seq, unnest(generate_series(1, len(a))) as i, unnest(a) as name from (select doc_id, seq, list_filter(list_transform(string_split(text, ';'), lambda x: trim(regexp_replace(trim(x), '[0-9,*¹²³⁰-ₜ]+$', ''))), lambda x: x <> '') as a from j1 where c = 'Autores' and doc_id % 4 > 0)
   union all select doc_id, 0, i, ['Ruiz, Ana', 'Luz María Paz'][i] from (select doc_id, unnest([1, 2]) as i from j3 where doc_id % 4 = 0)),
 p2_ as (select doc_id, row_number() over (partition by doc_id order by seq, i) as n, name, trim(name, ' .') as who, case when doc_id % 4 = 0 and i = 1 then '<contrib-id contrib-id-type="orcid" authenticated="false">https://orcid.org/0000-0001-2345-678X</contrib-id>' else '' end as id from p1_),

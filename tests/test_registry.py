@@ -8,8 +8,8 @@ import pytest
 from quire.plans import more, registry, shapes, whole
 
 QUERIES, SQL = registry.queries() | more.queries() | shapes.queries(), registry.oracle_sql() | more.oracle_sql() | shapes.oracle_sql() | whole.oracle_sql()
-#: Articles, and pages from scans, have no SQL; see test_documents.py and test_chain.py.
-WHOLE = {"jats_articles", "document_pages", "document_articles"}
+#: Documents from scans have no SQL; see test_chain.py.
+WHOLE = {"document_pages", "document_articles"}
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
