@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from quire.functions import patterns as P
 from quire.plans import more, registry
-from quire.plans.more import _EMBEDDED, _SPLIT
+from quire.plans.more import _EMBEDDED, _PAGES, _SCANS, _SPLIT
 from quire.plans.registry import _FUSE
 from quire.plans.shapes import affiliation_ctes, citation_ctes, date_ctes, esc, list_ctes
 
@@ -98,7 +98,15 @@ def _keywords(part: str, name: str, lang: str, title: str) -> str:
 {name} as (select doc_id, '<kwd-group kwd-group-type="author-generated" xml:lang="{lang}"><title>{title}</title>' || string_agg('<kwd>' || {esc('w')} || '</kwd>', '' order by seq, i) || '</kwd-group>' as {name} from (select * from {name}1 qualify row_number() over (partition by doc_id, lower(w) order by seq, i) = 1) group by doc_id),"""
 
 
-_ARTICLE = f"""
+
+def _article(tabs: str, figs: str = "") -> str:
+    """CTEs from fused paragraphs to `articles`. tabs, figs: SQL of their tables and figures."""
+    figures = f"""
+figs as ({figs}),
+figures_ as (select doc_id, '<sec sec-type="figures"><title>Figuras</title>' || string_agg('<fig id="fig' || n || '"><label>Figura ' || n || '</label><caption><title>Figura ' || n || '</title><p>' || {esc("case when trim(pie) <> '' then trim(pie) else 'Figura ' || n end")} || '</p></caption><graphic xlink:href="' || path || '"/></fig>', '' order by n) || '</sec>' as figures
+  from (select *, row_number() over (partition by doc_id order by fig_no) as n from figs) group by doc_id),""" if figs else """
+figures_ as (select 0 as doc_id, '' as figures where false),"""
+    return f"""
 jr as ({_PARTS}),
 j1 as (select f.doc_id, f.seq, clasificacion as c, trim(regexp_replace(contenido, '\\s+', ' ', 'g')) as text, jr.part from fused f join jr on jr.doc_id = f.doc_id and jr.seq = f.seq),
 j2 as (select *, rtrim(coalesce(nullif(regexp_extract(text, '(?i)https?://doi[.]org/(\\S+)', 1), ''), regexp_extract(text, '(10[.][0-9]{{4,9}}/\\S+)', 1)), '.),;') as doi, regexp_extract(text, '\\b[0-9]{{4}}-[0-9]{{3}}[0-9Xx]\\b', 0) as issn from j1),
@@ -131,16 +139,30 @@ r2 as (select doc_id, seq, row_number() over (partition by doc_id order by seq)
   || case when authors <> '' then '<person-group person-group-type="author">' || people || '</person-group>' else '' end || '<year iso-8601-date="' || regexp_extract(year, '^[0-9]*', 0) || '">' || {esc('year')} || '</year>' || {_some('article-title', 'article_title')} || {_some('source', 'source')} || {_some('volume', 'volume')} || {_some('issue', 'issue')} || {_some('fpage', 'fpage')} || {_some('lpage', 'lpage')}
   || {_some('elocation-id', 'elocation')} || {_some('pub-id', 'doi', ' pub-id-type="doi"')} || case when url <> '' then '<ext-link ext-link-type="uri" xlink:href="' || replace({esc('url')}, '"', '&quot;') || '">' || {esc('url')} || '</ext-link>' else '' end || '</element-citation>' end as x from cited),
 refs as (select doc_id, '<ref-list><title>Referencias</title>' || string_agg('<ref id="R' || n || '">' || x || '</ref>', '' order by n) || '</ref-list>' as refs from r2 group by doc_id),
-tabs as ({more.oracle_sql()["pdf_tables"]}),
+tabs as ({tabs}),{figures}
 media as (select doc_id, '<sec sec-type="tables"><title>Tablas</title>' || string_agg('<table-wrap id="tbl' || n || '"><label>Tabla ' || n || '</label><caption><title>Tabla ' || n || '</title><p>' || {esc("case when trim(titulo) <> '' then trim(titulo) else 'Tabla ' || n end")} || '</p></caption>{_GRID}</table-wrap>', '' order by n) || '</sec>' as media
   from (select *, row_number() over (partition by doc_id order by tab_no) as n from tabs) group by doc_id),
 j4 as (select *, case when year <> '' then year when regexp_matches(doi, '\\b(19|20)[0-9][0-9]\\b') then regexp_extract(doi, '\\b(19|20)[0-9][0-9]\\b', 0) else '2026' end as y from j3),
 articles as (select j4.doc_id, concat('{_ROOT}{_JOURNAL}<issn pub-type="epub">', issn, '</issn><publisher><publisher-name></publisher-name></publisher></journal-meta><article-meta>', {_some('article-id', 'doi', ' pub-id-type="doi"')}, '{_SUBJECT}<title-group><article-title>', {esc("case when title <> '' then title else 'Articulo' end")}, '</article-title>',
   case when title_en <> '' then '<trans-title-group xml:lang="en"><trans-title>' || {esc('title_en')} || '</trans-title></trans-title-group>' else '' end, '</title-group>', people, affs, '<author-notes><corresp id="cor1"><label>*</label>' || mails || '</corresp></author-notes>', '<pub-date pub-type="epub"><year>', y, '</year></pub-date>', {_some('elocation-id', "string_split(doi, '.')[-1]")},
   '<history>' || history || '</history>', '<permissions><copyright-statement>© ', y, ' </copyright-statement><copyright-year>', y, '{_RIGHTS}', kes, ken, kno,
-  case when period <> '' or cites <> '' then '<custom-meta-group>' || case when period <> '' then '<custom-meta><meta-name>publication-period</meta-name><meta-value>' || {esc('period')} || '</meta-value></custom-meta>' else '' end || cites || '</custom-meta-group>' end, '</article-meta></front><body>', body, media, '</body><back>', refs, '</back></article>' || chr(10)) as jats
+  case when period <> '' or cites <> '' then '<custom-meta-group>' || case when period <> '' then '<custom-meta><meta-name>publication-period</meta-name><meta-value>' || {esc('period')} || '</meta-value></custom-meta>' else '' end || cites || '</custom-meta-group>' end, '</article-meta></front><body>', body, media, figures, '</body><back>', refs, '</back></article>' || chr(10)) as jats
   from j4 left join people on people.doc_id = j4.doc_id left join affs on affs.doc_id = j4.doc_id left join mails on mails.doc_id = j4.doc_id left join history on history.doc_id = j4.doc_id left join kes on kes.doc_id = j4.doc_id left join ken on ken.doc_id = j4.doc_id left join kno on kno.doc_id = j4.doc_id
-  left join secs on secs.doc_id = j4.doc_id left join media on media.doc_id = j4.doc_id left join refs on refs.doc_id = j4.doc_id),
+  left join secs on secs.doc_id = j4.doc_id left join media on media.doc_id = j4.doc_id left join figures_ on figures_.doc_id = j4.doc_id left join refs on refs.doc_id = j4.doc_id),
+"""
+
+
+#: Pages with the tables of scans under a heading and figures after them; none has an anchor.
+_GRID_HTML = '<table class="pm-tabla">\n<thead><tr>\n<th>a b</th>\n<th></th>\n<th></th>\n</tr></thead><tbody>\n<tr>\n<td>&lt;c&gt;</td>\n<td>d</td>\n<td>e</td>\n</tr>\n</tbody></table>'
+
+
+def _illustrated(tabs: str, figs: str) -> str:
+    return f"""
+tabs as ({tabs}),
+figs as ({figs}),
+ts as (select doc_id, '\n<div class="figuras-finales">\n<h2 style="text-align:center;font-size:10pt;font-weight:700;margin-bottom:14px;">Tablas</h2>\n' || string_agg('\n<div class="tabla-wrapper">\n<p class="tabla-titulo"><strong>Tabla ' || tab_no || '.</strong> ' || {esc("case when titulo <> '' then titulo else 'Tabla ' || tab_no end")} || '</p>\n{_GRID_HTML}\n</div>\n\n', '' order by tab_no) || '</div>\n' as ts from tabs group by doc_id),
+fs as (select doc_id, string_agg('\n<figure id="fig' || fig_no || '" style="margin:18px auto;text-align:center;">\n  <img src="data:image/' || case when path like '%png' then 'png' else 'jpeg' end || ';base64,eA==" alt="Figura ' || fig_no || '" style="max-width:60%;max-height:420px;border:1px solid #bbb;">\n  <figcaption style="font-size:9pt;color:#1a1a1a;margin-top:5px;text-align:left;">' || '<strong>Figura ' || fig_no || '.</strong>' || case when pie <> '' then ' ' || {esc('pie')} else '' end || '</figcaption>\n</figure>\n', '' order by fig_no) as fs from figs group by doc_id),
+shown as (select p.doc_id, title, replace(html, '</article>', coalesce(ts, '') || coalesce(fs, '') || '</article>') as html from pages_ p left join ts on ts.doc_id = p.doc_id left join fs on fs.doc_id = p.doc_id),
 """
 
 
@@ -148,8 +170,14 @@ def oracle_sql() -> dict[str, str]:
     chained = lambda ctes, body: "with " + ctes.strip().rstrip(",") + " " + body
     paragraphs = _EMBEDDED + _SPLIT + _FUSE.replace("from kept)", "from parts)").replace("p1 as (", "fp as (").replace("from p1 ", "from fp ").rstrip() + ","
     page = paragraphs + _PAGE
+    parts = more.oracle_sql()
+    of_scans = parts["document_paragraphs"]
+    scans = of_scans[len("with ") : of_scans.rindex(" select doc_id, cast(kind")] + ","
+    tabs, figs = (parts[n].replace(_PAGES.lstrip(), _SCANS.lstrip()) for n in ("pdf_tables", "pdf_figures"))
     return {
-        "jats_articles": chained(paragraphs + _ARTICLE, "select doc_id, jats from articles"),
+        "jats_articles": chained(paragraphs + _article(parts["pdf_tables"]), "select doc_id, jats from articles"),
+        "document_articles": chained(scans + _article(tabs, figs), "select doc_id, jats from articles"),
+        "document_pages": chained(scans + _PAGE + _illustrated(tabs, figs), "select doc_id, title, html from shown"),
         "html_pages": chained(page, "select doc_id, title, html from pages_"),
         "epub_parts": chained(page + _BOOK, "select x2.doc_id, title, body, 'p{}' as css, coalesce(sections, '') as sections, case when x2.doc_id % 4 = 0 then 'Ruiz,  Ana|Luz María Paz' end as authors, doi from x2 join heads on heads.doc_id = x2.doc_id"),
     }
