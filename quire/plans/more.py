@@ -222,7 +222,8 @@ def queries() -> dict:
         "document_articles": _document_articles,
         "html_pages": _html,
         "jats_articles": _jats,
-        "epub_parts": lambda s, d: render.epub_parts(_html(s, d), chain.paragraphs(_embedded(s, d)), _manual(s, d)).withColumns({n: F.array_join(n, "|") for n in ("sections", "authors")}),
+        "epub_parts": lambda s, d: render.epub_parts(_html(s, d), chain.paragraphs(_embedded(s, d)), _manual(s, d)),
+        "book_texts": lambda s, d: render.epub_parts(_html(s, d), chain.paragraphs(_embedded(s, d)), _manual(s, d)).withColumns({n: F.array_join(n, "|") for n in ("sections", "authors")}),
     }
 
 

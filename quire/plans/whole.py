@@ -179,5 +179,5 @@ def oracle_sql() -> dict[str, str]:
         "document_articles": chained(scans + _article(tabs, figs), "select doc_id, jats from articles"),
         "document_pages": chained(scans + _PAGE + _illustrated(tabs, figs), "select doc_id, title, html from shown"),
         "html_pages": chained(page, "select doc_id, title, html from pages_"),
-        "epub_parts": chained(page + _BOOK, "select x2.doc_id, title, body, 'p{}' as css, coalesce(sections, '') as sections, case when x2.doc_id % 4 = 0 then 'Ruiz,  Ana|Luz María Paz' end as authors, doi from x2 join heads on heads.doc_id = x2.doc_id"),
+        "book_texts": chained(page + _BOOK, "select x2.doc_id, title, body, 'p{}' as css, coalesce(sections, '') as sections, case when x2.doc_id % 4 = 0 then 'Ruiz,  Ana|Luz María Paz' end as authors, doi from x2 join heads on heads.doc_id = x2.doc_id"),
     }

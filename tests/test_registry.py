@@ -31,4 +31,4 @@ def test_matches_sql(spark, name):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) - set(SQL) == {"epub_parts"} and not set(SQL) - set(QUERIES)  # arrays; book_texts has them joined
