@@ -56,9 +56,9 @@ def _texts(spark, sf_dir, text: str):
 
 
 def queries():
-    names = F.concat_ws("|", F.transform("authors", lambda a: F.concat(a["surname"], F.lit("/"), a["given"])))
+    names = lambda: F.concat_ws("|", F.transform("authors", lambda a: F.concat(a["surname"], F.lit("/"), a["given"])))
     return {
-        "citation_shapes": lambda s, d: C.citations(_texts(s, d, _CITATION), "text").select("o_orderkey", "pub_type", "doi", "url", "year", names.alias("authors"), "article_title", "source", "volume", "issue", "fpage", "lpage", "elocation"),
+        "citation_shapes": lambda s, d: C.citations(_texts(s, d, _CITATION), "text").select("o_orderkey", "pub_type", "doi", "url", "year", names().alias("authors"), "article_title", "source", "volume", "issue", "fpage", "lpage", "elocation"),
         "affiliation_shapes": lambda s, d: people.affiliation_lines(_texts(s, d, _AFFILIATION), "o_orderkey"),
         "date_note_shapes": lambda s, d: _texts(s, d, _NOTES).select("o_orderkey", F.posexplode(C.manuscript_dates(F.col("text"))).alias("place", "x")).select("o_orderkey", "place", "x.*"),
         "list_shapes": lambda s, d: _texts(s, d, _LISTED).select("o_orderkey", render.paragraph_or_list(F.col("text")).alias("html")),
