@@ -134,8 +134,12 @@ class Pieces:
         self.size = np.array([len(x) for x in self.bytes_of], np.int64)
         if any("▁" in s.lstrip("▁") for s, b in zip(names, byte) if not b):
             raise ValueError(f"{path}: pieces with a space inside would cross words")
+        # a text's last space is a word of its own, but of an empty text the model makes nothing
+        self.space = np.array(self.model.encode("0 ")[len(self.model.encode("0")) :], np.int64)
 
     def join(self, raw: bytes) -> np.ndarray:
+        if raw == b" ":
+            return self.space
         return np.array(self.model.encode(raw[1:].decode(), num_threads=1), np.int64)
 
     one = join

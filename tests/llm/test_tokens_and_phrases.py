@@ -54,6 +54,16 @@ def test_words_have_the_libraries_ids(texts):
     assert [flat[at[i] : at[i + 1]].tolist() for i in range(len(spaced))] == PIECES.encode([t for t in texts if t])
 
 
+@pytest.mark.parametrize("text", ["0 ", "a b ", "日本 ", "a\u00a0 ", "é \n ", " ", "  ", "a  ", "\t ", "a \n"])
+def test_a_last_space_is_a_piece(spark, text):
+    known, index, before = wordwise.distinct(*wordwise.buffers(pa.array([" " + text], pa.string())))
+    flat, at = wordwise.spread(*wordwise.encoded(known, MODEL), index)
+    assert flat.tolist() == PIECES.encode(text)
+    (row,) = align.align(spark.createDataFrame([(1, text)], "doc_id long, text string"), A, B).collect()
+    tokens = _tokens(text)
+    assert tokens and (row.n_a, row.n_b) == (len(tokens[0][0]), len(tokens[1][0]))
+
+
 # op13
 
 
