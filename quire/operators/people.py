@@ -43,8 +43,8 @@ def preferred(first: DataFrame, second: DataFrame) -> DataFrame:
 def affiliation_lines(texts: DataFrame, *key: str) -> DataFrame:
     """Of texts (key columns, text): key, line, part, aff_id, label, text, email. Lines of `*` and an address are e-mails;
     others one affiliation or more, numbered aff1, aff2 ... for each key. A line without a mark is one affiliation, labelled
-    by its number."""
-    line = texts.select(*key, F.posexplode(F.split("text", r"\r?\n")).alias("line", "t")).withColumn("t", clean(F.col("t"))).where("t <> ''")
+    by its number. Texts are dealt by their key before they are cut, as small ones may lie in one row group of a file."""
+    line = texts.select(*key, "text").repartition(*key).select(*key, F.posexplode(F.split("text", r"\r?\n")).alias("line", "t")).withColumn("t", clean(F.col("t"))).where("t <> ''")
     mail = F.regexp_extract("t", P.EMAIL_ANY, 0)
     x = line.withColumn("email", F.when(F.col("t").startswith("*") & (mail != ""), mail)).withColumn("_a", affiliations(F.col("t"), by_mark=True))
     whole = F.array(F.struct(F.lit("").alias("label"), F.col("t").alias("body")))
