@@ -9,13 +9,16 @@ length SEED: a window of `length` bytes is represented by the smallest of the ra
   anchor. Equal windows have equal anchors at equal offsets. Neighbouring windows with one anchor form a run. Spark
   sorts (rank of the anchor, rank of the run's whole span): a run with a unique rank is dropped; of runs with equal
   pairs each window repeats, and they are done; a run that shares its anchor's rank with another span goes on.
-length `length` - CELL + 1: the windows of a run whose anchors lie at offsets of one cell (CELL of them) share a core of
-  that length. Spark sorts the pairs of ranks of its halves; cells with a unique pair are dropped.
+length `length` - WIDE + 1: the windows of a run whose anchors lie at offsets of one wide cell (WIDE of them) share a core
+  of that length. Spark sorts (rank of the pair of ranks of its halves, rank of the cell's whole span); what becomes of
+  wide cells is as with runs, so those that a repeated string covers are done, and those it ends in go on.
+length `length` - CELL + 1: the same cells cut into cells of CELL windows with a longer core. Spark sorts the pairs of ranks
+  of its halves; cells with a unique pair are dropped.
 length `length`: Spark sorts the pairs of ranks of the halves of the windows left. Those that share one repeat.
 
 A mapper sorts FLUSH positions first and settles what repeats among them: of equal ones a single representative is
-dealt out, so a passage in a third of all texts costs a row a flush. An anchor with more than HOT spans in one flush
-goes on with all its runs, of which two are dealt out. Ranks are 64-bit hashes, which need no exchange to be equal on
+dealt out, so a passage in a third of all texts costs a row a flush. An anchor, or core of a wide cell, with more than HOT
+spans in one flush goes on with all of them, of which two are dealt out. Ranks are 64-bit hashes, which need no exchange to be equal on
 two machines. Each length reads the texts again rather than keep them; which positions go on is told by a bitset of
 checked size, beyond it by a join on doc_id.
 
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import Bits, Scratch, SpanHash, buffers, chunks, in_order, mapped, mix, own_keys, parted, texts, with_given
 
-SEED, CELL = 40, 40
+SEED, WIDE, CELL = 40, 40, 8
 #: Positions that a mapper sorts together before it deals them out; spans of an anchor among them that make it hot.
 FLUSH, HOT = 1 << 18, 8
 
@@ -87,8 +90,8 @@ def _pair(hashes: SpanHash, start: np.ndarray, size: int) -> np.ndarray:
     return mix(hashes.of(start, start + half) * _PAIR + hashes.of(start + half, start + size))
 
 
-def _key(doc: np.ndarray, at: np.ndarray, cell=0) -> np.ndarray:
-    return mix(mix(doc.astype(np.int64).view(_U)) + at.astype(_U) * _U(8191) + np.asarray(cell).astype(_U) * _PAIR)
+def _key(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return mix(mix(doc.astype(np.int64).view(_U)) + at.astype(_U) * _U(8191))
 
 
 def _scan(batches, length: int):
@@ -137,6 +140,33 @@ def _flushed(batches, length: int, take, settle, more=None):
         yield from settle(*map(np.concatenate, zip(*held)))
 
 
+def _settle(v, f, doc, at, n):
+    """Of runs or wide cells (v: rank of what their windows share, f: of the whole span) hits of those that repeat among
+    them, and positions of different ones."""
+    if not len(v):
+        return
+    order = np.argsort(v)
+    v, f = v[order], f[order]
+    same = np.concatenate(([False], v[1:] == v[:-1], [False]))
+    several = np.flatnonzero(same[1:] | same[:-1])  # only these need their second rank sorted
+    second = np.lexsort((f[several], v[several]))
+    order[several], f[several] = order[several][second], f[several][second]
+    doc, at, n = doc[order], at[order], n[order]
+    new = np.concatenate(([True], v[1:] != v[:-1]))
+    kind = new | np.concatenate(([True], f[1:] != f[:-1]))
+    first = np.flatnonzero(kind)
+    twice = np.repeat(np.diff(np.append(first, len(v))) > 1, np.diff(np.append(first, len(v))))
+    yield _hits(doc[twice], at[twice], n[twice])
+    v, f, doc, at, n, new = (x[first] for x in (v, f, doc, at, n, new))
+    group = np.cumsum(new) - 1
+    kinds = np.bincount(group)
+    hot = kinds[group] > HOT
+    yield _rows(MARK, doc[hot], v=_key(doc[hot], at[hot]), at=at[hot])
+    nth = np.arange(len(v)) - np.flatnonzero(new)[group]
+    go = ~hot | (nth < 2)
+    yield _rows(POSITION, doc[go], v=v[go], f=f[go], at=at[go], n=n[go])
+
+
 def _anchors(length: int):
     """Runs by the rank of their anchor, and the documents."""
 
@@ -148,31 +178,7 @@ def _anchors(length: int):
         sha = [hashlib.sha256(own[s:e]).hexdigest() for s, e in zip(rel[:-1].tolist(), rel[1:].tolist())]
         return _rows(DOC, ids, v=mix(ids.astype(np.int64).view(_U)), f=np.diff(rel), whole=sha)
 
-    def settle(v, f, doc, at, n):
-        if not len(v):
-            return
-        order = np.argsort(v)
-        v, f = v[order], f[order]
-        same = np.concatenate(([False], v[1:] == v[:-1], [False]))
-        several = np.flatnonzero(same[1:] | same[:-1])  # only these need their second rank sorted
-        second = np.lexsort((f[several], v[several]))
-        order[several], f[several] = order[several][second], f[several][second]
-        doc, at, n = doc[order], at[order], n[order]
-        new = np.concatenate(([True], v[1:] != v[:-1]))
-        kind = new | np.concatenate(([True], f[1:] != f[:-1]))
-        first = np.flatnonzero(kind)
-        twice = np.repeat(np.diff(np.append(first, len(v))) > 1, np.diff(np.append(first, len(v))))
-        yield _hits(doc[twice], at[twice], n[twice])
-        v, f, doc, at, n, new = (x[first] for x in (v, f, doc, at, n, new))
-        group = np.cumsum(new) - 1
-        kinds = np.bincount(group)
-        hot = kinds[group] > HOT
-        yield _rows(MARK, doc[hot], v=_key(doc[hot], at[hot]), at=at[hot])
-        nth = np.arange(len(v)) - np.flatnonzero(new)[group]
-        go = ~hot | (nth < 2)
-        yield _rows(POSITION, doc[go], v=v[go], f=f[go], at=at[go], n=n[go])
-
-    return lambda batches: _flushed(batches, length, take, settle, documents)
+    return lambda batches: _flushed(batches, length, take, _settle, documents)
 
 
 def _compared(batches, keys: int):
@@ -201,7 +207,7 @@ def _compared(batches, keys: int):
 
 
 def _rank_anchors(batches):
-    """Hits of equal pairs; marks of runs whose anchor's rank has several spans."""
+    """Hits of equal pairs; marks of runs, or wide cells, whose first rank has several spans."""
     for rest, x, left, right in _compared(batches, 2):
         if rest is not None:
             yield rest
@@ -244,23 +250,54 @@ def _expand(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return i, np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + first[i]
 
 
-def _cells(runs, ids, rel, size: int):
-    """Of runs (row, start, n, anchor) the run, number and key of each cell."""
-    row, start, n, anchor = runs
+def _cells(row, start, n, anchor, size: int):
+    """Runs, or parts of them, cut into cells: row, first window, number of windows and anchor; and the number of each cell."""
     low = (anchor - start - n + 1) // size
     i, j = _expand(low, (anchor - start) // size - low + 1)
-    return i, j, _key(ids[row[i]], (start - rel[row])[i], j + 1)
+    first = np.maximum(start[i], anchor[i] - (j + 1) * size + 1)
+    stop = np.minimum(start[i] + n[i], anchor[i] - j * size + 1)
+    return (row[i], first, stop - first, anchor[i]), j
+
+
+def _size(most: int, length: int) -> int:
+    return min(most, length - min(SEED, length) + 1)
+
+
+def _followed(length: int, where, ids, rel, runs, sizes, marks):
+    """The marked runs, cut into cells of each of sizes of which the marked ones go on. marks: bitsets of runs and of each
+    size of cells; without one all go on, or, at the last, those that the rows of texts bring along."""
+    parts = runs[1:]
+    for k, held in enumerate(marks):
+        if k:
+            parts, _ = _cells(*parts, _size(sizes[k - 1], length))
+        if held is not None or k == len(marks) - 1:
+            go = _picked(held, where, _key(ids[parts[0]], parts[1] - rel[parts[0]]))
+            parts = tuple(x[go] for x in parts)
+    return parts
+
+
+def _core(hashes: SpanHash, anchor: np.ndarray, j: np.ndarray, size: int, length: int) -> np.ndarray:
+    return mix(_pair(hashes, anchor - j * size, length - size + 1) + j.astype(_U))
+
+
+def _wide(length: int, marks):
+    """Wide cells of marked runs."""
+    size = _size(WIDE, length)
+
+    def take(where, ids, own, rel, hashes, runs):
+        (row, first, n, anchor), j = _cells(*_followed(length, where, ids, rel, runs, (), [marks]), size)
+        return _core(hashes, anchor, j, size, length), hashes.of(first, first + n + length - 1), ids[row], first - rel[row], n
+
+    return lambda batches: _flushed(batches, length, take, _settle)
 
 
-def _cores(length: int, marks):
-    size = min(CELL, length - min(SEED, length) + 1)
+def _cores(length: int, *marks):
+    """Cells of marked runs, or of their wide cells if there are marks of these, too."""
+    size = _size(CELL, length)
 
     def take(where, ids, own, rel, hashes, runs):
-        v, row, start, n, anchor = runs
-        go = _picked(marks, where, _key(ids[row], start - rel[row]))
-        row, start, n, anchor = (x[go] for x in (row, start, n, anchor))
-        i, j, key = _cells((row, start, n, anchor), ids, rel, size)
-        return mix(_pair(hashes, anchor[i] - j * size, length - size + 1) + j.astype(_U)), key, ids[row[i]]
+        (row, first, _, anchor), j = _cells(*_followed(length, where, ids, rel, runs, (WIDE,), marks), size)
+        return _core(hashes, anchor, j, size, length), _key(ids[row], first - rel[row]), ids[row]
 
     def settle(v, key, doc):
         _, first, back, count = np.unique(v, return_index=True, return_inverse=True, return_counts=True)
@@ -271,21 +308,14 @@ def _cores(length: int, marks):
     return lambda batches: _flushed(batches, length, take, settle)
 
 
-def _windows(length: int, runs_marked, marks):
-    size = min(CELL, length - min(SEED, length) + 1)
+def _windows(length: int, *marks):
+    """Windows of marked cells. marks: of runs, of wide cells if there are such, and of cells."""
+    sizes = (WIDE, CELL)[-len(marks) + 1 :]
 
     def take(where, ids, own, rel, hashes, runs):
-        v, row, start, n, anchor = runs
-        if runs_marked is not None:
-            go = Bits(runs_marked.value).has(_key(ids[row], start - rel[row]))
-            row, start, n, anchor = (x[go] for x in (row, start, n, anchor))
-        i, j, key = _cells((row, start, n, anchor), ids, rel, size)
-        go = _picked(marks, where, key)
-        i, j = i[go], j[go]
-        first = np.maximum(start[i], anchor[i] - (j + 1) * size + 1)
-        stop = np.minimum(start[i] + n[i], anchor[i] - j * size + 1)
-        k, w = _expand(first, stop - first)
-        r = row[i][k]
+        row, first, n, _ = _followed(length, where, ids, rel, runs, sizes, marks)
+        k, w = _expand(first, n)
+        r = row[k]
         return _pair(hashes, w, length), ids[r], w - rel[r]
 
     def settle(v, doc, at):
@@ -353,11 +383,14 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataF
     rank = lambda take, scan: in_order(mapped(take[0], take[1], _ROWS), ["v"], ["kind", "v", "f"], scan, _ROWS)
     one = scratch.keep(rank((docs, _anchors(length)), _rank_anchors), "anchors")
     some, runs = _marked(docs, one)
-    two = scratch.keep(rank((some, _cores(length, runs)), _rank(MARK)), "cores")
-    some, cells = _marked(docs, two)
-    three = rank((some, _windows(length, runs, cells)), _rank(HIT))
-    hits = one.union(three).where(F.col("kind") == HIT).select("doc", "at", "n")
+    two = scratch.keep(rank((some, _wide(length, runs)), _rank_anchors), "wide")
+    some, wide = _marked(docs, two)
+    three = scratch.keep(rank((some, _cores(length, runs, wide)), _rank(MARK)), "cores")
+    some, cells = _marked(docs, three)
+    four = rank((some, _windows(length, runs, wide, cells)), _rank(HIT))
+    hits = one.union(two).union(four).where(F.col("kind") == HIT).select("doc", "at", "n")
     spans = scratch.keep(in_order(hits, ["doc"], ["doc", "at"], _cover(length), "doc_id long, starts array<long>, ends array<long>"), "spans")
+    scratch.drop("wide")
     scratch.drop("cores")
     return one.where(F.col("kind") == DOC).select(F.col("doc").alias("doc_id"), F.col("f").alias("n_bytes"), "whole"), spans
 

@@ -132,6 +132,40 @@ def dedup_in_process(texts, length, batch=3):
     return {d: list(zip(s, e)) for b in spans for d, s, e in zip(*[b.column(c).to_pylist() for c in ("doc_id", "starts", "ends")])}
 
 
+def test_cells_inside_repeated_strings_are_done_as_a_whole(spark, monkeypatch):
+    """A long passage at two odd places costs a few cells where it ends, not each of its windows; the result is that of all
+    windows, also where marks don't fit a bitset."""
+    from quire.llm import common
+
+    rng = np.random.default_rng(5)
+    some = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+    passages = [some(1000) for _ in range(20)]
+    texts = [some(int(rng.integers(0, 300))) + passages[i % 20] + some(int(rng.integers(0, 300))) for i in range(60)] + [passages[0][:231], passages[1][100:340] * 2, "", "x" * 500]
+    want, sent, windows = brute_spans(texts, 200), [], suffix_dedup._windows
+
+    def counted(*given):
+        scan = windows(*given)
+
+        def run(batches):
+            for b in scan(batches):
+                acc.add(int(np.count_nonzero(b.column("kind").to_numpy() == suffix_dedup.POSITION)))
+                yield b
+
+        return run
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(suffix_dedup, "_windows", counted)
+    monkeypatch.setattr(suffix_dedup, "FLUSH", 1)  # nothing is settled before it is dealt out
+    for most in (common.MOST_BITS, 3):
+        monkeypatch.setattr(common, "MOST_BITS", most)
+        acc = spark.sparkContext.accumulator(0)
+        got = {r["doc_id"]: list(zip(r["starts"], r["ends"])) for r in suffix_dedup.repeated_spans(df)[1].collect()}
+        assert got == want
+        sent.append(acc.value)
+    ends = 2 * 63  # of passages
+    assert max(sent) <= ends * 24, sent
+
+
 def brute_spans(texts, length):
     raw = [t.encode() for t in texts]
     count = Counter(b[s : s + length] for b in raw for s in range(len(b) - length + 1))
