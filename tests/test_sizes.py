@@ -44,3 +44,25 @@ def test_blocks_are_dealt_once(spark):
 
 def test_a_book_is_one_pass_over_the_blocks(spark):
     assert plan(more.queries()["book_texts"](spark, SF)).count("posexplode") <= plan(more.queries()["html_pages"](spark, SF)).count("posexplode")
+
+
+def test_parts_grow_with_the_texts(spark, tmp_path):
+    """Files store a text that repeats once; a part takes as many bytes of text all the same, and equal rows spread."""
+    spark.range(4000).selectExpr("id as doc_id", "repeat('abcdefgh', 2500) as text").repartition(1).write.parquet(str(tmp_path / "d"))
+    files = spark.read.parquet(str(tmp_path / "d"))
+    for by in ("doc_id", ""):
+        got = [r["count"] for r in B.dealt(files, "doc_id", "text", by=by).groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(got) == 4000 and len(got) >= 4000 * 20_000 // B.DEAL and max(got) < 4000 // 4
+
+
+def test_one_task_of_a_row_group_holds_no_rows(spark, monkeypatch):
+    """Up to DIRECT parts are written straight to files; more are dealt in two steps. Rows dealt by value are not sorted."""
+    files = spark.read.parquet(f"{SF}/documents.parquet")
+    want = sorted(map(tuple, files.select("doc_id", "text").collect()))
+    monkeypatch.setattr(B, "DEAL", 1000)
+    for by in ("doc_id", ""):
+        rows = B.dealt(files, "doc_id", "text", by=by)
+        shown = plan(rows)
+        assert rows.rdd.getNumPartitions() > B.DIRECT and shown.count("Exchange") == 2 and "RoundRobin" not in shown
+        assert f", {B.DIRECT})" in shown.replace(", REPARTITION_BY_NUM", ")").replace("))", ")")
+        assert sorted(map(tuple, rows.collect())) == want
