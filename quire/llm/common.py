@@ -189,7 +189,7 @@ class Bits:
     @staticmethod
     def of(hashes: DataFrame, count: int) -> bytes | None:
         """The set of a column `h` of longs, of which there are count; None if it is larger than all executors should
-        get. Slices are made by tasks; the driver joins them."""
+        get. Slices are made by tasks; the driver gets them in one job, 32 MB at most, and joins them."""
         if 6 * count > 1 << MOST_BITS:
             return None
         bits = min(MOST_BITS, max(16, (8 * count).bit_length()))
@@ -203,7 +203,7 @@ class Bits:
             return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())})
 
         out = bytearray(1 << (bits - 3))
-        for i, data in grouped(rows, "slice", mark, "slice int, data binary").toLocalIterator():
+        for i, data in grouped(rows, "slice", mark, "slice int, data binary").collect():
             out[i << (low - 3) : (i + 1) << (low - 3)] = data
         return bytes(out)
 

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow.compute  # noqa: F401
 import pytest
 
-from quire.llm import chat, langid, mixing, ngram_join, packing, sharding, spotsigs, style_tree, suffix_dedup, topk
+from quire.llm import chat, common, langid, mixing, ngram_join, packing, sharding, spotsigs, style_tree, suffix_dedup, topk
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _part string, row int, n int, label string"
@@ -181,6 +181,28 @@ def brute_spans(texts, length):
     return out
 
 
+def test_a_bitset_comes_in_one_job(spark):
+    """However many shuffle partitions hold its slices: a job each takes minutes at a few hundred of them."""
+    held = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in held}
+    h = [int(x) for x in np.random.default_rng(5).integers(-(1 << 63), 1 << 63, 300)]
+    rows = spark.createDataFrame([(x,) for x in h], "h long")
+    sc = spark.sparkContext
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("bitset", "")
+        bits = common.Bits(common.Bits.of(rows, len(h)))
+        jobs = len(sc.statusTracker().getJobIdsForGroup("bitset"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert 0 < jobs <= 5
+    low = np.array(h).view(np.uint64) & bits.mask
+    assert bits.has(np.array(h)).all() and np.array_equal(bits.has(np.arange(1 << 16)), np.isin(np.arange(1 << 16), low.astype(np.int64)))
+
+
 @pytest.mark.parametrize("length,flush,hot,chunk", [(200, 50, 1, 300), (200, 1 << 18, 8, 1 << 17), (8, 20, 1, 50), (45, 100, 2, 1000), (1, 10, 8, 20)])
 def test_suffix_dedup_lengths(monkeypatch, length, flush, hot, chunk):
     from quire.llm import common
