@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import patterns as P
-from quire.functions.text import has, norm, strip
+from quire.functions.text import apart, has, norm, strip
 from quire.operators.blocks import auto_label
 
 #: `Abstract` as a word of its own, unless a word on technical matters stands at most 20 characters before it.
@@ -21,14 +21,15 @@ def split_embedded(labelled: DataFrame) -> DataFrame:
     label its look asks for; the text after keeps the block's. Empty parts are left out, and nothing is cut twice.
     A body block that begins with a table title becomes one."""
     t = F.col("contenido")
-    x = labelled.withColumn("_head", F.coalesce(*[F.when(F.instr(t, h) > 1, F.lit(h)) for h in P.EMBEDDED], F.lit("")))
-    first = F.regexp_instr(t, F.lit(ALONE))
+    # plain searches say first where patterns and places are worth asking for
+    x = labelled.withColumn("_head", F.coalesce(*[F.when(F.when(F.contains(t, F.lit(h)), F.instr(t, h)) > 1, F.lit(h)) for h in P.EMBEDDED], F.lit("")))
+    first = F.when(t.rlike("(?i)abstract"), F.regexp_instr(t, F.lit(ALONE))).otherwise(0)
     near = F.lower(F.expr("substring(contenido, greatest(1, _abs - 20), least(20, _abs - 1))"))
     x = x.withColumn("_abs", first)
     x = x.withColumn("_abs", F.when((F.col("_head") == "") & (F.col("_abs") > 1) & ~near.rlike("technical|técnico"), F.col("_abs")).otherwise(0))
     table = r"(?i)(?<![\p{L}\d_])" + P.TABLE_INSIDE
     free = (F.col("_head") == "") & (F.col("_abs") == 0) & (F.col("clasificacion") == P.CUERPO)
-    x = x.withColumn("_tab", F.when(free, F.regexp_instr(t, F.lit(table))).otherwise(0))
+    x = x.withColumn("_tab", F.when(free & t.rlike(r"(?i)tab(la|le)\s"), F.regexp_instr(t, F.lit(table))).otherwise(0))
     x = x.withColumn("_title", F.when(F.col("_tab") > 0, F.regexp_extract(t, table, 1)).otherwise(""))
     x = x.withColumn("_at", F.when(F.col("_head") != "", F.instr(t, F.col("_head"))).when(F.col("_abs") > 0, F.col("_abs")).otherwise(F.when(F.col("_tab") > 1, F.col("_tab")).otherwise(0)))
     middle = F.when(F.col("_head") != "", F.col("_head")).when(F.col("_abs") > 0, "Abstract").otherwise(strip(F.col("_title")))
@@ -38,7 +39,7 @@ def split_embedded(labelled: DataFrame) -> DataFrame:
     is_title = (F.col("_head") == "") & (F.col("_abs") == 0)
     own = labelled.columns
     again = auto_label(text="_before", font="_no_font")  # labels as they are: former ones stay here
-    x = x.withColumn("_no_font", F.lit("")).withColumn("_again", F.when(is_title, F.col("clasificacion")).otherwise(again))
+    x = x.withColumn("_no_font", F.lit("")).withColumn("_again", F.when(apart(is_title), F.col("clasificacion")).otherwise(again))
     part = lambda i, text, label: F.struct(F.lit(i).alias("sub_seq"), text.alias("t"), label.alias("c"))
     parts = F.filter(F.array(part(0, F.col("_before"), F.col("_again")), part(1, middle, F.when(is_title, P.TABLA).otherwise(P.SECCION)), part(2, after, F.col("clasificacion"))), lambda p: p["t"] != "")
     same = F.array(part(0, t, F.when(F.col("_tab") == 1, P.TABLA).otherwise(F.col("clasificacion"))))
@@ -86,12 +87,14 @@ def route(labelled: DataFrame, journal: str = "") -> DataFrame:
     Parts are ref, front_note, cite_note, date_note, keywords_es, keywords_en, keywords, abstract_es, abstract_en,
     abstract_plain_es, abstract_plain_en, heading and paragraph. What a block is depends on the last heading before it.
     A heading that is the journal's name, if one is given, is a front note."""
-    from quire.functions.text import clean, is_body_heading, is_meta_heading
+    from quire.functions.text import clean, has_clean, is_body_heading, is_meta_heading
 
-    x = labelled.withColumn("text", clean(F.col("contenido"))).where("text <> ''")
-    c, t = F.col("clasificacion"), norm(F.col("text"))
+    x = labelled.where(has_clean(F.col("contenido"))).withColumn("text", clean(F.col("contenido")))
+    c, t = F.col("clasificacion"), F.col("_norm")
     head, sub = c == P.SECCION, c.isin(P.SUB, P.SUB2)
-    meta = head & is_meta_heading(F.col("text"), journal)
+    # headings only are folded, once each: an And would fold every text, as what its sides share is evaluated before them
+    x = x.withColumn("_norm", F.when(head, norm(F.col("text"))))
+    meta = head & is_meta_heading(t, journal)
     titles = F.create_map(*[F.lit(v) for v in ("resumen", "es", "abstract", "en", "resumen no tecnico", "plain_es", "non-technical abstract", "plain_en")])
     refs = head & t.isin("referencias", "references")
     meta = meta & ~refs
@@ -102,11 +105,11 @@ def route(labelled: DataFrame, journal: str = "") -> DataFrame:
     x = x.withColumn("_in", F.coalesce(F.last("_refs", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False)))
     mode = F.col("_mode")
     part = (
-        F.when(meta, "front_note").when(head, F.when(~refs & titles[t].isNull() & is_body_heading(F.col("text")), "heading"))
+        F.when(meta, "front_note").when(head, F.when(~refs & titles[t].isNull() & is_body_heading(F.col("text"), t), "heading"))
         .when(F.col("_in"), F.when(c.isin(P.REFERENCIA, P.CUERPO, P.NORMAL), "ref"))
         .when(c == P.CITAR, "cite_note").when(c == P.FECHA, "date_note")
         .when(c == P.CLAVE, F.when(mode.isin("es", "plain_es"), "keywords_es").when(mode.isin("en", "plain_en"), "keywords_en").otherwise("keywords"))
         .when(c == "Cuerpo del abstract", F.concat(F.lit("abstract_"), F.coalesce(mode, F.lit("es"))))
         .when((c == P.RESUMEN) & mode.isNotNull(), F.concat(F.lit("abstract_"), mode)).when(sub, "heading").when(c.isin(P.CUERPO, P.NORMAL, P.RESUMEN), "paragraph")
     )
-    return x.withColumn("part", part).drop("_mode", "_refs", "_in")
+    return x.withColumn("part", part).drop("_norm", "_mode", "_refs", "_in")

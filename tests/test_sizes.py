@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire.functions import patterns as P
 from quire.functions import text as T
 from quire.operators import blocks as B
-from quire.operators import people
+from quire.operators import layout, people, splits
 from quire.plans import more, registry
 
 SF = "/root/testdata/sf0.001"
@@ -66,3 +67,41 @@ def test_one_task_of_a_row_group_holds_no_rows(spark, monkeypatch):
         assert rows.rdd.getNumPartitions() > B.DIRECT and shown.count("Exchange") == 2 and "RoundRobin" not in shown
         assert f", {B.DIRECT})" in shown.replace(", REPARTITION_BY_NUM", ")").replace("))", ")")
         assert sorted(map(tuple, rows.collect())) == want
+
+
+def optimized(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_fragment_is_made_once(spark):
+    """Not once to ask whether it is empty and once more to keep it."""
+    shown = optimized(more.queries()["html_pages"](spark, SF))
+    assert shown.count("titulo-principal") == 1 and shown.count("subseccion-bajo") == 2
+
+
+def test_routed_texts_are_cleaned_once(spark):
+    shown = optimized(splits.route(registry.blocks(spark, SF).withColumn("clasificacion", F.lit(P.SECCION))).select("text"))
+    assert shown.count("[\u00ad\ufffc\ufffe]") == 1
+
+
+def test_texts_of_scans_are_made_once(spark):
+    assert optimized(layout.text_blocks(more._pages(spark, SF))).count("aggregate(") == 1
+    # the size's mean and the text, each once
+    assert optimized(layout.raw_blocks(more._pages(spark, SF)).select("seq", "contenido", "size")).count("aggregate(") == 2
+
+
+def test_strip_knows_the_white_space_of_patterns(spark):
+    x = spark.range(0x110000).where("id not between 55296 and 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    differ = T.strip(F.concat("c", F.lit("a b"), "c")) != F.regexp_replace(F.concat("c", F.lit("a b"), "c"), r"(?U)^\s+|\s+$", "")
+    assert x.count() == 0x110000 - 2048 and not x.where(differ).count()
+
+
+def test_guards_change_no_text(spark):
+    """What is searched for first lets every text through that the pattern after it may find."""
+    tags = [y for x in P.EDITORIAL.replace("\\.", ".").split("|") for y in (x.replace("(?: examinado)?", ""), x.replace("(?: examinado)?", " examinado").replace("?", ""))]
+    texts = [z for t in tags for z in (t, f"a {t} b", f"<{t.upper()}", f"x{t}", t[:-1])] + ["", "fin.", "Sinonim\u0131a. k", "Remar\u212as. y", None]
+    x = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert x.where(~T.editorial(F.col("t")).eqNullSafe(T._editorial(F.col("t")))).collect() == []
+    notes = ["Manuscrito  recibido: 5", "MANU\u017fCRIPT revised", "manuscript", "", None]
+    x = spark.createDataFrame([(t,) for t in notes], "t string")
+    assert x.where(~T.is_date_note(F.col("t")).eqNullSafe(T.has(F.col("t"), P.MANUSCRIPT))).collect() == []
