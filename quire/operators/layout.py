@@ -23,8 +23,9 @@ def _box(name: str = "bbox"):
 def text_blocks(page_blocks: DataFrame) -> DataFrame:
     """(doc_id, pnum, block_no, contenido, x0, y0, x1, y1) of text blocks of three characters or more: what captions and
     titles are looked for in. page_blocks: doc_id, pnum, page_w, page_h, block_no, type (0 text, 1 image), bbox, lines."""
-    t = page_blocks.where("type = 0").select("doc_id", "pnum", "block_no", strip(block_text()).alias("contenido"), *_box())
-    return t.where(F.length("contenido") >= 3)
+    # a generator, as a condition on the text would be pushed below it and make each text again
+    text = F.explode(F.filter(F.array(strip(block_text())), lambda t: F.length(t) >= 3))
+    return page_blocks.where("type = 0").select("doc_id", "pnum", "block_no", text.alias("contenido"), *_box())
 
 
 def raw_blocks(page_blocks: DataFrame, rects: DataFrame | None = None) -> DataFrame:
@@ -34,12 +35,13 @@ def raw_blocks(page_blocks: DataFrame, rects: DataFrame | None = None) -> DataFr
     Columns of a page follow from all its blocks; then running headers and footers, texts that tables cover (rects: see
     outside_tables()), texts under three characters and header texts of the upper zone go. Blocks of other types go."""
     x = page_blocks.where("type in (0, 1)").select("doc_id", "pnum", F.col("page_w").cast("double").alias("page_w"), F.col("page_h").cast("double").alias("page_h"), "block_no", (F.col("type") == 1).alias("imagen"), "lines", *_box())
-    x = B.reading_order(x).drop("two_columns")
     w, h = F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0"))
     number = lambda v: F.bround(v).cast("long").cast("string")
     image = F.concat(F.lit("[IMAGEN "), number(w), F.lit("×"), number(h), F.lit("px]"))
     small = (w < LEAST_SIDE) & (h < LEAST_SIDE)
-    x = x.withColumn("_f", font_info()).withColumn("contenido", F.when(F.col("imagen"), image).otherwise(block_text()))
+    # texts before the windows of reading_order(): conditions on them are not pushed below those, where each would make them again
+    x = x.withColumn("_f", font_info()).withColumn("contenido", F.when(F.col("imagen"), image).otherwise(block_text())).drop("lines")
+    x = B.reading_order(x).drop("two_columns")
     x = x.withColumn("clasificacion", F.when(F.col("imagen"), F.when(small | B.at_edge(), P.IGNORAR).otherwise(P.IMAGEN)))
     x = x.where(F.col("imagen") | B.is_content())
     if rects is not None:
